@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can say the same."""
 
-from . import lines
+from . import lines, pieces, token_files
 
-QUERIES = {"op1_line_dedup": lines.op1_line_dedup}
+QUERIES = {"op1_line_dedup": lines.op1_line_dedup, "op3_sentencepiece": pieces.op3_sentencepiece, "op5_token_files": token_files.op5_token_files}
 ORACLES = {"op1_line_dedup": lines.OP1_SQL}
