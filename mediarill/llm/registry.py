@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can say the same."""
 
-from . import lines, near_dups, pieces, token_files
+from . import decontaminate, lines, near_dups, pieces, token_files
 
-QUERIES = {"op1_line_dedup": lines.op1_line_dedup, "op3_sentencepiece": pieces.op3_sentencepiece, "op6_near_dups": near_dups.op6_near_dups, "op5_token_files": token_files.op5_token_files}
-ORACLES = {"op1_line_dedup": lines.OP1_SQL, "op6_near_dups": near_dups.OP6_SQL}
+QUERIES = {"op1_line_dedup": lines.op1_line_dedup, "op3_sentencepiece": pieces.op3_sentencepiece, "op6_near_dups": near_dups.op6_near_dups, "op7_decontaminate": decontaminate.op7_decontaminate, "op5_token_files": token_files.op5_token_files}
+ORACLES = {"op1_line_dedup": lines.OP1_SQL, "op6_near_dups": near_dups.OP6_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
