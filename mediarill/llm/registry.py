@@ -1,6 +1,20 @@
 """The queries of this subpackage by name, and their SQL where SQL can say the same."""
 
-from . import decontaminate, lines, near_dups, pieces, token_files
+from . import decontaminate, lines, near_dups, pieces, token_files, top_k, url_filter
 
-QUERIES = {"op1_line_dedup": lines.op1_line_dedup, "op3_sentencepiece": pieces.op3_sentencepiece, "op6_near_dups": near_dups.op6_near_dups, "op7_decontaminate": decontaminate.op7_decontaminate, "op5_token_files": token_files.op5_token_files}
-ORACLES = {"op1_line_dedup": lines.OP1_SQL, "op6_near_dups": near_dups.OP6_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_near_dups": near_dups.op6_near_dups,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_url_filter": url_filter.op8_url_filter,
+    "op9_exact_top_k": top_k.op9_exact_top_k,
+}
+ORACLES = {
+    "op1_line_dedup": lines.OP1_SQL,
+    "op6_near_dups": near_dups.OP6_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
+    "op9_exact_top_k": top_k.OP9_SQL,
+}
