@@ -1,15 +1,21 @@
 """The queries of this subpackage by name, and their SQL where SQL can say the same."""
 
-from . import decontaminate, lines, near_dups, pieces, token_files, top_k, url_filter
+import corpus_pipeline
+
+from . import decontaminate, lines, main_text, near_dups, pieces, quality, token_files, top_k, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_main_text": main_text.op2_main_text,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_files": token_files.op5_token_files,
     "op6_near_dups": near_dups.op6_near_dups,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_exact_top_k": top_k.op9_exact_top_k,
+    "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_line_dedup": lines.OP1_SQL,
