@@ -116,17 +116,18 @@ class Sketcher:
         np.bitwise_xor.at(bitmap, (row, where.reshape(-1).astype(np.int64)), 1)
         return np.packbits(bitmap, axis=1)
 
-    def most_odd(self, similarity: float, sigmas: float = 6.0) -> int:
-        """The XOR population count that a pair of at least ``similarity`` stays under, but for ``sigmas`` deviations.
+    def most_odd(self, similarity: float, sigmas: float = 5.0) -> int:
+        """The XOR population count that a pair of ``similarity`` or more stays under, but for ``sigmas`` deviations.
 
-        Unlike samples number k(1 - s) on average; each flips two bits of the
-        XOR; of m flips over n bits, n(1 - (1 - 2/n)^m) / 2 bits end up set.
+        Unlike samples are binomial, k(1 - s) on average; each flips two bits
+        of the XOR; m flips over n bits leave n(1 - exp(-2m / n)) / 2 set. At
+        5 deviations one pair in three million at the very limit is missed.
         """
         n, k = self.bits, self.k
-        unlike = k * (1 - similarity) + sigmas * (k * similarity * (1 - similarity)) ** 0.5
-        m = min(2.0 * k, 2 * unlike)
-        mean = n * (1 - (1 - 2 / n) ** m) / 2
-        return int(mean + sigmas * (mean * (1 - mean / n)) ** 0.5) + 1
+        m = 2 * k * (1 - similarity)
+        fade = np.exp(-2 * m / n)
+        spread = (fade**2 * 4 * k * similarity * (1 - similarity) + n * (1 - fade**2) / 4) ** 0.5
+        return int(n * (1 - fade) / 2 + sigmas * spread) + 1
 
 
 def sketch_documents(docs: DataFrame, sketcher: Sketcher, width: int = 5) -> DataFrame:
@@ -152,19 +153,46 @@ def sketch_documents(docs: DataFrame, sketcher: Sketcher, width: int = 5) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, odd binary")
 
 
+#: Bits of the parity bitmap of a whole set.
+FOLD = 4096
+
+
+def folded(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bitmap of each whole set: an odd sketch whose samples are all shingles."""
+    bitmap = np.zeros((len(sets), FOLD), np.uint8)
+    for i, s in enumerate(sets):
+        bitmap[i] = np.bincount((_mix(s) % np.uint64(FOLD)).astype(np.int64), minlength=FOLD) & 1
+    return np.packbits(bitmap, axis=1)
+
+
+def most_folded(sizes: np.ndarray, percent: int, sigmas: float = 5.0) -> np.ndarray:
+    """For pairs with so many shingles in both sets together: the XOR count that similar pairs stay under.
+
+    A similarity of s leaves sizes * (1 - s) / (1 + s) shingles unlike at
+    most; mean and variance are those of the parities of as many balls in
+    FOLD bins. Far more balls than bins tell nothing: then every pair passes.
+    """
+    n, s = float(FOLD), percent / 100
+    balls = np.asarray(sizes, float) * (1 - s) / (1 + s)
+    p2, p4 = (1 - 2 / n) ** balls, (1 - 4 / n) ** balls
+    spread = np.sqrt(np.maximum(0.0, n + n * (n - 1) * p4 - n * n * p2 * p2)) / 2
+    return n * (1 - p2) / 2 + sigmas * spread + 1
+
+
 def shingle_table(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, shingles array<long>)``: the full sets."""
+    """``(doc_id, shingles array<long>, n_shingles, fold)``: the full sets and their parity bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHashes()
         for whole in batches:
             for batch in _slices(whole, "text"):
                 sets = shingle_sets(batch.column("text").to_pylist(), words, width)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                ends = np.cumsum([0, *map(len, sets)])
                 flat = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "shingles"])
+                fold = pa.array([f.tobytes() for f in folded(sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat), pa.array(np.diff(ends)), fold], ["doc_id", "shingles", "n_shingles", "fold"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, n_shingles long, fold binary")
 
 
 def odd_filter(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
@@ -187,6 +215,54 @@ def odd_filter(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, odd int")
 
 
+def close_across(placed: DataFrame, sets: DataFrame, percent: int, best: int | None, block: int = 1024) -> DataFrame:
+    """Pairs ``(a, b, odd)`` that share a bucket, lie in different parts and may be similar by size and parity bitmap.
+
+    ``placed``: ``(key, doc_id, part)``. Buckets of one part cost nothing
+    more. The bitmaps of a bucket meet in Arrow tasks, ``block`` rows against
+    ``block`` rows, larger buckets in several such meetings; what doesn't
+    pass is never emitted. ``best``: only so many closest partners of a row
+    and meeting; None: all.
+    """
+    mixed = materialize(placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "mixed")
+    rows = materialize(placed.join(mixed, "key"), "across")
+    rows = rows.join(sets.select("doc_id", "n_shingles", "fold"), "doc_id")
+    many = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), many).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "part", "n_shingles", "fold")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, part, size, own = (table.column(c).to_numpy() for c in ("doc_id", "part", "n_shingles", "own"))
+        sketch = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(len(ids), -1)
+        alone = (own == own[0]).all() and table.column("p")[0] != table.column("q")[0]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if not alone and (part != part[0]).any():
+            inside = table.column("p")[0] == table.column("q")[0]
+            for k in range(0, len(ids), 64):
+                at = slice(k, k + 64)
+                fits = (part[at, None] != part[None, :]) & (100 * np.minimum(size[at, None], size[None, :]) >= percent * np.maximum(size[at, None], size[None, :]))
+                if not inside:
+                    fits &= own[at, None] != own[None, :]
+                if best is None:
+                    fits &= ids[at, None] < ids[None, :]
+                x, y = np.nonzero(fits)
+                odd = np.concatenate([np.bitwise_count(sketch[x[c : c + 65536] + k] ^ sketch[y[c : c + 65536]]).sum(1, dtype=np.int32) for c in range(0, len(x), 65536)] or [np.zeros(0, np.int32)])
+                near = np.flatnonzero(odd <= most_folded(size[x + k] + size[y], percent))
+                x, y, odd = x[near], y[near], odd[near]
+                if best is not None:
+                    order = np.lexsort((y, odd, x))
+                    x, y, odd = x[order], y[order], odd[order]
+                    rank = np.arange(len(x)) - np.searchsorted(x, x)
+                    x, y, odd = x[rank < best], y[rank < best], odd[rank < best]
+                out.append((ids[x + k], ids[y], odd))
+        a, b, odd = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]) for i in range(3))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "odd": odd.astype(np.int32)})
+
+    found = rows.groupBy("key", "p", "q").applyInArrow(meet, "a long, b long, odd int")
+    return found.groupBy("a", "b").agg(F.first("odd").alias("odd"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """Pairs whose full sets have ``100 * |intersection| >= percent * |union|``."""
     one = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -204,10 +280,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, sketcher
     2. Classes that share a band key form a bucket. Each class is first
        compared with the bucket heads (smallest ids) it meets, best odd
        sketch only, on full sets. That gives components without all pairs.
-    3. In buckets that still hold several components, each pair across
-       components is compared (odd sketch, then full sets). Pairs inside a
-       component need no look: they can't change it. So no link between
-       candidates is lost, and a group of thousands of copies costs its size.
+    3. In buckets that still hold several components, parity bitmaps of the
+       full sets are compared across components, and the closest few partners
+       of each class on full sets; then, across the components that still
+       stand apart, all pairs that the bitmaps let through. Pairs inside a component need no look:
+       they can't change it. So no link between candidates is lost, and a
+       group of thousands of copies costs its size.
 
     Null, empty and blank texts have the empty set and are linked with
     nothing. A row without doc_id has no component and is kept. Rows that
@@ -228,23 +306,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, sketcher
 
     most = sk.most_odd(percent / 100)
     stars = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    best = odd_filter(stars, classes, most).groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b")
+    best = odd_filter(stars, classes, most).groupBy("b").agg(F.min_by("a", F.struct("odd", "a")).alias("a")).select("a", "b")  # a < b
     best = materialize(best, "best")
     needed = members.select("doc_id").distinct()
     sets = materialize(shingle_table(docs.join(needed, "doc_id", "left_semi"), width), "sets")
     links = materialize(verified(best, sets, percent).distinct(), "links")
+    tried = best
     parts = connected_components(links)
 
-    placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    placed = materialize(placed, "placed")
-    mixed = materialize(placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"), "mixed")
-    across = placed.join(mixed, "key")
-    left, right = (across.select("key", F.col("doc_id").alias(n), F.col("part").alias(f"p{n}")) for n in "ab")
-    rest = left.join(right, "key").where("pa < pb").select("a", "b").distinct()
-    rest = rest.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = materialize(odd_filter(rest, classes, most), "rest")
-    more = verified(rest, sets, percent).distinct()
-    parts = connected_components(links.unionByName(more))
+    for nearest in (4, None):
+        placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+        rest = close_across(materialize(placed, "placed"), sets, percent, nearest)
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti").select("a", "b"), "rest")
+        links = materialize(links.unionByName(verified(rest, sets, percent)).distinct(), "links")
+        parts = connected_components(links)
+        tried = materialize(tried.unionByName(rest), "tried")
 
     named = classes.select("d1", "d2", "n_shingles", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     named = materialize(named, "named")
