@@ -149,26 +149,48 @@ class ShardReader:
 
 #: Only these surely part words for the tokenizer; what lies between is encoded by the library.
 BETWEEN = re.compile("[^ \t\n\r]+")
+#: The tokenizer's own split for lower-case texts of Latin-1 characters (white space has gone between the matches).
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\ra-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: Odd white space, control characters and possible special tokens: such texts take the general way.
+ODD = re.compile("[^\t\n\r -~¡-ÿ]|<\\|")
 
 
 class WordEncoder:
-    """The library's ids, word by word, with a memory that is emptied when full."""
+    """The library's ids, word by word, with a memory that is emptied when full.
+
+    Texts of plain Latin-1 characters are lower-cased and split as the
+    tokenizer does, so that case and punctuation don't multiply the words;
+    new words go to the library many at a time, parted by spaces, and are
+    told apart by the tokens that end a word. Other texts go to it in pieces
+    between spaces.
+    """
 
     def __init__(self, path: str, memory: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         known = self.known
         if len(known) > self.memory:
             known.clear()
-        words = [BETWEEN.findall(t) if t else [] for t in texts]
-        new = list({w for ws in words for w in ws}.difference(known))
+        plain = [not t or not ODD.search(t) for t in texts]
+        words = [[] if not t else LATIN.findall(t.lower()) if p else BETWEEN.findall(t) for t, p in zip(texts, plain, strict=True)]
+        new = list(set().union(*[w for w, p in zip(words, plain, strict=True) if p]).difference(known))
         if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
+            found = self.tokenizer.encode_batch_fast([" ".join(new[k : k + 256]) for k in range(0, len(new), 256)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            raw = ids.tobytes()
+            for w, a, b in zip(new, [0, *(cuts[:-1] * 4).tolist()], (cuts * 4).tolist(), strict=True):
+                known[w] = raw[a:b]
+        rest = list(set().union(*[w for w, p in zip(words, plain, strict=True) if not p]).difference(known))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            known[w] = np.array(e.ids, np.uint32).tobytes()
         tail = np.array([end], np.uint32).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + tail, np.uint32) for ws in words]
 
