@@ -1,4 +1,746 @@
 """Queries over the media catalogue, by name, and their SQL twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import aggregates as A
+from ..operators import filters as P
+from ..operators import graph as G
+from ..operators import joins as J
+from ..operators import maintenance as M
+from ..operators import ranking as W
+from ..operators import sets as U
+from ..sources import io
+from ..sources import views as V
+from ..streaming import changes as T
+from .shared import materialize, new_path
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: bool = True):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = (V.VIEWS_SQL if views else "") + sql
+        return f
+
+    return add
+
+
+# SQL spellings of the scalar functions.
+def q_norm(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower(coalesce({x}, '')), '_', ' '), '\\s+', ' ', 'g'))"
+
+
+def q_base(x: str) -> str:
+    stem = f"regexp_replace({x}, '\\.[^.]*$', '')"
+    return f"coalesce(nullif(trim(regexp_replace({stem}, '[\\s_]*\\(\\d+\\)$', '')), ''), {stem})"
+
+
+def q_natural(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all(lower({x}), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]+$') AND length(t) < 10 THEN lpad(t, 10, '0') ELSE t END), '')"
+
+
+def q_clean(x: str) -> str:
+    bare = f"regexp_replace(lower(coalesce({x}, '')), '[(){{}}\\[\\]:,.<>|/\\\\!?;\"''+*~`^=_]', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({bare}, '\\b\\d+\\.?\\d*\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def q_under(col: str, folder: str) -> str:
+    return f"({col} = '{folder}' OR starts_with({col}, '{folder}/') OR starts_with({col}, '{folder}\\'))"
+
+
+def q_hamming(a: str, b: str) -> str:
+    return f"bit_count(xor(CAST({a} AS BIT), CAST({b} AS BIT)))"
+
+
+def q_jaccard(s: str, a: str, b: str) -> str:
+    return f"CAST(round_even({s} * 100.0 / ({a} + {b} - {s}), 0) AS INT)"
+
+
+MEDIA_COLUMNS = "id, filename, folder, width, height, file_date, file_size, media_type, rating"
+_MEDIA = MEDIA_COLUMNS.split(", ")
+
+
+# Pages, filters and search.
+@query(f"SELECT {MEDIA_COLUMNS} FROM media WHERE contains({q_clean('text')}, 'the') OR contains({q_norm('filename')}, 'the') OR id IN (SELECT image_id FROM image_tags WHERE contains(tag, 'the')) ORDER BY file_date DESC, {q_natural('folder')}, {q_natural('filename')}, id LIMIT 60")
+def w1_gallery_page(spark: SparkSession, d: str) -> DataFrame:
+    return W.gallery_page(P.search(V.media(spark, d), V.image_tags(spark, d), "the")).select(*_MEDIA)
+
+
+@query(f"SELECT id, filename FROM media ORDER BY {q_natural('filename')} DESC, {q_natural('folder')}, file_date, id LIMIT 60 OFFSET 60")
+def w1_name_page(spark: SparkSession, d: str) -> DataFrame:
+    return W.gallery_page(V.media(spark, d), "name", True, 2).select("id", "filename")
+
+
+@query("SELECT id, filename FROM media WHERE id > 100 AND NOT (tagged) ORDER BY id LIMIT 256")
+def w2_keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return W.keyset_page(m, 100, 256, m.where("tagged")).select("id", "filename")
+
+
+@query(f"SELECT id, folder FROM media WHERE {q_under('folder', 'en')} OR {q_under('folder', 'de/src1')}")
+def p1_filter_folders(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_folders(V.media(spark, d), ["en", "de/src1"]).select("id", "folder")
+
+
+@query("SELECT id, rating FROM media WHERE rating IN (1, 7)")
+def p2_filter_ratings(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_ratings(V.media(spark, d), [0, 1, 7]).select("id", "rating")
+
+
+@query(f"SELECT id, filename FROM media WHERE {q_norm(q_base('filename'))} = 'set 7'")
+def p3_filter_name_bases(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_name_bases(V.media(spark, d), ["SET_7"]).select("id", "filename")
+
+
+@query("SELECT id FROM media WHERE id IN (SELECT image_id FROM image_tags WHERE tag IN ('the', 'and', 'est') GROUP BY image_id HAVING count(DISTINCT tag) = 3)")
+def p4_filter_tags_all(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_tags_all(V.media(spark, d), V.image_tags(spark, d), ["The", "and", "EST"]).select("id")
+
+
+@query(
+    f"SELECT id FROM media WHERE (contains({q_clean('text')}, 'tion') OR contains({q_norm('filename')}, 'tion') OR id IN (SELECT image_id FROM image_tags WHERE contains(tag, 'tion')))"
+    f" AND (contains({q_clean('text')}, 'set 1') OR contains({q_norm('filename')}, 'set 1') OR id IN (SELECT image_id FROM image_tags WHERE contains(tag, 'set 1')))"
+)
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    return P.search(V.media(spark, d), V.image_tags(spark, d), " Tion, set_1 ").select("id")
+
+
+@query("SELECT DISTINCT id FROM media WHERE rating = 5")
+def p6_ids_only(spark: SparkSession, d: str) -> DataFrame:
+    return P.ids_only(P.filter_ratings(V.media(spark, d), [5]))
+
+
+def _roots(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in paths], "path string")
+
+
+@query("SELECT id FROM media WHERE starts_with(filepath, 'en/src1/') OR starts_with(filepath, 'fr/')")
+def p7_under_roots(spark: SparkSession, d: str) -> DataFrame:
+    return P.under_roots(V.media(spark, d), _roots(spark, "en/src1", "fr")).select("id")
+
+
+@query("SELECT id FROM media WHERE NOT (starts_with(filepath, 'en/') OR starts_with(filepath, 'fr/'))")
+def p7_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return P.not_under_any_root(V.media(spark, d), _roots(spark, "en", "fr/")).select("id")
+
+
+@query("SELECT id FROM media WHERE NOT meta_done")
+def p11_pending_work(spark: SparkSession, d: str) -> DataFrame:
+    return P.pending_work(V.media(spark, d), "meta_done").select("id")
+
+
+@query("SELECT id FROM media WHERE meta_done AND coalesce(file_size, 0) = 0")
+def p12_missing_size(spark: SparkSession, d: str) -> DataFrame:
+    return P.missing_size_backlog(V.media(spark, d)).select("id")
+
+
+@query("SELECT id, CASE media_type WHEN 'gif' THEN 'animated' WHEN 'video' THEN 'video' END AS reason FROM media")
+def p13_cleaning_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return P.cleaning_candidates(V.media(spark, d)).select("id", "reason")
+
+
+@query("SELECT image_id, tag FROM image_tags WHERE tag NOT IN ('the', 'and', 'that')")
+def p14_drop_ignored_words(spark: SparkSession, d: str) -> DataFrame:
+    words = spark.createDataFrame([("The",), ("and ",), ("THAT",)], "word string")
+    return P.drop_ignored_words(V.image_tags(spark, d), words).select("image_id", "tag")
+
+
+@query("SELECT m.id FROM media m JOIN listing l ON m.filepath = l.path WHERE abs(l.mtime - m.file_date) >= 1")
+def p15_stale_derived(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    cache = V.listing(spark, d).join(m.select("id", F.col("filepath").alias("path")), "path").select("id", F.col("mtime").alias("src_mtime"))
+    return P.stale_derived(m, cache)
+
+
+@query("SELECT path FROM listing WHERE NOT regexp_matches(lower(path), '(^|/)(new|src3)/')")
+def s3_prune_paths(spark: SparkSession, d: str) -> DataFrame:
+    return P.prune_paths(V.listing(spark, d), ["NEW", "src3"]).select("path")
+
+
+# Scalar functions over whole tables.
+@query(f"SELECT id, {q_norm('filename')} AS norm, {q_norm(q_base('filename'))} AS base, {q_natural('filepath')} AS natural, {q_clean('text')} AS cleaned FROM media")
+def f1_f5_names(spark: SparkSession, d: str) -> DataFrame:
+    return V.media(spark, d).select("id", S.norm_tag(F.col("filename")).alias("norm"), S.norm_base(F.col("filename")).alias("base"), S.natural_key(F.col("filepath")).alias("natural"), F.col("search_text").alias("cleaned"))
+
+
+@query(
+    "SELECT id, list_filter(string_split(regexp_replace(path, '[\\\\/]+', '/', 'g'), '/'), lambda s: s <> '')[-1] AS leaf, regexp_replace(path, '[\\\\/]?[^\\\\/]*$', '') AS parent, len(list_filter(string_split_regex(path, '[\\\\/]'), lambda s: s <> '')) AS depth FROM paths"
+)
+def f15_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return V.paths(spark, d).select("id", S.path_leaf(p).alias("leaf"), S.path_parent(p).alias("parent"), F.size(S.path_ancestors(p)).alias("depth"))
+
+
+@query("SELECT id, md5('4:' || filepath || ':' || CAST(CAST(file_date AS BIGINT) AS VARCHAR))[1:8] AS key, CASE WHEN height > 0 THEN width / height ELSE 0 END AS ar FROM media")
+def f19_f22_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = S.content_key(F.lit("4"), F.col("filepath"), F.col("file_date").cast("long"))
+    return V.media(spark, d).select("id", key.alias("key"), S.aspect_ratio(F.col("width"), F.col("height")).alias("ar"))
+
+
+@query("SELECT id, bits FROM signature")
+def f28_vector_signature(spark: SparkSession, d: str) -> DataFrame:
+    bits = F.array_join(F.transform("words", lambda w: F.lpad(F.conv(w.cast("string"), 10, 2), 32, "0")), "")
+    return V.signature(spark, d).select("id", bits.alias("bits"))
+
+
+@query()
+def f29_f30_luma_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return V.luma(spark, d).select("id", S.dct_signature(F.col("px")).alias("dct"), S.tile_signature(F.col("px")).alias("tiles"))
+
+
+@query()
+def f23_parse_infotext(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.substring_index("text", "\n", 1), F.lit("\nSteps: "), (F.col("doc_id") % 50).cast("string"), F.lit(", Sampler: \"Euler, a\", Size: 512x768, Hires upscale: 2, Source: "), F.col("source"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.parse_infotext(text).alias("settings"))
+
+
+# Facets and counts.
+@query("SELECT f.folder, coalesce(n, 0) AS image_count FROM (SELECT DISTINCT folder FROM media UNION SELECT DISTINCT 'new/' || folder FROM media) f LEFT JOIN (SELECT folder, count(*) AS n FROM media GROUP BY folder) c ON f.folder = c.folder")
+def a1_folder_counts(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return A.folder_counts(m, m.select("folder").union(m.select(F.concat(F.lit("new/"), "folder"))))
+
+
+@query("SELECT up AS folder, CAST(sum(CASE WHEN own = up THEN n ELSE 0 END) AS BIGINT) AS own_count, CAST(sum(n) AS BIGINT) AS total_count FROM (SELECT folder AS own, n, unnest([string_split(folder, '/')[1], folder]) AS up FROM (SELECT folder, count(*) AS n FROM media GROUP BY folder)) GROUP BY up")
+def a2_folder_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return A.folder_rollup(A.folder_counts(V.media(spark, d)))
+
+
+@query(f"SELECT count(*) AS total FROM media WHERE {q_under('folder', 'es')}")
+def a3_selection_total(spark: SparkSession, d: str) -> DataFrame:
+    return A.selection_total(A.folder_counts(V.media(spark, d)), ["es"])
+
+
+@query("SELECT tag AS name, category, n AS image_count, manual FROM (SELECT tag, count(DISTINCT image_id) AS n, bool_or(source = 'manual') AS manual FROM image_tags GROUP BY tag) c JOIN tags t ON c.tag = t.name")
+def a4_tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    return A.tag_counts(V.image_tags(spark, d), V.tags(spark, d))
+
+
+@query(
+    "SELECT i.tag AS name, category, count(DISTINCT image_id) AS image_count, any_value(manual) AS manual FROM image_tags i JOIN media m ON i.image_id = m.id JOIN tags t ON i.tag = t.name JOIN (SELECT tag, bool_or(source = 'manual') AS manual FROM image_tags GROUP BY tag) h ON i.tag = h.tag "
+    "WHERE rating > 0 GROUP BY i.tag, category"
+)
+def a4_tag_counts_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return A.tag_counts(V.image_tags(spark, d), V.tags(spark, d), V.media(spark, d).where("rating > 0"))
+
+
+@query(f"SELECT regexp_replace(replace(arg_min({q_base('filename')}, id), '_', ' '), '\\s+', ' ', 'g') AS name, count(*) AS image_count FROM media GROUP BY {q_norm(q_base('filename'))}")
+def a5_name_facet(spark: SparkSession, d: str) -> DataFrame:
+    return A.name_facet(V.media(spark, d))
+
+
+@query("SELECT -rating AS id, CAST(rating AS VARCHAR) AS name, count(*) AS image_count FROM media WHERE rating > 0 GROUP BY rating")
+def a6_rating_facet(spark: SparkSession, d: str) -> DataFrame:
+    return A.rating_facet(V.media(spark, d))
+
+
+@query("SELECT CASE WHEN lower(trim(name)) = 'unknown' THEN 'unknown' WHEN regexp_matches(upper(trim(name)[1:1]), '^[A-Z]$') THEN upper(trim(name)[1:1]) ELSE '#' END AS letter, count(*) AS n FROM tags GROUP BY 1")
+def a7_alphabet_facet(spark: SparkSession, d: str) -> DataFrame:
+    return A.alphabet_facet(V.tags(spark, d))
+
+
+@query("SELECT tag AS name, count(DISTINCT image_id) AS image_count, count(DISTINCT image_id) = (SELECT count(*) FROM media WHERE rating = 7) AS common FROM image_tags WHERE image_id IN (SELECT id FROM media WHERE rating = 7) GROUP BY tag")
+def a8_tag_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return A.tag_overlap_report(V.image_tags(spark, d), V.media(spark, d).where("rating = 7"))
+
+
+@query("SELECT count(DISTINCT id) AS total, CAST(ceil(count(DISTINCT id) / 60) AS BIGINT) AS pages FROM media")
+def a9_page_totals(spark: SparkSession, d: str) -> DataFrame:
+    return A.page_totals(V.media(spark, d))
+
+
+@query(
+    "SELECT count(*) AS total, count(*) FILTER (meta_done) AS meta_done, count(*) FILTER (NOT meta_done) AS meta_pending, count(*) FILTER (media_type <> 'video' AND tagged) AS tags_done, count(*) FILTER (media_type <> 'video' AND NOT tagged) AS tags_pending, "
+    "count(*) FILTER (media_type <> 'video' AND s.id IS NOT NULL) AS signed, count(*) FILTER (media_type <> 'video' AND s.id IS NULL) AS signed_pending FROM media m LEFT JOIN signature s ON m.id = s.id"
+)
+def a11_progress_counts(spark: SparkSession, d: str) -> DataFrame:
+    return A.progress_counts(V.media(spark, d), V.signature(spark, d))
+
+
+@query("SELECT count(html) AS n, CAST(coalesce(sum(strlen(html)), 0) AS BIGINT) AS bytes FROM pages")
+def a12_payload_stats(spark: SparkSession, d: str) -> DataFrame:
+    return A.payload_stats(spark.read.parquet(f"{d}/pages.parquet"), "html")
+
+
+@query("SELECT count(*) AS n, max(id) AS max_id, CAST(sum(id) AS BIGINT) AS sum_id, max(file_size) AS max_file_size, CAST(sum(file_size) AS BIGINT) AS sum_file_size FROM media")
+def a13_change_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return A.change_fingerprint(V.media(spark, d), "id", "file_size")
+
+
+@query("SELECT count(DISTINCT image_id) AS tagged_images FROM image_tags")
+def a14_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return A.coverage(V.image_tags(spark, d))
+
+
+@query("SELECT tag, count(DISTINCT image_id) AS df FROM image_tags GROUP BY tag HAVING count(DISTINCT image_id) >= 2")
+def a15_document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return A.document_frequency(V.image_tags(spark, d))
+
+
+@query("SELECT lower('Set_' || (id % 50)) AS base, media_type, max(id) + 1 AS next_number FROM media GROUP BY 1, 2")
+def a16_next_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return A.next_numbers(V.media(spark, d))
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split({q_clean('text')}, ' ')) AS word FROM media) WHERE contains(word, 'ing') AND length(word) >= 2 GROUP BY word HAVING count(*) >= 2")
+def a17_word_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return A.word_frequency(V.media(spark, d), "ing")
+
+
+@query("SELECT event_type AS stage, count(*) AS n, avg(value) AS mean_s, sum(value) AS total_s FROM events GROUP BY event_type", views=False)
+def a18_stage_timing(spark: SparkSession, d: str) -> DataFrame:
+    return A.stage_timing(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value")
+
+
+@query("SELECT provider, mean_s, max(mean_s) FILTER (provider = 'view') OVER () / mean_s AS speedup, mean_s = min(mean_s) OVER () AS fastest FROM (SELECT event_type AS provider, avg(value) AS mean_s FROM events GROUP BY 1)", views=False)
+def a22_fastest_by(spark: SparkSession, d: str) -> DataFrame:
+    return A.fastest_by(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value", "view")
+
+
+_LEVELS = "SELECT vec_id AS image_id, ['general', 'sensitive', 'questionable', 'explicit'][i] AS level, CAST(embedding[i] AS DOUBLE) AS score FROM embeddings, (SELECT unnest([1, 2, 3, 4]) AS i)"
+
+
+@query(
+    f"SELECT image_id, CASE WHEN arg_max(level, (score, level)) = 'questionable' THEN CASE WHEN max(score) FILTER (level = 'explicit') >= max(score) FILTER (level = 'sensitive') THEN 'explicit' ELSE 'sensitive' END ELSE arg_max(level, (score, level)) END AS level, max(score) AS score FROM ({_LEVELS}) GROUP BY image_id",
+    views=False,
+)
+def a21_rating_level(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("general", "sensitive", "questionable", "explicit")])
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "score"))
+    return A.rating_level(e.select("image_id", F.element_at(names, F.col("i") + 1).alias("level"), F.col("score").cast("double").alias("score")))
+
+
+# Joins on tags and paths.
+@query("SELECT i.image_id AS id, i.tag AS name, category, score, source, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag) AS place FROM image_tags i JOIN tags t ON i.tag = t.name")
+def j1_media_tags(spark: SparkSession, d: str) -> DataFrame:
+    return J.media_tags(V.media(spark, d), V.image_tags(spark, d), V.tags(spark, d))
+
+
+@query("SELECT DISTINCT image_id AS id FROM image_tags WHERE contains(tag, 'ation')")
+def j2_tag_hits(spark: SparkSession, d: str) -> DataFrame:
+    return J.tag_hits(V.media(spark, d), V.image_tags(spark, d), "ation").select("id")
+
+
+@query("SELECT name, category FROM tags WHERE name NOT IN (SELECT tag FROM image_tags WHERE source = 'auto')")
+def j3_orphan_tags(spark: SparkSession, d: str) -> DataFrame:
+    return J.orphan_tags(V.tags(spark, d), V.image_tags(spark, d).where("source = 'auto'")).select("name", "category")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT id FROM media WHERE tagged)")
+def j4_orphan_children(spark: SparkSession, d: str) -> DataFrame:
+    return J.orphan_children(spark.read.parquet(f"{d}/labels.parquet"), V.media(spark, d).where("tagged"), "doc_id").select("doc_id")
+
+
+@query("SELECT l.path, m.id FROM listing l JOIN media m ON lower(l.path) = lower(m.filepath)")
+def j15_match_path_ci(spark: SparkSession, d: str) -> DataFrame:
+    return J.match_path_ci(V.listing(spark, d).select(F.upper("path").alias("path")), V.media(spark, d)).join(V.media(spark, d).select("id", "filepath"), "id").select(F.col("filepath").alias("path"), "id")
+
+
+@query("SELECT item_word AS name, t.name AS tag, category FROM (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS item_word FROM benchmark) b JOIN tags t ON lower(b.item_word) = t.name")
+def j16_vocabulary_lookup(spark: SparkSession, d: str) -> DataFrame:
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split("text", "\\s+")).alias("name"))
+    return J.vocabulary_lookup(words, V.tags(spark, d))
+
+
+# Similarity.
+_PAIRS = f"SELECT a.id AS a, b.id AS b, CAST({q_hamming('a.bits', 'b.bits')} AS INT) AS dist, a.ar AS ar_a, b.ar AS ar_b FROM signature a JOIN signature b ON a.id < b.id"
+
+
+def _near(spark: SparkSession, d: str, bits: int = 20) -> DataFrame:
+    return J.hamming_pairs(V.signature(spark, d), bits)
+
+
+@query(f"SELECT a, b, dist FROM ({_PAIRS}) WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3")
+def j5_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d)
+
+
+@query(f"SELECT a, b, dist FROM ({_PAIRS}) WHERE dist <= 7 AND abs(ar_a / ar_b - 1) <= 0.3")
+def j5_hamming_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d, 7)
+
+
+@query(f"SELECT q, id, dist, CASE WHEN dist <= 0 THEN 100 ELSE greatest(0, least(99, CAST(floor((1 - dist / 64) * 100) AS INT))) END AS similarity FROM (SELECT a.id AS q, b.id AS id, CAST({q_hamming('a.bits', 'b.bits')} AS INT) AS dist FROM signature a JOIN signature b ON a.id <> b.id WHERE a.id = (SELECT min(id) FROM signature)) WHERE dist <= 26")
+def j6_hamming_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    s = V.signature(spark, d)
+    return J.hamming_neighbors(s.orderBy("id").limit(1), s, 26)
+
+
+@query("SELECT rep, image_id AS id FROM (SELECT image_id, min(image_id) OVER (PARTITION BY s) AS rep FROM (SELECT image_id, list_sort(list(tag)) AS s FROM image_tags GROUP BY image_id))")
+def j10_collapse_identical(spark: SparkSession, d: str) -> DataFrame:
+    return J.collapse_identical(J.tag_sets(V.image_tags(spark, d)))
+
+
+_REPS = "reps AS (SELECT image_id AS id, n FROM (SELECT image_id, count(*) AS n, min(image_id) OVER (PARTITION BY list_sort(list(tag))) AS rep FROM image_tags GROUP BY image_id) WHERE image_id = rep AND n >= 3)"
+_SHARED = "shared AS (SELECT x.image_id AS a, y.image_id AS b, count(*) AS s FROM image_tags x JOIN image_tags y ON x.tag = y.tag AND x.image_id < y.image_id SEMI JOIN reps p ON x.image_id = p.id SEMI JOIN reps q ON y.image_id = q.id GROUP BY 1, 2)"
+
+
+@query(f", {_REPS}, {_SHARED} SELECT a, b, {q_jaccard('s', 'p.n', 'q.n')} AS sim FROM shared JOIN reps p ON a = p.id JOIN reps q ON b = q.id WHERE {q_jaccard('s', 'p.n', 'q.n')} >= 50")
+def j8_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different tag sets; copies stand under their representative."""
+    return J.jaccard_pairs(_set_reps(spark, d))
+
+
+def _set_reps(spark: SparkSession, d: str) -> DataFrame:
+    sets = materialize(J.tag_sets(V.image_tags(spark, d), 3), "tag_sets")
+    return sets.join(J.collapse_identical(sets).select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+
+
+@query()
+def j9_jaccard_pairs_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return J.jaccard_pairs_minhash(_set_reps(spark, d))
+
+
+_FIRST_TAGS = "(SELECT tag FROM image_tags WHERE image_id = (SELECT min(image_id) FROM image_tags))"
+
+
+@query(f"SELECT image_id AS id, {q_jaccard('s', 'n', 'nq')} AS sim FROM (SELECT image_id, count(*) AS n, count(*) FILTER (tag IN {_FIRST_TAGS}) AS s, (SELECT count(*) FROM {_FIRST_TAGS}) AS nq FROM image_tags GROUP BY image_id) WHERE s > 0 AND {q_jaccard('s', 'n', 'nq')} >= 10 ORDER BY sim DESC, id LIMIT 300")
+def j11_jaccard_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    t = V.image_tags(spark, d)
+    first = t.agg(F.min("image_id").alias("image_id"))
+    return J.jaccard_lookup(t, t.join(F.broadcast(first), "image_id").select("tag"), min_sim=10)
+
+
+@query(f"SELECT a, b, dist FROM ({_PAIRS}) p LEFT JOIN (SELECT image_id, count(*) AS n FROM image_tags GROUP BY 1) x ON a = x.image_id LEFT JOIN (SELECT image_id, count(*) AS n FROM image_tags GROUP BY 1) y ON b = y.image_id WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3 AND (coalesce(x.n, 0) < 3 OR coalesce(y.n, 0) < 3 OR 13 * (SELECT count(*) FROM image_tags s JOIN image_tags t ON s.tag = t.tag WHERE s.image_id = a AND t.image_id = b) >= 3 * (x.n + y.n))")
+def j13_verify_pairs_by_tags(spark: SparkSession, d: str) -> DataFrame:
+    return J.verify_pairs_by_tags(materialize(_near(spark, d), "pairs"), V.image_tags(spark, d)).select("a", "b", "dist")
+
+
+@query(f"SELECT a AS id, count(*) AS n, min(dist) AS nearest FROM (SELECT a, b, dist FROM ({_PAIRS}) WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3 UNION ALL SELECT b, a, dist FROM ({_PAIRS}) WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3) GROUP BY 1")
+def j14_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return J.adjacency(_near(spark, d)).select("id", F.size("neighbors").cast("long").alias("n"), F.array_min(F.map_values("neighbors")).alias("nearest"))
+
+
+_ALIKE = "SELECT list_sort(list_transform(list_zip(x.embedding, y.embedding), lambda t: abs(CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)))) AS z, abs(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda t: CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE))) / 64) AS m, a, b"
+
+
+@query(f"SELECT a, b, m <= 0.1 AND z[32] <= 0.2 AND z[64] <= 1.5 AS same, CASE WHEN m > 0.1 THEN 'brightness' WHEN z[32] > 0.2 THEN 'overall' WHEN z[64] > 1.5 THEN 'detail' END AS reason FROM ({_ALIKE} FROM ({_PAIRS}) JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3)")
+def j18_agreement_check(spark: SparkSession, d: str) -> DataFrame:
+    return J.agreement_check(_near(spark, d).select("a", "b"), V.luma(spark, d).withColumnRenamed("px", "v"), 0.1, 0.2, 1.5)
+
+
+@query(f"SELECT a, b, dist FROM ({_PAIRS}) WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3 AND (a + b) % 5 <> 0")
+def p9_drop_ignored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = materialize(_near(spark, d), "pairs")
+    return P.drop_ignored_pairs(pairs, pairs.where("(a + b) % 5 = 0"))
+
+
+@query(f"SELECT a, b, dist FROM ({_PAIRS}) WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3 AND a IN (SELECT id FROM media WHERE tagged) AND b IN (SELECT id FROM media WHERE tagged)")
+def p10_restrict_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return P.restrict_pairs(_near(spark, d), V.media(spark, d).where("tagged"))
+
+
+@query()
+def g1_clique_groups(spark: SparkSession, d: str) -> DataFrame:
+    return G.clique_groups(_near(spark, d), bits=64)
+
+
+@query()
+def g2_tag_clique_groups(spark: SparkSession, d: str) -> DataFrame:
+    return G.clique_groups(J.jaccard_pairs(_set_reps(spark, d)), "sim")
+
+
+@query()
+def g4_prune_groups(spark: SparkSession, d: str) -> DataFrame:
+    return G.prune_groups(g1_clique_groups(spark, d), V.media(spark, d).where("rating = 5"))
+
+
+# Rankings.
+_NORM = "replace(lower(tag), '_', ' ')"
+
+
+@query(
+    f"SELECT name, image_count, type FROM (SELECT CASE WHEN category = 'character' THEN upper(tag[1:1]) || tag[2:] ELSE tag END AS name, n AS image_count, CASE WHEN category = 'character' THEN 'name' ELSE 'auto' END AS type, tag, row_number() OVER (PARTITION BY category ORDER BY n DESC, tag) AS k FROM (SELECT tag, category, count(DISTINCT image_id) AS n FROM image_tags i JOIN tags t ON i.tag = t.name WHERE contains(tag, 'an') GROUP BY tag, category)) "
+    "WHERE k <= 10 AND tag NOT IN (SELECT tag FROM image_tags WHERE image_id = 1) ORDER BY starts_with(tag, 'an') DESC, image_count DESC, tag, type LIMIT 14"
+)
+def w5_suggest_tags(spark: SparkSession, d: str) -> DataFrame:
+    return W.suggest_tags(V.image_tags(spark, d), V.tags(spark, d), "an", 1)
+
+
+@query()
+def w6_suggest(spark: SparkSession, d: str) -> DataFrame:
+    return W.suggest(V.media(spark, d), V.image_tags(spark, d), "en")
+
+
+@query("SELECT image_id, tag, score, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag) AS place FROM image_tags")
+def w11_top_unique_tags(spark: SparkSession, d: str) -> DataFrame:
+    return W.top_unique_tags(V.image_tags(spark, d))
+
+
+@query("SELECT id FROM media WHERE NOT tagged ORDER BY id DESC LIMIT 500")
+def w13_newest_missing(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return W.newest_missing(m, m.where("tagged")).select("id")
+
+
+_MEMBERS = "SELECT folder || '/' || (id % 7) AS group_id, id, width, height, 1 + (id % 9) / 20.0::DOUBLE AS blk, ext AS fmt, file_size, rating, file_date FROM (SELECT *, regexp_extract(filename, '[^.]*$') AS ext FROM media)"
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return m.select(F.concat("folder", F.lit("/"), (F.col("id") % 7).cast("string")).alias("group_id"), "id", "width", "height", (1 + F.col("id") % 9 / 20.0).alias("blk"), S.extension(F.col("filename")).alias("fmt"), "file_size", "rating", "file_date", "media_type")
+
+
+@query(f"SELECT group_id, id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY width * height DESC, blk, CASE WHEN fmt = 'png' THEN 0 ELSE 1 END, file_size DESC, rating DESC, file_date, id) AS k FROM ({_MEMBERS})) WHERE k = 1")
+def w7_best_copy(spark: SparkSession, d: str) -> DataFrame:
+    return W.best_copy(_members(spark, d)).select("group_id", "id")
+
+
+_TIE = "(CASE WHEN {x}.fmt = 'png' THEN 0 ELSE 1 END, -{x}.file_size, -{x}.rating, {x}.file_date, {x}.id)"
+_BEATS = (
+    "o.group_id = c.group_id AND o.id <> c.id AND o.width * o.height >= c.width * c.height AND CASE WHEN o.fmt IN ('jpg', 'png') AND c.fmt IN ('jpg', 'png') THEN "
+    "o.blk <= c.blk + CASE WHEN o.width * o.height = c.width * c.height THEN 0.02 ELSE 0.10 END AND (o.width * o.height > c.width * c.height OR o.blk < c.blk - CASE WHEN o.width * o.height = c.width * c.height THEN 0.02 ELSE 0.10 END OR " + _TIE.format(x="o") + " < " + _TIE.format(x="c") + ") "
+    "ELSE o.fmt = c.fmt AND o.file_size >= c.file_size AND (o.width * o.height > c.width * c.height OR o.file_size > c.file_size OR " + _TIE.format(x="o") + " < " + _TIE.format(x="c") + ") END"
+)
+
+
+@query(f", members AS ({_MEMBERS}) SELECT group_id, id, NOT EXISTS (SELECT 1 FROM members o WHERE {_BEATS}) AS top FROM members c")
+def w8_skyline(spark: SparkSession, d: str) -> DataFrame:
+    return W.skyline(_members(spark, d)).select("group_id", "id", "top")
+
+
+@query("SELECT id, filename, 'Trip (' || row_number() OVER (PARTITION BY media_type ORDER BY id) || ').' || regexp_extract(filename, '[^.]*$') AS new_name FROM media")
+def w9_sequence_names(spark: SparkSession, d: str) -> DataFrame:
+    return W.sequence_names(V.media(spark, d), "Trip")
+
+
+@query("SELECT id, folder, filename, regexp_replace(filename, '\\.[^.]*$', '') || ' (2)' || regexp_extract(filename, '\\.[^.]*$') AS free_name FROM media")
+def w10_free_names(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return W.free_names(m.select("id", "folder", "filename"), m.select("folder", "filename"))
+
+
+_ATTEMPTS = "SELECT user_id AS key, ts, event_id, event_type <> 'error' AS ok FROM events"
+
+
+@query(f"SELECT key, max(n) AS longest FROM (SELECT key, island, count(*) AS n FROM (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM ({_ATTEMPTS})) WHERE NOT ok GROUP BY key, island) GROUP BY key HAVING max(n) >= 3", views=False)
+def w14_consecutive_failures(spark: SparkSession, d: str) -> DataFrame:
+    return W.consecutive_failures(_attempts(spark.read.parquet(f"{d}/events.parquet")))
+
+
+def _attempts(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
+
+
+# Sets and maintenance.
+_DIFF = "SELECT coalesce(m.filepath, l.path) AS path, CASE WHEN m.filepath IS NULL THEN 'new' WHEN l.path IS NULL THEN 'removed' WHEN abs(m.file_date - l.mtime) > 1 THEN 'modified' ELSE 'unchanged' END AS action FROM media m FULL JOIN listing l ON m.filepath = l.path"
+
+
+@query(_DIFF)
+def u1_catalog_diff(spark: SparkSession, d: str) -> DataFrame:
+    return U.catalog_diff(V.media(spark, d), V.listing(spark, d))
+
+
+@query(f"SELECT action, count(*) AS n FROM ({_DIFF}) GROUP BY action")
+def a19_import_summary(spark: SparkSession, d: str) -> DataFrame:
+    return A.import_summary(U.catalog_diff(V.media(spark, d), V.listing(spark, d)))
+
+
+@query("SELECT -rating AS id, CAST(rating AS VARCHAR) AS name, count(*) AS image_count FROM media WHERE rating > 0 GROUP BY rating UNION ALL " + f"SELECT 0, regexp_replace(replace(arg_min({q_base('filename')}, id), '_', ' '), '\\s+', ' ', 'g'), count(*) FROM media GROUP BY {q_norm(q_base('filename'))}")
+def u2_union_facets(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return U.union_facets(A.rating_facet(m), A.name_facet(m))
+
+
+@query("SELECT folder, min(id) AS id FROM media GROUP BY folder")
+def u3_dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return U.dedupe_keep_first(V.media(spark, d), ["folder"], ["id"]).select("folder", "id")
+
+
+@query("SELECT DISTINCT folder FROM (SELECT CASE WHEN folder = 'de' OR starts_with(folder, 'de/') THEN 'old' || folder[3:] ELSE folder END AS folder FROM media) WHERE NOT (folder = 'fr' OR starts_with(folder, 'fr/')) UNION SELECT 'fresh'")
+def u4_folder_tree_edit(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda *r: spark.createDataFrame(list(r), "folder string")
+    return U.folder_tree_edit(V.media(spark, d).select("folder").distinct(), one(("fr",)), one(("fresh",)), spark.createDataFrame([("de", "old")], "old string, new string"))
+
+
+@query("SELECT path FROM listing EXCEPT ALL SELECT filepath FROM media")
+def u5_except_known(spark: SparkSession, d: str) -> DataFrame:
+    return U.except_known(V.listing(spark, d).select("path"), V.media(spark, d).select(F.col("filepath").alias("path")))
+
+
+@query("SELECT image_id, tag, score, source FROM image_tags WHERE source = 'manual' UNION ALL SELECT image_id, tag, 0.5, 'auto' FROM image_tags WHERE source = 'auto' AND length(tag) >= 8 UNION ALL SELECT image_id, tag, score, source FROM image_tags WHERE source = 'auto' AND image_id NOT IN (SELECT image_id FROM image_tags WHERE length(tag) >= 8)")
+def m1_apply_predictions(spark: SparkSession, d: str) -> DataFrame:
+    t = V.image_tags(spark, d)
+    return M.apply_predictions(t, t.where("length(tag) >= 8").select("image_id", "tag", F.lit(0.5).alias("score"))).select("image_id", "tag", "score", "source")
+
+
+@query("SELECT image_id, tag, score, source FROM image_tags WHERE NOT (tag = 'the' AND image_id IN (SELECT id FROM media WHERE rating > 0)) UNION ALL SELECT id, 'the', 1.0, 'manual' FROM media WHERE rating > 0")
+def m3_add_tags(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return M.add_tags(V.image_tags(spark, d), m, m.where("rating > 0"), "the").select("image_id", "tag", "score", "source")
+
+
+@query("SELECT image_id, tag FROM image_tags WHERE NOT (tag = 'the' AND image_id IN (SELECT id FROM media WHERE tagged))")
+def m4_remove_tags(spark: SparkSession, d: str) -> DataFrame:
+    return M.remove_tags(V.image_tags(spark, d), V.tags(spark, d), V.media(spark, d).where("tagged"), " THE ")[0].select("image_id", "tag")
+
+
+@query("SELECT id, CAST(CASE WHEN quality = 0 THEN 3 ELSE rating END AS INT) AS rating FROM media LEFT JOIN labels ON id = doc_id")
+def m6_set_rating(spark: SparkSession, d: str) -> DataFrame:
+    new = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, 3).otherwise(12).alias("rating"))
+    return M.set_rating(V.media(spark, d), new).select("id", "rating")
+
+
+@query("SELECT id, CASE WHEN n > 0 THEN 1 ELSE 0 END AS has_names FROM media LEFT JOIN (SELECT image_id, count(*) AS n FROM image_tags WHERE length(tag) >= 8 GROUP BY 1) ON id = image_id WHERE rating = 5")
+def m7_soft_delete(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    trash = M.soft_delete(m, V.image_tags(spark, d), m.where("rating = 5"), 0.0)[1]
+    return trash.select("id", F.when(F.col("characters_json").isNotNull(), 1).otherwise(0).alias("has_names"))
+
+
+@query("SELECT id, CASE WHEN folder = 'en' OR starts_with(folder, 'en/') THEN 'arch/en' || folder[3:] ELSE folder END AS folder, CASE WHEN folder = 'en' OR starts_with(folder, 'en/') THEN 'arch/' || filepath ELSE filepath END AS filepath FROM media")
+def m10_move_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return M.move_prefix(V.media(spark, d), "en", "arch/en").select("id", "folder", "filepath")
+
+
+@query("SELECT id, CASE WHEN rating > 0 THEN 'rated' ELSE folder END AS folder, CASE WHEN rating > 0 THEN 'rated/' || filename ELSE filepath END AS filepath FROM media")
+def m11_relocate(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return M.relocate(m, m.where("rating > 0"), "rated").select("id", "folder", "filepath")
+
+
+@query(
+    f", diff AS ({_DIFF}), lost AS (SELECT path FROM diff WHERE action = 'removed' AND NOT starts_with(path, 'es/')), brake AS (SELECT (SELECT count(*) FROM lost) > 1000 AND (SELECT count(*) FROM lost) > 0.2 * (SELECT count(*) FROM media) AS stop) "
+    "SELECT filepath, meta_done AND NOT coalesce(action = 'modified', false) AS meta_done FROM media LEFT JOIN diff ON filepath = path, brake WHERE stop OR filepath NOT IN (SELECT path FROM lost) UNION ALL SELECT path, false FROM diff WHERE action = 'new'"
+)
+def m12_apply_diff(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return M.apply_diff(m, U.catalog_diff(m, V.listing(spark, d)), _roots(spark, "es")).select("filepath", "meta_done")
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 AND width <> height THEN height ELSE width END AS width, CASE WHEN id % 4 = 0 AND width <> height THEN width ELSE height END AS height FROM media")
+def m14_fix_orientation(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    raw = m.select("id", F.col("width").alias("raw_width"), F.col("height").alias("raw_height"), F.when(F.col("id") % 4 == 0, 6).otherwise(1).alias("orientation"))
+    return M.fix_orientation(m, raw).select("id", "width", "height")
+
+
+@query("SELECT image_id, tag FROM image_tags WHERE image_id NOT IN (SELECT id FROM media WHERE rating = 5)")
+def m15_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    return M.cascade_delete({"image_tags": (V.image_tags(spark, d), "image_id")}, V.media(spark, d).where("rating = 5"))["image_tags"].select("image_id", "tag")
+
+
+@query()
+def m17_clean_plan(spark: SparkSession, d: str) -> DataFrame:
+    return M.clean_plan(_members(spark, d), V.luma(spark, d).withColumnRenamed("px", "v"), (0.1, 0.8, 4.0))
+
+
+@query("SELECT id FROM media WHERE NOT starts_with(filepath, 'de/') OR starts_with(filepath, 'de/src2/')")
+def m19_unlink_root(spark: SparkSession, d: str) -> DataFrame:
+    return M.unlink_root(V.media(spark, d), _roots(spark, "de", "de/src2", "en"), "de")[0].select("id")
+
+
+@query("SELECT id, coalesce(nullif(file_size, 0), 1) AS file_size FROM media")
+def m22_backfill(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return M.backfill_if_unset(m, m.select("id", F.lit(1).alias("file_size")), "file_size").select("id", "file_size")
+
+
+# Sources.
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", views=False)
+def s6_parse_json(spark: SparkSession, d: str) -> DataFrame:
+    e = io.parse_json_column(spark.read.parquet(f"{d}/events.parquet"), "props", "k string")
+    return e.select("event_id", F.col("props.k").alias("k"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id DESC LIMIT 1200", views=False)
+def s8_tail_since(spark: SparkSession, d: str) -> DataFrame:
+    return io.tail_since(spark.read.parquet(f"{d}/events.parquet"), 100, "event_id").select("event_id", "event_type")
+
+
+@query("SELECT id, filename, rating FROM media")
+def s7_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot written and read back."""
+    dest = new_path(spark, "snapshot")
+    tables = {"media": V.media(spark, d), "tags": V.tags(spark, d), "image_tags": V.image_tags(spark, d)}
+    io.snapshot(tables, dest, 1, drop=["search_text"])
+    return io.load_catalog(spark, f"{dest}/v=1")["media"].select("id", "filename", "rating")
+
+
+# Streams.
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(df: DataFrame) -> DataFrame:
+    """Everything an append stream gives for the input that is there."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "stream")
+    df.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
+def _updated(df: DataFrame, key: str) -> DataFrame:
+    """The last row of each key of an update stream."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "stream")
+    df.writeStream.outputMode("update").foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{path}/out/epoch={e}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return U.dedupe_keep_first(out.withColumn("epoch", -F.col("epoch")), [key], ["epoch"]).drop("epoch")
+
+
+@query(
+    "SELECT root, min(ts) AS began, max(ts) + INTERVAL 5 MINUTE AS ended, count(*) AS n FROM (SELECT *, sum(jump) OVER (PARTITION BY root ORDER BY ts, event_id) AS s FROM (SELECT user_id % 10 AS root, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS jump FROM events)) GROUP BY root, s HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    views=False,
+)
+def t1_debounce_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.changes(_stream(spark, d)).withColumn("root", F.col("path") % 10)
+    return _drained(T.debounce_changes(rows, "5 minutes")).select("root", "began", "ended", "n")
+
+
+@query(
+    "SELECT user_id AS path, arg_max(kind, (ts, event_id)) AS kind FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'removed' ELSE 'modified' END AS kind FROM events WHERE event_type <> 'error') GROUP BY user_id",
+    views=False,
+)
+def t3_catalog_state(spark: SparkSession, d: str) -> DataFrame:
+    return _updated(T.catalog_state(V.changes(_stream(spark, d))), "path").where("kind <> ''").select("path", "kind")
+
+
+@query(
+    "SELECT user_id AS path, arg_max(kind, (ts, event_id)) AS kind FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'removed' ELSE 'modified' END AS kind FROM events WHERE event_type <> 'error') GROUP BY user_id HAVING arg_max(kind, (ts, event_id)) <> 'removed'",
+    views=False,
+)
+def t2_sync_stream(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "sync")
+    spark.createDataFrame([], "path long, kind string, ts timestamp").write.parquet(f"{path}/v=-1")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        T.apply_changes(spark.read.parquet(f"{path}/v={epoch - 1}"), batch).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        last[0] = epoch
+
+    last = [-1]
+    T.sync_stream(V.changes(_stream(spark, d)), step, f"{path}/state").start().awaitTermination()
+    return spark.read.parquet(f"{path}/v={last[0]}").select("path", "kind")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS began, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", views=False)
+def t5_throttled_progress(spark: SparkSession, d: str) -> DataFrame:
+    return _drained(T.throttled_progress(_stream(spark, d), "event_id", "1 hour"))
+
+
+@query("SELECT user_id AS id, epoch_us(max(ts)) // 1000000 AS deleted_s FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING max(ts) + INTERVAL 10 MINUTE < (SELECT max(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 10 MINUTE", views=False)
+def t6_expire_after(spark: SparkSession, d: str) -> DataFrame:
+    rows = _stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("id"), "ts")
+    return _drained(T.expire_after(rows)).select("id", F.floor("deleted_at").alias("deleted_s"))
+
+
+@query("SELECT event_id AS seq, event_type AS kind FROM events", views=False)
+def t8_event_feed(spark: SparkSession, d: str) -> DataFrame:
+    return _drained(T.event_feed(_stream(spark, d))).select("seq", "kind")
+
+
+@query(
+    f"SELECT key, bool_or(n >= 3) AS set_aside FROM (SELECT key, island, count(*) FILTER (NOT ok) AS n FROM (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM ({_ATTEMPTS})) GROUP BY key, island) GROUP BY key",
+    views=False,
+)
+def t9_retry_state(spark: SparkSession, d: str) -> DataFrame:
+    return _updated(T.retry_state(_attempts(_stream(spark, d))), "key").select("key", "set_aside")
