@@ -65,6 +65,7 @@ class PieceModel:
             self.symbols[ord(c)] = i
         # Decoding: the bytes of each id.
         self.raw = [bytes([int(p[3:5], 16)]) if byte[i] else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.silent = {i for i in range(n) if sp.is_control(i)}
         for i in range(n):
             if sp.is_unknown(i):
                 self.raw[i] = " ⁇ ".encode()
@@ -146,10 +147,11 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: spaces for the space mark, byte runs as UTF-8, the leading space dropped."""
-        raw = b"".join([self.raw[i] for i in ids.tolist()])
-        first = next((i for i in ids.tolist() if self.pieces[i] not in ("<s>", "</s>")), None)
-        if first is not None and raw[:1] == b" " and self.pieces[first].startswith(SPACE):
-            raw = raw[1:]
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        if raw[:1] == b" ":
+            first = next((i for i in ids.tolist() if i not in self.silent), None)
+            if first is not None and self.pieces[first].startswith(SPACE):
+                raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
 
@@ -160,7 +162,7 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 class Encoder:
     """Texts to ids with a memory of words, emptied when it is full; the memory changes speed only."""
 
-    def __init__(self, model: PieceModel, memory: int = 600_000):
+    def __init__(self, model: PieceModel, memory: int = 250_000):
         self.model, self.memory, self.known = model, memory, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -168,7 +170,7 @@ class Encoder:
         if len(known) > self.memory:
             known.clear()
         words = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({w for ws in words for w in ws}.difference(known))
+        new = list(set().union(*words).difference(known))
         if new:
             flat, size = self.model.merge(new)
             raw, ends = flat.tobytes(), np.cumsum(size) * 4
@@ -182,7 +184,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(PieceModel(path))
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // most
@@ -196,16 +198,19 @@ def _appended(schema: T.StructType, *names: str) -> list[T.StructField]:
     return [f for f in schema.fields if f.name not in names]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids array<int>``: exactly the library's ids, no begin or end id, no sampling.
 
-    Null and empty texts give an empty array. Texts of any length are encoded
-    whole: Arrow batches of a few rows keep a task's memory to a few texts.
-    A column already called ids is replaced; all others pass through.
-    ``model_path`` must exist on every machine.
+    With ``decoded``, also ``decoded string``, the ids' text again, in the
+    same pass. Null and empty texts give an empty array and an empty text.
+    Texts of any length are encoded whole, about 2 MB at a time. Columns
+    already so called are replaced; all others pass through. ``model_path``
+    must exist on every machine.
     """
-    others = _appended(docs.schema, "ids")
-    schema = T.StructType([*others, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    added = ["ids", *["decoded"] * decoded]
+    others = _appended(docs.schema, *added)
+    kinds = {"ids": T.ArrayType(T.IntegerType(), False), "decoded": T.StringType()}
+    schema = T.StructType([*others, *[T.StructField(n, kinds[n]) for n in added]])
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +219,11 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text") -> DataF
             for batch in _slices(whole, text):
                 ids = encoder.encode(batch.column(text).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], column], [*names, "ids"])
+                columns = [batch.column(n) for n in names]
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())))
+                if decoded:
+                    columns.append(pa.array(map(encoder.model.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return docs.mapInArrow(run, schema)
 
@@ -246,6 +254,6 @@ def default_model() -> str:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_model()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode_pieces(encode_pieces(docs, path).drop("text"), path)
+    both = encode_pieces(docs, path, decoded=True)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
