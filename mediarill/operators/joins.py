@@ -68,8 +68,8 @@ def _banded_pairs(sig: DataFrame, max_dist: int, aspect_tol: float, bits: int, b
     return near.where((F.col("dist") <= max_dist) & _aspect_ok(F.col("ar_a"), F.col("ar_b"), aspect_tol)).select("a", "b", "dist").distinct()
 
 
-def _block_pairs(sig: DataFrame, max_dist: int, aspect_tol: float, block: int = 1024) -> DataFrame:
-    schema = "block long, ids binary, words binary, ar binary"
+def _blocks(sig: DataFrame, block: int = 1024) -> DataFrame:
+    """Signatures packed into rows of ``block`` each, written once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -78,42 +78,52 @@ def _block_pairs(sig: DataFrame, max_dist: int, aspect_tol: float, block: int =
         for batch in batches:
             for k in range(0, batch.num_rows, block):
                 piece = batch.slice(k, block)
-                words = np.array(piece.column("words").to_pylist(), np.int64)
-                row = [np.array([number]), piece.column("id").to_numpy(), words, piece.column("ar").to_numpy(zero_copy_only=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0]), *[pa.array([x.tobytes()], pa.binary()) for x in row[1:]]], ["block", "ids", "words", "ar"])
+                parts = [piece.column("id").to_numpy(), np.array(piece.column("words").to_pylist(), np.int64), piece.column("ar").to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["block", "ids", "words", "ar"])
                 number += 1
 
-    blocks = materialize(sig.select(F.col("id").cast("long"), "words", F.col("ar").cast("double")).mapInArrow(pack, schema), "blocks")
-    n = blocks.count()
-    groups = max(1, int(n**0.5))
-    rows = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    left = rows.select(*[F.col(c).alias(f"l_{c}") for c in blocks.columns], F.col("g").alias("lg"), every.alias("rg"))
-    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in blocks.columns], F.col("g").alias("rg"), every.alias("lg"))
-    met = left.join(right, ["lg", "rg"]).where("l_block <= r_block").drop("lg", "rg")
+    rows = sig.select(F.col("id").cast("long"), "words", F.col("ar").cast("double")).where("id is not null and words is not null")
+    return materialize(rows.mapInArrow(pack, "block long, ids binary, words binary, ar binary"), "blocks")
+
+
+def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool) -> DataFrame:
+    """``(l, r, dist, ar_l, ar_r)`` of the close pairs of two block tables; ``once``: of one table, each pair in one order.
+
+    Blocks are dealt to a grid of groups and joined on its cells by equality;
+    only close pairs leave the Arrow tasks.
+    """
+    groups = max(1, int(left.count() ** 0.5))
+    group, every = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], group.alias("lg"), every.alias("rg"))
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], group.alias("rg"), every.alias("lg"))
+    cells = a.join(b, ["lg", "rg"]).drop("lg", "rg")
+    cells = cells.where("l_block <= r_block") if once else cells
+    names = ["l", "r", "dist", "ar_l", "ar_r"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 raw = lambda c, t: np.frombuffer(batch.column(c)[row].as_buffer(), t)  # noqa: B023, E731
-                li, ri = raw("l_ids", np.int64), raw("r_ids", np.int64)
+                li, ri, la, ra = raw("l_ids", np.int64), raw("r_ids", np.int64), raw("l_ar", np.float64), raw("r_ar", np.float64)
                 lw, rw = raw("l_words", np.uint64).reshape(len(li), -1), raw("r_words", np.uint64).reshape(len(ri), -1)
-                la, ra = raw("l_ar", np.float64), raw("r_ar", np.float64)
-                same = batch.column("l_block")[row].as_py() == batch.column("r_block")[row].as_py()
+                same = once and batch.column("l_block")[row].as_py() == batch.column("r_block")[row].as_py()
                 for k in range(0, len(li), 128):
                     d = np.bitwise_count(lw[k : k + 128, None, :] ^ rw[None, :, :]).sum(2, dtype=np.int32)
                     x, y = np.nonzero(d <= max_dist)
-                    a, b, dist = li[k + x], ri[y], d[x, y]
-                    ar_a, ar_b = la[k + x], ra[y]
-                    swap = a > b
-                    a, b, ar_a, ar_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, ar_b, ar_a), np.where(swap, ar_a, ar_b)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        ok = (a < b) & ((ar_a <= 0) | (ar_b <= 0) | (np.abs(ar_a / ar_b - 1) <= aspect_tol))
+                    d, x = d[x, y], x + k
                     if same:
-                        ok &= ~swap
-                    yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(dist[ok])], ["a", "b", "dist"])
+                        d, x, y = d[x < y], x[x < y], y[x < y]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (li[x], ri[y], d, la[x], ra[y])], names)
 
-    return met.mapInArrow(meet, "a long, b long, dist int")
+    return cells.mapInArrow(meet, "l long, r long, dist int, ar_l double, ar_r double")
+
+
+def _block_pairs(sig: DataFrame, max_dist: int, aspect_tol: float) -> DataFrame:
+    blocks = _blocks(sig)
+    near = _met(blocks, blocks, max_dist, True).where("l <> r")
+    first = F.col("l") < F.col("r")
+    a, b = F.when(first, F.col("ar_l")).otherwise(F.col("ar_r")), F.when(first, F.col("ar_r")).otherwise(F.col("ar_l"))
+    return near.where(_aspect_ok(a, b, aspect_tol)).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "dist")
 
 
 def hamming_neighbors(query: DataFrame, sig: DataFrame, max_dist: int) -> DataFrame:
@@ -126,10 +136,9 @@ def hamming_neighbors(query: DataFrame, sig: DataFrame, max_dist: int) -> DataFr
 def hamming_lookup(queries: DataFrame, sig: DataFrame, max_dist: int, k: int = 300) -> DataFrame:
     """J7. For each of ``queries(id, words, ar)`` the ``k`` nearest rows within ``max_dist``, the number of all and the best.
 
-    A bounded set of look-ups from outside; it meets the library in one pass.
+    Blocks of queries meet blocks of the library; any number of queries will do.
     """
-    q = queries.select(F.col("id").alias("q"), F.col("words").alias("qw"))
-    near = sig.join(F.broadcast(q)).where("id <> q").withColumn("dist", S.hamming(F.col("words"), F.col("qw"))).where(F.col("dist") <= max_dist)
+    near = _met(_blocks(queries), _blocks(sig), max_dist, False).where("l <> r").select(F.col("l").alias("q"), F.col("r").alias("id"), "dist")
     order, all_ = Window.partitionBy("q").orderBy("dist", "id"), Window.partitionBy("q")
     ranked = near.select("q", "id", "dist", F.row_number().over(order).alias("place"), F.count("*").over(all_).alias("total"), F.min("dist").over(all_).alias("best"))
     return ranked.where(F.col("place") <= k)
@@ -180,7 +189,11 @@ def jaccard_pairs(sets: DataFrame, min_sim: int = 50, min_size: int = 3) -> Data
 def jaccard_pairs_minhash(sets: DataFrame, min_sim: int = 50, min_size: int = 3, hashes: int = 64, rows: int = 4) -> DataFrame:
     """J9. As jaccard_pairs, candidates from MinHash bands: a pair at the limit is missed once in e^(bands / 16)."""
     sets = sets.where(F.size("tags") >= min_size)
-    minima = F.array(*[F.array_min(F.transform("tags", lambda t, k=k: F.xxhash64(F.lit(k), t))) for k in range(hashes)])
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform("tags", lambda t: F.xxhash64(F.lit(k), t)))
+
+    minima = F.array(*[least(k) for k in range(hashes)])
     keys = F.transform(F.sequence(F.lit(0), F.lit(hashes // rows - 1)), lambda b: F.xxhash64(b, F.slice("m", b * rows + 1, F.lit(rows))))
     banded = sets.select("id", minima.alias("m")).select("id", F.explode(keys).alias("key"))
     a, b = (banded.select("key", F.col("id").alias(x)) for x in "ab")
@@ -267,9 +280,10 @@ def rows_in_order(ids: list[int], media: DataFrame) -> DataFrame:
     return media.join(F.broadcast(asked), "id").orderBy("pos")
 
 
-def first_match(new: DataFrame, pool: DataFrame, max_dist: int = 13, bits: int = 64) -> DataFrame:
+def first_match(new: DataFrame, pool: DataFrame, max_dist: int = 13) -> DataFrame:
     """W15. The first hit of each arrival ``new(id, words)`` in pool order; earlier arrivals count as the pool's end."""
-    everyone = pool.select(F.lit(0).alias("late"), F.col("id").alias("hit"), F.col("words").alias("hw")).union(new.select(F.lit(1), "id", "words"))
-    pairs = everyone.join(F.broadcast(new.select("id", "words"))).where("hit <> id and (late = 0 or hit < id)").withColumn("dist", S.hamming(F.col("words"), F.col("hw")))
-    near = pairs.where(F.col("dist") <= max_dist)
-    return near.groupBy("id").agg(F.min_by(F.struct("hit", "dist"), F.struct("late", "hit")).alias("m")).select("id", "m.hit", "m.dist")
+    arrived = new.select("id", "words", F.lit(1.0).alias("ar"))
+    everyone = pool.select("id", "words", F.lit(0.0).alias("ar")).unionByName(arrived)
+    near = _met(_blocks(arrived), _blocks(everyone), max_dist, False).where("l <> r and (ar_r = 0 or r < l)")
+    best = near.groupBy(F.col("l").alias("id")).agg(F.min_by(F.struct(F.col("r").alias("hit"), "dist"), F.struct("ar_r", "r")).alias("m"))
+    return best.select("id", "m.hit", "m.dist")

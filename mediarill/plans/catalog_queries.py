@@ -744,3 +744,244 @@ def t8_event_feed(spark: SparkSession, d: str) -> DataFrame:
 )
 def t9_retry_state(spark: SparkSession, d: str) -> DataFrame:
     return _updated(T.retry_state(_attempts(_stream(spark, d))), "key").select("key", "set_aside")
+
+
+# Further functions and operators over whole tables.
+@query("SELECT id, 'library\\' || replace(folder, '/', '\\') AS shown FROM media")
+def f13_display_folder(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/data/library/"), "filepath")
+    return V.media(spark, d).select("id", S.display_folder(path, F.lit("/data/library/")).alias("shown"))
+
+
+@query("SELECT DISTINCT folder, CASE WHEN starts_with(folder, 'en/') THEN '/mnt/a/' || folder WHEN starts_with(folder, 'de/') THEN '/mnt/b/' || folder END AS path FROM media")
+def f14_resolve_folder(spark: SparkSession, d: str) -> DataFrame:
+    return S.resolve_folder(V.media(spark, d).select("folder").distinct(), _roots(spark, "/mnt/a/en", "/mnt/b/de"))
+
+
+@query(f"SELECT id, filename AS safe, replace(filename, '_', ' ') AS shown, media_type AS kind, CASE WHEN id % 8 BETWEEN 5 AND 8 THEN height ELSE width END AS w, least(file_date, file_date + 5) AS oldest FROM media")
+def f10_f21_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    name, date = F.col("filename"), F.col("file_date")
+    size = S.oriented_size(F.col("width"), F.col("height"), F.col("id") % 8)
+    return m.select("id", S.safe_filename(F.concat(F.lit("C:\\in\\"), name, F.lit(" ."))).alias("safe"), S.display_tag(name).alias("shown"), S.media_type(name).alias("kind"), size["width"].alias("w"), S.file_date(date + 5, F.lit(0.0), date).alias("oldest"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[;,]'), lambda w: trim(regexp_replace(w, '\\s+', ' ', 'g'))), lambda w, i: w <> '' AND length(w) <= 100 AND list_position(list_transform(string_split_regex(text, '[;,]'), lambda v: lower(trim(regexp_replace(v, '\\s+', ' ', 'g')))), lower(w)) = i), ', ') AS keywords FROM documents", views=False)
+def f7_split_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(S.split_keywords(F.col("text")), ", ").alias("keywords"))
+
+
+@query(f"SELECT doc_id, {q_clean('lang || chr(32) || text')} AS found FROM documents", views=False)
+def f6_search_document(spark: SparkSession, d: str) -> DataFrame:
+    meta = F.create_map(F.lit("b_text"), F.col("text"), F.lit("a_lang"), F.col("lang"), F.lit("file_size"), F.col("n_chars").cast("string"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.search_document(meta).alias("found"))
+
+
+@query("SELECT doc_id, lang, source, 'x' AS extra FROM documents", views=False)
+def f9_merge_maps(spark: SparkSession, d: str) -> DataFrame:
+    own = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    both = S.merge_maps(own, F.create_map(F.lit("lang"), F.lit("other"), F.lit("extra"), F.lit("x")))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", *[F.element_at(both, k).alias(k) for k in ("lang", "source", "extra")])
+
+
+@query()
+def f24_parse_node_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs made of each document's first line."""
+    node = lambda kind, **inputs: F.struct(F.lit(kind).alias("class_type"), F.create_map(*[x for k, v in inputs.items() for x in (F.lit(k), v)]).alias("inputs"))
+    graph = F.to_json(F.create_map(F.lit("1"), node("CLIPTextEncode", text=F.substring_index("text", "\n", 1)), F.lit("2"), node("UNETLoader", unet_name=F.concat(F.lit("dir\\"), "source", F.lit(".safetensors")))))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.parse_node_graph(graph).alias("g")).select("doc_id", "g.*")
+
+
+@query("SELECT event_id, strftime(ts, '%Y:%m:%d') AS day, printf('%.6f, %.6f', (user_id % 90) + 0.5 + 0.01, -((event_id % 180) + 0.25)) AS gps FROM events", views=False)
+def f25_f27_dates(spark: SparkSession, d: str) -> DataFrame:
+    lat = F.array(F.col("user_id") % 90, F.lit(30.0), F.lit(36.0))
+    lon = F.array(F.col("event_id") % 180, F.lit(15.0), F.lit(0.0))
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", S.iso_compact_date(F.date_format("ts", "yyyyMMdd")).alias("day"), S.gps_decimal(lat, F.lit("N"), lon, F.lit("W")).alias("gps"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: 1 / (1 + exp(-greatest(-30, least(30, CAST(x AS DOUBLE))))))), 6) AS total FROM embeddings", views=False)
+def f31_score_to_probability(spark: SparkSession, d: str) -> DataFrame:
+    p = S.score_to_probability(F.transform("embedding", lambda x: x.cast("double")))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("SELECT DISTINCT folder, CASE WHEN contains(string_split(folder, '/')[1], 'src') THEN '\\' || replace(folder, '/', '\\') ELSE '\\' || string_split(folder, '/')[2] END AS label FROM media")
+def f32_folder_label(spark: SparkSession, d: str) -> DataFrame:
+    return V.media(spark, d).select("folder").distinct().select("folder", S.suggestion_folder_label(F.col("folder"), "src").alias("label"))
+
+
+@query("SELECT count(*) AS total_images FROM media")
+def a10_catalog_stats(spark: SparkSession, d: str) -> DataFrame:
+    return A.catalog_stats(V.media(spark, d))
+
+
+@query("SELECT count(DISTINCT folder) AS groups, count(*) AS members, (SELECT count(*) FROM labels) AS ignored_pairs FROM media")
+def a20_group_summary(spark: SparkSession, d: str) -> DataFrame:
+    return A.group_summary(V.media(spark, d).withColumnRenamed("folder", "group_id"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+_LOOKED = f"SELECT a.id AS q, b.id AS id, CAST({q_hamming('a.bits', 'b.bits')} AS INT) AS dist FROM signature a JOIN signature b ON a.id <> b.id WHERE a.id % 20 = 0"
+
+
+@query(f"SELECT q, id, dist, place, total, best FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS place, count(*) OVER (PARTITION BY q) AS total, min(dist) OVER (PARTITION BY q) AS best FROM ({_LOOKED}) WHERE dist <= 24) WHERE place <= 300")
+def j7_hamming_lookup(spark: SparkSession, d: str) -> DataFrame:
+    s = V.signature(spark, d)
+    return J.hamming_lookup(s.where("id % 20 = 0"), s, 24)
+
+
+@query(f"SELECT image_id AS id, {q_jaccard('s', 'n', '4')} AS sim FROM (SELECT image_id, count(*) AS n, count(*) FILTER (tag IN ('the', 'and', 'est')) AS s FROM image_tags GROUP BY image_id) WHERE s > 0 AND n >= 3 AND {q_jaccard('s', 'n', '4')} >= 1 ORDER BY sim DESC, id LIMIT 300")
+def j12_jaccard_lookup(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.createDataFrame([("the",), ("and",), ("est",), ("no such tag",)], "tag string")
+    return J.jaccard_lookup(V.image_tags(spark, d), asked, min_sim=1, min_size=3)
+
+
+@query(f"SELECT a, b, x.file_size AS size_a, y.file_size AS size_b FROM ({_PAIRS}) JOIN media x ON a = x.id JOIN media y ON b = y.id WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3")
+def j17_enrich_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return J.enrich_pairs(_near(spark, d), V.media(spark, d)).select("a", "b", F.col("a_row.file_size").alias("size_a"), F.col("b_row.file_size").alias("size_b"))
+
+
+@query("SELECT id, filename FROM media WHERE id IN (9, 3, 27)")
+def j19_rows_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return J.rows_in_order([9, 3, 27], V.media(spark, d)).select("id", "filename")
+
+
+@query()
+def w15_first_match(spark: SparkSession, d: str) -> DataFrame:
+    s = V.signature(spark, d)
+    new = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id")).distinct()
+    return J.first_match(s.join(new, "id", "left_semi"), s.join(new, "id", "left_anti"), 22)
+
+
+@query("SELECT group_id, size, similarity FROM (SELECT folder AS group_id, count(*) AS size, max(rating) AS similarity FROM media GROUP BY folder)")
+def w3_sort_groups(spark: SparkSession, d: str) -> DataFrame:
+    return W.sort_groups(V.media(spark, d).groupBy(F.col("folder").alias("group_id")).agg(F.count("*").alias("size"), F.max("rating").alias("similarity")))
+
+
+@query("SELECT id, file_size FROM media")
+def w4_sort_matches(spark: SparkSession, d: str) -> DataFrame:
+    return W.sort_matches(V.media(spark, d).select("id", "file_size"), "size")
+
+
+@query("SELECT tag AS name, category, n AS image_count, manual FROM (SELECT tag, count(DISTINCT image_id) AS n, bool_or(source = 'manual') AS manual FROM image_tags GROUP BY tag) c JOIN tags t ON c.tag = t.name")
+def w12_manual_first(spark: SparkSession, d: str) -> DataFrame:
+    return W.manual_first(A.tag_counts(V.image_tags(spark, d), V.tags(spark, d)))
+
+
+@query("SELECT filepath FROM media WHERE starts_with(filepath, 'es/')")
+def p8_keep_under_failed(spark: SparkSession, d: str) -> DataFrame:
+    return P.keep_under_failed(V.media(spark, d), _roots(spark, "es")).select("filepath")
+
+
+@query()
+def g3_connected_components(spark: SparkSession, d: str) -> DataFrame:
+    from .components import connected_components
+
+    return connected_components(_near(spark, d, 18))
+
+
+@query()
+def g5_pairs_within(spark: SparkSession, d: str) -> DataFrame:
+    return G.pairs_within(g1_clique_groups(spark, d))
+
+
+@query()
+def m16_mark_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = materialize(_near(spark, d), "pairs")
+    return G.mark_pairs(pairs.where("(a + b) % 5 = 0").select("a", "b"), G.clique_groups(pairs, bits=64))
+
+
+@query(
+    "SELECT vec_id AS image_id, 'tag' || i AS name, CASE WHEN i % 2 = 0 THEN 'general' ELSE 'character' END AS category, round(1 / (1 + exp(-CAST(embedding[i + 1] AS DOUBLE))), 9) AS score FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE 1 / (1 + exp(-CAST(embedding[i + 1] AS DOUBLE))) >= CASE WHEN i % 2 = 0 THEN 0.3 ELSE 0.7 END",
+    views=False,
+)
+def m2_select_predictions(spark: SparkSession, d: str) -> DataFrame:
+    vocab = spark.range(64).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("tag"), "id").alias("name"), F.when(F.col("id") % 2 == 0, "general").otherwise("character").alias("category"))
+    scores = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda x: x.cast("double")).alias("scores"))
+    return M.select_predictions(scores, vocab).select("image_id", "name", "category", F.round("score", 9).alias("score"))
+
+
+@query("SELECT image_id, tag, source FROM image_tags UNION SELECT doc_id, source, 'embedded' FROM documents")
+def m5_import_keywords(spark: SparkSession, d: str) -> DataFrame:
+    words = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("image_id"), F.concat("source", F.lit("; "), F.upper("source")).alias("keywords"))
+    return M.import_keywords(V.image_tags(spark, d), words).select("image_id", "tag", "source")
+
+
+@query("SELECT (SELECT max(id) FROM media WHERE rating <> 5) + row_number() OVER (ORDER BY id) AS id, filename FROM media WHERE rating = 5")
+def m8_restore(spark: SparkSession, d: str) -> DataFrame:
+    m, t = V.media(spark, d), V.image_tags(spark, d)
+    gone = m.where("rating = 5")
+    left, trash = M.soft_delete(m, t, gone, 0.0)
+    return M.restore(trash, left, gone)[0].select("id", "filename")
+
+
+@query("SELECT id FROM media WHERE file_date >= 1704117200 - 600")
+def m9_purge_trash(spark: SparkSession, d: str) -> DataFrame:
+    return M.purge_trash(V.media(spark, d).withColumnRenamed("file_date", "deleted_at"), 1704117200.0).select("id")
+
+
+@query("SELECT id, CAST(NULL AS VARCHAR) AS search_text, false AS hash_fail FROM media")
+def m13_migrate(spark: SparkSession, d: str) -> DataFrame:
+    return M.migrate(V.media(spark, d), {"hash_fail": F.lit(False), "id": F.lit(0)}, {"search_text": 2}, 1, ["tagged"]).select("id", "search_text", "hash_fail")
+
+
+@query()
+def m18_apply_clean_plan(spark: SparkSession, d: str) -> DataFrame:
+    return M.apply_clean_plan(V.media(spark, d), m17_clean_plan(spark, d)).select("id")
+
+
+@query("SELECT id, filename AS old_name, 'Trip (' || row_number() OVER (PARTITION BY media_type ORDER BY id) || ').' || regexp_extract(filename, '[^.]*$') AS new_name FROM media WHERE rating > 0")
+def m20_bulk_rename(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return M.bulk_rename(m, m.where("rating > 0"), "Trip").select("id", "old_name", "new_name")
+
+
+@query("SELECT id, false AS tagged FROM media")
+def m21_reset_flag(spark: SparkSession, d: str) -> DataFrame:
+    return M.reset_flag(V.media(spark, d), "tagged").select("id", "tagged")
+
+
+@query("SELECT DISTINCT tag AS word FROM image_tags WHERE length(tag) = 3")
+def s4_word_list(spark: SparkSession, d: str) -> DataFrame:
+    """A word list written and read back."""
+    path = new_path(spark, "words")
+    io.write_word_list(V.tags(spark, d).where("length(name) = 3").select(F.upper("name").alias("word")), path)
+    return io.read_word_list(spark, path)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) AS pos, name, category FROM tags WHERE length(name) >= 12")
+def s5_tag_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """A vocabulary written as CSV and read back."""
+    from pyspark.sql import Window
+
+    path = new_path(spark, "vocabulary")
+    rows = V.tags(spark, d).where("length(name) >= 12")
+    rows.select((F.row_number().over(Window.orderBy("name")) - 1).alias("pos"), "name", F.when(F.col("category") == "character", "4").otherwise("0").alias("category")).write.csv(path, header=True)
+    return io.read_tag_vocabulary(spark, path)
+
+
+@query("SELECT id, round(rate, 9) AS rate FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS id, (max(event_id) - arg_min(event_id, ts)) AS n, (arg_max(event_id, ts) - arg_min(event_id, ts)) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0) AS rate, arg_max(event_id, ts) > arg_min(event_id, ts) AS up, max(ts) > min(ts) AS long, min(ts) AS t FROM events GROUP BY 1) WHERE up AND long AND time_bucket(INTERVAL 1 HOUR, t) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", views=False)
+def t4_rate_eta(spark: SparkSession, d: str) -> DataFrame:
+    progress = _stream(spark, d).select("ts", F.col("event_id").alias("done"))
+    out = _drained(T.rate_eta(progress, 1_000_000, "1 hour", "1 hour"))
+    return out.where("rate is not null").select((F.col("at").cast("long") - 3600).alias("id"), F.round("rate", 9).alias("rate"))
+
+
+@query()
+def t7_match_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Arriving signatures, as a stream of files, against the pool of those without a label."""
+    path = new_path(spark, "arrivals")
+    s, labels = V.signature(spark, d), spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id")).distinct()
+    s.join(labels, "id", "left_semi").select("id", "words").write.parquet(f"{path}/in")
+    pool = materialize(s.join(labels, "id", "left_anti").select("id", "words"), "pool")
+    arrivals = io.file_change_stream(spark, f"{path}/in", "id long, words array<long>", 1000)
+    T.match_arrivals(arrivals, pool, lambda b, e: b.write.mode("overwrite").parquet(f"{path}/out/epoch={e}"), f"{path}/state", 22).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("id", "hit", "dist")
+
+
+@query(f"SELECT id, {q_norm(q_base('filename'))} AS base, {q_natural('filename')} AS natural FROM media")
+def x1_sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions as SQL users call them."""
+    S.register_functions(spark)
+    V.media(spark, d).createOrReplaceTempView("x1_media")
+    return spark.sql("SELECT id, norm_base(filename) AS base, natural_key(filename) AS natural FROM x1_media")
