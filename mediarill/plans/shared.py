@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +43,9 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    # Stated, as a table without rows has no files to take a schema from; folders' columns come last.
+    fields = sorted(df.schema.fields, key=lambda f: f.name in (partition_by or []))
+    return spark.read.schema(StructType(fields)).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
