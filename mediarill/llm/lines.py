@@ -57,7 +57,7 @@ class LineRuns:
     def _write(self, df: DataFrame) -> str:
         self._made += 1
         name = f"run_{self.root.rsplit('-', 1)[1].split('/')[0]}_{self._made}"
-        df = df.select("h1", "h2", "keeper", "n_docs").repartition(self.buckets, "h1", "h2")
+        df = df.select("h1", "h2", F.col("keeper").cast("long"), "n_docs").repartition(self.buckets, "h1", "h2")
         df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
         return name
 
@@ -100,7 +100,7 @@ class LineRuns:
 
     def _summed(self, names: list[str]) -> DataFrame:
         """Runs are read as plain files here: a union of bucketed scans is planned as if its parts lay together."""
-        out = self.spark.read.parquet(*[f"{self.root}/{n}" for n in names])
+        out = self.spark.read.schema("h1 long, h2 long, keeper long, n_docs long").parquet(*[f"{self.root}/{n}" for n in names])
         return out.groupBy("h1", "h2").agg(F.max("keeper").alias("keeper"), F.sum("n_docs").alias("n_docs"))
 
     def _drop(self, name: str) -> None:
