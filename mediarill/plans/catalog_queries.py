@@ -173,7 +173,7 @@ def f1_f5_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT id, list_filter(string_split(regexp_replace(path, '[\\\\/]+', '/', 'g'), '/'), lambda s: s <> '')[-1] AS leaf, regexp_replace(path, '[\\\\/]?[^\\\\/]*$', '') AS parent, len(list_filter(string_split_regex(path, '[\\\\/]'), lambda s: s <> '')) AS depth FROM paths"
+    "SELECT id, list_filter(string_split(regexp_replace(path, '[\\\\/]+', '/', 'g'), '/'), lambda s: s <> '')[-1] AS leaf, regexp_replace(path, '[\\\\/]?[^\\\\/]*$', '') AS parent, CAST(len(list_filter(string_split_regex(path, '[\\\\/]'), lambda s: s <> '')) AS INT) AS depth FROM paths"
 )
 def f15_paths(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
@@ -296,14 +296,16 @@ def a17_word_frequency(spark: SparkSession, d: str) -> DataFrame:
     return A.word_frequency(V.media(spark, d), "ing")
 
 
-@query("SELECT event_type AS stage, count(*) AS n, avg(value) AS mean_s, sum(value) AS total_s FROM events GROUP BY event_type", views=False)
+@query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean_s, round(sum(value), 4) AS total_s FROM events GROUP BY event_type", views=False)
 def a18_stage_timing(spark: SparkSession, d: str) -> DataFrame:
-    return A.stage_timing(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value")
+    out = A.stage_timing(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value")
+    return out.withColumns({"mean_s": F.round("mean_s", 6), "total_s": F.round("total_s", 4)})
 
 
-@query("SELECT provider, mean_s, max(mean_s) FILTER (provider = 'view') OVER () / mean_s AS speedup, mean_s = min(mean_s) OVER () AS fastest FROM (SELECT event_type AS provider, avg(value) AS mean_s FROM events GROUP BY 1)", views=False)
+@query("SELECT provider, round(mean_s, 6) AS mean_s, round(max(mean_s) FILTER (provider = 'view') OVER () / mean_s, 6) AS speedup, mean_s = min(mean_s) OVER () AS fastest FROM (SELECT event_type AS provider, avg(value) AS mean_s FROM events GROUP BY 1)", views=False)
 def a22_fastest_by(spark: SparkSession, d: str) -> DataFrame:
-    return A.fastest_by(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value", "view")
+    out = A.fastest_by(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value", "view")
+    return out.withColumns({"mean_s": F.round("mean_s", 6), "speedup": F.round("speedup", 6)})
 
 
 _LEVELS = "SELECT vec_id AS image_id, ['general', 'sensitive', 'questionable', 'explicit'][i] AS level, CAST(embedding[i] AS DOUBLE) AS score FROM embeddings, (SELECT unnest([1, 2, 3, 4]) AS i)"
@@ -320,7 +322,7 @@ def a21_rating_level(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Joins on tags and paths.
-@query("SELECT i.image_id AS id, i.tag AS name, category, score, source, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag) AS place FROM image_tags i JOIN tags t ON i.tag = t.name")
+@query("SELECT i.image_id AS id, i.tag AS name, category, score, source, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag) AS INT) AS place FROM image_tags i JOIN tags t ON i.tag = t.name")
 def j1_media_tags(spark: SparkSession, d: str) -> DataFrame:
     return J.media_tags(V.media(spark, d), V.image_tags(spark, d), V.tags(spark, d))
 
@@ -471,7 +473,7 @@ def w6_suggest(spark: SparkSession, d: str) -> DataFrame:
     return W.suggest(V.media(spark, d), V.image_tags(spark, d), "en")
 
 
-@query("SELECT image_id, tag, score, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag) AS place FROM image_tags")
+@query("SELECT image_id, tag, score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, tag) AS INT) AS place FROM image_tags")
 def w11_top_unique_tags(spark: SparkSession, d: str) -> DataFrame:
     return W.top_unique_tags(V.image_tags(spark, d))
 
@@ -689,12 +691,12 @@ def _updated(df: DataFrame, key: str) -> DataFrame:
 
 
 @query(
-    "SELECT root, min(ts) AS began, max(ts) + INTERVAL 5 MINUTE AS ended, count(*) AS n FROM (SELECT *, sum(jump) OVER (PARTITION BY root ORDER BY ts, event_id) AS s FROM (SELECT user_id % 10 AS root, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS jump FROM events)) GROUP BY root, s HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "SELECT root, epoch_us(min(ts)) AS began_us, epoch_us(max(ts) + INTERVAL 5 MINUTE) AS ended_us, count(*) AS n FROM (SELECT *, sum(jump) OVER (PARTITION BY root ORDER BY ts, event_id) AS s FROM (SELECT user_id % 10 AS root, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS jump FROM events)) GROUP BY root, s HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     views=False,
 )
 def t1_debounce_changes(spark: SparkSession, d: str) -> DataFrame:
     rows = V.changes(_stream(spark, d)).withColumn("root", F.col("path") % 10)
-    return _drained(T.debounce_changes(rows, "5 minutes")).select("root", "began", "ended", "n")
+    return _drained(T.debounce_changes(rows, "5 minutes")).select("root", F.unix_micros("began").alias("began_us"), F.unix_micros("ended").alias("ended_us"), "n")
 
 
 @query(
@@ -722,9 +724,9 @@ def t2_sync_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={last[0]}").select("path", "kind")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS began, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", views=False)
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS began_us, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", views=False)
 def t5_throttled_progress(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(T.throttled_progress(_stream(spark, d), "event_id", "1 hour"))
+    return _drained(T.throttled_progress(_stream(spark, d), "event_id", "1 hour")).select(F.unix_micros("began").alias("began_us"), "event_id", "n")
 
 
 @query("SELECT user_id AS id, epoch_us(max(ts)) // 1000000 AS deleted_s FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING max(ts) + INTERVAL 10 MINUTE < (SELECT max(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 10 MINUTE", views=False)
@@ -824,7 +826,7 @@ def a20_group_summary(spark: SparkSession, d: str) -> DataFrame:
 _LOOKED = f"SELECT a.id AS q, b.id AS id, CAST({q_hamming('a.bits', 'b.bits')} AS INT) AS dist FROM signature a JOIN signature b ON a.id <> b.id WHERE a.id % 20 = 0"
 
 
-@query(f"SELECT q, id, dist, place, total, best FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS place, count(*) OVER (PARTITION BY q) AS total, min(dist) OVER (PARTITION BY q) AS best FROM ({_LOOKED}) WHERE dist <= 24) WHERE place <= 300")
+@query(f"SELECT q, id, dist, place, total, best FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY dist, id) AS INT) AS place, count(*) OVER (PARTITION BY q) AS total, min(dist) OVER (PARTITION BY q) AS best FROM ({_LOOKED}) WHERE dist <= 24) WHERE place <= 300")
 def j7_hamming_lookup(spark: SparkSession, d: str) -> DataFrame:
     s = V.signature(spark, d)
     return J.hamming_lookup(s.where("id % 20 = 0"), s, 24)
