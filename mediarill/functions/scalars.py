@@ -32,6 +32,10 @@ def _squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\s+", " "))
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -220,20 +224,20 @@ def parse_infotext(c: Column) -> Column:
     Known keys take their canonical name and the last value; unknown ones a
     plain name and the first. ``hires_size`` is derived. Null gives an empty map.
     """
-    text = F.trim(F.translate(_or_empty(c), "\u0000", ""))
+    text = _strip(F.translate(_or_empty(c), "\u0000", ""))
     cut = F.regexp_instr(text, F.lit("\\bSteps:\\s*\\d"))
     head = F.when(cut > 0, F.regexp_replace(F.substr(text, F.lit(1), cut - 1), "[\\s,]+$", "")).otherwise(text)
     tail = F.when(cut > 0, F.regexp_replace(F.substr(text, cut), "\\s*\\n\\s*", ", ")).otherwise("")
     neg = F.regexp_instr(head, F.lit("\\bNegative prompt:\\s*"))
-    prompt = F.trim(F.when(neg > 0, F.substr(head, F.lit(1), neg - 1)).otherwise(head))
-    negative = F.when(neg > 0, F.trim(F.regexp_replace(F.substr(head, neg), "^Negative prompt:\\s*", "")))
+    prompt = _strip(F.when(neg > 0, F.substr(head, F.lit(1), neg - 1)).otherwise(head))
+    negative = F.when(neg > 0, _strip(F.regexp_replace(F.substr(head, neg), "^Negative prompt:\\s*", "")))
     keys, values = F.regexp_extract_all(tail, F.lit(_PAIR), 1), F.regexp_extract_all(tail, F.lit(_PAIR), 2)
     names = F.create_map(*[F.lit(x) for kv in SETTINGS.items() for x in kv])
 
     def entry(k: Column, v: Column) -> Column:
-        v = F.trim(v)
+        v = _strip(v)
         v = F.when(v.rlike('(?s)^".*"$') & (F.length(v) >= 2), F.regexp_replace(F.substr(v, F.lit(2), F.length(v) - 2), "\\\\([\\\\\"])", "$1")).otherwise(v)
-        low = F.lower(F.trim(k))
+        low = F.lower(_strip(k))
         known = F.element_at(names, low)
         plain = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")
         return F.struct(F.coalesce(known, plain).alias("k"), F.substring(v, 1, 300).alias("v"), known.isNotNull().alias("known"))
@@ -264,7 +268,7 @@ _GRAPH = "map<string,struct<class_type:string,inputs:map<string,string>>>"
 
 
 def _model_name(c: Column) -> Column:
-    leaf = F.trim(F.element_at(F.split(F.translate(c, "\\", "/"), "/"), -1))
+    leaf = _strip(F.element_at(F.split(F.translate(c, "\\", "/"), "/"), -1))
     return F.when(~c.startswith("["), F.regexp_replace(leaf, f"(?i)\\.({MODEL_ENDINGS})$", ""))
 
 
@@ -280,7 +284,7 @@ def parse_node_graph(c: Column) -> Column:
     """
     nodes = F.map_values(F.from_json(c, _GRAPH))
     inputs = lambda n, k: F.try_element_at(n["inputs"], F.lit(k))
-    text = lambda kind, key: F.array_distinct(F.filter(F.transform(F.filter(nodes, kind), lambda n: F.trim(inputs(n, key))), lambda t: t.isNotNull() & (t != "") & ~t.rlike("(?s)^\\[.*\\]$")))
+    text = lambda kind, key: F.array_distinct(F.filter(F.transform(F.filter(nodes, kind), lambda n: _strip(inputs(n, key))), lambda t: t.isNotNull() & (t != "") & ~t.rlike("(?s)^\\[.*\\]$")))
     wild = text(lambda n: n["class_type"].contains("Wildcard"), "populated_text")
     plain = text(lambda n: n["class_type"] == "CLIPTextEncode", "text")
     texts = F.when(F.size(wild) > 0, wild).otherwise(plain)
@@ -335,7 +339,7 @@ def dct_signature(luma: Column, size: int = 8, keep: int = 8) -> Column:
     """F29. Median bits of the ``keep`` x ``keep`` low block of the 2-D DCT-II of a ``size`` x ``size`` luma array.
 
     The transform is linear: each coefficient is one sum of products with a
-    constant array. Larger pictures are for ``dct_signatures``.
+    constant array. Larger pictures are for ``luma.dct_signatures``.
     """
     m = [[2.0 * math.cos(math.pi * k * (2 * i + 1) / (2 * size)) for i in range(size)] for k in range(keep)]
     px = F.transform(luma, lambda p: p.cast("double"))

@@ -84,3 +84,14 @@ def test_signatures(spark):
     cells = px.reshape(4, 2, 4, 2).mean((1, 3)) - px.mean()
     assert one(spark, S.tile_signature(col)) == np.rint(cells / cells.std() * 64).astype(int).reshape(-1).tolist()
     assert one(spark, S.score_to_probability(F.array(F.lit(-1.0), F.lit(0.5))))[0] == pytest.approx(1 / (1 + math.e))
+
+
+def test_larger_pictures(spark):
+    from mediarill.functions.luma import dct_signatures
+
+    px = np.random.default_rng(2).normal(size=64).tolist()
+    df = spark.createDataFrame([(1, px), (2, None), (3, [1.0])], "id long, px array<double>")
+    got = {r["id"]: r["words"] for r in dct_signatures(df, 8, 8).collect()}
+    want = df.where("id = 1").select(S.dct_signature(F.col("px")).alias("w")).first()["w"]
+    assert got == {1: want, 2: None, 3: None}
+    assert len(dct_signatures(spark.createDataFrame([(1, [0.5] * 4095 + [1.0])], "id long, px array<double>")).first()["words"]) == 8
