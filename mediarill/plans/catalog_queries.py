@@ -962,7 +962,7 @@ def s5_tag_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return io.read_tag_vocabulary(spark, path)
 
 
-@query("SELECT id, round(rate, 6) AS rate FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS id, (max(event_id) - arg_min(event_id, ts)) AS n, (arg_max(event_id, ts) - arg_min(event_id, ts)) / ((CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6) AS rate, arg_max(event_id, ts) > arg_min(event_id, ts) AS up, max(ts) > min(ts) AS long, min(ts) AS t FROM events GROUP BY 1) WHERE up AND long AND time_bucket(INTERVAL 1 HOUR, t) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", views=False)
+@query("SELECT id, round(rate, 6) AS rate FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS id, (max(event_id) - arg_min(event_id, ts)) AS n, (arg_max(event_id, ts) - arg_min(event_id, ts)) / (CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6) AS rate, arg_max(event_id, ts) > arg_min(event_id, ts) AS up, max(ts) > min(ts) AS long, min(ts) AS t FROM events GROUP BY 1) WHERE up AND long AND time_bucket(INTERVAL 1 HOUR, t) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", views=False)
 def t4_rate_eta(spark: SparkSession, d: str) -> DataFrame:
     progress = _stream(spark, d).select("ts", F.col("event_id").alias("done"))
     out = _drained(T.rate_eta(progress, 1_000_000, "1 hour", "1 hour"))
