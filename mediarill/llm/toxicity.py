@@ -170,19 +170,22 @@ def without_copies(texts: list[list[str]]) -> list[int]:
 def weak_lexicon(texts: list[list[str]], y: np.ndarray, least: float = 16.0) -> set[str]:
     """Features that mark toxic documents: in ten times the share of toxic ones at least, with a G-test of ``least``."""
     n = [int((y == 0).sum()), int((y == 1).sum())]
-    count = [Counter(), Counter()]
-    features: dict[str, list[str]] = {}
+    names: dict[str, int] = {}
+    known: dict[str, np.ndarray] = {}
+    count = [np.zeros(1 << 16, np.int64) for _ in range(2)]
     for words, label in zip(texts, y, strict=True):
-        own = {f for w in set(words) for f in features.setdefault(w, word_features(w))}
-        count[label].update(own)
-    out = set()
-    for f, a in count[1].items():
-        b = count[0][f]
-        share = n[1] / (n[0] + n[1])
-        g = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0))
-        if a >= 3 and g >= least and a / n[1] >= 10 * (b + 0.25) / n[0]:
-            out.add(f)
-    return out
+        for w in set(words).difference(known):
+            known[w] = np.array([names.setdefault(f, len(names)) for f in word_features(w)], np.int32)
+        own = np.unique(np.concatenate([known[w] for w in set(words)] or [np.zeros(0, np.int32)]))
+        if len(names) > len(count[0]):
+            count = [np.concatenate([c, np.zeros(len(names), np.int64)]) for c in count]
+        count[int(label)][own] += 1
+    a, b = (c[: len(names)].astype(float) for c in (count[1], count[0]))
+    share = n[1] / max(1, n[0] + n[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(a > 0, a * np.log(a / ((a + b) * share)), 0) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0))
+        marks = (a >= 3) & (g >= least) & (a / n[1] >= 10 * (b + 0.25) / n[0])
+    return {f for f, i in names.items() if marks[i]}
 
 
 def train_tagger(texts: list[str], y: np.ndarray, prior: float, rounds: int = 60, l2: float = 1e-3) -> Tagger:
@@ -193,16 +196,21 @@ def train_tagger(texts: list[str], y: np.ndarray, prior: float, rounds: int = 60
     Adam over all tokens of the sample; the map to a score is a logistic
     regression, its intercept moved to the share ``prior`` of toxic labels.
     """
-    words = [t.split() for t in texts]
+    spelling: dict[str, str] = {}  # one object a word, not one a token
+    words = [[spelling.setdefault(w, w) for w in t.split()] for t in texts]
+    del spelling
     single = without_copies(words)
     lexicon = weak_lexicon([words[i] for i in single], y[single])
     vocabulary: dict[str, int] = {}
     flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws], np.int64)
     lengths = np.array([len(w) for w in words], np.int64)
     marked = np.array([any(f in lexicon for f in word_features(w)) for w in vocabulary], bool)
-    slots = [_slots(w) for w in vocabulary]
-    slot_flat = np.array([s for ss in slots for s in ss], np.int64)
-    slot_word = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+    del words
+    each = [np.array(_slots(w), np.int32) for w in vocabulary]
+    slot_word = np.repeat(np.arange(len(each)), [len(s) for s in each])
+    slot_flat = np.concatenate([*each, np.zeros(0, np.int32)])
+    n_words = len(each)
+    del each, vocabulary
     gold = (marked[flat] & np.repeat(y == 1, lengths)).astype(float) if len(flat) else np.zeros(0)
     # Observed transitions.
     inner = np.ones(len(flat), bool)
@@ -214,17 +222,17 @@ def train_tagger(texts: list[str], y: np.ndarray, prior: float, rounds: int = 60
     m1, m2 = np.zeros(SIZE + 5), np.zeros(SIZE + 5)
     n = max(1, len(flat))
     for k in range(1, rounds + 1):
-        score = np.bincount(slot_word, w[slot_flat], len(slots)) + bias
+        score = np.bincount(slot_word, w[slot_flat], n_words) + bias
         p, expected, _ = chain_marginals(score[flat], lengths, moves)
         gap = (gold - p) * n**-0.5
-        by_word = np.bincount(flat, gap, len(slots))
+        by_word = np.bincount(flat, gap, n_words)
         g = np.concatenate([np.bincount(slot_flat, by_word[slot_word], SIZE) - l2 * w, [gap.sum()], ((seen - expected) * n**-0.5 - l2 * moves).reshape(-1)])
         m1 = 0.8 * m1 + 0.2 * g
         m2 = 0.98 * m2 + 0.02 * g * g
         step = 0.3 * (m1 / (1 - 0.8**k)) / (np.sqrt(m2 / (1 - 0.98**k)) + 1e-6)
         w, bias, moves = w + step[:SIZE], bias + step[SIZE], np.clip(moves + step[SIZE + 1 :].reshape(2, 2), -6, 6)
     tagger = Tagger(w, float(bias), moves, np.zeros(4))
-    score = np.bincount(slot_word, w[slot_flat], len(slots)) + bias
+    score = np.bincount(slot_word, w[slot_flat], n_words) + bias
     p, _, _ = chain_marginals(score[flat], lengths, moves)
     x = tagger.document_features(p, lengths)
     c = np.zeros(4)
