@@ -58,6 +58,24 @@ def test_jaccard_limits(spark):
     assert {(r["a"], r["b"]) for r in joins.verify_pairs_by_tags(pairs, it).collect()} == {(1, 2), (3, 4)}
 
 
+def test_minhash_loses_no_pair_at_the_limit(spark):
+    """300 pairs of similarity 0.5: 10 tags of 20 shared."""
+    random.seed(9)
+    sets = []
+    for k in range(300):
+        own = [f"t{random.randrange(10**9)}" for _ in range(20)]
+        sets += [(2 * k, own[:15]), (2 * k + 1, own[5:])]
+    sets = table(spark, "id long, tags array<string>", *sets)
+    got = {tuple(r) for r in joins.jaccard_pairs_minhash(sets).collect()}
+    assert got == {(2 * k, 2 * k + 1, 50) for k in range(300)} == {tuple(r) for r in joins.jaccard_pairs(sets).collect()}
+
+
+def test_minhash_equals_exact_pairs(spark, sf):
+    sets = joins.tag_sets(V.image_tags(spark, sf), 3)
+    got = {tuple(r) for r in joins.jaccard_pairs_minhash(sets).collect()}
+    assert got == {tuple(r) for r in joins.jaccard_pairs(sets).collect()} and got
+
+
 def test_banded_equals_blocks(spark, sf):
     s = V.signature(spark, sf)
     banded = {tuple(r) for r in joins._banded_pairs(s, 20, 0.3, 64, 21).collect()}
