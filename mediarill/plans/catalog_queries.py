@@ -199,7 +199,7 @@ def f29_f30_luma_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f23_parse_infotext(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.substring_index("text", "\n", 1), F.lit("\nSteps: "), (F.col("doc_id") % 50).cast("string"), F.lit(", Sampler: \"Euler, a\", Size: 512x768, Hires upscale: 2, Source: "), F.col("source"))
+    text = F.concat("text", F.lit("\nSteps: "), (F.col("doc_id") % 50).cast("string"), F.lit(", Sampler: \"Euler, a\", Size: 512x768, Hires upscale: 2, Source: "), F.col("source"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.parse_infotext(text).alias("settings"))
 
 
@@ -788,9 +788,9 @@ def f9_merge_maps(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f24_parse_node_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Graphs made of each document's first line."""
+    """Graphs made of each document's text."""
     node = lambda kind, **inputs: F.struct(F.lit(kind).alias("class_type"), F.create_map(*[x for k, v in inputs.items() for x in (F.lit(k), v)]).alias("inputs"))
-    graph = F.to_json(F.create_map(F.lit("1"), node("CLIPTextEncode", text=F.substring_index("text", "\n", 1)), F.lit("2"), node("UNETLoader", unet_name=F.concat(F.lit("dir\\"), "source", F.lit(".safetensors")))))
+    graph = F.to_json(F.create_map(F.lit("1"), node("CLIPTextEncode", text=F.col("text")), F.lit("2"), node("UNETLoader", unet_name=F.concat(F.lit("dir\\"), "source", F.lit(".safetensors")))))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.parse_node_graph(graph).alias("g")).select("doc_id", "g.*")
 
 
