@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, sketcher
     2. Classes that share a band key form a bucket. Each class is first
        compared with the bucket heads (smallest ids) it meets, best odd
        sketch only, on full sets. That gives components without all pairs.
+       The classes of an id that has several texts are linked through it.
     3. In buckets that still hold several components, parity bitmaps of the
        full sets are compared across components, and the closest few partners
        of each class on full sets; then, across the components that still
@@ -310,7 +311,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, sketcher
     best = materialize(best, "best")
     needed = members.select("doc_id").distinct()
     sets = materialize(shingle_table(docs.join(needed, "doc_id", "left_semi"), width), "sets")
-    links = materialize(verified(best, sets, percent).distinct(), "links")
+    digest = F.struct("d1", "d2", "n_shingles")
+    several = some.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id")
+    own = some.join(materialize(several, "several"), "doc_id").select("doc_id", "d1", "d2", "n_shingles")
+    own = own.join(classes.select("d1", "d2", "n_shingles", F.col("doc_id").alias("a")), ["d1", "d2", "n_shingles"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    links = materialize(verified(best, sets, percent).unionByName(own).distinct(), "links")
     tried = best
     parts = connected_components(links)
 

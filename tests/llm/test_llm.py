@@ -284,6 +284,13 @@ def test_near_dups_hard_group(spark, same_rows, run_sql, tmp_path):
     same_rows(near_dups.near_duplicates(spark.read.parquet(str(tmp_path / "documents.parquet"))), con.sql(near_dups.OP6_SQL).df())
 
 
+def test_near_dups_one_id_two_texts(spark):
+    one, two, other = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(1, one), (5, one), (5, two), (7, two), (9, other)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True)]
+
+
 def test_near_dups_odd(odd):
     got = {r["doc_id"]: r for r in near_dups.near_duplicates(odd).collect()}
     assert got[1]["n_shingles"] == 0 and got[1]["kept"] and got[2]["component_id"] == 2 and got[3]["component_id"] == 3
