@@ -1,4 +1,4 @@
-"""Make this package importable in Python workers of clusters that don't have it installed."""
+"""Make this package importable in Python workers of clusters that don't have it installed, and their batches small."""
 
 from __future__ import annotations
 
@@ -12,9 +12,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows that go to a Python worker at once, where the session has Spark's default of 10,000: rows here hold whole texts.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once an application."""
+    """Send the package's sources to the executors, once an application; batches for Python hold ``ROWS`` rows unless the session says otherwise."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
