@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .remembered import Remembered
+
 SPACE = "▁"
 
 
@@ -60,7 +62,7 @@ class PieceModel:
         self.pair_rank = rank_of[self.pair_piece]
         beside = {ord(p[k]) << 32 | ord(p[k + 1]) for p in normal for k in range(len(p) - 1)}
         self.beside = np.array(sorted(beside), np.int64)
-        self.symbols = np.arange(0x110000, dtype=np.int64) + n
+        self.symbols = np.arange(n, n + 0x110000, dtype=np.int32)
         for c, i in self.single.items():
             self.symbols[ord(c)] = i
         # Decoding: the bytes of each id.
@@ -87,14 +89,17 @@ class PieceModel:
 
         Flat arrays hold the symbols of all parts that still have a pair,
         a part being what lies between two characters that no piece has side
-        by side. A round finds each part's smallest rank, merges its leftmost
-        pair of that rank in all parts at once, and drops parts without pairs.
+        by side. A round finds each part's smallest rank, merges its pairs of
+        that rank from the left in all parts at once, and drops parts without
+        pairs. Pairs that overlap one before them, or stand behind a merge whose
+        piece makes a pair just as good or better, wait for a later round; so a
+        run of one letter halves in each round, and the order is the library's.
         """
         n = len(self.pieces)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         owner = np.repeat(np.arange(len(words)), lengths)
-        flat = self.symbols[codes]
+        flat = self.symbols[codes].astype(np.int64)
         tie = codes[:-1] << 32 | codes[1:]
         at = np.minimum(np.searchsorted(self.beside, tie), len(self.beside) - 1)
         cut = (self.beside[at] != tie) | (owner[1:] != owner[:-1])
@@ -119,18 +124,32 @@ class PieceModel:
                 if not len(flat):
                     break
                 starts = np.cumsum(size) - size
+            # Of overlapping hits every second one is merged, from the left.
             hits = np.flatnonzero(rank == np.repeat(best, size))
-            first = hits[np.searchsorted(hits, starts)]
-            flat[first] = joined[first]
+            run = np.concatenate([[True], hits[1:] != hits[:-1] + 1])
+            first = hits[(hits - np.maximum.accumulate(np.where(run, hits, 0))) % 2 == 0]
+            at = np.searchsorted(starts, first, "right") - 1
+            has_left, has_right = first > starts[at], first + 2 < (starts + size)[at]
+            made = joined[first]
+            left = flat[np.maximum(first - 1, 0)]
+            beside = np.flatnonzero(has_left[1:] & (first[1:] == first[:-1] + 2)) + 1
+            left[beside] = made[beside - 1]
+            rank_l, joined_l, rank_r, joined_r = np.full(len(first), self.no_pair), np.zeros(len(first), np.int64), np.full(len(first), self.no_pair), np.zeros(len(first), np.int64)
+            rank_l[has_left], joined_l[has_left] = self.look_up(left[has_left], made[has_left])
+            rank_r[has_right], joined_r[has_right] = self.look_up(made[has_right], flat[first[has_right] + 2])
+            # Where a merge makes a pair of no worse rank, the part's later hits wait: that pair may come before them.
+            ahead = np.cumsum(stop := np.minimum(rank_l, rank_r) <= best[at]) - stop
+            go = ahead == ahead[np.searchsorted(at, at)]
+            first, at, made, has_left = first[go], at[go], made[go], has_left[go]
+            flat[first] = made
             keep = np.ones(len(flat), bool)
             keep[first + 1] = False
-            has_left, has_right = first > starts, first + 2 < starts + size
             moved = first - np.arange(len(first))  # the merged symbol's place once the holes are closed
             flat, rank, joined, place = flat[keep], rank[keep], joined[keep], place[keep]
-            size = size - 1
-            rank[moved[~has_right]] = self.no_pair
-            again = np.concatenate([moved[has_left] - 1, moved[has_right]])
-            rank[again], joined[again] = self.look_up(flat[again], flat[again + 1])
+            size = size - np.bincount(at, minlength=len(size))
+            rank[moved], joined[moved] = rank_r[go], joined_r[go]
+            again = moved[has_left] - 1
+            rank[again], joined[again] = rank_l[go][has_left], joined_l[go][has_left]
         if not done_place:
             return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         place, flat = np.concatenate(done_place), np.concatenate(done_flat)
@@ -162,20 +181,19 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 class Encoder:
     """Texts to ids with a memory of words, emptied when it is full; the memory changes speed only."""
 
-    def __init__(self, model: PieceModel, memory: int = 250_000):
-        self.model, self.memory, self.known = model, memory, {}
+    def __init__(self, model: PieceModel, memory: int = 32 << 20):
+        self.model, self.known = model, Remembered(memory)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.known
-        if len(known) > self.memory:
-            known.clear()
+        known.make_room()
         words = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list(set().union(*words).difference(known))
         if new:
             flat, size = self.model.merge(new)
             raw, ends = flat.tobytes(), np.cumsum(size) * 4
             for w, a, b in zip(new, (ends - size * 4).tolist(), ends.tolist(), strict=True):
-                known[w] = raw[a:b]
+                known.add(w, raw[a:b], 2 * len(w) + b - a)
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in words]
 
 
@@ -184,7 +202,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(PieceModel(path))
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // most
@@ -203,7 +221,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", decoded:
 
     With ``decoded``, also ``decoded string``, the ids' text again, in the
     same pass. Null and empty texts give an empty array and an empty text.
-    Texts of any length are encoded whole, about 2 MB at a time. Columns
+    Texts of any length are encoded whole, about 1 MB at a time. Columns
     already so called are replaced; all others pass through. ``model_path``
     must exist on every machine.
     """
