@@ -13,19 +13,16 @@ from pyspark.sql import functions as F
 from ..plans.components import connected_components
 from ..plans.shared import materialize
 from .pieces import _slices
+from .remembered import Remembered
 
 
-class _WordHashes(dict):
-    """Word to 64-bit hash, remembered until ``most`` words are held."""
-
-    def __init__(self, most: int = 1_000_000):
-        super().__init__()
-        self.most = most
+class _WordHashes(Remembered):
+    """Word to 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self.make_room()
+        h = xxhash.xxh3_64_intdigest(word)
+        self.add(word, h)
         return h
 
 
