@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,9 +15,12 @@ from pyspark.sql import types as T
 
 from .labelled import held_out, labelled_sample
 from .pieces import _slices
+from .remembered import Remembered
 
 #: Hashed feature weights, and tokens in a stretch of the two-level chain recursion.
 SIZE, STRETCH = 1 << 17, 64
+#: Slots in which the features of the sample's documents are counted.
+MARKS = 1 << 22
 
 
 def word_features(word: str) -> list[str]:
@@ -154,12 +156,14 @@ class Tagger:
         return 1 / (1 + np.exp(-(self.document_features(p, lengths) @ self.score)))
 
 
-def without_copies(texts: list[list[str]]) -> list[int]:
-    """Places of texts that aren't near copies of earlier ones: of eight minima over runs of three words, four met before."""
-    seen: Counter = Counter()
+def without_copies(texts: list[np.ndarray]) -> list[int]:
+    """Places of texts, given as their words' hashes, that aren't near copies of earlier ones: of eight minima over runs of three words, four met before."""
+    seen: set[tuple[int, int]] = set()
     out = []
-    for i, words in enumerate(texts):
-        h = np.array([zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))], np.uint64)
+    for i, w in enumerate(texts):
+        w = np.concatenate([w, np.zeros(max(0, 3 - len(w)), np.uint64)])
+        h = (w[:-2] * np.uint64(31) + w[1:-1]) * np.uint64(31) + w[2:]
+        h ^= h >> np.uint64(17)
         minima = [(k, int((h * np.uint64(2654435761 + 2 * k) % np.uint64(4294967291)).min())) for k in range(8)]
         if sum(m in seen for m in minima) < 4:
             out.append(i)
@@ -167,25 +171,24 @@ def without_copies(texts: list[list[str]]) -> list[int]:
     return out
 
 
-def weak_lexicon(texts: list[list[str]], y: np.ndarray, least: float = 16.0) -> set[str]:
-    """Features that mark toxic documents: in ten times the share of toxic ones at least, with a G-test of ``least``."""
+def weak_lexicon(documents: list[np.ndarray], y: np.ndarray, features: list[np.ndarray], least: float = 16.0) -> np.ndarray:
+    """Which of MARKS hashed features mark toxic documents: in ten times the share of toxic ones at least, with a G-test of ``least``.
+
+    ``documents``: the numbers of each one's distinct words; ``features``: each word's slots.
+    """
     n = [int((y == 0).sum()), int((y == 1).sum())]
-    names: dict[str, int] = {}
-    known: dict[str, np.ndarray] = {}
-    count = [np.zeros(1 << 16, np.int64) for _ in range(2)]
-    for words, label in zip(texts, y, strict=True):
-        for w in set(words).difference(known):
-            known[w] = np.array([names.setdefault(f, len(names)) for f in word_features(w)], np.int32)
-        own = np.unique(np.concatenate([known[w] for w in set(words)] or [np.zeros(0, np.int32)]))
-        if len(names) > len(count[0]):
-            count = [np.concatenate([c, np.zeros(len(names), np.int64)]) for c in count]
-        count[int(label)][own] += 1
-    a, b = (c[: len(names)].astype(float) for c in (count[1], count[0]))
+    count = np.zeros((2, MARKS), np.int32)
+    for words, label in zip(documents, y, strict=True):
+        if len(words):
+            count[int(label), np.unique(np.concatenate([features[w] for w in words.tolist()]))] += 1
+    met = np.flatnonzero(count[1] >= 3)
+    a, b = (count[k, met].astype(float) for k in (1, 0))
     share = n[1] / max(1, n[0] + n[1])
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(a > 0, a * np.log(a / ((a + b) * share)), 0) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0))
-        marks = (a >= 3) & (g >= least) & (a / n[1] >= 10 * (b + 0.25) / n[0])
-    return {f for f, i in names.items() if marks[i]}
+        g = 2 * (a * np.log(a / ((a + b) * share)) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0))
+        marks = np.zeros(MARKS, bool)
+        marks[met] = (g >= least) & (a / n[1] >= 10 * (b + 0.25) / n[0])
+    return marks
 
 
 def train_tagger(texts: list[str], y: np.ndarray, prior: float, rounds: int = 60, l2: float = 1e-3) -> Tagger:
@@ -196,21 +199,23 @@ def train_tagger(texts: list[str], y: np.ndarray, prior: float, rounds: int = 60
     Adam over all tokens of the sample; the map to a score is a logistic
     regression, its intercept moved to the share ``prior`` of toxic labels.
     """
-    spelling: dict[str, str] = {}  # one object a word, not one a token
-    words = [[spelling.setdefault(w, w) for w in t.split()] for t in texts]
-    del spelling
-    single = without_copies(words)
-    lexicon = weak_lexicon([words[i] for i in single], y[single])
     vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws], np.int64)
+    words = [[vocabulary.setdefault(w, len(vocabulary)) for w in t.split()] for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    marked = np.array([any(f in lexicon for f in word_features(w)) for w in vocabulary], bool)
+    flat = np.fromiter((w for ws in words for w in ws), np.int32, int(lengths.sum()))
     del words
-    each = [np.array(_slots(w), np.int32) for w in vocabulary]
-    slot_word = np.repeat(np.arange(len(each)), [len(s) for s in each])
-    slot_flat = np.concatenate([*each, np.zeros(0, np.int32)])
-    n_words = len(each)
-    del each, vocabulary
+    hashed = [np.array([zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in word_features(w)], np.uint32) for w in vocabulary]
+    n_words = len(hashed)
+    crc = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in vocabulary], np.uint64)
+    del vocabulary
+    slot_word = np.repeat(np.arange(n_words, dtype=np.int32), [len(s) for s in hashed])
+    slot_flat = np.concatenate([*hashed, np.zeros(0, np.uint32)])
+    ends = np.cumsum(lengths)
+    single = without_copies([crc[flat[e - n : e]] for e, n in zip(ends, lengths, strict=True)])
+    marks = weak_lexicon([np.unique(flat[ends[i] - lengths[i] : ends[i]]) for i in single], y[single], [h % MARKS for h in hashed])
+    del hashed
+    marked = np.bincount(slot_word, marks[slot_flat % MARKS], n_words) > 0
+    slot_flat = (slot_flat % SIZE).astype(np.int32)
     gold = (marked[flat] & np.repeat(y == 1, lengths)).astype(float) if len(flat) else np.zeros(0)
     # Observed transitions.
     inner = np.ones(len(flat), bool)
@@ -284,15 +289,14 @@ def tag_documents(docs: DataFrame, tagger: Tagger, spans: bool = True, least: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = model.value
-        known: dict[str, float] = {}
+        known = Remembered()
         for whole in batches:
             for batch in _slices(whole, "text"):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 words = [TOKEN.findall(t) for t in texts]
-                if len(known) > 500_000:
-                    known.clear()
+                known.make_room()
                 for w in set().union(*words).difference(known):
-                    known[w] = field.odds(w)
+                    known.add(w, field.odds(w))
                 lengths = np.array([len(w) for w in words], np.int64)
                 odds = np.fromiter((o for ws in words for o in map(known.__getitem__, ws)), np.float64, int(lengths.sum()))
                 p, _, _ = chain_marginals(odds, lengths, field.moves)
@@ -305,10 +309,10 @@ def tag_documents(docs: DataFrame, tagger: Tagger, spans: bool = True, least: fl
     return docs.mapInArrow(run, schema)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2400) -> Tagger:
-    """A tagger from at most ``bound`` labelled documents, half of them toxic. No labels at all: scores near 0."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2400, most_bytes: int = 12 << 20) -> Tagger:
+    """A tagger from at most ``bound`` labelled documents of ``most_bytes`` of text, half of them toxic. No labels at all: scores near 0."""
     share = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.avg("toxic").alias("p")).first()["p"]
-    sample = labelled_sample(docs, labels, "toxic", bound, balanced=True)
+    sample = labelled_sample(docs, labels, "toxic", bound, balanced=True, most_bytes=most_bytes)
     if not len(sample):
         return Tagger(np.zeros(SIZE), -8.0, np.zeros((2, 2)), np.array([-6.0, 0, 0, 0]))
     return train_tagger(sample["text"].tolist(), sample["y"].to_numpy(), float(share or 0.0))
@@ -318,4 +322,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     tagger = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = tag_documents(docs, tagger)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
