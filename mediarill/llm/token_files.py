@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import materialize, new_path
 from .pieces import _slices
+from .remembered import Remembered
 
 MAGIC = b"MRTOK001"
 
@@ -71,11 +72,19 @@ class EliasFano:
         at = word * 64 + (bits & -bits).bit_length() - 1
         return (at - i) << self.width | int(self._low(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        bits = np.unpackbits(self.high.view(np.uint8), bitorder="little")
-        at = np.flatnonzero(bits).astype(np.uint64)
-        i = np.arange(self.n, dtype=np.uint64)
-        return (at - i) << np.uint64(self.width) | self._low(i)
+    def select_run(self, a: int, b: int) -> np.ndarray:
+        """Values ``a`` up to ``b``, from the words between the kept places around them."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.int64)
+        word = int(self.samples[a // self.STEP]) >> 6
+        behind = (b - 1) // self.STEP + 1
+        last = int(self.samples[behind]) >> 6 if behind < len(self.samples) else len(self.high) - 1
+        at = np.flatnonzero(np.unpackbits(self.high[word : last + 1].view(np.uint8), bitorder="little")) + 64 * word
+        at = at[at >= int(self.samples[a // self.STEP])][a % self.STEP :][: b - a]
+        i = np.arange(a, b)
+        return (at - i) << self.width | self._low(i).astype(np.int64)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.width, len(self.low), len(self.high), len(self.samples)], "<u8").tobytes()
@@ -135,8 +144,10 @@ class ShardReader:
         self._names, self._first = EliasFano.from_bytes(file.read(foot["names"])), foot["first"]
         self.n_docs = self.starts.n - 1
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + (self._names.all().astype(np.int64) + self._first).tolist()
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        """Ids of documents ``a`` up to ``b``; those without one come first."""
+        null = max(0, min(b, self.n_null) - a)
+        return [None] * null + (self._names.select_run(max(a, self.n_null) - self.n_null, max(b, self.n_null) - self.n_null) + self._first).tolist()
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """Ids from place ``a`` up to ``b``."""
@@ -165,19 +176,18 @@ class WordEncoder:
     between spaces.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Remembered(memory)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         known = self.known
-        if len(known) > self.memory:
-            known.clear()
+        known.make_room()
         plain = [not t or not ODD.search(t) for t in texts]
         words = [[] if not t else LATIN.findall(t.lower()) if p else BETWEEN.findall(t) for t, p in zip(texts, plain, strict=True)]
         new = list(set().union(*[w for w, p in zip(words, plain, strict=True) if p]).difference(known))
@@ -187,10 +197,10 @@ class WordEncoder:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             raw = ids.tobytes()
             for w, a, b in zip(new, [0, *(cuts[:-1] * 4).tolist()], (cuts * 4).tolist(), strict=True):
-                known[w] = raw[a:b]
+                known.add(w, raw[a:b], b - a)
         rest = list(set().union(*[w for w, p in zip(words, plain, strict=True) if not p]).difference(known))
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
+            known.add(w, np.array(e.ids, np.uint32).tobytes(), 4 * len(e.ids))
         tail = np.array([end], np.uint32).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + tail, np.uint32) for ws in words]
 
@@ -207,6 +217,8 @@ def _open(path: str):
     return system, inside
 
 
+#: Documents whose boundaries are looked up at a time.
+RUN = 4096
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
@@ -218,8 +230,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     another name; the manifest, committed by Spark, names the ones that count.
     Null and empty texts hold only the end id. Rows without doc_id come first;
     rows that repeat a doc_id stay, ordered by text. No rows: an empty
-    manifest. ``id_type`` must hold the tokenizer's largest id. ``folder``
-    must be reachable from every machine.
+    manifest. If ``id_type`` cannot hold the tokenizer's largest id, nothing
+    is written and an error raised. ``folder`` must be reachable from every
+    machine.
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -229,6 +242,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         from pyspark import TaskContext
 
         encoder, writer, path, n_docs = _encoder(tokenizer_path), None, "", 0
+        largest = max(end_id, len(encoder.ends) - 1)
+        if largest > np.iinfo(np.dtype(id_type)).max:
+            raise ValueError(f"ids up to {largest} do not fit {id_type}")
         part = TaskContext.get().partitionId()
         for whole in batches:
             for batch in _slices(whole, "text", 4 << 20):
@@ -252,7 +268,9 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
     ``start`` counts all ids of the documents before, over all shards: a
     running sum over the manifest, which has one row a shard. ``ids_crc32`` is
-    the crc of the ids as little-endian 32-bit integers, signless.
+    the crc of the ids as little-endian 32-bit integers, signless. Boundaries
+    and doc_ids are selected ``RUN`` documents at a time; no table of them is
+    made.
     """
     spark = manifest.sparkSession
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -266,17 +284,19 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                 system, inside = _open(path)
                 with system.open_input_file(inside) as file:
                     shard = ShardReader(file, file.size())
-                    starts, docs = shard.starts.all().astype(np.int64), shard.doc_ids()
-                    group = starts[:-1] // (4 << 20)
-                    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), shard.n_docs]
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        ids = shard.ids(int(starts[a]), int(starts[b])).astype("<u4")
-                        own = starts[a : b + 1] - starts[a]
-                        crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(own, own[1:], strict=False)]
-                        columns = [pa.array(docs[a:b], pa.int64()), pa.array(starts[a:b] + base), pa.array(np.diff(own)), pa.array(crc, pa.int64())]
-                        if with_ids:
-                            columns.append(pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(ids.view(np.int32))))
-                        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
+                    for first in range(0, shard.n_docs, RUN):
+                        last = min(first + RUN, shard.n_docs)
+                        starts, docs = shard.starts.select_run(first, last + 1), shard.doc_ids(first, last)
+                        group = starts[:-1] // (1 << 20)
+                        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), last - first]
+                        for a, b in zip(cuts, cuts[1:], strict=False):
+                            ids = shard.ids(int(starts[a]), int(starts[b])).astype("<u4")
+                            own = starts[a : b + 1] - starts[a]
+                            crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(own, own[1:], strict=False)]
+                            columns = [pa.array(docs[a:b], pa.int64()), pa.array(starts[a:b] + base), pa.array(np.diff(own)), pa.array(crc, pa.int64())]
+                            if with_ids:
+                                columns.append(pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(ids.view(np.int32))))
+                            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
     return placed.mapInArrow(run, schema)
 
