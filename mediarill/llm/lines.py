@@ -26,58 +26,76 @@ def _hashed(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(0x5EED), line).alias("h2"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once for the row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 class LineRuns:
     """A levelled store of line hashes.
 
     A run is a table ``(h1, h2, keeper, n_docs)``, dealt out by hash into
     buckets and sorted inside each, so that the next batch merges with it
     bucket by bucket without moving the run. ``absorb`` adds one batch of
-    ``(doc_id, h1, h2)``: the batch is merge-anti-joined with each run; what
-    survives is new and gets its keeper (largest doc_id of the batch); what
-    was met before only adds to the count, and keeps its keeper when that
-    comes from a batch of larger ids. Once ``fanout`` runs lie on a level
-    they are merged into one of the next.
+    ``(doc_id, h1, h2)``: the batch is merge-anti-joined with each run. What
+    survives is new and becomes a run, its keeper being the largest doc_id
+    that holds the line in the batch. So a line stands in one run only, and
+    its first batch names its keeper. What was met before only leaves its
+    number of documents, as a delta ``(h1, h2, n_docs)``. Once ``fanout``
+    runs lie on a level they are merged into one of the next, and the deltas
+    that have come since are added up.
 
     Batches must arrive in descending order of doc_id for ``keeper`` to be
-    the largest holder; compaction takes the maximum and so holds in any order.
+    the largest holder.
     """
 
+    RUN, DELTA = "h1 long, h2 long, keeper long, n_docs long", "h1 long, h2 long, n_docs long"
+
     def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.root = new_path(spark, "runs")
         self.levels: list[list[str]] = [[]]
+        self.deltas: list[str] = []
         self._made = 0
 
-    def _write(self, df: DataFrame) -> str:
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _name(self, kind: str) -> str:
         self._made += 1
-        name = f"run_{self.root.rsplit('-', 1)[1].split('/')[0]}_{self._made}"
+        return f"{kind}_{self.root.rsplit('-', 1)[1].split('/')[0]}_{self._made}"
+
+    def _write(self, df: DataFrame) -> str:
+        name = self._name("run")
         df = df.select("h1", "h2", F.col("keeper").cast("long"), "n_docs").repartition(self.buckets, "h1", "h2")
         df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
         return name
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(n) for level in self.levels for n in level]
+    def _read(self, names: list[str], schema: str) -> DataFrame:
+        """Runs are read as plain files here: a union of bucketed scans is planned as if its parts lay together."""
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{n}" for n in names])
+
+    def _names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` whose line is in no run."""
-        for run in self.runs():
-            batch = batch.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        for name in self._names():
+            batch = batch.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return batch
 
     def absorb(self, batch: DataFrame) -> None:
         own = batch.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n_docs"))
-        if any(self.levels):
-            own = materialize(own.repartition(self.buckets, "h1", "h2"), "batch")
-            fresh = self.unseen(own)
-            met = own.join(fresh.select("h1", "h2", F.lit(True).alias("fresh")), ["h1", "h2"], "left")
-            own = met.select("h1", "h2", F.when(F.col("fresh"), F.col("keeper")).alias("keeper"), "n_docs")
-        self.levels[0].append(self._write(own))
+        if not self._names():
+            self.levels[0].append(self._write(own))
+            return
+        own = materialize(own, "batch")
+        fresh = self._write(self.unseen(own))
+        met = own.join(self.spark.table(fresh).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        self.deltas.append(self._name("delta"))
+        met.select("h1", "h2", "n_docs").write.parquet(f"{self.root}/{self.deltas[-1]}")
+        self.levels[0].append(fresh)
         self.compact()
 
     def compact(self) -> None:
@@ -85,32 +103,40 @@ class LineRuns:
         while at < len(self.levels):
             level = self.levels[at]
             if len(level) >= self.fanout:
-                merged = self._write(self._summed(level))
+                merged = self._write(self._read(level, self.RUN))
                 for n in level:
                     self._drop(n)
                 self.levels[at] = []
                 if at + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[at + 1].append(merged)
+                if len(self.deltas) > 1:
+                    name = self._name("delta")
+                    self._added().write.parquet(f"{self.root}/{name}")
+                    for n in self.deltas:
+                        discard(self.spark, f"{self.root}/{n}")
+                    self.deltas = [name]
             at += 1
 
-    def totals(self) -> DataFrame:
-        """``(h1, h2, keeper, n_docs)`` over all runs."""
-        return self._summed([n for level in self.levels for n in level])
+    def _added(self) -> DataFrame:
+        return self._read(self.deltas, self.DELTA).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
-    def _summed(self, names: list[str]) -> DataFrame:
-        """Runs are read as plain files here: a union of bucketed scans is planned as if its parts lay together."""
-        out = self.spark.read.schema("h1 long, h2 long, keeper long, n_docs long").parquet(*[f"{self.root}/{n}" for n in names])
-        return out.groupBy("h1", "h2").agg(F.max("keeper").alias("keeper"), F.sum("n_docs").alias("n_docs"))
+    def totals(self) -> DataFrame:
+        """``(h1, h2, keeper, n_docs)``: each line once, with the documents of all batches."""
+        more = self._added().withColumnRenamed("n_docs", "more")
+        lines = self._read(self._names(), self.RUN).join(more, ["h1", "h2"], "left")
+        return lines.select("h1", "h2", "keeper", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"))
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(self.spark, f"{self.root}/{name}")
 
     def close(self) -> None:
-        for n in [n for level in self.levels for n in level]:
+        for n in self._names():
             self._drop(n)
-        self.levels = [[]]
+        for n in self.deltas:
+            discard(self.spark, f"{self.root}/{n}")
+        self.levels, self.deltas = [[]], []
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -122,27 +148,33 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """``(doc_id, drop)``: for each document that loses lines, the hashes of those lines.
+    """``(doc_id, h1, h2)``: the lines that each document loses.
 
-    The hashes of all lines are written once, split by doc_id into
-    ``batches`` that enter the runs from the largest ids down.
+    The hashes of all lines are written once, cut into ``batches`` of about
+    as many rows of ``docs`` at quantiles of doc_id; they enter the runs from
+    the largest ids down. Rows of one doc_id are always in one batch.
     """
     spark = docs.sparkSession
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = (span["lo"] or 0), (span["hi"] or 0)
-    width = max(1, -(-(hi - lo + 1) // batches))
-    batch = F.floor((F.lit(hi) - F.col("doc_id")) / F.lit(width)).cast("int")
+    shares = [F.lit(k / batches) for k in range(1, batches)] or [F.lit(1.0)]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), F.array(*shares), 1000).alias("cuts")).first()["cuts"] or []
+    cuts = sorted(set(cuts))[: batches - 1]
+    batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts), F.lit(0))
     hashes = materialize(line_hashes(docs, min_chars).withColumn("batch", batch), "hashes", ["batch"])
-    store = LineRuns(spark, fanout)
-    for i in range(batches):
-        store.absorb(hashes.where(F.col("batch") == i).drop("batch"))
-    often = materialize(store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "often")
-    store.close()
-    hit = hashes.drop("batch").join(often, ["h1", "h2"]).where("doc_id <> keeper")
-    return hit.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    with LineRuns(spark, fanout) as store:
+        for i in range(len(cuts) + 1):
+            store.absorb(hashes.where(F.col("batch") == i).drop("batch"))
+        often = materialize(store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "often")
+    return hashes.drop("batch").join(often, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "h1", "h2")
+
 
+def _free_name(taken: list[str], name: str) -> str:
+    """``name`` with as many underscores as it takes to be none of ``taken``."""
+    while name.lower() in (t.lower() for t in taken):
+        name += "_"
+    return name
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, many: int = 2000) -> DataFrame:
     """``docs`` with ``text`` cut down to the lines that stay, plus ``n_lines`` and ``n_dropped``.
 
     A line's key is the line stripped of ASCII white space with A-Z in lower
@@ -151,22 +183,43 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lines there stay). Null or empty text is one empty line. A row without
     doc_id keeps all its lines and counts nowhere. Rows that repeat a doc_id
     count as one holder and are each cut by the same rule. An empty table
-    gives an empty table. Other columns pass through; columns named n_lines
-    or n_dropped are replaced.
+    gives an empty table. Other columns pass through, whatever their names;
+    columns named n_lines or n_dropped are replaced.
+
+    A document that loses up to ``many`` different lines has them beside it
+    as an array. One that loses more, where looking each line up in an array
+    would cost lines times losses, hands its lines out as rows instead and
+    is put together again from those that stay.
     """
-    drops = materialize(repeated_lines(docs, min_chars, min_docs, batches, fanout), "drops")
-    joined = docs.drop("n_lines", "n_dropped").join(drops.select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop")), F.col("doc_id") == F.col("__id"), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains("__drop", _hashed(key))
-
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, stays))
-    cut = joined.withColumn("__kept", kept)
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    cut = cut.select(*others, F.array_join("__kept", "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"))
-    return cut.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    key, drop, kept, row, at, line = (_free_name(docs.columns, n) for n in ("key", "drop", "kept", "row", "at", "line"))
+    lost = materialize(repeated_lines(docs, min_chars, min_docs, batches, fanout), "drops")
+    sizes = materialize(lost.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > many).select(F.col("doc_id").alias(key)), "many")
+    rows, lines = docs.select(*others), F.split(F.coalesce("text", F.lit("")), "\n")
+
+    def finished(df: DataFrame) -> DataFrame:
+        n = F.size(lines).cast("long")
+        cut = {"text": F.array_join(kept, "\n"), "n_lines": n, "n_dropped": n - F.size(kept)}
+        return df.select(*[cut[c].alias(c) if c == "text" else F.col(c) for c in others], cut["n_lines"].alias("n_lines"), cut["n_dropped"].alias("n_dropped"))
+
+    def stays(x: Column) -> Column:
+        k = line_key(x)
+        return (F.char_length(k) < min_chars) | ~F.array_contains(drop, _hashed(k))
+
+    lost = lost.withColumnRenamed("doc_id", key)
+    few = lost.join(sizes, key, "left_anti").groupBy(key).agg(F.collect_list(F.struct("h1", "h2")).alias(drop))
+    if sizes.isEmpty():
+        joined = rows.join(few, rows["doc_id"] == few[key], "left")
+        return finished(joined.withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, stays))))
+    short = rows.join(sizes, rows["doc_id"] == sizes[key], "left_anti")
+    short = short.join(few, short["doc_id"] == few[key], "left").withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, stays)))
+    long = materialize(rows.join(sizes, rows["doc_id"] == sizes[key], "left_semi").withColumn(row, F.monotonically_increasing_id()), "long")
+    each = long.select(row, F.col("doc_id").alias(key), F.posexplode(lines).alias(at, line))
+    hashed = each.withColumn("k", line_key(F.col(line))).select(row, key, at, line, F.when(F.char_length("k") >= min_chars, _hashed(F.col("k"))).alias("h"))
+    left = hashed.select(row, key, at, line, "h.h1", "h.h2").join(lost.join(sizes, key, "left_semi"), [key, "h1", "h2"], "left_anti")
+    left = left.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(at, line))).alias(kept))
+    long = long.join(left, row, "left").withColumn(kept, F.coalesce(F.col(kept)[line], F.array().cast("array<string>")))
+    return finished(short).unionByName(finished(long))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
