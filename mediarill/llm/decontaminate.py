@@ -56,30 +56,50 @@ def shingle_texts(text: Column) -> Column:
     return F.array_distinct(_let(_words(text), of))
 
 
+def size_class(n: Column) -> Column:
+    """The exponent of the power of two that ``n`` goes up to: 2 → 1, 3 and 4 → 2, 5 to 8 → 3."""
+    return F.length(F.bin(n.cast("long") - 1))
+
+
 def containment_index(items: DataFrame, percent: int = 75) -> DataFrame:
-    """``(h, item_id)``: the sketch of each benchmark item.
-
-    Items are parted by size, sizes up to a power of two together. A part's
-    sketch keeps each item's smallest hashes, as many as the part's largest
-    item may lack and one more: ``size * (100 - percent) / 100 + 1``. A
-    document that holds ``percent`` of an item's shingles then holds one of
-    its sketch at least, so the search misses nothing, and the sketch does
-    not depend on how long the document is.
+    """``(part, item_id, n, need, h)``: the MinHash signatures of the benchmark items, a row for each hash.
+
+    Items are parted by size, sizes up to a power of two together. A part
+    has one signature length: as many hashes as its largest size may lack,
+    and one more. An item's signature are its smallest hashes of that number
+    (a bottom-k MinHash sketch), or all if it has fewer. A document that
+    holds ``percent`` of an item lacks at most ``n * (100 - percent) / 100``
+    of its shingles, so it holds ``need`` of the signature at least, which
+    is one for the largest items of a part and more for the smaller ones.
+    That holds however long the document is, and misses nothing.
+    """
+    shingles = items.where("item_id is not null").select("item_id", F.explode(shingle_hashes(F.col("text"))).alias("h")).distinct()
+    sets = shingles.groupBy("item_id").agg(F.array_sort(F.collect_list("h")).alias("set")).withColumn("n", F.size("set"))
+    sets = sets.withColumn("part", size_class(F.col("n")))
+    most = F.floor(F.pow(F.lit(2.0), F.col("part")) * (100 - percent) / 100).cast("int") + 1
+    lacking = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
+    signature = F.slice("set", F.lit(1), most)
+    return sets.select("part", "item_id", "n", (F.size(signature) - lacking).alias("need"), F.explode(signature).alias("h"))
+
+
+def candidate_pairs(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``(doc_id, item_id)``: documents that hold ``need`` hashes of an item's signature in ``index``.
+
+    The index is a written table: Spark broadcasts it only if its size is
+    under the session's limit, and joins by shuffle otherwise. Hashes above
+    its largest never match and go before the join.
     """
-    sets = items.where("item_id is not null").select("item_id", shingle_hashes(F.col("text")).alias("set")).where("size(set) > 0")
-    upper = F.pow(F.lit(2), F.ceil(F.log2(F.size("set").cast("double")))).cast("int")
-    keep = (F.least(upper, F.size("set")) * (100 - percent) / 100).cast("int") + 1
-    return sets.select("item_id", F.explode(F.slice(F.array_sort("set"), F.lit(1), keep)).alias("h")).distinct()
+    top = index.agg(F.max("h").alias("top")).first()["top"]
+    probes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("h")).where(F.col("h") <= F.lit(top if top is not None else 0))
+    met = probes.join(index.select("item_id", "need", "h"), "h").groupBy("doc_id", "item_id").agg(F.size(F.collect_set("h")).alias("hits"), F.first("need").alias("need"))
+    return met.where("hits >= need").select("doc_id", "item_id")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """``(doc_id, item_id, n_item, n_shared, containment)``: items of which a document holds ``percent`` or more.
 
-    Candidates are documents that hold a hash of an item's sketch; the index
-    is written first, so that Spark broadcasts it only if its size is under
-    the session's limit, and joins by shuffle otherwise. Hashes above the
-    index's largest never match and go before the join. Candidates are then
-    compared shingle by shingle, as texts.
+    Candidates come from the size-partitioned signatures (containment_index),
+    and are then compared shingle by shingle, as texts.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; a set holds
     runs of five words, or all words as one if they are fewer. Null, empty
@@ -89,9 +109,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFr
     """
     docs, items = docs.select("doc_id", "text").where("doc_id is not null"), items.select("item_id", "text").where("item_id is not null")
     index = materialize(containment_index(items, percent), "index")
-    top = index.agg(F.max("h").alias("top")).first()["top"]
-    probes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("h")).where(F.col("h") <= F.lit(top if top is not None else 0))
-    candidates = materialize(probes.join(index, "h").select("doc_id", "item_id").distinct(), "candidates")
+    candidates = materialize(candidate_pairs(docs, index), "candidates")
 
     item_sets = items.select("item_id", F.explode(shingle_texts(F.col("text"))).alias("s")).distinct()
     sizes = item_sets.groupBy("item_id").agg(F.count("*").alias("n_item"))
