@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, new_path
+from .shared import discard, new_path, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -21,6 +21,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Nulls at either end and self loops: a null end drops the edge; a self
     loop gives its node a component of its own. Repeated edges change
     nothing. No edges: an empty table. Columns besides the two are ignored.
+    An error is raised if labels still change after ``max_rounds``; as they
+    jump over their own paths, long chains need some dozens.
     """
     spark = edges.sparkSession
     both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null")
@@ -43,5 +45,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         labels = spark.read.schema(first.schema).parquet(f"{root}/labels{i}")
         if labels.where("changed").isEmpty():
             discard(spark, f"{root}/edges")
+            written(spark, root)
             return labels.select("node", "component")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

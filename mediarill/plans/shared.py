@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -31,11 +34,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/mediarill-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+_scope: ContextVar[list[tuple[SparkSession, str, bool]] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside are deleted at the end, but for those that ``materialize`` was told to keep.
+
+    Kept ones belong to the scope around, if there is one. A DataFrame that
+    reads a deleted table fails, so what leaves the scope must read kept ones.
+    """
+    outer, made = _scope.get(), []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for spark, path, kept in made:
+            if not kept:
+                discard(spark, path)
+            elif outer is not None:
+                outer.append((spark, path, False))
+
+
+def written(spark: SparkSession, path: str, kept: bool = False) -> None:
+    """Tell the scope around of a table that was written to ``path``."""
+    made = _scope.get()
+    if made is not None:
+        made.append((spark, path, kept))
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, kept: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Lineage is cut, lost executors cost nothing, and the reread table has
-    exact sizes, so that Spark decides on broadcasts from facts.
+    exact sizes, so that Spark decides on broadcasts from facts. A ``scratch``
+    scope around deletes the table at its end unless it is ``kept``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -43,6 +77,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    written(spark, path, kept)
     # Stated, as a table without rows has no files to take a schema from; folders' columns come last.
     fields = sorted(df.schema.fields, key=lambda f: f.name in (partition_by or []))
     return spark.read.schema(StructType(fields)).parquet(path)
