@@ -6,7 +6,6 @@ import html as entities
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,42 +27,95 @@ MAIN_NAMES = ["article", "main", "content", "post", "entry", "story", "body-text
 OTHER_NAMES = [
     "nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "sidebar", "side", "widget", "navbar", "navigation", "breadcrumb",
     "breadcrumbs", "toc", "comment", "comments", "comment-list", "discussion", "replies", "disqus", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "related",
-    "recommended", "share", "social", "tags", "pagination", "copyright", "legal", "topbar", "masthead", "toolbar",
+    "recommended", "share", "social", "tags", "pagination", "copyright", "legal", "topbar", "masthead", "toolbar", "author", "bio",
 ]
 _MAIN, _OTHER = frozenset(MAIN_NAMES), frozenset(OTHER_NAMES)
+# Elements that hold other blocks rather than one text.
+BOXES = frozenset("html body div section article main aside nav header footer form table tbody tr td th ul ol dl figure details dialog center fieldset".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
-PATH, WORDS, COUNTS = 320, 32, 8
+PATH, WORDS, COUNTS = 256, 64, 16
 WIDTH = PATH + WORDS + COUNTS
 
 
-@dataclass
+class _Node:
+    """An element on the way to a block: its names and what it encloses. Nodes know their parent, so a block needs only one."""
+
+    __slots__ = ("tag", "names", "up", "root", "box", "depth", "chars", "linked", "blocks", "total", "weak")
+
+    def __init__(self, tag: str, names: tuple[str, ...], up: _Node | None):
+        self.tag, self.names, self.up = tag, names, up
+        self.depth = up.depth + 1 if up else 0
+        self.root = up.root if up else self
+        self.box = self if up is None or tag in BOXES else up.box
+        self.chars = self.linked = self.blocks = self.total = 0
+        # The weak label: 1 below something named as main, 0 below something named as not, the inner name deciding; None if nothing is named.
+        self.weak = 0 if any(n in _OTHER for n in names) else 1 if any(n in _MAIN for n in names) else up.weak if up else None
+
+
 class Block:
-    """A leaf of the page: its text, the names on the way to it, and how much of it is link."""
+    """A leaf of the page: its text, the element it stands in, how much of it is link, and its tag path as hashed features."""
+
+    __slots__ = ("text", "node", "linked", "path")
+
+    def __init__(self, text: str, node: _Node, linked: float, path: np.ndarray):
+        self.text, self.node, self.linked, self.path = text, node, linked, path
+
+    @property
+    def tag(self) -> str:
+        return self.node.tag
 
-    text: str
-    names: tuple[str, ...]
-    tag: str
-    linked: float = 0.0
+    @property
+    def names(self) -> tuple[str, ...]:
+        """Names of the innermost element."""
+        return self.node.names
 
 
-@dataclass
-class _Open:
-    tag: str
-    names: tuple[str, ...] = field(default_factory=tuple)
+class _Path:
+    """The elements that are open, and a hashed vector of their names, each counted once, kept up as they open and close."""
+
+    def __init__(self):
+        self.stack = [_Node("", (), None)]
+        self.times: dict[str, int] = {}
+        self.sum = np.zeros(PATH, np.int32)
+        self.shown: np.ndarray | None = None
+
+    def _turn(self, names: tuple[str, ...], by: int) -> None:
+        for name in names:
+            had = self.times.get(name, 0)
+            self.times[name] = had + by
+            if had == (0 if by > 0 else 1):
+                for place, sign in _slot(name):
+                    self.sum[place] += by * sign
+                self.shown = None
+
+    def open(self, tag: str, names: tuple[str, ...]) -> None:
+        self.stack.append(_Node(tag, names, self.stack[-1]))
+        self._turn(names, 1)
+
+    def close(self) -> None:
+        self._turn(self.stack.pop().names, -1)
+
+    def vector(self) -> np.ndarray:
+        if self.shown is None:
+            self.shown = np.clip(self.sum, -9, 9).astype(np.int8)
+        return self.shown
 
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf sequence of a page: runs of text between block elements, in page order.
 
     Comments, declarations, scripts, styles and the like are passed over; unclosed
-    and stray tags are put up with; character references are decoded; white
-    space is made single. Runs without text are left out.
+    and stray tags are put up with; character references are decoded, but not
+    in CDATA sections; white space is made single. Runs without text are left
+    out. Time and memory grow with the page's length, however deep it is.
     """
-    stack: list[_Open] = []
+    path = _Path()
+    open_tags: dict[str, int] = {}
+    endless: set[str] = set()
     out: list[Block] = []
     run: list[str] = []
     linked, anchors = 0, 0
@@ -72,37 +124,44 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(run).split())
         if text:
-            inner = next((o.tag for o in reversed(stack)), "")
-            out.append(Block(text, tuple(n for o in stack for n in o.names), inner, min(1.0, linked / len(text))))
+            node = path.stack[-1]
+            out.append(Block(text, node, min(1.0, linked / len(text)), path.vector()))
+            box, node.root.total = node.box, node.root.total + len(text)
+            box.chars, box.linked, box.blocks = box.chars + len(text), box.linked + min(linked, len(text)), box.blocks + 1
         run.clear()
         linked = 0
 
-    def add(raw: str) -> None:
+    def add(text: str) -> None:
         nonlocal linked
-        text = entities.unescape(raw)
         run.append(text)
         if anchors:
             linked += len(text.strip())
 
+    def close() -> None:
+        open_tags[path.stack[-1].tag] -= 1
+        path.close()
+
     at = 0
     while (m := _TAG.search(page, at)) is not None:
         if m.start() > at:
-            add(page[at : m.start()])
+            add(entities.unescape(page[at : m.start()]))
         at = m.end()
-        if m[0].startswith("<![CDATA["):
-            add(m[0][9:-3])
+        if m[1] is not None:
+            add(m[1])
             continue
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
+        closing, attrs = m[2] or m[5], m[4] or m[7] or ""
         if tag in RAW:
-            if not closing and not attrs.endswith("/"):
+            if not closing and not attrs.endswith("/") and tag not in endless:
                 end = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.IGNORECASE).search(page, at)
                 if end:
                     at = end.end()
                 elif tag in ("script", "style"):
                     at = len(page)
+                else:
+                    endless.add(tag)
             continue
         if tag == "br":
             run.append(" ")
@@ -113,60 +172,67 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             anchors = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if open_tags.get(tag):
+                    while path.stack[-1].tag != tag:
+                        close()
+                    close()
             elif tag not in VOID:
-                while stack and stack[-1].tag in CLOSED_BY_BLOCK:
-                    stack.pop()
-                if tag in ALIKE and stack and stack[-1].tag in ALIKE[tag]:
-                    stack.pop()
+                while path.stack[-1].tag in CLOSED_BY_BLOCK:
+                    close()
+                if tag in ALIKE and path.stack[-1].tag in ALIKE[tag]:
+                    close()
                 words = [w for a in _ATTR.finditer(attrs) for w in _NAMES.findall((a[2] or a[3] or a[4] or "").lower())]
                 parts = [p for w in words if "-" in w for p in w.split("-")]
-                stack.append(_Open(tag, (tag, *words, *parts)))
+                path.open(tag, tuple(dict.fromkeys((tag, *words, *parts))))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(page):
-        add(page[at:])
+        add(entities.unescape(page[at:]))
     flush()
     return out
 
 
-def weak_label(names: tuple[str, ...]) -> int | None:
-    """1 below something named as main, 0 below something named as not; the not wins; None if nothing is named."""
-    inside = [n for n in names if n in _MAIN or n in _OTHER]
-    if any(n in _OTHER for n in inside[-3:]) or "head" in inside:
-        if not (inside and inside[-1] in _MAIN and inside[-1] != "text"):
-            return 0
-    return 1 if any(n in _MAIN for n in inside) else 0 if inside else None
-
+_slots: dict[str, list[tuple[int, int]]] = {}
 
-_slots: dict[str, list[tuple[int, float]]] = {}
 
-
-def _slot(name: str) -> list[tuple[int, float]]:
+def _slot(name: str) -> list[tuple[int, int]]:
     """Three places and signs of a name in the path vector."""
     found = _slots.get(name)
     if found is None:
         h = [zlib.crc32(f"{k}{name}".encode("utf-8", "surrogatepass")) for k in range(3)]
-        found = [(x % PATH, 1.0 if x >> 31 else -1.0) for x in h]
+        found = [(x % PATH, 1 if x >> 31 else -1) for x in h]
         if len(_slots) < 100_000:
             _slots[name] = found
     return found
 
 
-def vectors_of(blocks: list[Block]) -> np.ndarray:
-    """Tag-path, hashed-word and count vectors of a leaf sequence, one row a block."""
-    x = np.zeros((len(blocks), WIDTH), np.float32)
+def _named(node: _Node) -> _Node:
+    """The innermost element around that has a class or id, or is more than a plain box; within ten steps."""
+    for _ in range(10):
+        if node.up is None or len(node.names) > 1 or (node.tag in _MAIN or node.tag in _OTHER):
+            return node
+        node = node.up
+    return node
+
+
+def vectors_of(blocks: list[Block], a: int = 0, b: int | None = None) -> np.ndarray:
+    """Tag-path, hashed-word and count vectors of the blocks ``a`` up to ``b`` of a leaf sequence, one row a block."""
     n = max(1, len(blocks))
-    for i, b in enumerate(blocks):
-        for name in {*b.names, "@" + b.tag}:
+    own = blocks[a:b]
+    x = np.zeros((len(own), WIDTH), np.float32)
+    for i, t in enumerate(own):
+        x[i, :PATH] = t.path
+        node, box = t.node, t.node.box
+        for name in ("@" + t.tag, "^" + (node.up.tag if node.up else ""), *["%" + m for m in _named(node).names]):
             for place, sign in _slot(name):
                 x[i, place] += sign
-        words = b.text.split()
-        places = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in words], np.int64)
-        x[i, PATH : PATH + WORDS] = np.bincount(places, minlength=WORDS) / max(1, len(words))
-        stops = sum(b.text.count(c) for c in ".!?,;")
-        x[i, PATH + WORDS :] = (np.log1p(len(words)) / 4, np.log1p(len(b.text)) / 6, b.linked, stops / max(1, len(words)), i / n, 1 - i / n, len(b.names) / 10, float(b.text[-1] in ".!?"))
+        words = t.text.split()
+        places = np.array([zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS for w in words], np.int64)
+        x[i, PATH : PATH + WORDS] = 2 * np.bincount(places, minlength=WORDS) / max(1, len(words))
+        stops = sum(t.text.count(c) for c in ".!?,;")
+        x[i, PATH + WORDS :] = (
+            np.log1p(len(words)) / 4, np.log1p(len(t.text)) / 6, t.linked, stops / max(1, len(words)), (a + i) / n, 1 - (a + i) / n, min(30, node.depth) / 10, float(t.text[-1] in ".!?:"),
+            np.log1p(box.chars) / 8, box.linked / max(1, box.chars), np.log1p(box.blocks) / 4, box.chars / node.root.total, float(any(c.isdigit() for c in t.text[:40])), float(len(words) <= 4), float(node.weak == 1), float(node.weak == 0),
+        )
     return x
 
 
@@ -193,8 +259,10 @@ class BiLstm:
 
     def _run(self, x: np.ndarray, on: np.ndarray, d: str, keep: bool):
         """States along axis 0 for one direction; blocks that are off leave the state as it is."""
-        steps, batch, h = x.shape[0], x.shape[1], self.hidden
-        z = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
+        return self._run_on(x @ self.p[f"W{d}"] + self.p[f"c{d}"], on, d, keep)
+
+    def _run_on(self, z: np.ndarray, on: np.ndarray, d: str, keep: bool):
+        steps, batch, h = z.shape[0], z.shape[1], self.hidden
         hs = np.zeros((steps, batch, h), np.float32)
         s, c = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
         kept = []
@@ -237,7 +305,7 @@ class BiLstm:
                 ds = np.where(m, zi @ self.p[f"U{d}"].T, ds)
                 dc = np.where(m, c2 * f, dc)
             g[f"U{d}"] = gu
-            g[f"W{d}"] = np.einsum("tbd,tbz->dz", x, dz, optimize=True)
+            g[f"W{d}"] = x.reshape(-1, WIDTH).T @ dz.reshape(-1, 4 * h)
             g[f"c{d}"] = dz.sum((0, 1))
         return g
 
@@ -263,8 +331,12 @@ class BiLstm:
                     v -= lr * (m1[key] / (1 - 0.9**step)) / (np.sqrt(m2[key] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def label(self, pages: list[np.ndarray], cells: int = 40_000) -> list[np.ndarray]:
-        """Main or not for each block of each page; pages of similar length are read together."""
+    def label(self, pages: list[list[Block]], cells: int = 12_000, piece: int = 1024) -> list[np.ndarray]:
+        """Main or not for each block of each page; pages of similar length are read together.
+
+        Inputs are worked out ``piece`` blocks at a time, for long pages once for
+        each direction, so that a page takes some hundred bytes a block.
+        """
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         k = 0
@@ -272,10 +344,24 @@ class BiLstm:
             end = k + 1
             while end < len(order) and (end - k + 1) * len(pages[order[end]]) <= cells:
                 end += 1
-            x, on = _stacked([pages[i] for i in order[k:end]])
-            q, _ = self.forward(x, on)
+            some = [pages[i] for i in order[k:end]]
+            on = np.zeros((len(some[-1]), len(some)), bool)
+            score = np.full(on.shape, self.p["o"][0], np.float32)
+            for ways in ("fb",) if on.size <= cells else ("f", "b"):
+                z = {d: np.zeros((*on.shape, 4 * self.hidden), np.float32) for d in ways}
+                for j, page in enumerate(some):
+                    on[: len(page), j] = True
+                    for a in range(0, len(page), piece):
+                        x = vectors_of(page, a, a + piece)
+                        for d in ways:
+                            z[d][a : a + len(x), j] = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
+                        if "f" in ways:
+                            score[a : a + len(x), j] += x @ self.p["S"]
+                for d in ways:
+                    part = slice(0, self.hidden) if d == "f" else slice(self.hidden, None)
+                    score += self._run_on(z.pop(d), on, d, False)[0] @ self.p["V"][part]
             for j, i in enumerate(order[k:end]):
-                out[i] = q[: len(pages[i]), j] >= 0.5
+                out[i] = score[: len(pages[i]), j] >= 0
             k = end
         return out
 
@@ -288,55 +374,194 @@ def _stacked(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, on
 
 
-def _variant(blocks: list[Block], labels: list[int | None], rng: np.random.Generator, strangers: list[str]) -> tuple[list[Block], list[int | None]]:
-    """A page of another make: its main part and its rest under other names, with strange blocks before, in and behind."""
-    pick = lambda names: names[int(rng.integers(len(names)))]
-    box = pick(["div", "section", "td", "div", "article", "main"])
-    main = tuple(x for x in (box, pick([*MAIN_NAMES, "", ""])) if x)
-    new, marks = [], []
-
-    def stranger(inside: tuple[str, ...]) -> None:
-        name = pick(OTHER_NAMES)
-        holder = (*inside, pick(["div", "section", "ul", "aside", name]), name)
-        for _ in range(int(rng.integers(1, 6))):
-            text = pick(strangers)
-            cut = text.split()[: int(rng.integers(2, 60))]
-            new.append(Block(" ".join(cut) or text, ("html", "body", *holder, *[pick(["p", "li", "div"])] * int(rng.integers(0, 2))), pick(["p", "li", "div"]), float(rng.random() < 0.3)))
-            marks.append(0)
-
-    for _ in range(int(rng.integers(0, 3))):
-        stranger(())
-    for b, y in zip(blocks, labels, strict=True):
-        if y == 1:
-            inner = b.names[-1:] if b.names else ()
-            new.append(Block(b.text, ("html", "body", *[n for n in ("div",) if rng.random() < 0.4], *main, *inner), b.tag, b.linked))
-            marks.append(1)
-            if rng.random() < 0.04:
-                stranger(main)
-        else:
-            new.append(b)
-            marks.append(y)
-    for _ in range(int(rng.integers(1, 5))):
-        stranger(main if rng.random() < 0.3 else ())
-    return new, marks
+# Words that layouts are made with, in classes and ids and in labels of boxes.
+NEUTRAL = ["wrapper", "container", "page", "row", "col", "layout", "site", "inner", "grid", "block", "box", "section", "area", "panel", "center", "left", "right", "cell"]
+_SAID = {
+    "reply": ["Reply", "Antworten", "Répondre", "Responder", "Report", "Like", "Permalink"],
+    "comments": ["Comments", "Kommentare", "Commentaires", "Comentarios", "comments", "Responses", "Leave a comment", "Join the discussion"],
+    "form": ["Your name", "E-mail", "Send", "Subscribe", "Search", "Sign up", "Log in", "Submit"],
+    "notice": ["We use cookies.", "Accept all", "This site uses cookies to give you the best experience.", "Please enable notifications.", "Subscribe to our newsletter", "Get the latest news by e-mail."],
+    "legal": ["All rights reserved.", "© 2024", "Terms of use", "Privacy policy", "Imprint", "Contact", "Copyright"],
+    "more": ["Read more", "Related articles", "You may also like", "Most read", "Share this", "Next page", "Previous", "Home", "About us"],
+    "author": ["About the author", "Written by", "Follow on social media"],
+}
+#: Marks before a text of a made-up page: characters for private use, main and not.
+_MARK = {1: "\ue000", 0: "\ue001"}
+
 
+class _Layouts:
+    """Made-up pages: texts of known labels under other elements and other names, in other orders.
 
-def train_labeller(pages: list[str], variants: int = 5, window: int = 48, seed: int = 3) -> BiLstm:
-    """Fit the labeller on the weak labels of pages and of variants of them."""
+    Main parts hold headings, paragraphs, lists, tables, quotations, code and
+    captions. Names are those of MAIN_NAMES and OTHER_NAMES, neutral ones,
+    invented ones or none, so that place, length and links must count too.
+    """
+
+    def __init__(self, main: list[str], other: list[str], rng: np.random.Generator):
+        self.main, self.other, self.rng = main, other or main, rng
+
+    def pick(self, items):
+        return items[int(self.rng.integers(len(items)))]
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def invented(self) -> str:
+        return "".join(self.pick(["ba", "ro", "ti", "ku", "ven", "lo", "mi", "zar", "pel", "du"]) for _ in range(int(self.rng.integers(2, 4))))
+
+    def words(self, texts: list[str], low: int, high: int) -> str:
+        w = self.pick(texts).split()
+        n = int(self.rng.integers(low, high + 1))
+        a = int(self.rng.integers(0, max(1, len(w) - n)))
+        return entities.escape(" ".join(w[a : a + n]) or "x", quote=False)
+
+    def name(self, listed: list[str], how: str) -> str:
+        kind = {"listed": lambda: self.pick(listed), "neutral": lambda: self.pick(NEUTRAL), "invented": self.invented, "none": lambda: ""}[how]()
+        return f' {self.pick(["class", "id"])}="{kind}"' if kind else ""
+
+    def how(self) -> str:
+        return str(self.rng.choice(["listed", "neutral", "invented", "none"], p=[0.4, 0.15, 0.2, 0.25]))
+
+    def el(self, tag: str, inside: str, attrs: str = "") -> str:
+        return f"<{tag}{attrs}>{inside}</{tag}>"
+
+    def piece(self, y: int) -> str:
+        """A part of a main text, or of a text that looks like one."""
+        mark, main = _MARK[y], self.main
+        long, short = (lambda: mark + self.words(main, 12, 90)), (lambda: mark + self.words(main, 2, 9))
+        kind = int(self.rng.choice(12, p=[0.36, 0.1, 0.1, 0.08, 0.06, 0.06, 0.06, 0.05, 0.04, 0.03, 0.03, 0.03]))
+        if kind == 0:
+            text = long()
+            return self.el("p", text + (f' <a href="#">{self.words(main, 1, 3)}</a> ' + self.words(main, 3, 20) if self.chance(0.2) else ""))
+        if kind == 1:
+            return self.el(self.pick(["h2", "h3", "h4", "h5", "h6"]), short())
+        if kind == 2:
+            tag = self.pick(["ul", "ol"])
+            return self.el(tag, "".join(self.el("li", (long if self.chance(0.4) else short)()) for _ in range(int(self.rng.integers(2, 6)))))
+        if kind == 3:
+            rows = int(self.rng.integers(2, 5))
+            cells = int(self.rng.integers(2, 4))
+            return self.el("table", "".join(self.el("tr", "".join(self.el("th" if r == 0 and self.chance(0.6) else "td", mark + self.words(main, 1, 6)) for _ in range(cells))) for r in range(rows)))
+        if kind == 4:
+            return self.el("blockquote", self.el("p", long()) if self.chance(0.6) else long())
+        if kind == 5:
+            return self.el("pre", self.el("code", short()) if self.chance(0.5) else long())
+        if kind == 6:
+            return self.el("figure", self.el("figcaption", short()))
+        if kind == 7:
+            return self.el("dl", self.el("dt", short()) + self.el("dd", long()))
+        if kind == 8:
+            return self.el("div", long() + "<br><br>" + self.words(main, 5, 40))
+        if kind == 9:
+            return self.el("section", self.el("h2", short()) + self.el("p", long()), self.name(MAIN_NAMES, self.pick(["none", "neutral", "invented"])))
+        if kind == 10:
+            return self.el("p", short())
+        return self.el("address", short()) if y == 0 else self.el("p", short() + ":") + self.el("ul", "".join(self.el("li", short()) for _ in range(3)))
+
+    def links(self, n: int, tag: str = "li") -> str:
+        return "".join(self.el(tag, f'<a href="/x">{_MARK[0]}{self.words(self.other, 1, 5)}</a>') for _ in range(n))
+
+    def outside(self, kind: str) -> str:
+        """A part that is not main: ``top``, ``side``, ``inner`` (in the main part), ``after`` or ``bottom``."""
+        m, r = _MARK[0], self.rng
+        tag = {"top": ["header", "nav", "div", "div", "table"], "side": ["aside", "div", "div", "section"], "inner": ["aside", "div", "div", "form", "figure"], "after": ["section", "div", "div", "aside"], "bottom": ["footer", "footer", "div", "div"]}[kind]
+        tag, said = self.pick(tag), (lambda key: m + self.pick(_SAID[key]))
+        how = "listed" if kind == "inner" and tag in ("div", "figure") else self.how()
+        attrs = self.name(OTHER_NAMES, how)
+        if tag == "table":
+            return self.el("table", self.el("tr", self.links(int(r.integers(3, 8)), "td")), attrs)
+        n = int(r.integers(2, 9))
+        choice = r.random() if kind != "inner" or self.chance(0.5) else 1.0
+        if kind in ("top", "bottom") or choice < 0.25:
+            inside = self.el("ul", self.links(n)) if self.chance(0.6) else "".join(f'<a href="/y">{m}{self.words(self.other, 1, 3)}</a> ' for _ in range(n))
+            if kind == "top" and self.chance(0.5):
+                inside = self.el(self.pick(["h1", "div", "p", "span"]), m + self.words(self.other, 1, 5)) + inside
+            if kind == "bottom":
+                inside += self.el(self.pick(["p", "div", "small"]), said("legal") + " " + self.words(self.other, 3, 20))
+        elif kind == "after" and choice < 0.6:  # what readers say
+            inside = self.el(self.pick(["h2", "h3", "p"]), f"{m}{int(r.integers(1, 40))} {self.pick(_SAID['comments'])}" if self.chance(0.5) else said("comments"))
+            for _ in range(int(r.integers(1, 5))):
+                head = self.el(self.pick(["b", "div", "span", "h4"]), m + self.words(self.other, 1, 2) + (f", {int(r.integers(1, 29))}.{int(r.integers(1, 12))}.2024" if self.chance(0.6) else ""))
+                foot = f'<a href="#">{said("reply")}</a>' if self.chance(0.7) else ""
+                inside += self.el(self.pick(["div", "li", "article", "div"]), head + self.el(self.pick(["p", "div"]), m + self.words(self.main, 3, 45)) + foot, self.name(["comment", "reply", "comment-body"], self.pick(["listed", "none", "invented"])))
+        elif kind == "after" and choice < 0.8:
+            inside = self.el(self.pick(["h3", "p", "div"]), said("author") + " " + self.words(self.other, 1, 2)) + self.el("p", m + self.words(self.main, 8, 30))
+            attrs = self.name(["author", "bio", "about-author", "author-box"], self.pick(["listed", "none", "invented"]))
+        elif choice < 0.5:
+            inside = self.el(self.pick(["h3", "h4", "p"]), said("more")) + self.el("ul", self.links(n))
+        elif choice < 0.65:
+            return self.el("form", self.el("label", said("form")) + f"<input>{said('form')}" + self.el("button", said("form")), attrs)
+        elif choice < 0.8:
+            inside = self.el("p", said("notice")) + self.el("button", said("form"))
+        elif how == "listed" or tag == "aside":
+            text = m + self.words(self.pick([self.other, self.main]), 4, 30)
+            inside = self.el(self.pick(["p", "div"]), text) if self.chance(0.6) else text
+        else:
+            inside = self.el("p", f'<a href="http://x">{m}{self.words(self.other, 4, 20)}</a>')
+        return self.el(tag, inside, attrs)
+
+    def page(self) -> str:
+        r = self.rng
+        box, how = self.pick(["article", "main", "div", "div", "div", "section", "td"]), self.how()
+        body = self.el(self.pick(["h1", "h1", "h2"]), _MARK[1] + self.words(self.main, 3, 14)) if self.chance(0.85) else ""
+        for _ in range(int(r.integers(3, 14))):
+            body += self.piece(1)
+            if self.chance(0.08):
+                body += self.outside("inner")
+        attrs = self.name(MAIN_NAMES, how if box in ("div", "section", "td") else self.pick(["none", "none", how]))
+        if self.chance(0.3):
+            body = self.el("div", body, self.name(MAIN_NAMES, self.how()))
+        if self.chance(0.2):
+            body += self.outside("after")
+        main = self.el(box, body, attrs)
+        sides = "".join(self.outside("side") for _ in range(int(r.integers(0, 3))))
+        middle = main + sides if self.chance(0.6) else sides + main
+        middle += "".join(self.outside("after") for _ in range(int(r.integers(0, 3)))) if self.chance(0.5) else ""
+        if box == "td":
+            middle = self.el("table", self.el("tr", (self.el("td", sides) if self.chance(0.5) else "") + main))
+        for _ in range(int(r.integers(0, 3))):
+            middle = self.el("div", middle, self.name(NEUTRAL, self.pick(["neutral", "none", "invented"])))
+        top = "".join(self.outside("top") for _ in range(int(r.integers(0, 3))))
+        if self.chance(0.3):
+            top += self.el("div", self.el("p", _MARK[0] + self.pick(_SAID["notice"])), self.name(OTHER_NAMES, self.how()))
+        end = "".join(self.outside("after") for _ in range(int(r.integers(0, 3)))) + "".join(self.outside("bottom") for _ in range(int(r.integers(0, 2))))
+        title = self.el("head", self.el("title", _MARK[0] + self.words(self.main, 3, 12))) if self.chance(0.7) else ""
+        return f"<html>{title}<body>{top}{middle}{end}</body></html>"
+
+    def labelled(self) -> tuple[list[Block], list[int]]:
+        blocks = blocks_of(self.page())
+        marks = [0 if _MARK[0] in b.text else 1 for b in blocks]
+        for b in blocks:
+            b.text = " ".join(b.text.replace(_MARK[0], "").replace(_MARK[1], "").split()) or "x"
+        return blocks, marks
+
+
+def train_labeller(pages: list[str], made: int = 500, window: int = 64, rounds: int = 8, most_texts: int = 20_000, seed: int = 3) -> BiLstm:
+    """Fit the labeller on the weak labels of ``pages`` and on ``made`` pages of other makes from their texts.
+
+    At most ``most_texts`` texts of each label go into the made-up pages; a
+    page gives its first, last and one more window of blocks.
+    """
     rng = np.random.default_rng(seed)
     parsed = [b for b in map(blocks_of, pages) if b]
-    strangers = [b.text for p in parsed for b in p][:20_000]
-    data = []
+    data, main, other = [], [], []
+
+    def add(blocks: list[Block], marks: list[int | None]) -> None:
+        starts = list(range(0, len(blocks), window))
+        for a in {starts[0], starts[-1], starts[int(rng.integers(len(starts)))]}:
+            y = np.array([m or 0 for m in marks[a : a + window]], np.float32)
+            data.append((vectors_of(blocks, a, a + window), y, np.array([m is not None for m in marks[a : a + window]], np.float32)))
+
     for blocks in parsed:
-        labels = [weak_label(b.names) for b in blocks]
-        for k in range(1 + variants):
-            own, marks = (blocks, labels) if k == 0 else _variant(blocks, labels, rng, strangers)
-            x = vectors_of(own)
-            y = np.array([m or 0 for m in marks], np.float32)
-            sure = np.array([m is not None for m in marks], np.float32)
-            starts = list(range(0, len(own), window))
-            data += [(x[a : a + window], y[a : a + window], sure[a : a + window]) for a in {starts[0], starts[-1], starts[int(rng.integers(len(starts)))]}]
-    return BiLstm().fit(data) if data else BiLstm()
+        labels = [b.node.weak for b in blocks]
+        add(blocks, labels)
+        main += [b.text for b, y in zip(blocks, labels, strict=True) if y == 1]
+        other += [b.text for b, y in zip(blocks, labels, strict=True) if y == 0]
+    if main:
+        layouts = _Layouts(main[:most_texts], other[:most_texts], rng)
+        for _ in range(made):
+            add(*layouts.labelled())
+    return BiLstm().fit(data, rounds) if data else BiLstm()
 
 
 def extract_main_text(pages: DataFrame, labeller: BiLstm) -> DataFrame:
@@ -353,7 +578,7 @@ def extract_main_text(pages: DataFrame, labeller: BiLstm) -> DataFrame:
         for whole in batches:
             for batch in _slices(whole, "html"):
                 parsed = [blocks_of(h or "") for h in batch.column("html").to_pylist()]
-                main = model.value.label([vectors_of(b) for b in parsed])
+                main = model.value.label(parsed)
                 texts = [" ".join(x.text for x, on in zip(b, m, strict=True) if on) for b, m in zip(parsed, main, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], [*names, "text"])
 
