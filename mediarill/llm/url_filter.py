@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.shared import materialize
+from ..plans.shared import materialize, scratch
 from .lines import ascii_lower
 
 # The rules of the registered query, as (verdict, host, path).
@@ -93,17 +93,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     Empty tables give empty results; other columns are not looked at.
     """
     pages = pages.select("page_id", "url", "html")
-    edges = materialize(alias_edges(pages), "alias_edges")
-    groups = connected_components(edges)
-    urls = pages.select("url").where("url is not null").distinct()
-    ruled = materialize(matched_rules(urls, rules), "ruled")
-    nodes = groups.select(F.col("node").alias("url"))
-    of_nodes = matched_rules(nodes, rules).select(F.col("url").alias("node"), "action")
-    decided = groups.join(of_nodes, "node").groupBy("component").agg(F.min("action").alias("group_action"))
-    grouped = materialize(groups.join(decided, "component").select("node", "group_action"), "grouped")
-
-    out = pages.select("page_id", "url").join(ruled, "url", "left")
-    out = out.withColumn("node", node_of(F.col("url"))).join(grouped, "node", "left")
+    with scratch():
+        groups = connected_components(materialize(alias_edges(pages), "alias_edges"))
+        urls = pages.select("url").where("url is not null").distinct()
+        ruled = materialize(matched_rules(urls, rules), "ruled", kept=True)
+        nodes = groups.select(F.col("node").alias("url"))
+        of_nodes = matched_rules(nodes, rules).select(F.col("url").alias("node"), "action")
+        decided = groups.join(of_nodes, "node").groupBy("component").agg(F.min("action").alias("group_action"))
+        grouped = materialize(groups.join(decided, "component").select("node", "group_action"), "grouped", kept=True)
+    # Tables of URLs unfold to a multiple of their files' size and grow with the pages: merged, never broadcast.
+    out = pages.select("page_id", "url").join(ruled.hint("merge"), "url", "left")
+    out = out.withColumn("node", node_of(F.col("url"))).join(grouped.hint("merge"), "node", "left")
     verdict = F.coalesce("action", "group_action", F.lit("allow"))
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", verdict.alias("verdict"))
 
