@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from ..plans.shared import materialize, scratch
 from .lines import ascii_lower
 
 # Fixed value: a word is a run of anything but ASCII white space.
@@ -108,8 +108,9 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFr
     items or no documents: an empty table. Other columns are not looked at.
     """
     docs, items = docs.select("doc_id", "text").where("doc_id is not null"), items.select("item_id", "text").where("item_id is not null")
-    index = materialize(containment_index(items, percent), "index")
-    candidates = materialize(candidate_pairs(docs, index), "candidates")
+    with scratch():
+        index = materialize(containment_index(items, percent), "index")
+        candidates = materialize(candidate_pairs(docs, index), "candidates", kept=True)
 
     item_sets = items.select("item_id", F.explode(shingle_texts(F.col("text"))).alias("s")).distinct()
     sizes = item_sets.groupBy("item_id").agg(F.count("*").alias("n_item"))

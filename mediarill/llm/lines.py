@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import discard, materialize, new_path
+from ..plans.shared import discard, materialize, new_path, scratch
 
 # The characters stripped from a line's ends, and the letters that are lower-cased.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -193,7 +193,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     """
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key, drop, kept, row, at, line = (_free_name(docs.columns, n) for n in ("key", "drop", "kept", "row", "at", "line"))
-    lost = materialize(repeated_lines(docs, min_chars, min_docs, batches, fanout), "drops")
+    with scratch():
+        lost = materialize(repeated_lines(docs, min_chars, min_docs, batches, fanout), "drops", kept=True)
     sizes = materialize(lost.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > many).select(F.col("doc_id").alias(key)), "many")
     rows, lines = docs.select(*others), F.split(F.coalesce("text", F.lit("")), "\n")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
+from ..plans.shared import materialize, scratch
 
 CELLS = "block long, dims int, keys binary, ids binary, low binary, step binary, cells binary"
 QUERIES = "block long, dims int, ids binary, exact binary"
@@ -172,29 +172,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     whole = usable(vectors).select("vec_id", _whole(F.col("embedding"), scale).alias("e"))
     whole = whole.withColumn("n", F.row_number().over(Window.partitionBy("e", "vec_id").orderBy("vec_id"))).where(F.col("n") <= k)
     whole = whole.withColumn("n", F.dense_rank().over(Window.partitionBy("e").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    exact = materialize(whole.select(F.monotonically_increasing_id().alias("key"), "vec_id", "e"), "exact")
-    names = [f.split()[0] for f in CELLS.split(", ")]
-    file = materialize(exact.mapInArrow(_packed(_cells, block, ["key", "vec_id"], names), CELLS), "approximation")
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(F.col("vec_id").alias("query_id"), _whole(F.col("embedding"), scale).alias("e"))
-    asked = materialize(asked, "queries")
-    names = [f.split()[0] for f in QUERIES.split(", ")]
-    packed = materialize(asked.mapInArrow(_packed(lambda ids, m: [ids, m], query_block, ["query_id"], names), QUERIES), "query_blocks")
-
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_file, n_asked = file.count(), packed.count()
-    over, down = max(1, min(n_file, parallel), -(-n_file // blocks_a_group)), max(1, -(-n_asked // blocks_a_group))
-    group = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = packed.select(group(down).alias("q_group"), every(over).alias("group"), "dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("exact").alias("q"))
-    right = file.withColumn("group", group(over)).select("group", every(down).alias("q_group"), "dims", "keys", "ids", "low", "step", "cells")
-    pairs = left.join(right, ["q_group", "group", "dims"]).drop("q_group", "group")
-    found = materialize(pairs.mapInArrow(lambda batches: _scan(batches, k), FOUND), "found")
-
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"), "key"))).where(F.col("n") <= k)
-    floors = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor"))
-    near = found.join(floors, "query_id").where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "key")))
-    near = materialize(near.select("query_id", "key", "upper", "place"), "near")
+    with scratch():
+        exact = materialize(whole.select(F.monotonically_increasing_id().alias("key"), "vec_id", "e"), "exact", kept=True)
+        names = [f.split()[0] for f in CELLS.split(", ")]
+        file = materialize(exact.mapInArrow(_packed(_cells, block, ["key", "vec_id"], names), CELLS), "approximation")
+        asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(F.col("vec_id").alias("query_id"), _whole(F.col("embedding"), scale).alias("e"))
+        asked = materialize(asked, "queries", kept=True)
+        names = [f.split()[0] for f in QUERIES.split(", ")]
+        packed = materialize(asked.mapInArrow(_packed(lambda ids, m: [ids, m], query_block, ["query_id"], names), QUERIES), "query_blocks")
+
+        parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_file, n_asked = file.count(), packed.count()
+        over, down = max(1, min(n_file, parallel), -(-n_file // blocks_a_group)), max(1, -(-n_asked // blocks_a_group))
+        group = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = packed.select(group(down).alias("q_group"), every(over).alias("group"), "dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("exact").alias("q"))
+        right = file.withColumn("group", group(over)).select("group", every(down).alias("q_group"), "dims", "keys", "ids", "low", "step", "cells")
+        pairs = left.join(right, ["q_group", "group", "dims"]).drop("q_group", "group")
+        found = materialize(pairs.mapInArrow(lambda batches: _scan(batches, k), FOUND), "found")
+
+        best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"), "key"))).where(F.col("n") <= k)
+        floors = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor"))
+        near = found.join(floors, "query_id").where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "key")))
+        near = materialize(near.select("query_id", "key", "upper", "place"), "near", kept=True)
 
     def scored(some: DataFrame) -> DataFrame:
         both = some.select("query_id", "key").join(exact, "key").join(asked.withColumnRenamed("e", "q"), "query_id")

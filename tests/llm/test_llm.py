@@ -439,7 +439,7 @@ def test_top_k_reads_few_exact_vectors(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 16)))], "vec_id long, embedding array<double>")
     kept = {}
     real = top_k.materialize
-    monkeypatch.setattr(top_k, "materialize", lambda d, name, *a: kept.setdefault(name, real(d, name, *a)))
+    monkeypatch.setattr(top_k, "materialize", lambda d, name, *a, **_: kept.setdefault(name, real(d, name, *a, kept=True)))
     top_k.top_k(df, df.where("vec_id % 300 = 0"), block=256).count()
     assert kept["exact"].count() == 3000 and "exact" not in kept["approximation"].columns
     assert 100 <= kept["near"].count() < 600  # ten queries, ten each
