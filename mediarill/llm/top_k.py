@@ -194,16 +194,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
         best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower"), "key"))).where(F.col("n") <= k)
         floors = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor"))
         near = found.join(floors, "query_id").where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
-        near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "key")))
-        near = materialize(near.select("query_id", "key", "upper", "place"), "near", kept=True)
+        near = materialize(near.select("query_id", "key", "upper"), "near", kept=True)
+        # A limit inside a window goes ahead of the shuffle, so a query with many candidates is not gathered in one task.
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "key"))
+        head = materialize(near.withColumn("place", place).where(F.col("place") <= k).select("query_id", "key"), "head", kept=True)
 
     def scored(some: DataFrame) -> DataFrame:
         both = some.select("query_id", "key").join(exact, "key").join(asked.withColumnRenamed("e", "q"), "query_id")
         return both.select("query_id", "vec_id", "q", "e").mapInArrow(_score, "query_id long, vec_id long, score long")
 
-    first = materialize(scored(near.where(F.col("place") <= k)), "first")
+    first = materialize(scored(head), "first")
     certain = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-    rest = near.where(F.col("place") > k).join(certain, "query_id").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    rest = near.join(head, ["query_id", "key"], "left_anti").join(certain, "query_id").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = first.unionByName(scored(rest)).withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
