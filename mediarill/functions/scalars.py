@@ -21,6 +21,10 @@ UNSEARCHED = ["negative_prompt", "error", "raw_parameters", "comfyui_prompt", "c
 MODEL_LOADERS = {"CheckpointLoaderSimple": "ckpt_name", "CheckpointLoader": "ckpt_name", "unCLIPCheckpointLoader": "ckpt_name", "UNETLoader": "unet_name"}
 ADAPTER_LOADERS = ["LoraLoader", "LoraLoaderModelOnly"]
 MODEL_ENDINGS = "safetensors|ckpt|pt|pth|bin|gguf"
+# The counter at the end of a copy's name, and what counts as punctuation and as a bare number in search texts.
+COUNTER = "[\\s_]*\\(\\d+\\)$"
+PUNCTUATION = "[(){}\\[\\]:,.<>|/\\\\!?;\"'+*~`^=_]"
+BARE_NUMBER = "\\b\\d+\\.?\\d*\\b"
 
 
 def _let(value: Column, body) -> Column:
@@ -48,7 +52,7 @@ def norm_tag(c: Column) -> Column:
 def name_base(c: Column) -> Column:
     """F2. A file name without its extension and a trailing counter like `` (3)``; a bare counter stays."""
     stem = F.regexp_replace(_or_empty(c), "(?s)^(.*)\\.[^.]*$", "$1")
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(stem, "[\\s_]*\\(\\d+\\)$", "")), F.lit("")), stem)
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(stem, COUNTER, "")), F.lit("")), stem)
 
 
 def norm_base(c: Column) -> Column:
@@ -65,8 +69,7 @@ def natural_key(c: Column) -> Column:
 
 def clean_search_text(c: Column) -> Column:
     """F5. Lower case, punctuation as spaces, bare numbers dropped, white space single."""
-    bare = F.regexp_replace(F.lower(_or_empty(c)), "[(){}\\[\\]:,.<>|/\\\\!?;\"'+*~`^=_]", " ")
-    return _squeeze(F.regexp_replace(bare, "\\b\\d+\\.?\\d*\\b", " "))
+    return _squeeze(F.regexp_replace(F.regexp_replace(F.lower(_or_empty(c)), PUNCTUATION, " "), BARE_NUMBER, " "))
 
 
 def search_document(meta: Column) -> Column:
@@ -81,10 +84,10 @@ def _first_spellings(words: Column) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(F.array_position(low, F.lower(w)) == i + 1, w)), lambda w: w.isNotNull())
 
 
-def split_keywords(c: Column) -> Column:
-    """F7. Keywords of a ``;`` or ``,`` list: white space single, over 100 characters dropped, first spelling kept."""
+def split_keywords(c: Column, longest: int | None = 100) -> Column:
+    """F7. Keywords of a ``;`` or ``,`` list: white space single, those over ``longest`` characters dropped (None: none), first spelling kept."""
     words = F.transform(F.split(_or_empty(c), "[;,]"), _squeeze)
-    return _let(F.filter(words, lambda w: (w != "") & (F.length(w) <= 100)), _first_spellings)
+    return _let(F.filter(words, lambda w: (w != "") if longest is None else (w != "") & (F.length(w) <= longest)), _first_spellings)
 
 
 def merge_keywords(a: Column, b: Column) -> Column:
@@ -215,53 +218,85 @@ def _unique_entries(entries: Column, last: bool) -> Column:
     return F.filter(F.transform(entries, own), lambda e: e.isNotNull())
 
 
-_PAIR = '\\s*([\\w \\-/()]+?):\\s*("(?:\\\\.|[^\\\\"])*"|[^,]*)\\s*(?:,|$)'
+#: An entry of the settings line: a name, a colon, and a quoted value or what goes up to the comma.
+_ENTRY = '[^:,]*:\\s*(?:"(?:[^"\\\\]|\\\\.)*+"\\s*(?=,|$)|[^,]*)'
+#: What a name may be made of; anything before it belongs to no entry.
+_NAME = "[\\w \\-/()]+$"
 
 
-def parse_infotext(c: Column) -> Column:
-    """F23. Generation settings of an image as a map: prompt, negative_prompt and each ``Key: Value`` of the tail.
+def _cut(c: Column, most: int | None) -> Column:
+    return c if most is None else F.substring(c, 1, most)
 
-    Known keys take their canonical name and the last value; unknown ones a
-    plain name and the first. ``hires_size`` is derived. Null gives an empty map.
-    """
-    text = _strip(F.translate(_or_empty(c), "\u0000", ""))
-    cut = F.regexp_instr(text, F.lit("\\bSteps:\\s*\\d"))
-    head = F.when(cut > 0, F.regexp_replace(F.substr(text, F.lit(1), cut - 1), "[\\s,]+$", "")).otherwise(text)
-    tail = F.when(cut > 0, F.regexp_replace(F.substr(text, cut), "\\s*\\n\\s*", ", ")).otherwise("")
-    neg = F.regexp_instr(head, F.lit("\\bNegative prompt:\\s*"))
-    prompt = _strip(F.when(neg > 0, F.substr(head, F.lit(1), neg - 1)).otherwise(head))
-    negative = F.when(neg > 0, _strip(F.regexp_replace(F.substr(head, neg), "^Negative prompt:\\s*", "")))
-    keys, values = F.regexp_extract_all(tail, F.lit(_PAIR), 1), F.regexp_extract_all(tail, F.lit(_PAIR), 2)
+
+def _settings(tail: Column, most: int | None) -> Column:
+    """The entries of a settings line as (k, v, known), empty ones left out."""
     names = F.create_map(*[F.lit(x) for kv in SETTINGS.items() for x in kv])
 
-    def entry(k: Column, v: Column) -> Column:
-        v = _strip(v)
-        v = F.when(v.rlike('(?s)^".*"$') & (F.length(v) >= 2), F.regexp_replace(F.substr(v, F.lit(2), F.length(v) - 2), "\\\\([\\\\\"])", "$1")).otherwise(v)
-        low = F.lower(_strip(k))
+    def entry(text: Column) -> Column:
+        colon = F.instr(text, ":")
+        low = F.lower(_strip(F.regexp_extract(F.substr(text, F.lit(1), colon - 1), _NAME, 0)))
+        value = _strip(F.substr(text, colon + 1))
+        bare = F.when(value.rlike('(?s)^".*"$') & (F.length(value) >= 2), F.regexp_replace(F.substr(value, F.lit(2), F.length(value) - 2), "\\\\([\\\\\"])", "$1")).otherwise(value)
         known = F.element_at(names, low)
         plain = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-        return F.struct(F.coalesce(known, plain).alias("k"), F.substring(v, 1, 300).alias("v"), known.isNotNull().alias("known"))
+        return F.struct(F.coalesce(known, plain).alias("k"), _cut(bare, most).alias("v"), known.isNotNull().alias("known"))
+
+    return F.filter(F.transform(F.regexp_extract_all(tail, F.lit(_ENTRY), 0), entry), lambda e: (e["k"] != "") & (e["v"] != ""))
+
+
+def _prompts(head: Column, most: int | None, most_negative: int | None) -> Column:
+    """The prompt and what is not wanted, as entries, in what stands before the settings."""
+
+    def split(at: Column) -> Column:
+        prompt = _strip(F.when(at > 0, F.substr(head, F.lit(1), at - 1)).otherwise(head))
+        negative = F.when(at > 0, _strip(F.regexp_replace(F.substr(head, at), "^Negative prompt:\\s*", "")))
+        each = [F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("prompt", _cut(prompt, most)), ("negative_prompt", _cut(negative, most_negative)))]
+        return F.filter(F.array(*each), lambda e: e["v"].isNotNull() & (e["v"] != ""))
+
+    return _let(F.regexp_instr(head, F.lit("\\bNegative prompt:\\s*")), split)
+
+
+def _with_final_size(m: Column) -> Column:
+    """The map with ``hires_size``: the size resized to, or the size times the factor."""
+    of = lambda k: F.try_element_at(m, F.lit(k))
+    side = lambda i: F.regexp_extract(of("size"), "^(\\d+)\\s*x\\s*(\\d+)", i).try_cast("int")
+    factor = of("hires_upscale").try_cast("double")
+    times = lambda x: F.bround(x * factor).cast("int").cast("string")
+    resized = F.nullif(F.regexp_replace(F.regexp_extract(of("hires_resize"), "^(\\d+)\\s*x\\s*(\\d+)", 0), "\\s*x\\s*", "x"), F.lit(""))
+    made = F.when(F.map_contains_key(m, "hires_size"), None).when(F.map_contains_key(m, "hires_resize"), resized).otherwise(F.concat(times(side(1)), F.lit("x"), times(side(2))))
+    return _let(made, lambda v: F.when(v.isNotNull(), F.map_concat(m, F.create_map(F.lit("hires_size"), v))).otherwise(m))
+
+
+def parse_infotext(c: Column, most_prompt: int | None = 2000, most_negative: int | None = 1000, most_value: int | None = 300) -> Column:
+    """F23. Generation settings of an image as a map: prompt, negative_prompt and each ``Key: Value`` of the tail.
+
+    Known keys take their canonical name and the last value; unknown ones a
+    plain name and the first. ``hires_size`` is derived. Values are cut at so
+    many characters, not at all for None. Null gives an empty map. Each step
+    is worked out once for a text.
+    """
+
+    def parts(text: Column) -> Column:
+        def at(cut: Column) -> Column:
+            head = F.when(cut > 0, F.regexp_replace(F.substr(text, F.lit(1), cut - 1), "[\\s,]+$", "")).otherwise(text)
+            tail = F.when(cut > 0, F.regexp_replace(F.substr(text, cut), "\\s*\\n\\s*", ", ")).otherwise("")
+            return F.struct(head.alias("head"), tail.alias("tail"))
+
+        return _let(F.regexp_instr(text, F.lit("\\bSteps:\\s*\\d")), at)
 
-    pairs = F.filter(F.zip_with(keys, values, entry), lambda e: (e["k"] != "") & (e["v"] != ""))
     plain = lambda part: F.transform(part, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
-    known = _let(plain(F.filter(pairs, lambda e: e["known"])), lambda p: _unique_entries(p, True))
-    free = _let(plain(F.filter(pairs, lambda e: ~e["known"])), lambda p: _unique_entries(p, False))
-    start = F.filter(
-        F.array(F.struct(F.lit("prompt").alias("k"), F.substring(prompt, 1, 2000).alias("v")), F.struct(F.lit("negative_prompt").alias("k"), F.substring(negative, 1, 1000).alias("v"))),
-        lambda e: e["v"].isNotNull() & (e["v"] != ""),
-    )
-    # Canonical names first: a free name that equals one of them is not new.
-    all_entries = _let(F.concat(start, known, free), lambda p: _unique_entries(p, False))
-
-    def with_size(m: Column) -> Column:
-        size, factor = F.try_element_at(m, F.lit("size")), F.try_element_at(m, F.lit("hires_upscale")).try_cast("double")
-        w, h = F.regexp_extract(size, "^(\\d+)\\s*x\\s*(\\d+)", 1).try_cast("int"), F.regexp_extract(size, "^(\\d+)\\s*x\\s*(\\d+)", 2).try_cast("int")
-        resized = F.regexp_extract(F.try_element_at(m, F.lit("hires_resize")), "^(\\d+)\\s*x\\s*(\\d+)", 0)
-        scaled = F.concat(F.bround(w * factor).cast("int").cast("string"), F.lit("x"), F.bround(h * factor).cast("int").cast("string"))
-        made = F.when(F.map_contains_key(m, "hires_size"), None).when(F.map_contains_key(m, "hires_resize"), F.nullif(F.regexp_replace(resized, "\\s*x\\s*", "x"), F.lit(""))).otherwise(scaled)
-        return F.when(made.isNotNull(), F.map_concat(m, F.create_map(F.lit("hires_size"), made))).otherwise(m)
-
-    return _let(_let(all_entries, lambda p: F.map_from_entries(p)), with_size)
+
+    def entries(p: Column) -> Column:
+        def merged(found: Column) -> Column:
+            known = _let(plain(F.filter(found, lambda e: e["known"])), lambda x: _unique_entries(x, True))
+            free = _let(plain(F.filter(found, lambda e: ~e["known"])), lambda x: _unique_entries(x, False))
+            return F.concat(_prompts(p["head"], most_prompt, most_negative), known, free)
+
+        # Canonical names first: a free name that equals one of them is not new.
+        return _let(_let(_settings(p["tail"], most_value), merged), lambda x: F.map_from_entries(_unique_entries(x, False)))
+
+    text = _strip(F.translate(_or_empty(c), "\u0000", ""))
+    return _let(_let(_let(text, parts), entries), _with_final_size)
 
 
 _GRAPH = "map<string,struct<class_type:string,inputs:map<string,string>>>"
@@ -276,8 +311,8 @@ def _strength(c: Column) -> Column:
     return F.regexp_replace(F.format_string("%s", c.try_cast("double")), "\\.0$", "")
 
 
-def parse_node_graph(c: Column) -> Column:
-    """F24. (prompt, models, loras) of a node graph in JSON; nulls where there is nothing.
+def parse_node_graph(c: Column, most_prompt: int | None = 2000, most_models: int | None = 300, most_loras: int | None = 1000) -> Column:
+    """F24. (prompt, models, loras) of a node graph in JSON, cut at so many characters (None: not at all); nulls where there is nothing.
 
     Texts of wildcard nodes go before those of plain text nodes; an input that
     is a link to another node (a JSON array) counts as absent.
@@ -299,8 +334,8 @@ def parse_node_graph(c: Column) -> Column:
         return F.when(both.isNotNull(), F.concat(name, F.lit(" ("), both, F.lit(")"))).otherwise(name)
 
     loras = F.array_distinct(F.filter(F.transform(F.filter(nodes, lambda n: n["class_type"].isin(ADAPTER_LOADERS)), adapter), lambda m: m.isNotNull() & (m != "")))
-    joined = lambda a, by, most: F.nullif(F.substring(F.array_join(a, by), 1, most), F.lit(""))
-    return F.struct(joined(texts, "\n", 2000).alias("prompt"), joined(models, ", ", 300).alias("models"), joined(loras, "\n", 1000).alias("loras"))
+    joined = lambda a, by, most: F.nullif(_cut(F.array_join(a, by), most), F.lit(""))
+    return F.struct(joined(texts, "\n", most_prompt).alias("prompt"), joined(models, ", ", most_models).alias("models"), joined(loras, "\n", most_loras).alias("loras"))
 
 
 def gps_decimal(lat: Column, lat_ref: Column, lon: Column, lon_ref: Column) -> Column:
@@ -311,9 +346,9 @@ def gps_decimal(lat: Column, lat_ref: Column, lon: Column, lon_ref: Column) -> C
     return F.when((F.size(lat) >= 3) & (F.size(lon) >= 3), F.format_string("%.6f, %.6f", la, lo))
 
 
-def normalize_keys(meta: Column) -> Column:
-    """F26. ``Group:CamelKey`` entries as ``camel_key``: tool groups and values over 500 characters go; the first wins."""
-    kept = F.filter(F.map_entries(meta), lambda e: e["key"].contains(":") & ~F.split(e["key"], ":")[0].isin("ExifTool", "System", "File") & (F.length(e["value"]) <= 500) & ~e["value"].startswith("(Binary"))
+def normalize_keys(meta: Column, longest: int | None = 500) -> Column:
+    """F26. ``Group:CamelKey`` entries as ``camel_key``: tool groups and values over ``longest`` characters (None: no values) go; the first wins."""
+    kept = F.filter(F.map_entries(meta), lambda e: e["key"].contains(":") & ~F.split(e["key"], ":")[0].isin("ExifTool", "System", "File") & (F.lit(True) if longest is None else F.length(e["value"]) <= longest) & ~e["value"].startswith("(Binary"))
     plain = F.transform(kept, lambda e: F.struct(F.lower(F.regexp_replace(F.regexp_extract(e["key"], "^[^:]*:(.*)$", 1), "(?<!^)(?=[A-Z])", "_")).alias("k"), e["value"].alias("v")))
     return F.map_from_entries(_let(plain, lambda p: _unique_entries(p, False)))
 

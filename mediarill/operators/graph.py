@@ -2,68 +2,129 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
+from ..plans.shared import materialize
 
 
-def _greedy(pairs: pd.DataFrame, distance: bool) -> list[tuple[list[int], list[float]]]:
-    """Best pairs first: an unused pair opens a group, which takes each common neighbour that is near to all in it.
+def _cliques(pairs: pd.DataFrame) -> list[list[int]]:
+    """The groups of ``pairs(a, b, k)``, smaller ``k`` first.
 
-    Candidates are the neighbours of the opening pair, in the order of their
-    worse distance to it; the order is fixed then. Ties go to smaller ids.
+    A pair of free images opens a group. Only those near to both can join:
+    free ones, by the worse of their two values and then by id, each if it
+    is near to all that joined before.
     """
-    near: dict[int, dict[int, float]] = defaultdict(dict)
-    for a, b, v in pairs.itertuples(index=False):
-        near[a][b] = near[b][a] = v
-    order = pairs.assign(k=pairs["v"] if distance else -pairs["v"]).sort_values(["k", "a", "b"])
-    used: set[int] = set()
+    near: dict[int, dict[int, float]] = {}
+    for a, b, k in pairs[["a", "b", "k"]].itertuples(index=False):
+        near.setdefault(a, {})[b] = k
+        near.setdefault(b, {})[a] = k
+    free = set(near)
     out = []
-    for a, b in zip(order["a"], order["b"], strict=True):
-        if a in used or b in used:
-            continue
-        far = 999 if distance else -999
-        worst = lambda c: (max if distance else min)(near[a].get(c, far), near[b].get(c, far))  # noqa: B023, E731
-        group = [a, b]
-        for c in sorted((set(near[a]) | set(near[b])) - used - {a, b}, key=lambda c: (worst(c) if distance else -worst(c), c)):  # noqa: B023
-            if all(c in near[m] for m in group):
-                group.append(c)
-        used.update(group)
-        out.append((group, [near[x][y] for i, x in enumerate(group) for y in group[i + 1 :]]))
+    for a, b in pairs.sort_values(["k", "a", "b"])[["a", "b"]].itertuples(index=False):
+        if a in free and b in free:
+            common = near[a].keys() & near[b].keys() & free
+            group = [a, b]
+            for c in sorted(common, key=lambda c: (max(near[a][c], near[b][c]), c)):  # noqa: B023
+                if all(m in near[c] for m in group[2:]):
+                    group.append(c)
+            free.difference_update(group)
+            out.append(group)
     return out
 
 
-def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256) -> DataFrame:
+_GROUPED = "group_id long, id long"
+
+
+def _in_tasks(rows: DataFrame) -> DataFrame:
+    """Groups of whole components ``(component, a, b, k)``, each in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(min(g), m) for g in _cliques(pdf) for m in g], columns=["group_id", "id"])
+
+    return rows.groupBy("component").applyInPandas(run, _GROUPED)
+
+
+def _one_round(rows: DataFrame) -> DataFrame:
+    """Groups that the greedy choice is sure to make from ``rows(a, b, k)``: those of the first pair of their surroundings.
+
+    A pair's group lies among its ends' neighbours. So a pair that comes
+    before all others within two steps of it can be opened now, whatever
+    happens elsewhere; every component has one. Values spread by two minima
+    over neighbours; the common neighbours of an opened pair and the links
+    among them go to one small task a pair.
+    """
+    first = F.struct("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    both = rows.select(F.col("a").alias("x"), F.col("b").alias("y"), "k").unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("y"), "k"))
+    both = materialize(both, "both_ways")
+    best = materialize(both.groupBy("x").agg(F.min(first).alias("m")), "best0")
+    for step in (1, 2):
+        beside = both.select("x", "y").join(best.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("m").alias("o"))
+        best = materialize(best.join(beside, "x").select("x", F.least("m", "o").alias("m")), f"best{step}")
+    opened = materialize(best.where("x = m.a").select("x", F.col("m.a").alias("a"), F.col("m.b").alias("b")).select("a", "b").distinct(), "opened")
+    side = lambda end: both.select(F.col("x").alias(end), F.col("y").alias("c"), F.col("k").alias(f"k_{end}"))
+    common = opened.join(side("a"), "a").join(side("b"), ["b", "c"]).select("a", "b", "c", F.greatest("k_a", "k_b").alias("worse"))
+    common = materialize(common, "common")
+    links = common.select("a", "b", "c").join(rows.select(F.col("a").alias("c"), F.col("b").alias("d")), "c").join(common.select("a", "b", F.col("c").alias("d")), ["a", "b", "d"])
+    facts = common.select("a", "b", "c", F.lit(None).cast("long").alias("d"), "worse").unionByName(links.select("a", "b", "c", "d", F.lit(None).cast("double").alias("worse")))
+    facts = facts.unionByName(opened.select("a", "b", F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("double").alias("worse")))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        near: dict[int, set[int]] = {}
+        for c, d in pdf.loc[pdf["d"].notna(), ["c", "d"]].astype("int64").itertuples(index=False):
+            near.setdefault(c, set()).add(d)
+            near.setdefault(d, set()).add(c)
+        group: list[int] = []
+        for c in pdf[pdf["worse"].notna()].sort_values(["worse", "c"])["c"].astype("int64"):
+            if near.get(c, set()).issuperset(group):
+                group.append(c)
+        return pd.DataFrame([(min(a, b, *group), m) for m in (a, b, *group)], columns=["group_id", "id"])
+
+    return facts.groupBy("a", "b").applyInPandas(join, _GROUPED)
+
+
+def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_pairs: int = 100_000) -> DataFrame:
     """G1, G2. Disjoint cliques of ``pairs(a, b, dist)`` or ``pairs(a, b, sim)`` as (group_id, id, size, similarity).
 
-    Greedy choice only links pairs that share a member, so components are
-    grouped apart from each other, each in one task; a component must fit
-    there, which a narrow limit of the pairs sees to. ``dist`` groups report
-    their worst pair, ``sim`` groups the rounded mean. group_id is the
-    smallest member.
+    Best pairs first, ties to smaller ids: greedy choice. It only links pairs
+    that share a member, so components are grouped apart from each other. One
+    of up to ``most_pairs`` pairs is grouped in one task. A larger one is
+    taken apart by rounds of joins that open every pair that comes first in
+    its surroundings, until its rest falls into components that are small
+    enough; the result is the same. ``dist`` groups report their worst pair,
+    ``sim`` groups the rounded mean. group_id is the smallest member.
     """
-    value = "dist" if order == "dist" else "sim"
-    rows = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(value).cast("double").alias("v")).groupBy("a", "b").agg((F.min if order == "dist" else F.max)("v").alias("v"))
-    parts = connected_components(rows)
-    placed = rows.join(parts.select(F.col("node").alias("a"), "component"), "a")
     distance = order == "dist"
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for members, values in _greedy(pdf[["a", "b", "v"]], distance):
-            if distance:
-                d = max(values)
-                score = 100 if d <= 0 else max(0, min(99, int((1 - d / bits) * 100)))
-            else:
-                score = round(sum(values) / len(values))
-            out += [(min(members), m, len(members), score) for m in members]
-        return pd.DataFrame(out, columns=["group_id", "id", "size", "similarity"])
-
-    return placed.groupBy("component").applyInPandas(group, "group_id long, id long, size int, similarity int")
+    value = F.col("dist" if distance else "sim").cast("double")
+    rows = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (value if distance else -value).alias("k")).where("a < b").groupBy("a", "b").agg(F.min("k").alias("k"))
+    rows = all_rows = materialize(rows, "pairs")
+    done = []
+    while True:
+        parts = connected_components(rows)
+        placed = materialize(rows.join(parts.select(F.col("node").alias("a"), "component"), "a"), "placed")
+        sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
+        large = materialize(sizes.where(F.col("n") > most_pairs).select("component"), "large")
+        done.append(materialize(_in_tasks(placed.join(large, "component", "left_anti")), "small"))
+        if large.isEmpty():
+            break
+        rows = placed.join(large, "component", "left_semi").select("a", "b", "k")
+        done.append(materialize(_one_round(rows), "opened_groups"))
+        used = done[-1].select("id")
+        rows = rows.join(used.withColumnRenamed("id", "a"), "a", "left_anti").join(used.withColumnRenamed("id", "b"), "b", "left_anti")
+        rows = materialize(rows.select("a", "b", "k"), "rest")
+    groups = done[0]
+    for more in done[1:]:
+        groups = groups.unionByName(more)
+    groups = groups.withColumnRenamed("group_id", "g")
+    inside = all_rows.join(groups.withColumnRenamed("id", "a"), "a").join(groups.select(F.col("id").alias("b"), F.col("g").alias("h")), "b").where("g = h")
+    worst, mean = F.max("k"), F.round(F.expr("bround(avg(-k), 0)")).cast("int")
+    score = F.when(worst <= 0, 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(99), F.floor((1 - worst / bits) * 100).cast("int")))).cast("int") if distance else mean
+    facts = inside.groupBy("g").agg(score.alias("similarity"))
+    sizes = groups.groupBy("g").agg(F.count("*").cast("int").alias("size"))
+    return groups.join(sizes, "g").join(facts, "g").select(F.col("g").alias("group_id"), "id", "size", "similarity")
 
 
 def prune_groups(groups: DataFrame, removed: DataFrame) -> DataFrame:

@@ -62,6 +62,7 @@ def hamming_pairs(sig: DataFrame, max_dist: int, aspect_tol: float = 0.30, bits:
 
 def _banded_pairs(sig: DataFrame, max_dist: int, aspect_tol: float, bits: int, bands: int) -> DataFrame:
     width = bits // bands
+    sig = materialize(sig, "signatures")
     text = F.array_join(F.transform("words", lambda w: F.lpad(F.conv(w.cast("string"), 10, 2), 32, "0")), "")
     rows = sig.select("id", "words", "ar", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.substr(text, b * width + 1, F.lit(width)))).alias("band", "value"))
     a, b = (rows.select("band", "value", F.col("id").alias(n), F.col("words").alias(f"w{n}"), F.col("ar").alias(f"ar_{n}")) for n in "ab")
@@ -168,22 +169,35 @@ def jaccard_pairs(sets: DataFrame, min_sim: int = 50, min_size: int = 3) -> Data
     Tags are ordered from rare to frequent. Two sets this similar share a tag
     among their first ``n - ceil(c n) + 1``, and one is not much smaller than
     the other; so an equi-join on those prefixes finds all of them, and
-    frequent tags hardly ever stand in a prefix. Identical sets are for
-    collapse_identical first.
+    frequent tags hardly ever stand in a prefix. The tags that two prefixes
+    share are counted in that join: what they share besides must stand behind
+    the prefix that ends first in the order, so pairs whose count and that
+    rest together are too few go before any whole set is read. Identical
+    sets are for collapse_identical first.
     """
     c = (min_sim - 0.5) / 100
     sets = sets.where(F.size("tags") >= min_size)
     rows = sets.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
     df = rows.groupBy("tag").agg(F.count("*").alias("df"))
-    ordered = rows.join(df, "tag").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tag"))).alias("o"))
+    ordered = rows.join(df, "tag").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("tag").alias("h")))).alias("o"))
     keep = (F.col("n") - F.ceil(F.col("n") * c) + 1).cast("int")
-    ordered = materialize(ordered.select("id", "n", F.transform("o", lambda x: x["tag"]).alias("o")), "ordered")
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("tag"))
-    a, b = (prefix.select("tag", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.join(b, "tag").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= c * F.greatest("na", "nb"))).select("a", "b").distinct()
-    one = pairs.join(ordered.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a")
-    both = one.join(ordered.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
-    sim = similarity_pct(F.size(F.array_intersect("oa", "ob")), F.size("oa"), F.size("ob"))
+    heads = ordered.select("id", "n", F.slice("o", F.lit(1), keep).alias("o")).select("id", "n", (F.col("n") - F.size("o")).alias("rest"), F.element_at("o", -1).alias("end"), F.transform("o", lambda x: x["h"]).alias("o"))
+    prefix = materialize(heads, "prefixes").select("id", "n", "rest", "end", F.explode("o").alias("h"))
+    a, b = (prefix.select("h", *[F.col(w).alias(f"{w}_{x}") for w in ("id", "n", "rest", "end")]) for x in "ab")
+    met = a.join(b, "h").where((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= c * F.greatest("n_a", "n_b")))
+    wanted = c / (1 + c) * (F.col("n_a") + F.col("n_b")) - F.when(F.col("end_a") <= F.col("end_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), wanted.alias("wanted")).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("wanted").alias("wanted"))
+    return _checked(pairs.where(F.col("k") >= F.col("wanted") - 1e-6).select("a", "b"), sets, min_sim)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, min_sim: int) -> DataFrame:
+    """Candidate pairs compared on the tags themselves; only sets of candidates move."""
+    pairs = materialize(pairs, "candidates")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(sets.join(met, "id", "left_semi").select("id", "tags"), "met")
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a")
+    both = one.join(sets.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
+    sim = similarity_pct(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))
     return both.withColumn("sim", sim).where(F.col("sim") >= min_sim).select("a", "b", "sim")
 
 
@@ -241,20 +255,14 @@ def jaccard_pairs_minhash(sets: DataFrame, min_sim: int = 50, min_size: int = 3,
     apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in maps), F.lit(0))
     near = (F.least("na", "nb") >= c * F.greatest("na", "nb")) & (apart * (1 + c) <= (F.col("na") + F.col("nb")) * (1 - c) + 1e-6)
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    pairs = materialize(pairs, "candidates")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(sets.join(met, "id", "left_semi").select("id", "tags"), "met")
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
-    sim = similarity_pct(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))
-    return both.withColumn("sim", sim).where(F.col("sim") >= min_sim).select("a", "b", "sim")
+    return _checked(pairs, sets, min_sim)
 
 
 def jaccard_lookup(image_tags: DataFrame, query: DataFrame, min_sim: int = 50, k: int = 300, min_size: int = 1, exclude: int | None = None) -> DataFrame:
     """J11, J12. Images by similarity with the tag set ``query(tag)``; tags no image has still count in the union."""
     q = query.select("tag").distinct()
     n_q = q.agg(F.count("*").alias("nq"))
-    shared = image_tags.join(F.broadcast(q), "tag", "left_semi").groupBy("image_id").agg(F.countDistinct("tag").alias("shared"))
+    shared = image_tags.join(q, "tag", "left_semi").groupBy("image_id").agg(F.countDistinct("tag").alias("shared"))
     sizes = image_tags.groupBy("image_id").agg(F.countDistinct("tag").alias("n"))
     both = shared.join(sizes, "image_id").join(F.broadcast(n_q)).where((F.col("n") >= min_size) & (F.col("nq") >= min_size))
     out = both.select(F.col("image_id").alias("id"), similarity_pct(F.col("shared"), F.col("n"), F.col("nq")).alias("sim")).where(F.col("sim") >= min_sim)
@@ -304,32 +312,59 @@ def enrich_pairs(pairs: DataFrame, media: DataFrame) -> DataFrame:
     return pairs
 
 
-def agreement_check(pairs: DataFrame, vectors: DataFrame, max_shift: float, max_median: float, max_block: float) -> DataFrame:
-    """J18. Whether the vectors of a pair show the same: mean shift, median and largest difference, in this order.
+def _apart(x: str, y: str) -> Column:
+    return F.zip_with(x, y, lambda p, q: p.cast("double") - q.cast("double"))
 
-    ``vectors(id, v)``. Returns (a, b, same, reason); reason is null when the same.
+
+def agreement_check(pairs: DataFrame, vectors: DataFrame, max_shift: float = 0.6, max_median: float = 1.0, max_colour: float = 3.2, max_block: float = 6.0, block_ratio: float = 2.5, least_block: float = 1.5, noise: float = 0.3) -> DataFrame:
+    """J18. Whether two pictures show the same, by their block means ``vectors(id, v[, colour])``.
+
+    Told apart in this order: the mean of the differences (``brightness``),
+    their median size (``overall``), the largest difference of the colour
+    blocks if there are any (``colour``), and one area that stands out
+    (``detail``): a block above ``max_block``, or above ``least_block`` and
+    ``block_ratio`` times the pair's own 99th percentile and ``noise``, so
+    that compression spread over the picture is no change and a small edit
+    of a clean one is. Returns (a, b, same, reason); reason is null when the
+    same. Vectors of unlike lengths or with nulls: not the same (``unreadable``).
     """
+    colour = "colour" in vectors.columns
     for x in "ab":
-        pairs = pairs.join(vectors.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")), x)
-    diff = F.zip_with("va", "vb", lambda p, q: p.cast("double") - q.cast("double"))
-    rows = pairs.select("a", "b", diff.alias("d"))
+        pairs = pairs.join(vectors.select(F.col("id").alias(x), F.col("v").alias(f"v{x}"), *[F.col("colour").alias(f"c{x}")] * colour), x)
+    rows = pairs.select("a", "b", _apart("va", "vb").alias("d"), (_apart("ca", "cb") if colour else F.array().cast("array<double>")).alias("c"))
     size = F.array_sort(F.transform("d", F.abs))
-    mean = F.abs(F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d"))
-    median, largest = F.element_at(size, ((F.size("d") + 1) / 2).cast("int")), F.element_at(size, -1)
-    reason = F.when(mean > max_shift, "brightness").when(median > max_median, "overall").when(largest > max_block, "detail")
-    return rows.select("a", "b", reason.isNull().alias("same"), reason.alias("reason"))
+    rows = rows.select("a", "b", "d", size.alias("s"), F.coalesce(F.array_max(F.transform("c", F.abs)), F.lit(0.0)).alias("c"), F.exists("c", lambda x: x.isNull()).alias("odd"))
+    n = F.size("s")
+
+    def quantile(q: float) -> Column:
+        """Linear between the two values around it."""
+        at = F.lit(q) * (n - 1)
+        low = F.element_at("s", (F.floor(at) + 1).cast("int"))
+        return low + (F.element_at("s", F.least(F.floor(at) + 2, n).cast("int")) - low) * (at - F.floor(at))
+
+    mean = F.abs(F.aggregate("d", F.lit(0.0), lambda t, x: t + x) / n)
+    worst = F.element_at("s", -1)
+    local = (worst > max_block) | ((worst > least_block) & (worst > block_ratio * (quantile(0.99) + noise)))
+    unreadable = F.exists("d", lambda x: x.isNull()) | (n == 0) | F.col("odd") | F.col("d").isNull()
+    why = F.when(mean > max_shift, "brightness").when(quantile(0.5) > max_median, "overall").when(F.col("c") > max_colour, "colour").when(local, "detail")
+    reason = F.when(F.coalesce(unreadable, F.lit(True)), "unreadable").otherwise(why)
+    return rows.select("a", "b", reason.alias("reason")).select("a", "b", F.col("reason").isNull().alias("same"), "reason")
 
 
 def rows_in_order(ids: list[int], media: DataFrame) -> DataFrame:
     """J19. The rows of an id list in the list's order."""
     asked = media.sparkSession.createDataFrame([(k, i) for k, i in enumerate(ids)], "pos int, id long")
-    return media.join(F.broadcast(asked), "id").orderBy("pos")
+    return media.join(asked, "id").orderBy("pos")
 
 
-def first_match(new: DataFrame, pool: DataFrame, max_dist: int = 13) -> DataFrame:
-    """W15. The first hit of each arrival ``new(id, words)`` in pool order; earlier arrivals count as the pool's end."""
-    arrived = new.select("id", "words", F.lit(1.0).alias("ar"))
-    everyone = pool.select("id", "words", F.lit(0.0).alias("ar")).unionByName(arrived)
-    near = _met(_blocks(arrived), _blocks(everyone), max_dist, False).where("l <> r and (ar_r = 0 or r < l)")
+def first_match(new: DataFrame, pool: DataFrame, max_dist: int = 13, earlier: DataFrame | None = None) -> DataFrame:
+    """W15. The first hit of each arrival ``new(id, words)``: in the pool by id, then among ``earlier(id, words, batch)``
+    by batch and id, then among the arrivals with smaller ids.
+    """
+    arrived = new.select("id", "words", F.lit(float("inf")).alias("ar"))
+    everyone = pool.select("id", "words", F.lit(-1.0).alias("ar")).unionByName(arrived)
+    if earlier is not None:
+        everyone = everyone.unionByName(earlier.select("id", "words", F.col("batch").cast("double").alias("ar")))
+    near = _met(_blocks(arrived), _blocks(everyone), max_dist, False).where("l <> r and (ar_r < ar_l or r < l)")
     best = near.groupBy(F.col("l").alias("id")).agg(F.min_by(F.struct(F.col("r").alias("hit"), "dist"), F.struct("ar_r", "r")).alias("m"))
     return best.select("id", "m.hit", "m.dist")

@@ -2,41 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .filters import keep_under_failed, under, under_roots
 from .joins import agreement_check, orphan_tags
-from .ranking import free_names, sequence_names, skyline
+from .ranking import free_names, numbered, sequence_names, skyline
 
 KEY = ["image_id", "tag"]
 
 
 def apply_predictions(image_tags: DataFrame, predictions: DataFrame) -> DataFrame:
-    """M1. ``predictions(image_id, tag, score)`` replace the automatic tags of their images; manual and embedded ones stay as they are."""
+    """M1. ``predictions(image_id, tag, score)`` replace the automatic tags of their images; manual ones stay as they are, others that stay take a new score."""
     again = predictions.select("image_id").distinct()
     auto = F.col("source") == "auto"
     kept = image_tags.where(~auto).unionByName(image_tags.where(auto).join(again, "image_id", "left_anti"))
-    new = predictions.groupBy(*KEY).agg(F.max("score").alias("score")).join(kept.select(*KEY), KEY, "left_anti")
-    return kept.unionByName(new.withColumn("source", F.lit("auto")))
+    new = predictions.groupBy(*KEY).agg(F.max("score").alias("__score"))
+    scored = kept.join(new, KEY, "left").withColumn("score", F.when(F.col("source") == "manual", F.col("score")).otherwise(F.coalesce("__score", "score")))
+    fresh = new.join(kept.select(*KEY), KEY, "left_anti").select(*KEY, F.col("__score").alias("score"), F.lit("auto").alias("source"))
+    return scored.select(*KEY, "score", "source").unionByName(fresh)
 
 
 def select_predictions(scores: DataFrame, vocab: DataFrame, general: float = 0.30, character: float = 0.70) -> DataFrame:
     """M2. ``scores(image_id, scores)`` against ``vocab(pos, name, category)``: tags over their category's limit, and the rating that won."""
     from .aggregates import rating_level
 
-    each = scores.select("image_id", F.posexplode(S.score_to_probability(F.col("scores"))).alias("pos", "score")).join(F.broadcast(vocab), "pos")
+    each = scores.select("image_id", F.posexplode(S.score_to_probability(F.col("scores"))).alias("pos", "score")).join(vocab, "pos")
     limit = F.when(F.col("category") == "character", character).otherwise(general)
     tags = each.where((F.col("category") != "rating") & (F.col("score") >= limit)).select("image_id", "name", "category", "score")
     won = rating_level(each.where("category = 'rating'").select("image_id", F.col("name").alias("level"), "score"))
     return tags.unionByName(won.select("image_id", F.col("level").alias("name"), F.lit("rating").alias("category"), "score"))
 
 
-def add_tags(image_tags: DataFrame, media: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
-    """M3. The tag by hand, with score 1, on every existing row of ``ids(id)``; an automatic one is replaced."""
-    rows = ids.select("id").distinct().join(media.select("id"), "id", "left_semi").select(F.col("id").alias("image_id"), F.lit(tag).alias("tag"), F.lit(1.0).alias("score"), F.lit("manual").alias("source"))
-    return image_tags.join(rows.select(*KEY), KEY, "left_anti").unionByName(rows)
+def add_tags(image_tags: DataFrame, tags: DataFrame, media: DataFrame, ids: DataFrame, tag: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M3. The tag by hand, with score 1, on every existing row of ``ids(id)``; an automatic one is replaced. Returns image tags and tags.
+
+    The tag is looked up by its normal form among the tags of its kind:
+    ``kind``, or else character if a character has that name, or else
+    general. If there is none, it is added in normal form with underscores.
+    A tag without a normal form is refused.
+    """
+    norm = " ".join(tag.lower().replace("_", " ").split())
+    if not norm:
+        raise ValueError("no tag")
+    like = tags.where(S.norm_tag(F.col("name")) == norm)
+    kind = kind or ("general" if like.where("category = 'character'").isEmpty() else "character")
+    known = like.where(F.col("category") == kind).agg(F.min("name").alias("name")).first()["name"]
+    name = known or norm.replace(" ", "_")
+    rows = ids.select("id").distinct().join(media.select("id"), "id", "left_semi").select(F.col("id").alias("image_id"), F.lit(name).alias("tag"), F.lit(1.0).alias("score"), F.lit("manual").alias("source"))
+    out = image_tags.select(*KEY, "score", "source").join(rows.select(*KEY), KEY, "left_anti").unionByName(rows)
+    if known is None:
+        tags = tags.select("name", "category").unionByName(tags.sparkSession.createDataFrame([(name, kind)], "name string, category string"))
+    return out, tags
 
 
 def remove_tags(image_tags: DataFrame, tags: DataFrame, ids: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +91,7 @@ def restore(trash: DataFrame, media: DataFrame, ids: DataFrame) -> tuple[DataFra
     back = trash.join(ids.select("id").distinct(), "id", "left_semi")
     names = free_names(back.select("id", "folder", "filename"), media.select("folder", "filename")).select("id", "free_name")
     top = media.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    # Numbered in one window: what is restored at once is a hand-made selection.
-    fresh = back.join(names, "id").join(F.broadcast(top)).withColumn("new_id", F.col("top") + F.row_number().over(Window.orderBy("id")))
+    fresh = numbered(back.join(names, "id"), ["id"], name="place").join(F.broadcast(top)).withColumn("new_id", F.col("top") + F.col("place"))
     tags = fresh.select(F.col("new_id").alias("image_id"), F.explode(F.from_json("characters_json", "array<string>")).alias("tag"), F.lit(1.0).alias("score"), F.lit("manual").alias("source"))
     rows = fresh.withColumns({"id": F.col("new_id"), "filename": F.col("free_name"), "filepath": F.concat("folder", F.lit("/"), "free_name")})
     return rows.select(*media.columns), tags
@@ -100,19 +117,21 @@ def move_prefix(media: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def relocate(media: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
-    """M11. The chosen rows in another folder."""
-    go = ids.select("id", F.lit(True).alias("__go")).distinct()
-    rows = media.join(go, "id", "left")
-    moved = {"folder": F.when(F.col("__go"), F.lit(folder)).otherwise(F.col("folder")), "filepath": F.when(F.col("__go"), F.concat(F.lit(folder + "/"), "filename")).otherwise(F.col("filepath"))}
+    """M11. The chosen rows in another folder, under a free name where theirs is taken there; rows that are there already stay."""
+    go = media.where(F.col("folder") != folder).join(ids.select("id").distinct(), "id", "left_semi").select("id", F.lit(folder).alias("folder"), "filename")
+    free = free_names(go, media.where(F.col("folder") == folder).select("folder", "filename")).select("id", F.col("free_name").alias("__name"))
+    rows, moves = media.join(free, "id", "left"), F.col("__name").isNotNull()
+    moved = {"folder": F.when(moves, F.lit(folder)).otherwise(F.col("folder")), "filename": F.coalesce("__name", "filename"), "filepath": F.when(moves, F.concat(F.lit(folder + "/"), "__name")).otherwise(F.col("filepath"))}
     return rows.withColumns(moved).select(*media.columns)
 
 
 def copy_rows(media: DataFrame, image_tags: DataFrame, ids: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """M11. New rows for the chosen ones in another folder, with their tags; ids are the old ones behind the largest in use."""
+    """M11. New rows for the chosen ones in another folder, under free names, with their tags; ids are the old ones behind the largest in use."""
     top = media.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("__top"))
     rows = media.join(ids.select("id").distinct(), "id", "left_semi").join(F.broadcast(top)).withColumn("__new", F.col("id") + F.col("__top"))
     tags = image_tags.join(rows.select(F.col("id").alias("image_id"), "__new"), "image_id").select(F.col("__new").alias("image_id"), "tag", "score", "source")
-    rows = rows.withColumns({"id": F.col("__new"), "folder": F.lit(folder), "filepath": F.concat(F.lit(folder + "/"), "filename")})
+    free = free_names(rows.select("id", F.lit(folder).alias("folder"), "filename"), media.where(F.col("folder") == folder).select("folder", "filename")).select("id", F.col("free_name").alias("__name"))
+    rows = rows.join(free, "id").withColumns({"id": F.col("__new"), "folder": F.lit(folder), "filename": F.col("__name"), "filepath": F.concat(F.lit(folder + "/"), "__name")})
     return rows.select(*media.columns), tags
 
 
@@ -152,16 +171,17 @@ def cascade_delete(children: dict[str, tuple[DataFrame, str]], ids: DataFrame) -
     return {n: t.join(ids.select(F.col("id").alias(k)).distinct(), k, "left_anti") for n, (t, k) in children.items()}
 
 
-def clean_plan(members: DataFrame, vectors: DataFrame, limits: tuple[float, float, float]) -> DataFrame:
+def clean_plan(members: DataFrame, vectors: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
     """M17. What to do with each copy: ``keep``, ``remove`` (for ``keeper``) or ``skip`` with a reason, and the bytes it holds.
 
     Only still images are compared; a copy goes only if a better one shows
-    the same. ``members`` as for ranking.skyline with ``media_type``.
+    the same. ``members`` as for ranking.skyline with ``media_type``;
+    ``vectors`` and ``limits`` as for joins.agreement_check.
     """
     still = members.where("media_type = 'image'")
     ranked = skyline(still)
     pairs = ranked.where("keeper is not null and not top").select(F.col("id").alias("a"), F.col("keeper").alias("b"))
-    checked = agreement_check(pairs.distinct(), vectors, *limits).select(F.col("a").alias("id"), F.col("b").alias("keeper"), "same", "reason")
+    checked = agreement_check(pairs.distinct(), vectors, **(limits or {})).select(F.col("a").alias("id"), F.col("b").alias("keeper"), "same", "reason")
     rows = ranked.join(checked, ["id", "keeper"], "left")
     action = F.when(F.col("top"), "keep").when(F.col("same"), "remove").otherwise("skip")
     why = F.when(F.col("top") | F.coalesce("same", F.lit(False)), None).when(F.col("keeper").isNull(), "not clearly worse than the copies that stay").otherwise(F.coalesce("reason", F.lit("could not be read")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.shared import materialize
 
 # The keys of each gallery order; the direction applies to the first.
 ORDERS = {"newest": ["file_date", "folder", "filename"], "folder": ["folder", "filename", "file_date"], "name": ["filename", "folder", "file_date"]}
@@ -84,35 +85,93 @@ def best_copy(members: DataFrame) -> DataFrame:
     return members.withColumn("k", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).where("k = 1").drop("k")
 
 
+def _beaten(rows: DataFrame) -> DataFrame:
+    """(group_id, id) of the members of ``rows`` that another one may stand in for, from aggregates; no pairs are made.
+
+    Better ones have more pixels, or as many. For the first kind each size of
+    picture needs only the best value above it, a running minimum over the
+    sizes of a group; for the second the best value or the first in line
+    among those of the size, within the tolerance by a range over the values.
+    """
+    above = Window.partitionBy("group_id").orderBy(F.desc("px")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = rows.where(F.col("fmt").isin(GRID_FORMATS) & F.col("blk").isNotNull())
+    levels = grid.groupBy("group_id", "px").agg(F.min("blk").alias("here")).withColumn("above", F.min("here").over(above))
+    values = grid.groupBy("group_id", "px", "blk").agg(F.min("tie").alias("line"))
+    line = values.select("group_id", "px", "blk", F.expr(f"min(line) OVER (PARTITION BY group_id, px ORDER BY blk RANGE BETWEEN {GRID_TIE}D PRECEDING AND {GRID_TIE}D FOLLOWING)").alias("line"))
+    grid = grid.join(levels, ["group_id", "px"]).join(line, ["group_id", "px", "blk"])
+    by_grid = grid.where((F.col("above") <= F.col("blk") + GRID_SLACK) | (F.col("here") < F.col("blk") - GRID_TIE) | (F.col("line") < F.col("tie"))).select("group_id", "id")
+
+    # By size, within a format: all of a format without grid; of one with a grid, where a value is missing on either side.
+    above = Window.partitionBy("group_id", "fmt", "kind").orderBy(F.desc("px")).rowsBetween(Window.unboundedPreceding, -1)
+    missing = F.col("fmt").isin(GRID_FORMATS) & F.col("blk").isNotNull()
+    rows = rows.withColumn("full", F.coalesce(missing, F.lit(False)))
+    # Rows with a value meet those without one only; the others meet all.
+    offered = rows.withColumn("kind", F.explode(F.when(F.col("full"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    asked = rows.withColumn("kind", F.when(F.col("full"), 1).otherwise(0))
+    level = ["group_id", "fmt", "kind", "px"]
+    best = offered.groupBy(*level).agg(F.max("file_size").alias("here"))
+    levels = asked.select(*level).distinct().join(best, level, "full").withColumn("above", F.max("here").over(above))
+    line = offered.groupBy(*level, "file_size").agg(F.min("tie").alias("line"))
+    by_size = asked.join(levels, level).join(line, [*level, "file_size"], "left")
+    by_size = by_size.where((F.col("above") >= F.col("file_size")) | (F.col("here") > F.col("file_size")) | (F.col("line") < F.col("tie"))).select("group_id", "id")
+    return by_grid.unionByName(by_size).distinct()
+
+
 def skyline(members: DataFrame) -> DataFrame:
-    """W8. ``members`` with ``keeper``: null for those that no other member may stand in for, else the member that does.
+    """W8. ``members`` with ``keeper``: null for those that no other member may stand in for, else the one of those that does.
 
     One stands in for another if it has no fewer pixels and no more
     compression, and is better in one of the two or first in line. Formats
     with a compression grid compare by it, with a tolerance; others only with
-    their own kind, by size. ``members`` as for best_copy; groups are small
-    (copies of a picture), pairs are made inside a group only.
+    their own kind, by size. ``members`` as for best_copy. Who is beaten is
+    found without making pairs (see _beaten); the beaten are then joined with
+    those that are left, of which a group has few for each size of picture.
     """
     tie = F.struct(F.when(F.col("fmt").isin(LOSSLESS), 0).otherwise(1).alias("loss"), (-F.col("file_size")).alias("size"), (-F.coalesce("rating", F.lit(0))).alias("rating"), F.coalesce("file_date", F.lit(0.0)).alias("date"), "id")
-    rows = members.select("group_id", "id", _pixels().alias("px"), "fmt", "file_size", F.col("blk").cast("double").alias("blk"), tie.alias("tie"))
-    o = rows.select("group_id", *[F.col(c).alias(f"o_{c}") for c in rows.columns if c != "group_id"])
-    p = rows.join(o, "group_id").where("id <> o_id and o_px >= px")
+    rows = materialize(members.select("group_id", "id", _pixels().alias("px"), "fmt", "file_size", F.col("blk").cast("double").alias("blk"), tie.alias("tie")), "members")
+    beaten = materialize(_beaten(rows), "beaten")
+    tops = rows.join(beaten, ["group_id", "id"], "left_anti")
+    o = tops.select("group_id", *[F.col(c).alias(f"o_{c}") for c in rows.columns if c != "group_id"])
+    p = rows.join(beaten, ["group_id", "id"], "left_semi").join(o, "group_id").where("o_px >= px")
     grid = F.col("fmt").isin(GRID_FORMATS) & F.col("o_fmt").isin(GRID_FORMATS) & F.col("blk").isNotNull() & F.col("o_blk").isNotNull()
     tol = F.when(F.col("px") == F.col("o_px"), F.lit(GRID_TIE)).otherwise(F.lit(GRID_SLACK))
     more, first = F.col("o_px") > F.col("px"), F.col("o_tie") < F.col("tie")
     by_grid = (F.col("o_blk") <= F.col("blk") + tol) & (more | (F.col("o_blk") < F.col("blk") - tol) | first)
     by_size = (F.col("fmt") == F.col("o_fmt")) & (F.col("o_file_size") >= F.col("file_size")) & (more | (F.col("o_file_size") > F.col("file_size")) | first)
-    beaten = p.where(F.when(grid, by_grid).otherwise(by_size)).select("group_id", "id", F.struct((-F.col("o_px")).alias("px"), F.coalesce("o_blk", F.lit(9.0)).alias("blk"), F.col("o_tie").alias("tie")).alias("rank"), "o_id")
-    tops = rows.select("group_id", "id").join(beaten.select("group_id", "id").distinct(), ["group_id", "id"], "left_anti").withColumnRenamed("id", "o_id")
-    keepers = beaten.join(tops, ["group_id", "o_id"]).groupBy("group_id", "id").agg(F.min_by("o_id", "rank").alias("keeper"))
-    top = tops.select("group_id", F.col("o_id").alias("id"), F.lit(True).alias("top"))
+    rank = F.struct((-F.col("o_px")).alias("px"), F.coalesce("o_blk", F.lit(9.0)).alias("blk"), F.col("o_tie").alias("tie"))
+    keepers = p.where(F.when(grid, by_grid).otherwise(by_size)).groupBy("group_id", "id").agg(F.min_by("o_id", rank).alias("keeper"))
+    top = tops.select("group_id", "id", F.lit(True).alias("top"))
     return members.join(keepers, ["group_id", "id"], "left").join(top, ["group_id", "id"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
 
 
+def numbered(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "n") -> DataFrame:
+    """``df`` with ``name long``: the row's number from 1 in ``order``, for each value of ``within`` if given.
+
+    No task sees a whole group: rows are cut into ranges of the order and
+    written with their range; the few counts of ranges give each one's start,
+    and rows are numbered inside their range only. ``order`` must tell all
+    rows apart, else equal ones get their numbers in any order.
+    """
+    within = within or []
+    at, before = "__range", "__before"
+    keys = [*within, *order]
+    rows = materialize(df.repartitionByRange(*keys).withColumn(at, F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(at, *within).agg(F.count("*").alias("__rows"))
+    ahead = Window.partitionBy(*(within or [F.lit(0)])).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(at, *within, F.coalesce(F.sum("__rows").over(ahead), F.lit(0)).alias(before))
+    starts = starts.select(F.col(at).alias("__at"), *[F.col(w).alias(f"__{w}") for w in within], before)
+    same = rows[at] == starts["__at"]
+    for w in within:
+        same = same & rows[w].eqNullSafe(starts[f"__{w}"])
+    place = F.row_number().over(Window.partitionBy(at, *within).orderBy(*order))
+    return rows.join(starts, same).withColumn(name, (place + F.col(before)).cast("long")).select(*df.columns, name)
+
+
 def sequence_names(media: DataFrame, base: str, start: int = 1) -> DataFrame:
     """W9. New names ``base (N).ext``, numbered for each kind of media in id order."""
-    n = F.row_number().over(Window.partitionBy("media_type").orderBy("id")) + (start - 1)
-    return media.select("id", "filename", F.concat(F.lit(base), F.lit(" ("), n.cast("string"), F.lit(")."), S.extension(F.col("filename"))).alias("new_name"))
+    rows = numbered(media.select("id", "filename", "media_type"), ["id"], ["media_type"])
+    n = (F.col("n") + (start - 1)).cast("string")
+    return rows.select("id", "filename", F.concat(F.lit(base), F.lit(" ("), n, F.lit(")."), S.extension(F.col("filename"))).alias("new_name"))
 
 
 def free_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:

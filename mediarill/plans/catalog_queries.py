@@ -138,9 +138,10 @@ def p11_pending_work(spark: SparkSession, d: str) -> DataFrame:
     return P.pending_work(V.media(spark, d), "meta_done").select("id")
 
 
-@query("SELECT id FROM media WHERE meta_done AND coalesce(file_size, 0) = 0")
+@query("SELECT id FROM media WHERE meta_done AND id % 9 < 2")
 def p12_missing_size(spark: SparkSession, d: str) -> DataFrame:
-    return P.missing_size_backlog(V.media(spark, d)).select("id")
+    size = F.when(F.col("id") % 9 == 0, 0).when(F.col("id") % 9 > 1, F.col("file_size"))
+    return P.missing_size_backlog(V.media(spark, d).withColumn("file_size", size)).select("id")
 
 
 @query("SELECT id, CASE media_type WHEN 'gif' THEN 'animated' WHEN 'video' THEN 'video' END AS reason FROM media")
@@ -203,6 +204,26 @@ def f23_parse_infotext(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.parse_infotext(text).alias("settings"))
 
 
+@query(
+    "SELECT doc_id, nullif(regexp_replace(regexp_replace(CASE WHEN n > 0 THEN h[1:n - 1] ELSE h END, '^\\s+|\\s+$', '', 'g'), '$', '')[1:2000], '') AS prompt, CASE WHEN cut = 0 THEN CAST(doc_id % 50 AS VARCHAR) END AS steps, CASE WHEN cut = 0 THEN 'Euler, a' END AS sampler, CASE WHEN cut = 0 THEN '1024x1536' END AS hires_size, CASE WHEN cut = 0 THEN source END AS source "
+    "FROM (SELECT *, strpos(h, 'Negative prompt:') AS n FROM (SELECT doc_id, source, CASE WHEN regexp_matches(text, '\\bSteps:\\s*\\d') THEN 1 ELSE 0 END AS cut, regexp_replace(regexp_replace(text, '(?s)\\bSteps:\\s*\\d.*', ''), '[\\s,]+$', '') AS h FROM documents))",
+    views=False,
+)
+def f23_settings(spark: SparkSession, d: str) -> DataFrame:
+    """What f23_parse_infotext finds, by column."""
+    of = lambda k: F.try_element_at("settings", F.lit(k)).alias(k)
+    rows = f23_parse_infotext(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").rlike("\\bSteps:\\s*\\d").alias("cut")), "doc_id")
+    return rows.select("doc_id", of("prompt"), *[F.when(~F.col("cut"), of(k)).alias(k) for k in ("steps", "sampler", "hires_size", "source")])
+
+
+@query(
+    "SELECT vec_id AS id, array_to_string(list_transform(c, lambda x: CAST(greatest(-32000, least(32000, round_even(x / sqrt(list_avg(list_transform(c, lambda y: y * y)) - list_avg(c) * list_avg(c)) * 64, 0))) AS INT)), ',') AS tiles FROM (SELECT vec_id, list_transform(m, lambda x: x - list_avg(e)) AS c FROM (SELECT vec_id, e, list_transform(range(0, 16), lambda g: (e[(g // 4) * 16 + (g % 4) * 2 + 1] + e[(g // 4) * 16 + (g % 4) * 2 + 2] + e[(g // 4) * 16 + (g % 4) * 2 + 9] + e[(g // 4) * 16 + (g % 4) * 2 + 10]) / 4) AS m FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)))",
+    views=False,
+)
+def f30_tile_signature(spark: SparkSession, d: str) -> DataFrame:
+    return V.luma(spark, d).select("id", F.array_join(S.tile_signature(F.col("px")).cast("array<string>"), ",").alias("tiles"))
+
+
 # Facets and counts.
 @query("SELECT f.folder, coalesce(n, 0) AS image_count FROM (SELECT DISTINCT folder FROM media UNION SELECT DISTINCT 'new/' || folder FROM media) f LEFT JOIN (SELECT folder, count(*) AS n FROM media GROUP BY folder) c ON f.folder = c.folder")
 def a1_folder_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -366,9 +387,13 @@ def j5_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d)
 
 
-@query(f"SELECT a, b, dist FROM ({_PAIRS}) WHERE dist <= 7 AND abs(ar_a / ar_b - 1) <= 0.3")
+@query(f", coarse AS (SELECT id, ar, regexp_replace(bits[1:16], '(.)', '\\1\\1\\1\\1', 'g') AS bits FROM signature) SELECT a.id AS a, b.id AS b, CAST({q_hamming('a.bits', 'b.bits')} AS INT) AS dist FROM coarse a JOIN coarse b ON a.id < b.id WHERE {q_hamming('a.bits', 'b.bits')} <= 7 AND abs(a.ar / b.ar - 1) <= 0.3")
 def j5_hamming_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d, 7)
+    """Signatures of sixteen bits, each four times, so that some are near."""
+    s = V.signature(spark, d)
+    bits = F.regexp_replace(F.substr(F.lpad(F.conv(F.element_at("words", 1).cast("string"), 10, 2), 32, "0"), F.lit(1), F.lit(16)), "(.)", "$1$1$1$1")
+    words = F.array(*[F.conv(F.substr(bits, F.lit(k), F.lit(32)), 2, 10).cast("long") for k in (1, 33)])
+    return J.hamming_pairs(s.withColumn("words", words), 7)
 
 
 @query(f"SELECT q, id, dist, CASE WHEN dist <= 0 THEN 100 ELSE greatest(0, least(99, CAST(floor((1 - dist / 64) * 100) AS INT))) END AS similarity FROM (SELECT a.id AS q, b.id AS id, CAST({q_hamming('a.bits', 'b.bits')} AS INT) AS dist FROM signature a JOIN signature b ON a.id <> b.id WHERE a.id = (SELECT min(id) FROM signature)) WHERE dist <= 26")
@@ -386,7 +411,10 @@ _REPS = "reps AS (SELECT image_id AS id, n FROM (SELECT image_id, count(*) AS n,
 _SHARED = "shared AS (SELECT x.image_id AS a, y.image_id AS b, count(*) AS s FROM image_tags x JOIN image_tags y ON x.tag = y.tag AND x.image_id < y.image_id SEMI JOIN reps p ON x.image_id = p.id SEMI JOIN reps q ON y.image_id = q.id GROUP BY 1, 2)"
 
 
-@query(f", {_REPS}, {_SHARED} SELECT a, b, {q_jaccard('s', 'p.n', 'q.n')} AS sim FROM shared JOIN reps p ON a = p.id JOIN reps q ON b = q.id WHERE {q_jaccard('s', 'p.n', 'q.n')} >= 50")
+_JACCARD = f", {_REPS}, {_SHARED} SELECT a, b, {q_jaccard('s', 'p.n', 'q.n')} AS sim FROM shared JOIN reps p ON a = p.id JOIN reps q ON b = q.id WHERE {q_jaccard('s', 'p.n', 'q.n')} >= 50"
+
+
+@query(_JACCARD)
 def j8_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different tag sets; copies stand under their representative."""
     return J.jaccard_pairs(_set_reps(spark, d))
@@ -397,7 +425,7 @@ def _set_reps(spark: SparkSession, d: str) -> DataFrame:
     return sets.join(J.collapse_identical(sets).select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
 
-@query()
+@query(_JACCARD)
 def j9_jaccard_pairs_minhash(spark: SparkSession, d: str) -> DataFrame:
     return J.jaccard_pairs_minhash(_set_reps(spark, d))
 
@@ -422,12 +450,22 @@ def j14_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return J.adjacency(_near(spark, d)).select("id", F.size("neighbors").cast("long").alias("n"), F.array_min(F.map_values("neighbors")).alias("nearest"))
 
 
-_ALIKE = "SELECT list_sort(list_transform(list_zip(x.embedding, y.embedding), lambda t: abs(CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)))) AS z, abs(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda t: CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE))) / 64) AS m, a, b"
+_GAP = "list_transform(list_zip({x}, {y}), lambda t: CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE))"
+_ALIKE = (
+    f"SELECT *, CASE WHEN m > 0.1 THEN 'brightness' WHEN (z[32] + z[33]) / 2 > 0.45 THEN 'overall' WHEN c > 2.6 THEN 'colour' WHEN z[64] > 4 OR (z[64] > 1.5 AND z[64] > 1.2 * (z[63] + (z[64] - z[63]) * (0.99 * 63 - 62) + 0.3)) THEN 'detail' END AS reason "
+    f"FROM (SELECT a, b, list_sort(list_transform({_GAP.format(x='x.embedding', y='y.embedding')}, lambda v: abs(v))) AS z, abs(list_sum({_GAP.format(x='x.embedding', y='y.embedding')})) / 64 AS m, list_max(list_transform({_GAP.format(x='x.embedding[49:64]', y='y.embedding[49:64]')}, lambda v: abs(v))) AS c"
+)
+LIMITS = {"max_shift": 0.1, "max_median": 0.45, "max_colour": 2.6, "max_block": 4.0, "block_ratio": 1.2}
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Block means of brightness, and the last sixteen values as those of colour."""
+    return V.luma(spark, d).select("id", F.col("px").alias("v"), F.slice("px", 49, 16).alias("colour"))
 
 
-@query(f"SELECT a, b, m <= 0.1 AND z[32] <= 0.2 AND z[64] <= 1.5 AS same, CASE WHEN m > 0.1 THEN 'brightness' WHEN z[32] > 0.2 THEN 'overall' WHEN z[64] > 1.5 THEN 'detail' END AS reason FROM ({_ALIKE} FROM ({_PAIRS}) JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3)")
+@query(f"SELECT a, b, reason IS NULL AS same, reason FROM ({_ALIKE} FROM ({_PAIRS}) JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3))")
 def j18_agreement_check(spark: SparkSession, d: str) -> DataFrame:
-    return J.agreement_check(_near(spark, d).select("a", "b"), V.luma(spark, d).withColumnRenamed("px", "v"), 0.1, 0.2, 1.5)
+    return J.agreement_check(_near(spark, d).select("a", "b"), _pictures(spark, d), **LIMITS)
 
 
 @query(f"SELECT a, b, dist FROM ({_PAIRS}) WHERE dist <= 20 AND abs(ar_a / ar_b - 1) <= 0.3 AND (a + b) % 5 <> 0")
@@ -505,9 +543,16 @@ _BEATS = (
 )
 
 
-@query(f", members AS ({_MEMBERS}) SELECT group_id, id, NOT EXISTS (SELECT 1 FROM members o WHERE {_BEATS}) AS top FROM members c")
+_KEEPERS = (
+    f", members AS ({_MEMBERS}), beaten AS (SELECT c.group_id, c.id, o.id AS oid, (-(o.width * o.height), o.blk, {_TIE.format(x='o')}) AS line FROM members c JOIN members o ON {_BEATS}), "
+    "tops AS (SELECT group_id, id FROM members EXCEPT SELECT group_id, id FROM beaten), keepers AS (SELECT b.group_id, b.id, arg_min(oid, line) AS keeper FROM beaten b JOIN tops t ON b.oid = t.id GROUP BY ALL), "
+    "judged AS (SELECT m.group_id, m.id, t.id IS NOT NULL AS top, keeper FROM members m LEFT JOIN tops t ON m.id = t.id LEFT JOIN keepers k ON m.id = k.id)"
+)
+
+
+@query(_KEEPERS + " SELECT group_id, id, top, keeper FROM judged")
 def w8_skyline(spark: SparkSession, d: str) -> DataFrame:
-    return W.skyline(_members(spark, d)).select("group_id", "id", "top")
+    return W.skyline(_members(spark, d)).select("group_id", "id", "top", "keeper")
 
 
 @query("SELECT id, filename, 'Trip (' || row_number() OVER (PARTITION BY media_type ORDER BY id) || ').' || regexp_extract(filename, '[^.]*$') AS new_name FROM media")
@@ -515,10 +560,21 @@ def w9_sequence_names(spark: SparkSession, d: str) -> DataFrame:
     return W.sequence_names(V.media(spark, d), "Trip")
 
 
-@query("SELECT id, folder, filename, regexp_replace(filename, '\\.[^.]*$', '') || ' (2)' || regexp_extract(filename, '\\.[^.]*$') AS free_name FROM media")
+_SHORT = "SELECT id, folder, rating, 'Set_' || (id % 5) || '.' || regexp_extract(filename, '[^.]*$') AS filename FROM media"
+
+
+def _short_names(spark: SparkSession, d: str) -> DataFrame:
+    """Media under names that several of them share."""
+    name = F.concat(F.lit("Set_"), (F.col("id") % 5).cast("string"), F.lit("."), S.extension(F.col("filename")))
+    return V.media(spark, d).withColumn("filename", name).withColumn("filepath", F.concat("folder", F.lit("/"), "filename"))
+
+
+@query(f"SELECT id, folder, filename, CASE WHEN n = 1 THEN filename ELSE 'Set_' || (id % 5) || ' (' || n || ').' || regexp_extract(filename, '[^.]*$') END AS free_name FROM (SELECT *, CASE WHEN filename <> 'Set_1.jpg' THEN k WHEN k = 1 THEN 2 ELSE k + 2 END AS n FROM (SELECT *, row_number() OVER (PARTITION BY folder, filename ORDER BY id) AS k FROM ({_SHORT})))")
 def w10_free_names(spark: SparkSession, d: str) -> DataFrame:
-    m = V.media(spark, d)
-    return W.free_names(m.select("id", "folder", "filename"), m.select("folder", "filename"))
+    """Names that many claim, where the first and the third of one are taken."""
+    m = _short_names(spark, d).select("id", "folder", "filename")
+    taken = m.select("folder").distinct().select("folder", F.explode(F.array(F.lit("Set_1.jpg"), F.lit("Set_1 (3).jpg"))).alias("filename"))
+    return W.free_names(m, taken)
 
 
 _ATTEMPTS = "SELECT user_id AS key, ts, event_id, event_type <> 'error' AS ok FROM events"
@@ -569,16 +625,35 @@ def u5_except_known(spark: SparkSession, d: str) -> DataFrame:
     return U.except_known(V.listing(spark, d).select("path"), V.media(spark, d).select(F.col("filepath").alias("path")))
 
 
-@query("SELECT image_id, tag, score, source FROM image_tags WHERE source = 'manual' UNION ALL SELECT image_id, tag, 0.5, 'auto' FROM image_tags WHERE source = 'auto' AND length(tag) >= 8 UNION ALL SELECT image_id, tag, score, source FROM image_tags WHERE source = 'auto' AND image_id NOT IN (SELECT image_id FROM image_tags WHERE length(tag) >= 8)")
+@query("SELECT path FROM listing WHERE path IN (SELECT filepath FROM media)")
+def u5_intersect_known(spark: SparkSession, d: str) -> DataFrame:
+    return U.intersect_known(V.listing(spark, d).select("path"), V.media(spark, d).select(F.col("filepath").alias("path")))
+
+
+_KINDS = "SELECT image_id, tag, score, CASE WHEN source = 'auto' AND image_id % 10 = 1 THEN 'embedded' ELSE source END AS source FROM image_tags"
+
+
+@query(
+    f", kinds AS ({_KINDS}) SELECT image_id, tag, CASE WHEN source = 'embedded' AND length(tag) >= 8 THEN 0.5 ELSE score END AS score, source FROM kinds WHERE source <> 'auto' UNION ALL SELECT image_id, tag, 0.5, 'auto' FROM kinds WHERE source = 'auto' AND length(tag) >= 8 "
+    "UNION ALL SELECT image_id, tag, score, source FROM kinds WHERE source = 'auto' AND image_id NOT IN (SELECT image_id FROM image_tags WHERE length(tag) >= 8)"
+)
 def m1_apply_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Tags by hand, embedded and automatic ones."""
     t = V.image_tags(spark, d)
+    t = t.withColumn("source", F.when((F.col("source") == "auto") & (F.col("image_id") % 10 == 1), "embedded").otherwise(F.col("source")))
     return M.apply_predictions(t, t.where("length(tag) >= 8").select("image_id", "tag", F.lit(0.5).alias("score"))).select("image_id", "tag", "score", "source")
 
 
 @query("SELECT image_id, tag, score, source FROM image_tags WHERE NOT (tag = 'the' AND image_id IN (SELECT id FROM media WHERE rating > 0)) UNION ALL SELECT id, 'the', 1.0, 'manual' FROM media WHERE rating > 0")
 def m3_add_tags(spark: SparkSession, d: str) -> DataFrame:
     m = V.media(spark, d)
-    return M.add_tags(V.image_tags(spark, d), m, m.where("rating > 0"), "the").select("image_id", "tag", "score", "source")
+    return M.add_tags(V.image_tags(spark, d), V.tags(spark, d), m, m.where("rating > 0"), " The_")[0].select("image_id", "tag", "score", "source")
+
+
+@query("SELECT name, category FROM tags UNION ALL SELECT 'blue_eyes', 'general'")
+def m3_tags_after(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return M.add_tags(V.image_tags(spark, d), V.tags(spark, d), m, m.where("rating > 0"), "Blue  eyes")[1].select("name", "category")
 
 
 @query("SELECT image_id, tag FROM image_tags WHERE NOT (tag = 'the' AND image_id IN (SELECT id FROM media WHERE tagged))")
@@ -586,17 +661,21 @@ def m4_remove_tags(spark: SparkSession, d: str) -> DataFrame:
     return M.remove_tags(V.image_tags(spark, d), V.tags(spark, d), V.media(spark, d).where("tagged"), " THE ")[0].select("image_id", "tag")
 
 
+@query("SELECT name, category FROM tags WHERE name <> 'the'")
+def m4_tags_left(spark: SparkSession, d: str) -> DataFrame:
+    return M.remove_tags(V.image_tags(spark, d), V.tags(spark, d), V.media(spark, d), "the")[1].select("name", "category")
+
+
 @query("SELECT id, CAST(CASE WHEN quality = 0 THEN 3 ELSE rating END AS INT) AS rating FROM media LEFT JOIN labels ON id = doc_id")
 def m6_set_rating(spark: SparkSession, d: str) -> DataFrame:
     new = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, 3).otherwise(12).alias("rating"))
     return M.set_rating(V.media(spark, d), new).select("id", "rating")
 
 
-@query("SELECT id, CASE WHEN n > 0 THEN 1 ELSE 0 END AS has_names FROM media LEFT JOIN (SELECT image_id, count(*) AS n FROM image_tags WHERE length(tag) >= 8 GROUP BY 1) ON id = image_id WHERE rating = 5")
+@query("SELECT id, names AS characters_json FROM media LEFT JOIN (SELECT image_id, CAST(to_json(list_sort(list(DISTINCT tag))) AS VARCHAR) AS names FROM image_tags WHERE length(tag) >= 8 GROUP BY 1) ON id = image_id WHERE rating = 5")
 def m7_soft_delete(spark: SparkSession, d: str) -> DataFrame:
     m = V.media(spark, d)
-    trash = M.soft_delete(m, V.image_tags(spark, d), m.where("rating = 5"), 0.0)[1]
-    return trash.select("id", F.when(F.col("characters_json").isNotNull(), 1).otherwise(0).alias("has_names"))
+    return M.soft_delete(m, V.image_tags(spark, d), m.where("rating = 5"), 0.0)[1].select("id", "characters_json")
 
 
 @query("SELECT id, CASE WHEN folder = 'en' OR starts_with(folder, 'en/') THEN 'arch/en' || folder[3:] ELSE folder END AS folder, CASE WHEN folder = 'en' OR starts_with(folder, 'en/') THEN 'arch/' || filepath ELSE filepath END AS filepath FROM media")
@@ -604,10 +683,20 @@ def m10_move_prefix(spark: SparkSession, d: str) -> DataFrame:
     return M.move_prefix(V.media(spark, d), "en", "arch/en").select("id", "folder", "filepath")
 
 
-@query("SELECT id, CASE WHEN rating > 0 THEN 'rated' ELSE folder END AS folder, CASE WHEN rating > 0 THEN 'rated/' || filename ELSE filepath END AS filepath FROM media")
+_MOVED = "CASE WHEN k = 1 THEN filename ELSE regexp_replace(filename, '\\.[^.]*$', '') || ' (' || k || ').' || regexp_extract(filename, '[^.]*$') END"
+
+
+@query(f", short AS ({_SHORT}), moved AS (SELECT id, 'rated' AS folder, {_MOVED} AS filename FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY id) AS k FROM short WHERE rating > 0)) SELECT id, folder, filename, folder || '/' || filename AS filepath FROM (FROM moved UNION ALL SELECT id, folder, filename FROM short WHERE rating = 0)")
 def m11_relocate(spark: SparkSession, d: str) -> DataFrame:
-    m = V.media(spark, d)
-    return M.relocate(m, m.where("rating > 0"), "rated").select("id", "folder", "filepath")
+    """Rows whose names meet in the folder they go to."""
+    m = _short_names(spark, d)
+    return M.relocate(m, m.where("rating > 0"), "rated").select("id", "folder", "filename", "filepath")
+
+
+@query(f", moved AS (SELECT id, {_MOVED} AS filename FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY id) AS k FROM ({_SHORT}) WHERE rating > 0)) SELECT id + 1 + (SELECT max(id) FROM media) AS id, 'kept/' || filename AS filepath FROM moved")
+def m11_copy_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = _short_names(spark, d)
+    return M.copy_rows(m, V.image_tags(spark, d), m.where("rating > 0"), "kept")[0].select("id", "filepath")
 
 
 @query(
@@ -631,9 +720,23 @@ def m15_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return M.cascade_delete({"image_tags": (V.image_tags(spark, d), "image_id")}, V.media(spark, d).where("rating = 5"))["image_tags"].select("image_id", "tag")
 
 
-@query()
+_PLAN = (
+    _KEEPERS.replace("(SELECT *, regexp_extract(filename, '[^.]*$') AS ext FROM media)", "(SELECT *, regexp_extract(filename, '[^.]*$') AS ext FROM media WHERE media_type = 'image')")
+    + f", alike AS ({_ALIKE} FROM (SELECT id AS a, keeper AS b FROM judged WHERE NOT top AND keeper IS NOT NULL) JOIN embeddings x ON a = x.vec_id JOIN embeddings y ON b = y.vec_id)), "
+    "plan AS (SELECT group_id, id, CASE WHEN top THEN 'keep' WHEN a IS NOT NULL AND reason IS NULL THEN 'remove' ELSE 'skip' END AS action, CASE WHEN NOT top AND a IS NOT NULL AND reason IS NULL THEN keeper END AS keeper, "
+    "CASE WHEN top OR (a IS NOT NULL AND reason IS NULL) THEN NULL WHEN keeper IS NULL THEN 'not clearly worse than the copies that stay' ELSE coalesce(reason, 'could not be read') END AS reason FROM judged LEFT JOIN alike ON id = a AND keeper = b "
+    "UNION ALL SELECT folder || '/' || (id % 7), id, 'skip', NULL, 'animated' FROM media WHERE media_type <> 'image')"
+)
+
+
+@query(_PLAN.replace("m > 0.1", "m > 0.5").replace("> 0.45", "> 1.2").replace("c > 2.6", "c > 9").replace("z[64] > 4 OR", "z[64] > 9 OR") + " SELECT group_id, id, action, keeper, reason FROM plan")
 def m17_clean_plan(spark: SparkSession, d: str) -> DataFrame:
-    return M.clean_plan(_members(spark, d), V.luma(spark, d).withColumnRenamed("px", "v"), (0.1, 0.8, 4.0))
+    return _plan(spark, d).select("group_id", "id", "action", "keeper", "reason")
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    limits = LIMITS | {"max_shift": 0.5, "max_median": 1.2, "max_colour": 9.0, "max_block": 9.0}
+    return M.clean_plan(_members(spark, d), _pictures(spark, d), limits)
 
 
 @query("SELECT id FROM media WHERE NOT starts_with(filepath, 'de/') OR starts_with(filepath, 'de/src2/')")
@@ -647,6 +750,13 @@ def m22_backfill(spark: SparkSession, d: str) -> DataFrame:
     return M.backfill_if_unset(m, m.select("id", F.lit(1).alias("file_size")), "file_size").select("id", "file_size")
 
 
+@query(f", diff AS ({_DIFF}) SELECT filepath, meta_done AND NOT coalesce(action = 'modified', false) AS meta_done FROM media LEFT JOIN diff ON filepath = path UNION ALL SELECT path, false FROM diff WHERE action = 'new'")
+def m12_brake(spark: SparkSession, d: str) -> DataFrame:
+    """More would go than is believed, so nothing goes."""
+    m = V.media(spark, d)
+    return M.apply_diff(m, U.catalog_diff(m, V.listing(spark, d)), _roots(spark, "es"), 0.01, 3).select("filepath", "meta_done")
+
+
 # Sources.
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", views=False)
 def s6_parse_json(spark: SparkSession, d: str) -> DataFrame:
@@ -691,12 +801,12 @@ def _updated(df: DataFrame, key: str) -> DataFrame:
 
 
 @query(
-    "SELECT root, epoch_us(min(ts)) AS began_us, epoch_us(max(ts) + INTERVAL 5 MINUTE) AS ended_us, count(*) AS n FROM (SELECT *, sum(jump) OVER (PARTITION BY root ORDER BY ts, event_id) AS s FROM (SELECT user_id % 10 AS root, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS jump FROM events)) GROUP BY root, s HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "SELECT root, epoch_us(min(ts)) AS began_us, epoch_us(max(ts) + INTERVAL 5 MINUTE) AS ended_us, count(*) AS n, array_to_string(list_sort(list(DISTINCT user_id)), ',') AS paths FROM (SELECT *, sum(jump) OVER (PARTITION BY root ORDER BY ts, event_id) AS s FROM (SELECT user_id, user_id % 10 AS root, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS jump FROM events)) GROUP BY root, s HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     views=False,
 )
 def t1_debounce_changes(spark: SparkSession, d: str) -> DataFrame:
     rows = V.changes(_stream(spark, d)).withColumn("root", F.col("path") % 10)
-    return _drained(T.debounce_changes(rows, "5 minutes")).select("root", F.unix_micros("began").alias("began_us"), F.unix_micros("ended").alias("ended_us"), "n")
+    return _drained(T.debounce_changes(rows, "5 minutes")).select("root", F.unix_micros("began").alias("began_us"), F.unix_micros("ended").alias("ended_us"), "n", F.array_join("paths", ",").alias("paths"))
 
 
 @query(
@@ -735,17 +845,18 @@ def t6_expire_after(spark: SparkSession, d: str) -> DataFrame:
     return _drained(T.expire_after(rows)).select("id", F.floor("deleted_at").alias("deleted_s"))
 
 
-@query("SELECT event_id AS seq, event_type AS kind FROM events", views=False)
+@query("SELECT event_id AS seq, event_type AS kind, user_id, value FROM events", views=False)
 def t8_event_feed(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(T.event_feed(_stream(spark, d))).select("seq", "kind")
+    of = lambda k: F.get_json_object("payload", f"$.{k}")
+    return _drained(T.event_feed(_stream(spark, d))).select("seq", "kind", of("user_id").cast("long").alias("user_id"), of("value").cast("double").alias("value"))
 
 
 @query(
-    f"SELECT key, bool_or(n >= 3) AS set_aside FROM (SELECT key, island, count(*) FILTER (NOT ok) AS n FROM (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM ({_ATTEMPTS})) GROUP BY key, island) GROUP BY key",
+    f"SELECT key, bool_or(n >= 3) AS set_aside, CAST(arg_max(n, coalesce(island, 0)) AS INT) AS failures FROM (SELECT key, island, count(*) FILTER (NOT ok) AS n FROM (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM ({_ATTEMPTS})) GROUP BY key, island) GROUP BY key",
     views=False,
 )
 def t9_retry_state(spark: SparkSession, d: str) -> DataFrame:
-    return _updated(T.retry_state(_attempts(_stream(spark, d))), "key").select("key", "set_aside")
+    return _updated(T.retry_state(_attempts(_stream(spark, d))), "key").select("key", "set_aside", "failures")
 
 
 # Further functions and operators over whole tables.
@@ -786,7 +897,21 @@ def f9_merge_maps(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", *[F.element_at(both, k).alias(k) for k in ("lang", "source", "extra")])
 
 
-@query()
+@query("SELECT doc_id, source || ', ' || lang || ', extra' AS merged, source AS camera_model, lang AS lens, CAST(NULL AS VARCHAR) AS file_name FROM documents", views=False)
+def f8_f26_metadata(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    merged = S.merge_keywords(F.concat("source", F.lit(" ; "), "lang"), F.concat(F.upper("lang"), F.lit(",extra, "), F.upper("source")))
+    meta = S.normalize_keys(F.create_map(F.lit("EXIF:CameraModel"), F.col("source"), F.lit("System:FileName"), F.lit("x"), F.lit("XMP:Lens"), F.col("lang"), F.lit("MakerNotes:Lens"), F.lit("second")))
+    return docs.select("doc_id", merged.alias("merged"), *[F.try_element_at(meta, F.lit(k)).alias(k) for k in ("camera_model", "lens", "file_name")])
+
+
+@query("SELECT doc_id, array_to_string(list_transform([1, 9, 17, 25], lambda i: CAST('0x' || md5(source || doc_id)[i:i + 7] AS BIGINT)), ',') AS words FROM documents", views=False)
+def f18_pack_hex(spark: SparkSession, d: str) -> DataFrame:
+    words = S.pack_hex(F.md5(F.concat("source", F.col("doc_id").cast("string"))), 128)
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(words.cast("array<string>"), ",").alias("words"))
+
+
+@query("SELECT doc_id, nullif(CASE WHEN regexp_matches(t, '(?s)^\\[.*\\]$') THEN '' ELSE t[1:2000] END, '') AS prompt, source AS models, CAST(NULL AS VARCHAR) AS loras FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)", views=False)
 def f24_parse_node_graph(spark: SparkSession, d: str) -> DataFrame:
     """Graphs made of each document's text."""
     node = lambda kind, **inputs: F.struct(F.lit(kind).alias("class_type"), F.create_map(*[x for k, v in inputs.items() for x in (F.lit(k), v)]).alias("inputs"))
@@ -802,9 +927,11 @@ def f25_f27_dates(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", S.iso_compact_date(F.date_format("ts", "yyyyMMdd")).alias("day"), S.gps_decimal(lat, F.lit("N"), lon, F.lit("W")).alias("gps"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: 1 / (1 + exp(-greatest(-30, least(30, CAST(x AS DOUBLE))))))), 6) AS total FROM embeddings", views=False)
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CASE WHEN vec_id % 2 = 0 THEN abs(CAST(x AS DOUBLE)) / (1 + abs(CAST(x AS DOUBLE))) ELSE 1 / (1 + exp(-greatest(-30, least(30, CAST(x AS DOUBLE))))) END)), 6) AS total FROM embeddings", views=False)
 def f31_score_to_probability(spark: SparkSession, d: str) -> DataFrame:
-    p = S.score_to_probability(F.transform("embedding", lambda x: x.cast("double")))
+    """Every second vector within 0 to 1 already."""
+    inside = lambda x: F.abs(x) / (1 + F.abs(x))
+    p = S.score_to_probability(F.transform("embedding", lambda x: F.when(F.col("vec_id") % 2 == 0, inside(x.cast("double"))).otherwise(x.cast("double"))))
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
@@ -848,7 +975,11 @@ def j19_rows_in_order(spark: SparkSession, d: str) -> DataFrame:
     return J.rows_in_order([9, 3, 27], V.media(spark, d)).select("id", "filename")
 
 
-@query()
+_NEW = "(SELECT doc_id FROM labels)"
+_FIRST = f"SELECT id, arg_min(hit, (k, hit)) AS hit, arg_min(dist, (k, hit)) AS dist FROM (SELECT a.id, b.id AS hit, CASE WHEN b.id IN {_NEW} THEN 1 ELSE 0 END AS k, CAST({q_hamming('a.bits', 'b.bits')} AS INT) AS dist FROM signature a JOIN signature b ON a.id <> b.id WHERE a.id IN {_NEW} AND (b.id NOT IN {_NEW} OR b.id < a.id)) WHERE dist <= 22 GROUP BY id"
+
+
+@query(_FIRST)
 def w15_first_match(spark: SparkSession, d: str) -> DataFrame:
     s = V.signature(spark, d)
     new = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id")).distinct()
@@ -875,7 +1006,7 @@ def p8_keep_under_failed(spark: SparkSession, d: str) -> DataFrame:
     return P.keep_under_failed(V.media(spark, d), _roots(spark, "es")).select("filepath")
 
 
-@query()
+@query(V.VIEWS_SQL.replace("WITH media", "WITH RECURSIVE media", 1) + f", edges AS MATERIALIZED (SELECT a, b FROM ({_PAIRS}) WHERE dist <= 18 AND abs(ar_a / ar_b - 1) <= 0.3), both_ways AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a, a AS b FROM both_ways UNION SELECT reach.a, e.b FROM reach JOIN both_ways e ON reach.b = e.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a", views=False)
 def g3_connected_components(spark: SparkSession, d: str) -> DataFrame:
     from .components import connected_components
 
@@ -917,9 +1048,17 @@ def m8_restore(spark: SparkSession, d: str) -> DataFrame:
     return M.restore(trash, left, gone)[0].select("id", "filename")
 
 
-@query("SELECT id FROM media WHERE file_date >= 1704117200 - 600")
+@query("SELECT r.id AS image_id, tag, 'manual' AS source FROM (SELECT (SELECT max(id) FROM media WHERE rating <> 5) + row_number() OVER (ORDER BY id) AS id, id AS old FROM media WHERE rating = 5) r JOIN image_tags ON image_id = old WHERE length(tag) >= 8")
+def m8_restored_tags(spark: SparkSession, d: str) -> DataFrame:
+    m, t = V.media(spark, d), V.image_tags(spark, d)
+    gone = m.where("rating = 5")
+    left, trash = M.soft_delete(m, t, gone, 0.0)
+    return M.restore(trash, left, gone)[1].select("image_id", "tag", "source")
+
+
+@query("SELECT id FROM media WHERE file_date >= 1704070000 - 600")
 def m9_purge_trash(spark: SparkSession, d: str) -> DataFrame:
-    return M.purge_trash(V.media(spark, d).withColumnRenamed("file_date", "deleted_at"), 1704117200.0).select("id")
+    return M.purge_trash(V.media(spark, d).withColumnRenamed("file_date", "deleted_at"), 1704070000.0).select("id")
 
 
 @query("SELECT id, CAST(NULL AS VARCHAR) AS search_text, false AS hash_fail FROM media")
@@ -927,9 +1066,9 @@ def m13_migrate(spark: SparkSession, d: str) -> DataFrame:
     return M.migrate(V.media(spark, d), {"hash_fail": F.lit(False), "id": F.lit(0)}, {"search_text": 2}, 1, ["tagged"]).select("id", "search_text", "hash_fail")
 
 
-@query()
+@query(ORACLES["m17_clean_plan"].removeprefix(V.VIEWS_SQL).removesuffix(" SELECT group_id, id, action, keeper, reason FROM plan") + " SELECT id FROM media WHERE id NOT IN (SELECT id FROM plan WHERE action = 'remove' AND id NOT IN (SELECT keeper FROM plan WHERE keeper IS NOT NULL))")
 def m18_apply_clean_plan(spark: SparkSession, d: str) -> DataFrame:
-    return M.apply_clean_plan(V.media(spark, d), m17_clean_plan(spark, d)).select("id")
+    return M.apply_clean_plan(V.media(spark, d), _plan(spark, d)).select("id")
 
 
 @query("SELECT id, filename AS old_name, 'Trip (' || row_number() OVER (PARTITION BY media_type ORDER BY id) || ').' || regexp_extract(filename, '[^.]*$') AS new_name FROM media WHERE rating > 0")
@@ -954,11 +1093,9 @@ def s4_word_list(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) AS pos, name, category FROM tags WHERE length(name) >= 12")
 def s5_tag_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """A vocabulary written as CSV and read back."""
-    from pyspark.sql import Window
-
     path = new_path(spark, "vocabulary")
-    rows = V.tags(spark, d).where("length(name) >= 12")
-    rows.select((F.row_number().over(Window.orderBy("name")) - 1).alias("pos"), "name", F.when(F.col("category") == "character", "4").otherwise("0").alias("category")).write.csv(path, header=True)
+    rows = W.numbered(V.tags(spark, d).where("length(name) >= 12"), ["name"])
+    rows.select((F.col("n") - 1).alias("pos"), "name", F.when(F.col("category") == "character", "4").otherwise("0").alias("category")).write.csv(path, header=True)
     return io.read_tag_vocabulary(spark, path)
 
 
@@ -969,15 +1106,18 @@ def t4_rate_eta(spark: SparkSession, d: str) -> DataFrame:
     return out.where("rate is not null").select((F.col("at").cast("long") - 3600).alias("id"), F.round("rate", 6).alias("rate"))
 
 
-@query()
+@query(_FIRST)
 def t7_match_arrivals(spark: SparkSession, d: str) -> DataFrame:
-    """Arriving signatures, as a stream of files, against the pool of those without a label."""
+    """Arriving signatures, as a stream of three files in id order, against the pool of those without a label and what came before."""
     path = new_path(spark, "arrivals")
     s, labels = V.signature(spark, d), spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id")).distinct()
-    s.join(labels, "id", "left_semi").select("id", "words").write.parquet(f"{path}/in")
+    new = materialize(s.join(labels, "id", "left_semi").select("id", "words"), "new")
+    low, high = new.agg(F.percentile_approx("id", F.array(F.lit(0.33), F.lit(0.67)), 1000).alias("q")).first()["q"] or (0, 0)
+    for part in (f"id <= {low}", f"id > {low} AND id <= {high}", f"id > {high}"):
+        new.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
     pool = materialize(s.join(labels, "id", "left_anti").select("id", "words"), "pool")
-    arrivals = io.file_change_stream(spark, f"{path}/in", "id long, words array<long>", 1000)
-    T.match_arrivals(arrivals, pool, lambda b, e: b.write.mode("overwrite").parquet(f"{path}/out/epoch={e}"), f"{path}/state", 22).start().awaitTermination()
+    arrivals = io.file_change_stream(spark, f"{path}/in", "id long, words array<long>")
+    T.match_arrivals(arrivals, pool, lambda b, e: b.write.mode("overwrite").parquet(f"{path}/out/epoch={e}"), f"{path}/state", f"{path}/met", 22).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("id", "hit", "dist")
 
 

@@ -91,11 +91,23 @@ def expire_after(deleted: DataFrame, ttl_s: int = 600, late: str = LATE) -> Data
     return rows.groupBy("id").applyInPandasWithState(_expire(ttl_s * 1000), "id long, deleted_at double", "at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def match_arrivals(arrivals: DataFrame, pool: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, max_dist: int = 13):
-    """T7. Each micro-batch of ``arrivals(id, words)`` against a fixed pool of signatures; ``sink(matches, epoch)`` takes the hits."""
+def match_arrivals(arrivals: DataFrame, pool: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, met: str, max_dist: int = 13):
+    """T7. Each micro-batch of ``arrivals(id, words)`` against a pool of signatures and all that arrived before; ``sink(matches, epoch)`` takes the hits.
+
+    Arrivals are kept by epoch below the folder ``met``. A batch is written
+    there before it is matched, over what a failed try of it may have left,
+    and looks at smaller epochs only, so that a repeated batch gives the same.
+    """
     from ..operators.joins import first_match
 
-    return arrivals.writeStream.foreachBatch(lambda df, epoch: sink(first_match(df, pool, max_dist), epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    def one(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        df.select("id", "words").write.mode("overwrite").parquet(f"{met}/batch={epoch}")
+        every = spark.read.schema("id long, words array<long>, batch long").parquet(met)
+        now = every.where(F.col("batch") == epoch)
+        sink(first_match(now, pool, max_dist, every.where(F.col("batch") < epoch)), epoch)
+
+    return arrivals.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def event_feed(events: DataFrame, kind: str = "event_type") -> DataFrame:
