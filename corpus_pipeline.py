@@ -1,6 +1,15 @@
 """A corpus pipeline: toxic documents out, repeated lines out, near copies out, benchmark leaks out, then token ids.
 
 Part of the training-data operators; every stage calls one of them.
+
+Stages take any table with the columns of documents, and return those and no
+others, so columns of other names can't clash; the last adds ``ids``. An empty
+table gives an empty table. A null text counts as an empty one, and is an
+empty one behind the line dedup. A row without doc_id has no copies and no
+leaks: only its own toxicity can make it go. Rows that repeat a doc_id are
+scored each by their own text; as lines, copies and leaks they are one
+document, so all of them go or stay in those stages. Ties: of near copies the
+smallest doc_id stays, of a repeated line the largest keeps it.
 """
 
 from __future__ import annotations
@@ -13,7 +22,7 @@ from mediarill.llm.lines import dedup_lines
 from mediarill.llm.near_dups import near_duplicates
 from mediarill.llm.pieces import default_model, encode_pieces
 from mediarill.llm.toxicity import fit_toxicity, tag_documents
-from mediarill.plans.shared import materialize
+from mediarill.plans.shared import materialize, scratch
 from mediarill.plans.shipping import ship, shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,15 +45,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near copies."""
-    gone = materialize(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near_copies")
+    with scratch():
+        gone = materialize(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near_copies", kept=True)
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 @shipped
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to three quarters or more."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = materialize(found.select("doc_id").distinct(), "leaks")
+    with scratch():
+        found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        gone = materialize(found.select("doc_id").distinct(), "leaks", kept=True)
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
