@@ -482,3 +482,24 @@ def test_pipeline_against_stages(spark, sf, docs, same_rows, tmp_path):
             toxic = toxicity.tag_documents(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))).where("score >= 0.5")
             assert sorted(got["doc_id"]) == sorted(set(before["doc_id"]) - {r["doc_id"] for r in toxic.collect()})
     assert corpus_pipeline.run(spark, sf).count() == current.count()
+
+
+def test_pipeline_stages_odd(spark, sf):
+    """Nulls, blank and long texts, repeated ids and rows, an id that is missing, columns whose names the operators use; and no rows at all."""
+    words = " ".join(f"word{k}" for k in range(60))
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first()["text"]
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, words), (4, words), (5, words + " end"), (6, "other " * 40_000), (7, leak), (None, words), (8, "a line that three documents hold\nown"), (9, "A line that three documents hold \nmine"), (10, "a line that three documents hold")]
+    df = spark.createDataFrame([(i, t, None, "s", None, "x", 1, [2]) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, ids string, score int, spans array<int>")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, df.where("false"), sf).count() == 0
+    got = {}
+    for r in docs.collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got[1] == [""] and got[2] == [""] and got[4] == [words, words] and 5 not in got and 7 not in got and got[None] == [words]
+    assert got[8] == ["own"] and got[9] == ["mine"] and got[10] == ["a line that three documents hold"]
+    ids = corpus_pipeline.encode(spark, docs, sf)
+    assert ids.columns == [*corpus_pipeline.COLUMNS, "ids"] and ids.count() == docs.count()
+    assert corpus_pipeline.encode(spark, df.where("false"), sf).count() == 0
