@@ -506,7 +506,18 @@ def w5_suggest_tags(spark: SparkSession, d: str) -> DataFrame:
     return W.suggest_tags(V.image_tags(spark, d), V.tags(spark, d), "an", 1)
 
 
-@query()
+_SUGGESTED = f""", names AS (
+  SELECT arg_min(replace(b, '_', ' '), id) AS name, count(*) AS image_count, 'tag' AS type, 0 AS o, {q_norm('b')} AS key FROM (SELECT id, {q_base('filename')} AS b FROM media) WHERE contains({q_norm('b')}, 'en') GROUP BY key ORDER BY image_count DESC, key LIMIT 8
+),
+ml AS (SELECT tag AS name, count(DISTINCT image_id) AS image_count, 'mltag' AS type, 1 AS o FROM image_tags WHERE contains(tag, 'en') GROUP BY tag ORDER BY image_count DESC, tag LIMIT 8),
+folders AS (SELECT CASE WHEN contains(string_split(folder, '/')[1], 'en') THEN '\\' || replace(folder, '/', '\\') ELSE '\\' || string_split(folder, '/')[2] END AS name, count(*) AS image_count, 'folder' AS type, 2 AS o FROM media WHERE contains(lower(folder), 'en') GROUP BY folder ORDER BY image_count DESC, folder LIMIT 5),
+words AS (SELECT upper(w[1:1]) || w[2:] AS name, count(*) AS image_count, 'meta' AS type, 3 AS o FROM (SELECT unnest(string_split({q_clean('text')}, ' ')) AS w FROM media) WHERE contains(w, 'en') AND length(w) >= 2 GROUP BY w ORDER BY image_count DESC, w LIMIT 15),
+everything AS (SELECT name, image_count, type, o FROM names UNION ALL FROM ml UNION ALL FROM folders UNION ALL FROM words WHERE image_count >= 2),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN type = 'folder' THEN '\\' || name ELSE lower(name) END ORDER BY o, image_count DESC, name) AS k FROM everything)
+SELECT name, image_count, type FROM firsts WHERE k = 1 ORDER BY starts_with({q_norm('name')}, 'en') DESC, image_count DESC, o, name LIMIT 12"""
+
+
+@query(_SUGGESTED)
 def w6_suggest(spark: SparkSession, d: str) -> DataFrame:
     return W.suggest(V.media(spark, d), V.image_tags(spark, d), "en")
 
@@ -1024,6 +1035,38 @@ def m16_mark_pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.mark_pairs(pairs.where("(a + b) % 5 = 0").select("a", "b"), G.clique_groups(pairs, bits=64))
 
 
+def _fours(df: DataFrame) -> DataFrame:
+    """Groups of four ids each."""
+    return df.select(F.floor(F.col("id") / 4).alias("group_id"), "id", F.lit(4).alias("size"))
+
+
+@query("SELECT * FROM (SELECT id // 4 AS group_id, id, CAST(count(*) OVER (PARTITION BY id // 4) AS INT) AS size FROM media WHERE rating <> 5) WHERE size > 1")
+def g4_prune_given_groups(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return G.prune_groups(_fours(m), m.where("rating = 5"))
+
+
+_FOURS = "SELECT x.id AS a, y.id AS b FROM signature x JOIN signature y ON x.id // 4 = y.id // 4 AND x.id < y.id"
+
+
+@query(_FOURS.replace("SELECT x.id", "SELECT x.id // 4 AS group_id, x.id"))
+def g5_pairs_within_given_groups(spark: SparkSession, d: str) -> DataFrame:
+    return G.pairs_within(_fours(V.signature(spark, d)))
+
+
+_IGNORED = f"SELECT a, b FROM ({_PAIRS}) WHERE dist <= 24 AND abs(ar_a / ar_b - 1) <= 0.3"
+
+
+@query(f"{_IGNORED} UNION {_FOURS}")
+def m16_mark_given_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return G.mark_pairs(_near(spark, d, 24), _fours(V.signature(spark, d)))
+
+
+@query(f"{_IGNORED} EXCEPT {_FOURS}")
+def m16_unmark_given_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return G.mark_pairs(_near(spark, d, 24), _fours(V.signature(spark, d)), add=False)
+
+
 @query(
     "SELECT vec_id AS image_id, 'tag' || i AS name, CASE WHEN i % 2 = 0 THEN 'general' ELSE 'character' END AS category, round(1 / (1 + exp(-CAST(embedding[i + 1] AS DOUBLE))), 9) AS score FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE 1 / (1 + exp(-CAST(embedding[i + 1] AS DOUBLE))) >= CASE WHEN i % 2 = 0 THEN 0.3 ELSE 0.7 END",
     views=False,
