@@ -422,7 +422,7 @@ def j8_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _set_reps(spark: SparkSession, d: str) -> DataFrame:
     sets = materialize(J.tag_sets(V.image_tags(spark, d), 3), "tag_sets")
-    return sets.join(J.collapse_identical(sets).select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    return materialize(sets.join(J.collapse_identical(sets).select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "set_reps")
 
 
 @query(_JACCARD)
