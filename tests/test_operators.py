@@ -325,3 +325,28 @@ def test_uncut_texts(spark):
     assert [len(cut[k]) for k in ("prompt", "negative_prompt", "model")] == [2000, 1000, 300] and [len(whole[k]) for k in ("prompt", "negative_prompt", "model")] == [3000, 1500, 400]
     words = table(spark, "k string", ("a," + "b" * 150,)).select(F.size(S.split_keywords(F.col("k"))).alias("c"), F.size(S.split_keywords(F.col("k"), None)).alias("w")).first()
     assert tuple(words) == (1, 2)
+
+
+def test_scratch_scopes(spark):
+    """Tables go at the end of the scope that made them, kept ones at the end of the one around."""
+    from pathlib import Path
+
+    from mediarill.plans.shared import materialize, scratch
+
+    def there(df):
+        return Path(df.inputFiles()[0].removeprefix("file://")).exists()
+
+    df = table(spark, "a long", (1,), (2,))
+    free = materialize(df, "free")
+    with scratch():
+        with scratch():
+            gone, kept = materialize(df, "gone"), materialize(df, "kept", kept=True)
+            assert there(gone) and there(kept)
+            files = gone.inputFiles()
+        assert not Path(files[0].removeprefix("file://")).exists() and kept.count() == 2
+        files = kept.inputFiles()
+    assert not Path(files[0].removeprefix("file://")).exists() and free.count() == 2
+    with pytest.raises(ZeroDivisionError), scratch():
+        files = materialize(df, "failed").inputFiles()
+        1 / 0
+    assert not Path(files[0].removeprefix("file://")).exists()
