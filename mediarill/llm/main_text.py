@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import _slices
+from .remembered import Remembered
 
 # Fixed values of HTML: elements inside a line of text, without content, and whose content is no markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img picture source".split())
@@ -44,7 +45,7 @@ WIDTH = PATH + WORDS + COUNTS
 class _Node:
     """An element on the way to a block: its names and what it encloses. Nodes know their parent, so a block needs only one."""
 
-    __slots__ = ("tag", "names", "up", "root", "box", "depth", "chars", "linked", "blocks", "total", "weak")
+    __slots__ = ("tag", "names", "up", "root", "box", "depth", "chars", "linked", "blocks", "total", "weak", "fresh", "vector", "kids")
 
     def __init__(self, tag: str, names: tuple[str, ...], up: _Node | None):
         self.tag, self.names, self.up = tag, names, up
@@ -52,6 +53,7 @@ class _Node:
         self.root = up.root if up else self
         self.box = self if up is None or tag in BOXES else up.box
         self.chars = self.linked = self.blocks = self.total = 0
+        self.fresh, self.vector, self.kids = (), None, None
         # The weak label: 1 below something named as main, 0 below something named as not, the inner name deciding; None if nothing is named.
         self.weak = 0 if any(n in _OTHER for n in names) else 1 if any(n in _MAIN for n in names) else up.weak if up else None
 
@@ -75,34 +77,47 @@ class Block:
 
 
 class _Path:
-    """The elements that are open, and a hashed vector of their names, each counted once, kept up as they open and close."""
+    """The elements that are open, and hashed vectors of their names, each name counted once.
+
+    A vector is made when a block asks for it, from the nearest one above;
+    like elements of one parent share it.
+    """
 
     def __init__(self):
-        self.stack = [_Node("", (), None)]
+        root = _Node("", (), None)
+        root.vector = np.zeros(PATH, np.int16)
+        self.stack = [root]
         self.times: dict[str, int] = {}
-        self.sum = np.zeros(PATH, np.int32)
-        self.shown: np.ndarray | None = None
-
-    def _turn(self, names: tuple[str, ...], by: int) -> None:
-        for name in names:
-            had = self.times.get(name, 0)
-            self.times[name] = had + by
-            if had == (0 if by > 0 else 1):
-                for place, sign in _slot(name):
-                    self.sum[place] += by * sign
-                self.shown = None
 
     def open(self, tag: str, names: tuple[str, ...]) -> None:
-        self.stack.append(_Node(tag, names, self.stack[-1]))
-        self._turn(names, 1)
+        node = _Node(tag, names, self.stack[-1])
+        times = self.times
+        node.fresh = tuple([n for n in names if not times.get(n)])
+        for n in names:
+            times[n] = times.get(n, 0) + 1
+        self.stack.append(node)
 
     def close(self) -> None:
-        self._turn(self.stack.pop().names, -1)
+        for n in self.stack.pop().names:
+            self.times[n] -= 1
 
     def vector(self) -> np.ndarray:
-        if self.shown is None:
-            self.shown = np.clip(self.sum, -9, 9).astype(np.int8)
-        return self.shown
+        at = len(self.stack) - 1
+        while self.stack[at].vector is None:
+            at -= 1
+        for node in self.stack[at + 1 :]:
+            up = node.up
+            found = up.kids.get(node.names) if up.kids else None
+            if found is None:
+                found = up.vector.copy() if node.fresh else up.vector
+                for name in node.fresh:
+                    for place, sign in _slot(name):
+                        found[place] += sign
+                up.kids = up.kids if up.kids is not None else {}
+                if len(up.kids) < 1000:
+                    up.kids[node.names] = found
+            node.vector = found
+        return self.stack[-1].vector
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -192,6 +207,19 @@ def blocks_of(page: str) -> list[Block]:
 
 
 _slots: dict[str, list[tuple[int, int]]] = {}
+_places: dict[tuple[str, ...], np.ndarray] = {}
+
+
+class _WordPlaces(Remembered):
+    """Word to its place in the word vector."""
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS
+        self.add(word, h)
+        return h
+
+
+_words = _WordPlaces(8 << 20)
 
 
 def _slot(name: str) -> list[tuple[int, int]]:
@@ -214,25 +242,48 @@ def _named(node: _Node) -> _Node:
     return node
 
 
+def _place(node: _Node) -> np.ndarray:
+    """The hashed vector of an element's own tag, its parent's, and the names of the innermost named element around it."""
+    names = ("@" + node.tag, "^" + (node.up.tag if node.up else ""), *["%" + m for m in _named(node).names])
+    found = _places.get(names)
+    if found is None:
+        found = np.zeros(PATH, np.int8)
+        for name in names[:40]:
+            for place, sign in _slot(name):
+                found[place] += sign
+        if len(_places) < 20_000:
+            _places[names] = found
+    return found
+
+
 def vectors_of(blocks: list[Block], a: int = 0, b: int | None = None) -> np.ndarray:
     """Tag-path, hashed-word and count vectors of the blocks ``a`` up to ``b`` of a leaf sequence, one row a block."""
     n = max(1, len(blocks))
     own = blocks[a:b]
     x = np.zeros((len(own), WIDTH), np.float32)
+    if not own:
+        return x
+    x[:, :PATH] = np.clip(np.array([t.path for t in own]), -9, 9)
+    x[:, :PATH] += np.array([_place(t.node) for t in own])
+    _words.make_room()
+    flat: list[int] = []
+    many = np.zeros(len(own), np.int64)
+    rows = []
     for i, t in enumerate(own):
-        x[i, :PATH] = t.path
-        node, box = t.node, t.node.box
-        for name in ("@" + t.tag, "^" + (node.up.tag if node.up else ""), *["%" + m for m in _named(node).names]):
-            for place, sign in _slot(name):
-                x[i, place] += sign
-        words = t.text.split()
-        places = np.array([zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS for w in words], np.int64)
-        x[i, PATH : PATH + WORDS] = 2 * np.bincount(places, minlength=WORDS) / max(1, len(words))
-        stops = sum(t.text.count(c) for c in ".!?,;")
-        x[i, PATH + WORDS :] = (
-            np.log1p(len(words)) / 4, np.log1p(len(t.text)) / 6, t.linked, stops / max(1, len(words)), (a + i) / n, 1 - (a + i) / n, min(30, node.depth) / 10, float(t.text[-1] in ".!?:"),
-            np.log1p(box.chars) / 8, box.linked / max(1, box.chars), np.log1p(box.blocks) / 4, box.chars / node.root.total, float(any(c.isdigit() for c in t.text[:40])), float(len(words) <= 4), float(node.weak == 1), float(node.weak == 0),
-        )
+        words, node, box, text = t.text.split(), t.node, t.node.box, t.text
+        many[i] = len(words)
+        flat.extend(map(_words.__getitem__, words))
+        stops = text.count(".") + text.count("!") + text.count("?") + text.count(",") + text.count(";")
+        rows.append((
+            len(words), len(text), t.linked, stops / max(1, len(words)), (a + i) / n, 1 - (a + i) / n, min(30, node.depth) / 10, text[-1] in ".!?:",
+            box.chars, box.linked / max(1, box.chars), box.blocks, box.chars / node.root.total, any(map(str.isdigit, text[:40])), len(words) <= 4, node.weak == 1, node.weak == 0,
+        ))
+    at = np.repeat(np.arange(len(own)) * WORDS, many) + np.array(flat, np.int64)
+    x[:, PATH : PATH + WORDS] = 2 * np.bincount(at, minlength=len(own) * WORDS).reshape(len(own), WORDS) / np.maximum(1, many)[:, None]
+    counts = np.array(rows, np.float32)
+    for column, scale in ((0, 4), (1, 6), (8, 8), (10, 4)):
+        counts[:, column] = np.log1p(counts[:, column]) / scale
+    x[:, PATH + WORDS :] = counts
     return x
 
 
@@ -539,8 +590,9 @@ class _Layouts:
 def train_labeller(pages: list[str], made: int = 500, window: int = 64, rounds: int = 8, most_texts: int = 20_000, seed: int = 3) -> BiLstm:
     """Fit the labeller on the weak labels of ``pages`` and on ``made`` pages of other makes from their texts.
 
-    At most ``most_texts`` texts of each label go into the made-up pages; a
-    page gives its first, last and one more window of blocks.
+    At most ``most_texts`` texts of each label go into the made-up pages (a
+    few fixed words if the pages have none); a page gives its first, last
+    and one more window of blocks.
     """
     rng = np.random.default_rng(seed)
     parsed = [b for b in map(blocks_of, pages) if b]
@@ -557,11 +609,11 @@ def train_labeller(pages: list[str], made: int = 500, window: int = 64, rounds:
         add(blocks, labels)
         main += [b.text for b, y in zip(blocks, labels, strict=True) if y == 1]
         other += [b.text for b, y in zip(blocks, labels, strict=True) if y == 0]
-    if main:
-        layouts = _Layouts(main[:most_texts], other[:most_texts], rng)
-        for _ in range(made):
-            add(*layouts.labelled())
-    return BiLstm().fit(data, rounds) if data else BiLstm()
+    plain = [" ".join(x for said in _SAID.values() for x in said)]
+    layouts = _Layouts(main[:most_texts] or plain, other[:most_texts], rng)
+    for _ in range(made):
+        add(*layouts.labelled())
+    return BiLstm().fit(data, rounds)
 
 
 def extract_main_text(pages: DataFrame, labeller: BiLstm) -> DataFrame:
@@ -585,11 +637,12 @@ def extract_main_text(pages: DataFrame, labeller: BiLstm) -> DataFrame:
     return pages.mapInArrow(run, T.StructType([*others, T.StructField("text", T.StringType())]))
 
 
-def fit_labeller(pages: DataFrame, bound: int = 120) -> BiLstm:
-    """A labeller from at most ``bound`` pages (first, last and one more window of each), chosen by a hash of their ids."""
+def fit_labeller(pages: DataFrame, bound: int = 120, most_bytes: int = 12 << 20) -> BiLstm:
+    """A labeller from at most ``bound`` pages, chosen by a hash of their ids; none of more than its share of ``most_bytes`` is learnt from."""
     ids = [r[0] for r in pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(bound).collect()]
     small = pages.sparkSession.createDataFrame([(i,) for i in ids], pages.select("page_id").schema)
-    rows = pages.select("page_id", "html").join(F.broadcast(small), "page_id").collect()
+    short = pages.select("page_id", "html").where(F.octet_length("html") <= most_bytes // bound)
+    rows = short.join(F.broadcast(small), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
     return train_labeller([r["html"] or "" for r in sorted(rows, key=lambda r: (r["page_id"], r["html"] or ""))])
 
 
