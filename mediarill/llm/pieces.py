@@ -181,7 +181,7 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 class Encoder:
     """Texts to ids with a memory of words, emptied when it is full; the memory changes speed only."""
 
-    def __init__(self, model: PieceModel, memory: int = 32 << 20):
+    def __init__(self, model: PieceModel, memory: int = 16 << 20):
         self.model, self.known = model, Remembered(memory)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -202,7 +202,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(PieceModel(path))
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(sizes) // most
@@ -221,7 +221,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", decoded:
 
     With ``decoded``, also ``decoded string``, the ids' text again, in the
     same pass. Null and empty texts give an empty array and an empty text.
-    Texts of any length are encoded whole, about 1 MB at a time. Columns
+    Texts of any length are encoded whole, about 512 kB at a time. Columns
     already so called are replaced; all others pass through. ``model_path``
     must exist on every machine.
     """

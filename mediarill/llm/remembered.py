@@ -14,7 +14,7 @@ class Remembered(dict):
     It changes speed only: what was forgotten is worked out again.
     """
 
-    def __init__(self, most: int = 32 << 20):
+    def __init__(self, most: int = 16 << 20):
         super().__init__()
         self.most, self.held = most, 0
 

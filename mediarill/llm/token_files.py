@@ -176,7 +176,7 @@ class WordEncoder:
     between spaces.
     """
 
-    def __init__(self, path: str, memory: int = 32 << 20):
+    def __init__(self, path: str, memory: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
