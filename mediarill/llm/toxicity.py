@@ -138,7 +138,13 @@ class Tagger:
     score: np.ndarray
 
     def odds(self, word: str) -> float:
-        return float(self.weights[_slots(word)].sum() + self.bias)
+        return self.odds_of([word])[0]
+
+    def odds_of(self, words: list[str]) -> list[float]:
+        """Log odds of each word: the weights of its features, summed for all words at once."""
+        slots = [_slots(w) for w in words]
+        starts = np.cumsum([0, *[len(s) for s in slots[:-1]]])
+        return (np.add.reduceat(self.weights[[s for own in slots for s in own]], starts) + self.bias).tolist()
 
     def document_features(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each document: expected toxic tokens, their chance to be any, the largest marginal."""
@@ -289,14 +295,15 @@ def tag_documents(docs: DataFrame, tagger: Tagger, spans: bool = True, least: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = model.value
-        known = Remembered()
+        known = Remembered(24 << 20)
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in _slices(whole, "text", 1 << 20):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 words = [TOKEN.findall(t) for t in texts]
                 known.make_room()
-                for w in set().union(*words).difference(known):
-                    known.add(w, field.odds(w))
+                new = list(set().union(*words).difference(known))
+                for w, o in zip(new, field.odds_of(new) if new else (), strict=True):
+                    known.add(w, o)
                 lengths = np.array([len(w) for w in words], np.int64)
                 odds = np.fromiter((o for ws in words for o in map(known.__getitem__, ws)), np.float64, int(lengths.sum()))
                 p, _, _ = chain_marginals(odds, lengths, field.moves)
