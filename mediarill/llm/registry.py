@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import decontaminate, fill_middle, lines, main_text, near_dups, periodic, pieces, quality, token_files, top_k, toxicity, url_filter
+from . import decontaminate, fill_middle, licences, lines, main_text, near_dups, periodic, pieces, quality, token_files, top_k, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_exact_top_k": top_k.op9_exact_top_k,
     "op10_quality": quality.op10_quality,
+    "op11_licences": licences.op11_licences,
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_periodic_runs": periodic.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mediarill.llm import fill_middle, periodic
+from mediarill.llm import fill_middle, licences, periodic
 from mediarill.llm.flat import flat_bytes, slices, text_array
 from mediarill.llm.recompression import Grammar
 
@@ -187,3 +187,87 @@ def test_periodic_runs_odd(odd):
     assert periodic.periodic_runs(odd.where("false")).count() == 0
     tails = odd.select("doc_id", periodic.with_periodic_tails(F.col("doc_id"), F.col("text")).alias("t")).collect()
     assert all((r["t"] or "").split() == [w.decode() for w in plain_tails(i, t)] for r, (i, t) in zip(tails, ODD_TEXTS, strict=True) if i != 7)
+
+
+# Licence scans.
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def places(words, phrase):
+    want = phrase.split()
+    return [i for i in range(len(words)) if words[i : i + len(want)] == want]
+
+
+def plain_base(text):
+    words = plain_words(text)
+    hits = {label: places(words, phrase) for phrase, label in licences.BASE.items()}
+    every = [i for at in hits.values() for i in at]
+    return len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(k for k, v in hits.items() if v))
+
+
+def plain_passages(rows, rare=8, share=0.5, slack=4):
+    """The verified passages of each row, by trying every place."""
+    texts = [plain_words(t) for _, t in rows]
+    df = {}
+    for t in texts:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    weight = lambda w: np.log((len(rows) + 1) / (df.get(w, 0) + 1)) + 1e-9
+    out = []
+    for t in texts:
+        found = []
+        for p in licences.PASSAGES:
+            words = plain_words(p.text)
+            chosen = sorted(set(words), key=lambda w: (-weight(w), w.encode()))[:rare]
+            own = [(i, w) for i, w in enumerate(words) if w in chosen]
+            for begin in range(-len(words), len(t)):
+                hit = [w for i, w in own if 0 <= begin + i < len(t) and t[begin + i] == w]
+                near = lambda k: any(abs(i - begin - places(words, k)[0]) <= slack for i in places(t, k))  # noqa: B023, E731
+                if len(hit) >= max(2, int(np.ceil(share * len(own)))) and all(near(k) for k in p.keys):
+                    found.append((p.label, begin, len(words), round(sum(map(weight, hit)) / sum(weight(w) for _, w in own), 9)))
+        out.append(sorted(found, key=lambda m: (m[1], m[0])))
+    return out
+
+
+NOTICES = [
+    (1, "Some code\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including"),
+    (2, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0"), (3, "This file: licensed under CC-BY-NC 4.0, see cc by nc sa 4.0"), (4, "licensed under CC BY 4.0. All rights reserved. All rights reserved"), (5, "the license of the bridge was reserved"),
+    (6, "Apache"), (7, "License, Version 2.0"), (8, None), (9, "redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met"),
+    (10, "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"), (11, "mit license mit license released under the mit license\x00released under the MIT\x0blicense"),
+]
+
+
+@pytest.mark.parametrize("batch", ["1000", "3"])
+def test_licences_by_brute_force(spark, batch):
+    rows = NOTICES + [(100 + k, f"plain text number {k} the of and to in any license é") for k in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {r["doc_id"]: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert len(got) == len(rows)
+    for (i, text), want in zip(rows, plain_passages(rows), strict=True):
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == plain_base(text)
+        assert sorted([(m["label"], m["start"], m["words"], round(m["score"], 9)) for m in r["matches"]], key=lambda m: (m[1], m[0])) == want
+        assert r["labels"] == ",".join(sorted({m[0] for m in want} | set(r["base_labels"].split(",")) - {""}))
+        assert r["score"] == pytest.approx(1.0 if r["n_base"] else max((m[3] for m in want), default=0.0))
+    labels = {i: got[i]["labels"] for i, _ in NOTICES}
+    assert labels == {1: "mit", 2: "apache-2.0", 3: "cc-by,cc-by-nc-4.0,cc-by-nc-sa-4.0", 4: "cc-by,cc-by-4.0,reserved", 5: "", 6: "", 7: "", 8: "", 9: "", 10: "gpl,gpl-2.0", 11: "mit"}
+
+
+def test_licences_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in licences.op11_licences(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, text in docs:
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == plain_base(text)
+        assert ("apache-2.0" in r["labels"]) == ("Licensed under the Apache License, Version 2.0" in (text or "")) and ("mit" in r["labels"].split(",")) == ("Released under the MIT License" in (text or ""))
+        assert 0 <= r["score"] <= 1
+
+
+def test_licences_odd(odd):
+    got = licences.scan_licences(odd).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(str(i) for i, _ in ODD_TEXTS)
+    assert all(r["labels"] == "" and r["matches"] == [] and r["first_word"] is None for r in got)
+    assert licences.scan_licences(odd.where("false")).count() == 0
