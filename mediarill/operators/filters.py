@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.search_index import plain, terms_of
 
 
 def under(col: Column, folder: Column | str) -> Column:
@@ -50,16 +51,17 @@ def filter_tags_all(df: DataFrame, image_tags: DataFrame, names: list[str]) -> D
 def search(df: DataFrame, image_tags: DataFrame, query: str) -> DataFrame:
     """P5. Rows where each comma-separated term stands in the file name, the search text or a tag.
 
-    All terms share one pass over the tags: a row of flags for each image.
+    A scan: every text is read, and all terms share one pass over the tags,
+    with a row of flags for each image. ``SearchIndex.search`` gives the same
+    rows from a written index.
     """
-    terms = [t for t in (" ".join(p.lower().replace("_", " ").split()) for p in query.split(",")) if t]
+    terms = terms_of(query)
     if not terms:
         return df
-    plain = lambda c: F.translate(F.lower(F.col(c)), "_", " ")
-    hit = [plain("tag").contains(t) for t in terms]
+    hit = [plain(F.col("tag")).contains(t) for t in terms]
     flags = image_tags.where(reduce(or_, hit)).groupBy(F.col("image_id").alias("id")).agg(*[F.max(h).alias(f"__t{k}") for k, h in enumerate(hit)])
     joined = df.join(flags, "id", "left")
-    tests = [plain("filename").contains(t) | plain("search_text").contains(t) | F.coalesce(F.col(f"__t{k}"), F.lit(False)) for k, t in enumerate(terms)]
+    tests = [plain(F.col("filename")).contains(t) | plain(F.col("search_text")).contains(t) | F.coalesce(F.col(f"__t{k}"), F.lit(False)) for k, t in enumerate(terms)]
     return joined.where(reduce(and_, tests)).select(*[joined[c] for c in df.columns])
 
 

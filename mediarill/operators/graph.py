@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.components import connected_components
 from ..plans.shared import materialize
 
 
@@ -38,13 +39,104 @@ def _cliques(pairs: pd.DataFrame) -> list[list[int]]:
 _GROUPED = "group_id long, id long"
 
 
-def _in_tasks(rows: DataFrame) -> DataFrame:
-    """Groups of whole components ``(component, a, b, k)``, each in one task."""
+def _run_ahead(pairs: pd.DataFrame) -> list[list[int]]:
+    """Groups that the greedy choice is sure to make, from a region's pairs ``(a, b, k, a_in, b_in)``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(min(g), m) for g in _cliques(pdf) for m in g], columns=["group_id", "id"])
+    All pairs with an end inside the region are here, in whatever other region
+    the other end lies. They are taken in order. One is decided if its ends
+    and all free common neighbours lie inside and no earlier pair that was left open
+    could use any of them; else it is left open itself, and so are from then on all
+    images that it could use. An image with two neighbours outside is open from the
+    start, as those may be a pair of their own that takes it.
+    """
+    near: dict[int, dict[int, float]] = {}
+    inside: set[int] = set()
+    for a, b, k, a_in, b_in in pairs[["a", "b", "k", "a_in", "b_in"]].itertuples(index=False):
+        near.setdefault(a, {})[b] = k
+        near.setdefault(b, {})[a] = k
+        if a_in:
+            inside.add(a)
+        if b_in:
+            inside.add(b)
+    safe = {x for x in inside if sum(y not in inside for y in near[x]) < 2}
+    used: set[int] = set()
+    out = []
+    for a, b in pairs.sort_values(["k", "a", "b"])[["a", "b"]].itertuples(index=False):
+        if a in used or b in used:
+            continue
+        common = (near[a].keys() & near[b].keys()) - used
+        if a not in safe or b not in safe or not common <= safe:
+            safe.difference_update((a, b), common)
+            continue
+        group = [a, b]
+        for c in sorted(common, key=lambda c: (max(near[a][c], near[b][c]), c)):  # noqa: B023
+            if all(m in near[c] for m in group[2:]):
+                group.append(c)
+        used.update(group)
+        out.append(group)
+    return out
 
-    return rows.groupBy("component").applyInPandas(run, _GROUPED)
+
+_GROUPED = "group_id long, id long"
+
+
+def _rows_of(groups: list[list[int]]) -> pd.DataFrame:
+    return pd.DataFrame([(min(g), m) for g in groups for m in g], columns=["group_id", "id"], dtype="int64")
+
+
+def _regions(rows: DataFrame, most: int, max_rounds: int = 40) -> DataFrame:
+    """``(node, region)``: the nodes of ``rows(a, b)`` in regions of about ``most`` pairs each, cut along the pairs.
+
+    Clusters begin as single nodes. In each round the clusters get new hashes,
+    each is joined to the neighbour of the smallest hash, if that is smaller
+    than its own, and to the one that this is joined to; links are
+    then told between clusters, so that what a round works on shrinks by a
+    factor each time. Clusters that would have more than ``most`` pairs
+    together are not joined. Small components end as one cluster; chains are
+    cut into pieces, whatever their ids. A node with more pairs than a region
+    may have is in none. Regions are put together by hash into as many as
+    have ``most`` pairs on average.
+    """
+    ends = 2 * most
+    both = rows.select(F.col("a").alias("node"), F.col("b").alias("o")).unionByName(rows.select(F.col("b").alias("node"), F.col("a").alias("o")))
+    sizes = materialize(both.groupBy("node").agg(F.count("*").alias("w")).where(F.col("w") <= ends), "ends")
+    labels, clusters = sizes.select("node", F.col("node").alias("c")), sizes.select(F.col("node").alias("c"), "w")
+    links, idle = both.select(F.col("node").alias("c"), F.col("o").alias("d")), 0
+    total = sizes.agg(F.sum("w")).first()[0] or 0
+
+    for k in range(max_rounds):
+        links = links.join(clusters, "c").join(clusters.select(F.col("c").alias("d"), F.col("w").alias("v")), "d").where(F.col("w") + F.col("v") <= ends)
+        links = materialize(links.select("c", "d"), "links")
+        if links.isEmpty() or idle == 2:
+            break
+        key = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("c"))  # noqa: B023, E731
+        first = links.groupBy("c").agg(F.min(key("d")).alias("m")).where(F.col("m") < key("c")).select("c", F.col("m.c").alias("to"))
+        first = materialize(first, "first")
+        far = first.join(first.select(F.col("c").alias("to"), F.col("to").alias("far")), "to", "left").select("c", F.coalesce("far", "to").alias("to"))
+        placed = clusters.join(far, "c", "left").select("c", "w", F.coalesce("to", "c").alias("to"))
+        heavy = placed.groupBy("to").agg(F.sum("w").alias("sum")).where(F.col("sum") > ends).select("to", F.lit(True).alias("heavy"))
+        moved = placed.join(heavy, "to", "left").where("heavy is null and c <> to").select("c", "to")
+        moved = materialize(moved, "moved")
+        idle = idle + 1 if moved.isEmpty() else 0
+        now = lambda df, c: df.join(moved.select(F.col("c").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
+        labels, clusters = materialize(now(labels, "c"), "labels"), materialize(now(clusters, "c").groupBy("c").agg(F.sum("w").alias("w")), "clusters")
+        links = now(now(links, "c"), "d").where("c <> d").distinct()
+    bins = max(1, -(-int(total) // ends))
+    return materialize(labels.select("node", F.pmod(F.xxhash64("c"), F.lit(bins)).alias("region")), "regions")
+
+
+def _decided(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """Groups that tasks of one region each can decide; a pair between two regions goes to both."""
+    side = lambda end: regions.select(F.col("node").alias(end), F.col("region").alias(f"{end}_region"))
+    placed = rows.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    placed = placed.select("a", "b", "k", "a_region", "b_region", F.explode(F.array_distinct(F.array("a_region", "b_region"))).alias("region")).where("region is not null")
+    inner = lambda end: F.coalesce(F.col(f"{end}_region") == F.col("region"), F.lit(False)).alias(f"{end}_in")
+    placed = placed.select("region", "a", "b", "k", inner("a"), inner("b"))
+    return placed.groupBy("region").applyInPandas(lambda pdf: _rows_of(_run_ahead(pdf)), _GROUPED)
+
+
+def _in_one_task(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_cliques(pdf)), _GROUPED)
 
 
 def _one_round(rows: DataFrame) -> DataFrame:
@@ -86,35 +178,48 @@ def _one_round(rows: DataFrame) -> DataFrame:
     return facts.groupBy("a", "b").applyInPandas(join, _GROUPED)
 
 
-def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_pairs: int = 100_000) -> DataFrame:
+def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_pairs: int = 100_000, told: Callable[[int, int], None] | None = None) -> DataFrame:
     """G1, G2. Disjoint cliques of ``pairs(a, b, dist)`` or ``pairs(a, b, sim)`` as (group_id, id, size, similarity).
 
-    Best pairs first, ties to smaller ids: greedy choice. It only links pairs
-    that share a member, so components are grouped apart from each other. One
-    of up to ``most_pairs`` pairs is grouped in one task. A larger one is
-    taken apart by rounds of joins that open every pair that comes first in
-    its surroundings, until its rest falls into components that are small
-    enough; the result is the same. ``dist`` groups report their worst pair,
-    ``sim`` groups the rounded mean. group_id is the smallest member.
+    Best pairs first, ties to smaller ids: greedy choice. Up to ``most_pairs``
+    pairs are grouped in one task. More are cut into regions of about that
+    size, components or parts of them; a task decides the pairs of its region in
+    order, running ahead as far as nothing that is still open beyond its
+    border can touch them. Used images go, which sets the next regions free. Where
+    that hardly gets on, a round of joins opens every pair that comes
+    first in its surroundings, borders or not, so each turn gets on; and if that
+    is of little use for some turns, the rest is cut anew, with other
+    borders. The groups are the plain rule's. ``told(round,
+    pairs)`` hears how many pairs are left. ``dist`` groups report their worst
+    pair, ``sim`` groups the rounded mean. group_id is the smallest member.
     """
     distance = order == "dist"
     value = F.col("dist" if distance else "sim").cast("double")
     rows = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (value if distance else -value).alias("k")).where("a < b").groupBy("a", "b").agg(F.min("k").alias("k"))
     rows = all_rows = materialize(rows, "pairs")
-    done = []
-    while True:
-        parts = connected_components(rows)
-        placed = materialize(rows.join(parts.select(F.col("node").alias("a"), "component"), "a"), "placed")
-        sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-        large = materialize(sizes.where(F.col("n") > most_pairs).select("component"), "large")
-        done.append(materialize(_in_tasks(placed.join(large, "component", "left_anti")), "small"))
-        if large.isEmpty():
-            break
-        rows = placed.join(large, "component", "left_semi").select("a", "b", "k")
-        done.append(materialize(_one_round(rows), "opened_groups"))
-        used = done[-1].select("id")
-        rows = rows.join(used.withColumnRenamed("id", "a"), "a", "left_anti").join(used.withColumnRenamed("id", "b"), "b", "left_anti")
-        rows = materialize(rows.select("a", "b", "k"), "rest")
+    done, left = [], rows.count()
+
+    def without_used(rows: DataFrame, used: DataFrame) -> DataFrame:
+        used = used.select("id")
+        rest = rows.join(used.withColumnRenamed("id", "a"), "a", "left_anti").join(used.withColumnRenamed("id", "b"), "b", "left_anti")
+        return materialize(rest.select("a", "b", "k"), "rest")
+
+    rounds, regions, idle, patience = 0, None, 0, 2
+    while left > most_pairs:
+        if regions is None:
+            regions, idle = _regions(rows, most_pairs), 0
+        before = left
+        for step in ("decided", "opened"):
+            if step == "decided" or (left > most_pairs and before - left < before // 50):
+                done.append(materialize(_decided(rows, regions) if step == "decided" else _one_round(rows), step))
+                rows = without_used(rows, done[-1])
+                left, rounds = rows.count(), rounds + 1
+        idle = idle + 1 if before - left < before // 50 else 0
+        if idle == patience:
+            regions, patience = None, 2 * patience
+        if told is not None:
+            told(rounds, left)
+    done.append(materialize(_in_one_task(rows), "small"))
     groups = done[0]
     for more in done[1:]:
         groups = groups.unionByName(more)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Iterator
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -44,30 +47,84 @@ def _aspect_ok(earlier: Column, later: Column, tolerance: float) -> Column:
     return (earlier <= 0) | (later <= 0) | (F.abs(earlier / later - 1) <= tolerance)
 
 
-def hamming_pairs(sig: DataFrame, max_dist: int, aspect_tol: float = 0.30, bits: int = 64) -> DataFrame:
+def probe_plan(bits: int, max_dist: int, widest: int = 16) -> list[tuple[int, int, int]]:
+    """Bands ``(first bit, width, radius)`` such that of any two signatures ``max_dist`` or fewer bits apart one band differs by its radius or less.
+
+    With m bands and ``max_dist = m r + s``, either one of the first s + 1
+    differs by r or less, or one of the others by r - 1 or less; else all
+    together would differ by more. Bands of radius -1 are not needed.
+    """
+    m = -(-bits // widest)
+    r, s = divmod(max_dist, m)
+    cuts = [bits * k // m for k in range(m + 1)]
+    return [(a, b - a, r if k <= s else r - 1) for k, (a, b) in enumerate(itertools.pairwise(cuts)) if k <= s or r > 0]
+
+
+def probes(width: int, radius: int) -> list[int]:
+    """All masks of ``width`` bits with ``radius`` or fewer of them set."""
+    return sorted(sum(1 << i for i in on) for k in range(radius + 1) for on in itertools.combinations(range(width), k))
+
+
+def hamming_pairs(sig: DataFrame, max_dist: int, aspect_tol: float = 0.30, bits: int = 64, most_probes: int = 1000) -> DataFrame:
     """J5. All pairs ``a < b`` of ``sig(id, words, ar)`` within ``max_dist`` bits, exactly; the aspect gate divides by the later.
 
-    Few bits apart: of ``max_dist + 1`` bands one at least is alike, so an
-    equi-join on bands of eight bits or more finds every pair. Many bits
-    apart no band need be alike: then blocks of signatures meet each other
-    in Arrow tasks, and only pairs that pass are emitted. Identical
-    signatures in great number are for collapse_identical first.
+    ``words`` holds 32 bits each. Few bits apart: multi-index hashing. The
+    signatures are cut into bands of up to 16 bits; one side looks up each
+    band's value and all values a few bits from it (``probe_plan``), so an
+    equi-join on 65,536 values a band finds every pair. Many bits apart, where that
+    would take more than ``most_probes`` look-ups a signature, blocks of
+    signatures meet each other in Arrow tasks instead, and only pairs that
+    pass are emitted. Identical signatures are one entry of the index, with
+    ``signature_classes`` to unfold them.
     """
     sig = sig.where("words is not null")
-    bands = max_dist + 1
-    if bits // bands >= 8:
-        return _banded_pairs(sig, max_dist, aspect_tol, bits, bands)
+    plan = probe_plan(bits, max_dist)
+    if sum(math.comb(w, k) for _, w, r in plan for k in range(r + 1)) <= most_probes:
+        return _indexed_pairs(sig, max_dist, aspect_tol, plan)
     return _block_pairs(sig, max_dist, aspect_tol)
 
 
-def _banded_pairs(sig: DataFrame, max_dist: int, aspect_tol: float, bits: int, bands: int) -> DataFrame:
-    width = bits // bands
-    sig = materialize(sig, "signatures")
-    text = F.array_join(F.transform("words", lambda w: F.lpad(F.conv(w.cast("string"), 10, 2), 32, "0")), "")
-    rows = sig.select("id", "words", "ar", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.substr(text, b * width + 1, F.lit(width)))).alias("band", "value"))
-    a, b = (rows.select("band", "value", F.col("id").alias(n), F.col("words").alias(f"w{n}"), F.col("ar").alias(f"ar_{n}")) for n in "ab")
-    near = a.join(b, ["band", "value"]).where("a < b").withColumn("dist", S.hamming(F.col("wa"), F.col("wb")))
-    return near.where((F.col("dist") <= max_dist) & _aspect_ok(F.col("ar_a"), F.col("ar_b"), aspect_tol)).select("a", "b", "dist").distinct()
+def signature_classes(sig: DataFrame) -> DataFrame:
+    """(rep, id): every row of ``sig(id, words)`` under the smallest id with the same signature."""
+    reps = sig.groupBy("words").agg(F.min("id").alias("rep"))
+    return sig.select("id", "words").join(reps, "words").select("rep", "id")
+
+
+def _band(words: Column, first: int, width: int) -> Column:
+    """Bits ``first`` to ``first + width`` of 32-bit words, upper bits first."""
+    low, high = first // 32, (first + width - 1) // 32
+    whole = F.element_at(words, low + 1)
+    if high > low:
+        whole = F.shiftleft(whole, 32).bitwiseOR(F.element_at(words, high + 1))
+    return F.shiftright(whole, 32 * (high + 1) - first - width).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def indexed_candidates(classes: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """Pairs ``(rep_a, words_a, rep_b, words_b)``, ``rep_a < rep_b``, of ``classes(rep, words)`` with a band within its radius of each other; each pair comes once, from its first such band."""
+    own = F.array(*[F.struct(F.lit(k).alias("band"), _band(F.col("words"), at, w).alias("value")) for k, (at, w, _) in enumerate(plan)])
+    near = F.flatten(F.array(*[F.transform(F.lit(probes(w, r)), lambda m: F.struct(F.lit(k).alias("band"), _band(F.col("words"), at, w).bitwiseXOR(m.cast("long")).alias("value"))) for k, (at, w, r) in enumerate(plan)]))  # noqa: B023
+    a = classes.select(F.col("rep").alias("rep_a"), F.col("words").alias("words_a"), F.explode(near).alias("p")).select("rep_a", "words_a", "p.band", "p.value")
+    b = classes.select(F.col("rep").alias("rep_b"), F.col("words").alias("words_b"), F.explode(own).alias("p")).select("rep_b", "words_b", "p.band", "p.value")
+    apart = [F.bit_count(_band(F.col("words_a"), at, w).bitwiseXOR(_band(F.col("words_b"), at, w))) for at, w, _ in plan]
+    earlier = F.lit(False)
+    for k in range(1, len(plan)):
+        before = [apart[j] <= plan[j][2] for j in range(k)]
+        earlier = F.when(F.col("band") == k, functools.reduce(or_, before)).otherwise(earlier)
+    return a.join(b, ["band", "value"]).where((F.col("rep_a") < F.col("rep_b")) & ~earlier).drop("band", "value")
+
+
+def _indexed_pairs(sig: DataFrame, max_dist: int, aspect_tol: float, plan: list[tuple[int, int, int]]) -> DataFrame:
+    sig = materialize(sig.select("id", "words", "ar"), "signatures")
+    classes = materialize(sig.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "signature_classes")
+    met = indexed_candidates(classes.select("rep", "words"), plan).withColumn("dist", S.hamming(F.col("words_a"), F.col("words_b"))).where(F.col("dist") <= max_dist)
+    near = met.select("words_a", "words_b", "dist").unionByName(classes.where("n > 1").select(F.col("words").alias("words_a"), F.col("words").alias("words_b"), F.lit(0).alias("dist")))
+    near = materialize(near, "near_classes")
+    for x in "ab":
+        near = near.join(sig.select(F.col("words").alias(f"words_{x}"), F.col("id").alias(f"id_{x}"), F.col("ar").alias(f"ar_{x}")), f"words_{x}")
+    near = near.where((F.col("words_a") != F.col("words_b")) | (F.col("id_a") < F.col("id_b")))
+    first = F.col("id_a") < F.col("id_b")
+    a, b = F.when(first, F.col("ar_a")).otherwise(F.col("ar_b")), F.when(first, F.col("ar_b")).otherwise(F.col("ar_a"))
+    return near.where(_aspect_ok(a, b, aspect_tol)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "dist")
 
 
 def _blocks(sig: DataFrame, block: int = 1024) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import ranking as W
 from ..operators import sets as U
 from ..sources import io
 from ..sources import views as V
+from ..sources.search_index import SearchIndex, source_key
 from ..streaming import changes as T
 from .shared import materialize, new_path
 
@@ -69,10 +70,21 @@ MEDIA_COLUMNS = "id, filename, folder, width, height, file_date, file_size, medi
 _MEDIA = MEDIA_COLUMNS.split(", ")
 
 
+def _search_index(spark: SparkSession, d: str) -> SearchIndex:
+    """The index over names, texts and tags of the catalogue, built once for the given files and used again while they stay the same."""
+
+    def rows() -> DataFrame:
+        tags = V.image_tags(spark, d).groupBy(F.col("image_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+        media = V.media(spark, d).select("id", "filename", "search_text").join(tags, "id", "left")
+        return media.select("id", F.concat(F.array("filename", "search_text"), F.coalesce("tags", F.array().cast("array<string>"))).alias("fields"))
+
+    return SearchIndex.at(spark, source_key(spark.read.parquet(f"{d}/documents.parquet")), rows)
+
+
 # Pages, filters and search.
 @query(f"SELECT {MEDIA_COLUMNS} FROM media WHERE contains({q_clean('text')}, 'the') OR contains({q_norm('filename')}, 'the') OR id IN (SELECT image_id FROM image_tags WHERE contains(tag, 'the')) ORDER BY file_date DESC, {q_natural('folder')}, {q_natural('filename')}, id LIMIT 60")
 def w1_gallery_page(spark: SparkSession, d: str) -> DataFrame:
-    return W.gallery_page(P.search(V.media(spark, d), V.image_tags(spark, d), "the")).select(*_MEDIA)
+    return W.gallery_page(_search_index(spark, d).search(V.media(spark, d), "the")).select(*_MEDIA)
 
 
 @query(f"SELECT id, filename FROM media ORDER BY {q_natural('filename')} DESC, {q_natural('folder')}, file_date, id LIMIT 60 OFFSET 60")
@@ -111,7 +123,25 @@ def p4_filter_tags_all(spark: SparkSession, d: str) -> DataFrame:
     f" AND (contains({q_clean('text')}, 'set 1') OR contains({q_norm('filename')}, 'set 1') OR id IN (SELECT image_id FROM image_tags WHERE contains(tag, 'set 1')))"
 )
 def p5_search(spark: SparkSession, d: str) -> DataFrame:
-    return P.search(V.media(spark, d), V.image_tags(spark, d), " Tion, set_1 ").select("id")
+    """Rows with both terms, by the trigram index."""
+    return _search_index(spark, d).search(V.media(spark, d), " Tion, set_1 ").select("id")
+
+
+@query(
+    f"SELECT id FROM media WHERE (contains({q_clean('text')}, 'et') OR contains({q_norm('filename')}, 'et') OR id IN (SELECT image_id FROM image_tags WHERE contains(tag, 'et')))"
+    f" AND (contains({q_clean('text')}, '7') OR contains({q_norm('filename')}, '7') OR id IN (SELECT image_id FROM image_tags WHERE contains(tag, '7')))"
+)
+def p5_search_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Terms too short for the index: every text is read."""
+    return P.search(V.media(spark, d), V.image_tags(spark, d), "et,7").select("id")
+
+
+@query(
+    f"SELECT gram, count(DISTINCT id) AS n FROM (SELECT id, substr(f, CAST(i AS INT), 3) AS gram FROM (SELECT id, f, unnest(range(1, length(f) - 1)) AS i FROM (SELECT id, {q_clean('text')} AS f FROM media UNION ALL SELECT id, replace(lower(filename), '_', ' ') FROM media UNION ALL SELECT image_id, tag FROM image_tags))) GROUP BY gram"
+)
+def p5_trigram_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The index's own counts: rows with each trigram in one of their fields."""
+    return _search_index(spark, d).counts
 
 
 @query("SELECT DISTINCT id FROM media WHERE rating = 5")
@@ -314,7 +344,7 @@ def a16_next_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split({q_clean('text')}, ' ')) AS word FROM media) WHERE contains(word, 'ing') AND length(word) >= 2 GROUP BY word HAVING count(*) >= 2")
 def a17_word_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return A.word_frequency(V.media(spark, d), "ing")
+    return A.word_frequency(_search_index(spark, d).search(V.media(spark, d), "ing"), "ing")
 
 
 @query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean_s, round(sum(value), 4) AS total_s FROM events GROUP BY event_type", views=False)

@@ -76,12 +76,6 @@ def test_minhash_equals_exact_pairs(spark, sf):
     assert got == {tuple(r) for r in joins.jaccard_pairs(sets).collect()} and got
 
 
-def test_banded_equals_blocks(spark, sf):
-    s = V.signature(spark, sf)
-    banded = {tuple(r) for r in joins._banded_pairs(s, 20, 0.3, 64, 21).collect()}
-    assert banded == {tuple(r) for r in joins._block_pairs(s, 20, 0.3).collect()} and banded
-
-
 def test_diff_twice_is_nothing(spark, sf):
     m, listing = V.media(spark, sf), V.listing(spark, sf)
     diff = sets.catalog_diff(m, listing)
