@@ -127,8 +127,17 @@ def _indexed_pairs(sig: DataFrame, max_dist: int, aspect_tol: float, plan: list[
     return near.where(_aspect_ok(a, b, aspect_tol)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "dist")
 
 
-def _blocks(sig: DataFrame, block: int = 1024) -> DataFrame:
-    """Signatures packed into rows of ``block`` each, written once."""
+def _blocks(sig: DataFrame) -> DataFrame:
+    """Signatures packed into blocks, written once."""
+    return materialize(_packed_blocks(sig), "blocks")
+
+
+def pack_signatures(sig: DataFrame, order: float) -> DataFrame:
+    """Blocks of ``sig(id, words)`` to be written and matched by ``first_match_packed``; those of a smaller ``order`` come first."""
+    return _packed_blocks(sig.select("id", "words", F.lit(order).alias("ar")))
+
+
+def _packed_blocks(sig: DataFrame, block: int = 1024) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,7 +151,7 @@ def _blocks(sig: DataFrame, block: int = 1024) -> DataFrame:
                 number += 1
 
     rows = sig.select(F.col("id").cast("long"), "words", F.col("ar").cast("double")).where("id is not null and words is not null")
-    return materialize(rows.mapInArrow(pack, "block long, ids binary, words binary, ar binary"), "blocks")
+    return rows.mapInArrow(pack, "block long, ids binary, words binary, ar binary")
 
 
 def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool) -> DataFrame:
@@ -414,14 +423,18 @@ def rows_in_order(ids: list[int], media: DataFrame) -> DataFrame:
     return media.join(asked, "id").orderBy("pos")
 
 
-def first_match(new: DataFrame, pool: DataFrame, max_dist: int = 13, earlier: DataFrame | None = None) -> DataFrame:
-    """W15. The first hit of each arrival ``new(id, words)``: in the pool by id, then among ``earlier(id, words, batch)``
-    by batch and id, then among the arrivals with smaller ids.
+def first_match(new: DataFrame, pool: DataFrame, max_dist: int = 13) -> DataFrame:
+    """W15. The first hit of each arrival ``new(id, words)``: in the pool by id, then among the arrivals with smaller ids."""
+    arrived = materialize(pack_signatures(new, 0.0), "arrived")
+    return first_match_packed(arrived, arrived.unionByName(materialize(pack_signatures(pool, -1.0), "pool")), max_dist)
+
+
+def first_match_packed(new: DataFrame, known: DataFrame, max_dist: int = 13) -> DataFrame:
+    """W15, T7. The first hit of each signature in the blocks ``new``, by the order of its block and then by id, among the blocks ``known``.
+
+    ``known`` holds the blocks of ``new`` too. Hits come before: of a smaller
+    order, or of the same and with a smaller id.
     """
-    arrived = new.select("id", "words", F.lit(float("inf")).alias("ar"))
-    everyone = pool.select("id", "words", F.lit(-1.0).alias("ar")).unionByName(arrived)
-    if earlier is not None:
-        everyone = everyone.unionByName(earlier.select("id", "words", F.col("batch").cast("double").alias("ar")))
-    near = _met(_blocks(arrived), _blocks(everyone), max_dist, False).where("l <> r and (ar_r < ar_l or r < l)")
+    near = _met(new, known, max_dist, False).where("l <> r and (ar_r < ar_l or (ar_r = ar_l and r < l))")
     best = near.groupBy(F.col("l").alias("id")).agg(F.min_by(F.struct(F.col("r").alias("hit"), "dist"), F.struct("ar_r", "r")).alias("m"))
     return best.select("id", "m.hit", "m.dist")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,29 @@ def gallery_order(sort: str = "newest", descending: bool = True) -> list:
     return [keys[0].desc() if descending else keys[0].asc(), *[k.asc() for k in keys[1:]], F.col("id").asc()]
 
 
-def gallery_page(df: DataFrame, sort: str = "newest", descending: bool = True, page: int = 1, per_page: int = 60) -> DataFrame:
-    """W1. One page of a selection in natural order; a top-k, not a full sort, for early pages."""
-    return df.orderBy(*gallery_order(sort, descending)).offset((page - 1) * per_page).limit(per_page)
+def gallery_page(df: DataFrame, sort: str = "newest", descending: bool = True, page: int = 1, per_page: int = 60, early: int = 10_000) -> DataFrame:
+    """W1. One page of a selection in natural order.
+
+    Pages that end within the first ``early`` rows are a top-k. A later one is
+    found by order statistics: the sort keys alone are dealt out by ranges and
+    written by range, the counts of ranges (as many as Spark has shuffle
+    partitions) tell which of them hold the page, and only those are
+    read again and sorted. No task holds the rows before the page.
+    """
+    skip = (page - 1) * per_page
+    if skip + per_page <= early:
+        return df.orderBy(*gallery_order(sort, descending)).offset(skip).limit(per_page)
+    own = [F.col(k) if k == "file_date" else S.natural_key(F.col(k)) for k in ORDERS[sort]]
+    names = [f"__k{k}" for k in range(len(own))]
+    order = [F.desc(names[0]) if descending else F.asc(names[0]), *names[1:], "id"]
+    keys = df.select("id", *[c.alias(n) for c, n in zip(own, names, strict=True)])
+    dealt = materialize(keys.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges", partition_by=["__range"])
+    counts = sorted((r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.count("*").alias("n")).collect())
+    ends = list(itertools.accumulate(n for _, n in counts))
+    held = [(k, e - n) for (k, n), e in zip(counts, ends, strict=True) if e > skip and e - n < skip + per_page]
+    first = held[0][1] if held else 0
+    found = dealt.where(F.col("__range").isin([k for k, _ in held])).orderBy(*order).offset(skip - first).limit(per_page)
+    return df.join(found, "id").orderBy(*order).select(*df.columns)
 
 
 def keyset_page(df: DataFrame, after: int, n: int = 256, skip: DataFrame | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from ..sources import io
 from ..sources import views as V
 from ..sources.search_index import SearchIndex, source_key
 from ..streaming import changes as T
+from ..streaming.change_log import ChangeLog
 from .shared import materialize, new_path
 
 QUERIES: dict = {}
@@ -92,6 +93,12 @@ def w1_name_page(spark: SparkSession, d: str) -> DataFrame:
     return W.gallery_page(V.media(spark, d), "name", True, 2).select("id", "filename")
 
 
+@query(f"SELECT id, filename FROM media ORDER BY {q_natural('filename')}, {q_natural('folder')}, file_date, id LIMIT 30 OFFSET 150")
+def w1_late_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page found by the counts of ranges."""
+    return W.gallery_page(V.media(spark, d), "name", False, 6, 30, early=0).select("id", "filename")
+
+
 @query("SELECT id, filename FROM media WHERE id > 100 AND NOT (tagged) ORDER BY id LIMIT 256")
 def w2_keyset_page(spark: SparkSession, d: str) -> DataFrame:
     m = V.media(spark, d)
@@ -805,6 +812,12 @@ def s6_parse_json(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.col("props.k").alias("k"))
 
 
+@query()
+def s2_scan_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the given tables."""
+    return io.scan_listing(spark, [d], ["parquet"]).select("path", "length")
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id DESC LIMIT 1200", views=False)
 def s8_tail_since(spark: SparkSession, d: str) -> DataFrame:
     return io.tail_since(spark.read.parquet(f"{d}/events.parquet"), 100, "event_id").select("event_id", "event_type")
@@ -863,16 +876,11 @@ def t3_catalog_state(spark: SparkSession, d: str) -> DataFrame:
     views=False,
 )
 def t2_sync_stream(spark: SparkSession, d: str) -> DataFrame:
+    """An empty catalogue, kept up with by a log of changes."""
     path = new_path(spark, "sync")
-    spark.createDataFrame([], "path long, kind string, ts timestamp").write.parquet(f"{path}/v=-1")
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        T.apply_changes(spark.read.parquet(f"{path}/v={epoch - 1}"), batch).write.mode("overwrite").parquet(f"{path}/v={epoch}")
-        last[0] = epoch
-
-    last = [-1]
-    T.sync_stream(V.changes(_stream(spark, d)), step, f"{path}/state").start().awaitTermination()
-    return spark.read.parquet(f"{path}/v={last[0]}").select("path", "kind")
+    log = ChangeLog.create(spark.createDataFrame([], "path long, kind string, ts timestamp"), f"{path}/log")
+    T.sync_stream(V.changes(_stream(spark, d)), log.apply, f"{path}/state").start().awaitTermination()
+    return log.current().select("path", "kind")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS began_us, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", views=False)

@@ -24,11 +24,11 @@ def load_catalog(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"media": typed, "tags": spark.read.parquet(f"{folder}/tags"), "image_tags": spark.read.parquet(f"{folder}/image_tags")}
 
 
-def scan_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """S2. (path, length, mtime, ext) of the media files below ``roots``; file contents are not read."""
+def scan_listing(spark: SparkSession, roots: list[str], endings: list[str] = MEDIA_ENDINGS) -> DataFrame:
+    """S2. (path, length, mtime, ext) of the files below ``roots`` with one of the ``endings``, media files if none are named; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
     rows = files.select("path", "length", F.col("modificationTime").cast("double").alias("mtime"), S.extension(F.col("path")).alias("ext"))
-    return rows.where(F.col("ext").isin(MEDIA_ENDINGS))
+    return rows.where(F.col("ext").isin(endings))
 
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:

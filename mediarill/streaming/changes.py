@@ -33,26 +33,16 @@ def sync_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], che
     return changes.writeStream.foreachBatch(lambda df, epoch: apply(latest_changes(df), epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def apply_changes(catalog: DataFrame, changes: DataFrame) -> DataFrame:
-    """T2. A catalogue ``(path, kind, ts)`` after the last changes of some paths; removed paths go."""
-    kept = catalog.join(changes.select("path"), "path", "left_anti")
-    return kept.unionByName(changes.where("kind <> 'removed'").select(*catalog.columns))
-
-
-def _state_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kind, at, seq = state.get if state.exists else ("", 0.0, -1)
-    for pdf in batches:
-        for k, t, s in zip(pdf["kind"], pdf["at"], pdf["event_id"], strict=True):
-            if k != "unreachable" and (t, s) > (at, seq):
-                kind, at, seq = k, float(t), int(s)
-    state.update((kind, at, seq))
-    yield pd.DataFrame([(key[0], kind, at)], columns=["path", "kind", "at"])
-
-
 def catalog_state(changes: DataFrame) -> DataFrame:
-    """T3. The present state of each path as changes come in, late ones in their place; update mode."""
-    rows = changes.select("path", "kind", F.col("ts").cast("double").alias("at"), "event_id")
-    return rows.groupBy("path").applyInPandasWithState(_state_of, "path long, kind string, at double", "kind string, at double, seq long", "update", GroupStateTimeout.NoTimeout)
+    """T3. The present state of each path as changes come in, late ones in their place; update mode.
+
+    A running maximum: two values a path are kept in Spark's own state, one row for
+    each path that was ever seen, as the catalogue itself has.
+    """
+    last = F.struct(F.col("ts").cast("double").alias("at"), "event_id")
+    said = F.when(F.col("kind") != "unreachable", last)
+    rows = changes.select("path", "kind", said.alias("o"))
+    return rows.groupBy("path").agg(F.coalesce(F.max_by("kind", "o"), F.lit("")).alias("kind"), F.coalesce(F.max("o")["at"], F.lit(0.0)).alias("at"))
 
 
 def rate_eta(progress: DataFrame, total: int, window: str = "60 seconds", slide: str = "1 second", late: str = LATE) -> DataFrame:
@@ -94,18 +84,25 @@ def expire_after(deleted: DataFrame, ttl_s: int = 600, late: str = LATE) -> Data
 def match_arrivals(arrivals: DataFrame, pool: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, met: str, max_dist: int = 13):
     """T7. Each micro-batch of ``arrivals(id, words)`` against a pool of signatures and all that arrived before; ``sink(matches, epoch)`` takes the hits.
 
-    Arrivals are kept by epoch below the folder ``met``. A batch is written
-    there before it is matched, over what a failed try of it may have left,
-    and looks at smaller epochs only, so that a repeated batch gives the same.
+    The folder ``met`` is an index that grows by epoch: packed blocks of
+    signatures, the pool's written once at the start, a batch's own written
+    before it is matched. What was packed is only read later. A batch that is
+    repeated writes over its own epoch and looks at none behind it, so it gives the
+    same.
     """
-    from ..operators.joins import first_match
+    from ..operators.joins import first_match_packed, pack_signatures
+
+    spark = arrivals.sparkSession
+    schema = pack_signatures(pool.select("id", "words"), 0.0).schema
+    before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{met}/epoch=-1/_SUCCESS")
+    if not before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(before):
+        pack_signatures(pool.select("id", "words"), -1.0).write.mode("overwrite").parquet(f"{met}/epoch=-1")
 
     def one(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        df.select("id", "words").write.mode("overwrite").parquet(f"{met}/batch={epoch}")
-        every = spark.read.schema("id long, words array<long>, batch long").parquet(met)
-        now = every.where(F.col("batch") == epoch)
-        sink(first_match(now, pool, max_dist, every.where(F.col("batch") < epoch)), epoch)
+        pack_signatures(df.select("id", "words"), float(epoch)).write.mode("overwrite").parquet(f"{met}/epoch={epoch}")
+        read = df.sparkSession.read.schema(schema)
+        known = read.parquet(*[f"{met}/epoch={e}" for e in range(-1, epoch + 1)])
+        sink(first_match_packed(read.parquet(f"{met}/epoch={epoch}"), known, max_dist), epoch)
 
     return arrivals.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -9,10 +9,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mediarill.operators import filters, graph, joins
+from mediarill.operators import filters, graph, joins, ranking
 from mediarill.plans.shared import new_path
+from mediarill.sources import io
 from mediarill.sources import views as V
 from mediarill.sources.search_index import SearchIndex, _packed, _unpacked, source_key, terms_of
+from mediarill.streaming import changes
+from mediarill.streaming.change_log import ChangeLog
 
 
 # Cliques (G1, G2).
@@ -149,3 +152,88 @@ def test_packed_lists():
         raw = _packed(ids)
         assert _unpacked(raw).tolist() == ids.tolist() and len(raw) <= 9 + 8 * (len(ids) - 1)
     assert terms_of(" A_b ,,c  d") == ["a b", "c d"]
+
+
+# Changes (T2, T7).
+def test_change_log_writes_changes_only(spark):
+    """Many small batches over a large base: rows as the plain rule gives them, bytes in proportion to the changes, repeats without effect."""
+    rng, n = random.Random(6), 20_000
+    base = {k: ("created", float(k)) for k in range(n)}
+    schema = "path long, kind string, at double"
+    rows = spark.range(n, numPartitions=2).select(F.col("id").alias("path"), F.lit("created").alias("kind"), F.col("id").cast("double").alias("at"))
+    log, written, made = ChangeLog.create(rows, new_path(spark, "log"), fanout=3), [], []
+    plain = log._replace
+    log._replace = lambda segments, df: (plain(segments, df), made.append((segments[0][0], segments[-1][1])))
+    size = log.bytes_of(-1, -1)
+    for epoch in range(10):
+        batch = {rng.randrange(n + 50): (rng.choice(["created", "modified", "removed"]), epoch + 0.5) for _ in range(20)}
+        table = spark.createDataFrame([(k, *v) for k, v in batch.items()], schema).coalesce(1)
+        log.apply(table, epoch)
+        if epoch % 4 == 0:
+            log.apply(table, epoch)  # a repeated batch
+        base.update(batch)
+        held = log.segments()
+        written += [log.bytes_of(*s) for s in held if s[1] == epoch]
+        assert held[0] == (-1, -1) and len(held) <= 6  # the base is not written anew
+    assert sum(written) < size / 2 and all(first > -1 for first, _ in made) and len(made) == 4
+    assert sorted(map(tuple, log.current().collect())) == sorted((k, *v) for k, v in base.items() if v[0] != "removed")
+    log.apply(spark.createDataFrame([(1, "removed", 99.0)], schema), 2)  # an epoch that was merged long ago
+    assert log.current().where("path = 1").count() == (base[1][0] != "removed")
+
+
+def test_change_log_renews_its_base_and_survives_half_a_merge(spark):
+    schema = "path long, kind string, at double"
+    log = ChangeLog.create(spark.createDataFrame([(k, "created", 0.0) for k in range(8)], schema), new_path(spark, "log"), fanout=2, share=0.5)
+    for epoch in range(5):
+        log.apply(spark.createDataFrame([(epoch, "removed" if epoch % 2 else "modified", 1.0), (100 + epoch, "created", 1.0)], schema), epoch)
+    assert log.segments()[0][1] > -1  # written anew, as the log had half its rows
+    want = sorted([(0, "modified"), (2, "modified"), (4, "modified"), (5, "created"), (6, "created"), (7, "created"), *[(100 + k, "created") for k in range(5)]])
+    assert sorted((r["path"], r["kind"]) for r in log.current().collect()) == want
+    jvm, _, files = log._files()
+    spark.createDataFrame([(5, "removed", 9.0)], schema).write.parquet(log._path(-1, 50))
+    files.delete(jvm.org.apache.hadoop.fs.Path(f"{log._path(-1, 50)}/_SUCCESS"), False)  # never committed
+    assert sorted((r["path"], r["kind"]) for r in log.current().collect()) == want
+    again = ChangeLog(spark, log.folder, log.schema)
+    assert sorted((r["path"], r["kind"]) for r in again.current().collect()) == want
+
+
+def test_arrivals_are_packed_once(spark, tmp_path, monkeypatch):
+    """Each micro-batch packs itself; the pool's blocks are written at the first start only, and a restart goes on from the checkpoint."""
+    packed = []
+    plain = joins.pack_signatures
+    monkeypatch.setattr(joins, "pack_signatures", lambda sig, order: (packed.append(order), plain(sig, order))[1])
+    pool = spark.createDataFrame([(1, [7, 7])], "id long, words array<long>")
+    found = {}
+
+    def run():
+        stream = io.file_change_stream(spark, f"file://{tmp_path}/in", "id long, words array<long>")
+        changes.match_arrivals(stream, pool, lambda b, e: found.update({r["id"]: r["hit"] for r in b.collect()}), f"file://{tmp_path}/state", f"file://{tmp_path}/met", 1).start().awaitTermination()
+
+    add = lambda *rows: spark.createDataFrame(list(rows), "id long, words array<long>").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    add((10, [0, 0]), (11, [7, 6]))
+    run()
+    add((12, [0, 1]))
+    add((13, [0, 1]))
+    run()
+    assert found == {11: 1, 12: 10, 13: 10}
+    assert packed.count(-1.0) == 1 and [o for o in packed if o > 0] == [1.0, 2.0]
+
+
+def test_late_pages_equal_a_full_sort(spark, sf):
+    media = V.media(spark, sf)
+    for sort, down in (("newest", True), ("name", False), ("folder", True)):
+        whole = [r["id"] for r in media.orderBy(*ranking.gallery_order(sort, down)).select("id").collect()]
+        for page, per_page in ((1, 7), (12, 16), (13, 16), (50, 60), (2, 150)):
+            got = [r["id"] for r in ranking.gallery_page(media, sort, down, page, per_page, early=0).collect()]
+            assert got == whole[(page - 1) * per_page : page * per_page]
+    assert ranking.gallery_page(media.where("false"), page=400).count() == 0
+
+
+def test_listing_reads_no_content(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name in ("a b/x.JPG", "y.png", "z.txt", "noext"):
+        (tmp_path / name).write_bytes(b"12345")
+    files = io.scan_listing(spark, [f"file://{tmp_path}"])
+    assert sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in files.collect()) == [("x.JPG", 5), ("y.png", 5)]
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan[plan.index("ReadSchema") :].splitlines()[0]
