@@ -13,10 +13,11 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or else the session's checkpoint folder.
 
-    Only where that setting is absent (a local test session) a temporary
-    folder is made and registered as the session's checkpoint folder.
+    Only where both are absent and all runs on this machine (a local test
+    session), a temporary folder is made and registered as checkpoint folder.
+    On a cluster that is an error: its machines would not see each other's.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every machine of the cluster sees")
     made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")

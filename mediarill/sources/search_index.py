@@ -40,9 +40,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         at = 0
         sizes = np.cumsum(pc.binary_length(whole.column("text")).to_numpy().astype(np.int64))
-        while at < whole.num_rows:  # about a megabyte at a time, of one chunk
+        while at < whole.num_rows:  # about two megabytes at a time, of one chunk
             chunk = whole.column("chunk")[at].as_py()
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), "right")))
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 21), "right")))
             same = whole.column("chunk").slice(at, end - at).to_numpy() == chunk
             end = at + (int(np.argmin(same)) if not same.all() else len(same))
             batch, at = whole.slice(at, end - at), end
@@ -88,7 +88,7 @@ class SearchIndex:
     """Three tables in a folder.
 
     ``texts(id, text, chunk)`` holds what is searched, a row's fields on lines of
-    their own, in chunks by ranges of id. ``postings(gram, chunk, n, deltas,
+    their own, in chunks as the rows came. ``postings(gram, chunk, n, deltas,
     bucket)`` holds for each trigram the ids that have it, in pieces of some
     hundred rows each, so that no list of a frequent trigram is one row; it is
     bucketed and sorted by trigram, so that a look-up reads a few row groups
@@ -103,21 +103,21 @@ class SearchIndex:
         self.buckets = int(spark.read.schema("buckets int").parquet(f"{path}/made").first()["buckets"])
 
     @classmethod
-    def build(cls, rows: DataFrame, path: str, chunks: int | None = None, buckets: int | None = None) -> SearchIndex:
+    def build(cls, rows: DataFrame, path: str, buckets: int | None = None) -> SearchIndex:
         """Index ``rows(id, fields array<string>)``; null fields and rows without id are left out.
 
-        As many chunks and buckets as Spark has shuffle partitions, if nothing
-        else is said: a chunk and a bucket are one task's work.
+        The rows' own partitions are the chunks, so texts are not shuffled; as many
+        buckets as Spark has shuffle partitions, if nothing else is said.
         """
         spark = rows.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        chunks, buckets = chunks or parts, buckets or parts
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         lines = F.coalesce(F.array_join(F.transform("fields", plain), "\n"), F.lit(""))
-        texts = rows.where("id is not null").select(F.col("id").cast("long"), lines.alias("text")).repartitionByRange(chunks, "id").sortWithinPartitions("id")
-        texts.withColumn("chunk", F.spark_partition_id()).write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/texts")
+        texts = rows.where("id is not null").select(F.col("id").cast("long"), lines.alias("text")).sortWithinPartitions("id").withColumn("chunk", F.spark_partition_id())
+        texts.write.mode("overwrite").option("compression", "zstd").partitionBy("chunk").parquet(f"{path}/texts")
         texts = spark.read.schema("id long, text string, chunk int").parquet(f"{path}/texts")
         lists = texts.mapInArrow(_grams, "gram string, chunk int, n int, deltas binary").withColumn("bucket", _bucket(buckets))
-        lists.repartition(buckets, "bucket").sortWithinPartitions("bucket", "gram", "chunk").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        lists = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket", "gram", "chunk")
+        lists.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         lists = spark.read.schema("gram string, chunk int, n int, deltas binary, bucket int").parquet(f"{path}/postings")
         lists.groupBy("gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
         spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/made")  # last: the index is whole

@@ -113,7 +113,7 @@ def catalogue(spark, rows):
 @pytest.mark.parametrize("asked", ["cat", "Blue_EYES", "set 1, mat", "猫", "語の猫", "école", "aaa", "aaaa,a", "zzz", "cat,zzz", " , ", "t m", "the mat, set_1 ,e"])
 def test_search_by_index_equals_scan(spark, asked):
     media, tags, fields = catalogue(spark, [r for r in ODD_ROWS if r[0] is not None])
-    index = SearchIndex.build(fields, new_path(spark, "index"), chunks=3, buckets=2)
+    index = SearchIndex.build(fields.repartition(3, "id"), new_path(spark, "index"), buckets=2)
     ids = lambda df: sorted(r["id"] for r in df.select("id").distinct().collect())
     assert ids(index.search(media, asked)) == ids(filters.search(media, tags, asked))
     index.drop()
