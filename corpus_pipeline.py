@@ -22,7 +22,7 @@ from mediarill.llm.lines import dedup_lines
 from mediarill.llm.near_dups import near_duplicates
 from mediarill.llm.pieces import default_model, encode_pieces
 from mediarill.llm.toxicity import fit_toxicity, tag_documents
-from mediarill.plans.shared import materialize, scratch
+from mediarill.plans.shared import discard, materialize, new_path, scratch
 from mediarill.plans.shipping import ship, shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -72,11 +72,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again before the next."""
+    """All stages over the documents of ``sf_dir``, each written and read again before the next.
+
+    What a stage wrote for itself goes with its end, and its predecessor's table
+    once its own is written; the result reads the last but one stage's table.
+    """
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage_{k}")
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        path = new_path(spark, f"stage_{k}")
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            discard(spark, before)
+        before = path

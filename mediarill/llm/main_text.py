@@ -18,8 +18,10 @@ from .remembered import Remembered
 
 # Fixed values of HTML: elements inside a line of text, without content, and whose content is no markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img picture source".split())
+# Drawings, formulas and players stand inside a line too, and what they hold beside them, with their own elements.
+INLINE |= frozenset("svg g path circle rect line polyline polygon ellipse tspan use defs math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup mover munder munderover mtable mtr mtd mstyle mpadded mfenced menclose annotation object canvas audio video track iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video".split())
+RAW = frozenset("script style template".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -45,7 +47,7 @@ WIDTH = PATH + WORDS + COUNTS
 class _Node:
     """An element on the way to a block: its names and what it encloses. Nodes know their parent, so a block needs only one."""
 
-    __slots__ = ("tag", "names", "up", "root", "box", "depth", "chars", "linked", "blocks", "total", "weak", "fresh", "vector", "kids")
+    __slots__ = ("tag", "names", "up", "root", "box", "depth", "chars", "linked", "blocks", "total", "weak", "fresh", "vector", "kids", "named")
 
     def __init__(self, tag: str, names: tuple[str, ...], up: _Node | None):
         self.tag, self.names, self.up = tag, names, up
@@ -53,7 +55,7 @@ class _Node:
         self.root = up.root if up else self
         self.box = self if up is None or tag in BOXES else up.box
         self.chars = self.linked = self.blocks = self.total = 0
-        self.fresh, self.vector, self.kids = (), None, None
+        self.fresh, self.vector, self.kids, self.named = (), None, None, None
         # The weak label: 1 below something named as main, 0 below something named as not, the inner name deciding; None if nothing is named.
         self.weak = 0 if any(n in _OTHER for n in names) else 1 if any(n in _MAIN for n in names) else up.weak if up else None
 
@@ -234,12 +236,17 @@ def _slot(name: str) -> list[tuple[int, int]]:
 
 
 def _named(node: _Node) -> _Node:
-    """The innermost element around that has a class or id, or is more than a plain box; within ten steps."""
-    for _ in range(10):
-        if node.up is None or len(node.names) > 1 or (node.tag in _MAIN or node.tag in _OTHER):
-            return node
-        node = node.up
-    return node
+    """The innermost element around that has a class or id, or is more than a plain box; the root if there is none. Each node looks it up once."""
+    asked = []
+    while node.named is None:
+        asked.append(node)
+        if node.up is None or len(node.names) > 1 or node.tag in _MAIN or node.tag in _OTHER:
+            node.named = node
+        else:
+            node = node.up
+    for other in asked:
+        other.named = node.named
+    return node.named
 
 
 def _place(node: _Node) -> np.ndarray:
@@ -247,10 +254,11 @@ def _place(node: _Node) -> np.ndarray:
     names = ("@" + node.tag, "^" + (node.up.tag if node.up else ""), *["%" + m for m in _named(node).names])
     found = _places.get(names)
     if found is None:
-        found = np.zeros(PATH, np.int8)
-        for name in names[:40]:
+        wide = np.zeros(PATH, np.int64)
+        for name in names:
             for place, sign in _slot(name):
-                found[place] += sign
+                wide[place] += sign
+        found = np.clip(wide, -99, 99).astype(np.int8)
         if len(_places) < 20_000:
             _places[names] = found
     return found
@@ -619,8 +627,10 @@ def train_labeller(pages: list[str], made: int = 500, window: int = 64, rounds:
 def extract_main_text(pages: DataFrame, labeller: BiLstm) -> DataFrame:
     """``pages`` with ``text string``: the blocks labelled main, in page order, joined by a space.
 
-    Null and empty html give an empty text. Pages of any length are read
-    whole. A column already called text is replaced; others pass through.
+    Null and empty html give an empty text; so does an empty table no rows.
+    Rows that repeat a page_id, or have none, stand for themselves. Pages of
+    any length are read whole; only scripts, styles and templates go before
+    the blocks are labelled. A column already called text is replaced; others pass through.
     """
     model = pages.sparkSession.sparkContext.broadcast(labeller)
     others = [f for f in pages.schema.fields if f.name != "text"]

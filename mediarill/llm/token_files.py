@@ -36,18 +36,23 @@ class EliasFano:
         self.n, self.width, self.low, self.high, self.samples = n, width, low, high, samples
 
     @classmethod
-    def encode(cls, values: np.ndarray) -> EliasFano:
-        v = np.asarray(values, np.uint64)
-        n = len(v)
+    def encode(cls, values: np.ndarray, run: int = 1 << 16) -> EliasFano:
+        """Encoded ``run`` values at a time, so that beside the values only their code is held."""
+        n = len(values)
         if not n:
             return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        width = max(0, (int(v[-1]) // n).bit_length() - 1) if int(v[-1]) >= n else 0
-        bits = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        low = np.packbits(bits.reshape(-1), bitorder="little")
-        at = (v >> np.uint64(width)) + np.arange(n, dtype=np.uint64)
-        words = np.zeros(int(at[-1]) // 64 + 1, np.uint64)
-        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        return cls(n, width, low, words, at[:: cls.STEP].copy())
+        top = int(values[-1])
+        width = max(0, (top // n).bit_length() - 1) if top >= n else 0
+        words = np.zeros(((top >> width) + n - 1) // 64 + 1, np.uint64)
+        low, samples = [], []
+        for a in range(0, n, run):  # a run's low bits end with a byte
+            v = np.asarray(values[a : a + run], np.uint64)
+            at = (v >> np.uint64(width)) + np.arange(a, a + len(v), dtype=np.uint64)
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            bits = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            low.append(np.packbits(bits.reshape(-1), bitorder="little"))
+            samples.append(at[:: cls.STEP].copy())
+        return cls(n, width, np.concatenate(low), words, np.concatenate(samples))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -117,10 +122,16 @@ class ShardWriter:
         self.doc_ids.append(np.array([d for d in doc_ids if d is not None], np.int64))
 
     def close(self) -> None:
+        ends = np.concatenate([np.zeros(1, np.int64), *self.ends])
+        self.ends.clear()
+        starts = EliasFano.encode(ends).to_bytes()
+        del ends
         docs = np.concatenate([*self.doc_ids, np.zeros(0, np.int64)])
+        self.doc_ids.clear()
         first = int(docs[0]) if len(docs) else 0
-        starts = EliasFano.encode(np.concatenate([[0], *self.ends])).to_bytes()
-        names = EliasFano.encode((docs - first).astype(np.uint64)).to_bytes()
+        docs -= first  # differences of 64-bit ids, read without sign
+        names = EliasFano.encode(docs.view(np.uint64)).to_bytes()
+        del docs
         foot = json.dumps({"ids": self.id_type, "n_ids": self.n_ids, "starts": len(starts), "names": len(names), "first": first, "n_null": self.n_null}).encode()
         self.stream.write(starts + names + foot + np.array([len(foot)], "<u4").tobytes() + MAGIC)
         self.stream.close()
@@ -217,6 +228,18 @@ def _open(path: str):
     return system, inside
 
 
+#: Bytes of input, as Spark puts them from the files, for each shard.
+SHARD_BYTES = 64 << 20
+
+
+def _shards(docs: DataFrame) -> int:
+    """As many shards as the table's size asks for, and as Spark has shuffle partitions at least; so what a task holds doesn't grow with the table."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # no figure at all
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
 #: Documents whose boundaries are looked up at a time.
 RUN = 4096
 MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -235,8 +258,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     machine.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = rows.repartitionByRange(shards or _shards(rows), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

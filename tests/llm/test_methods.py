@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from mediarill.llm import main_text, quality, toxicity, url_filter
+from mediarill.llm import main_text, quality, token_files, toxicity, url_filter
 
 #: Hand-made pages of other makes than the given ones; blocks of the main text begin with ¶.
 DESIGNS = {
@@ -239,3 +239,51 @@ def test_jobs_leave_only_what_their_result_reads(spark):
         assert len(tables() - before) == 2
         assert sorted(r["component_id"] for r in got.collect()) == [0, 0, 2, 2, 4, 4, 6, 6]
     assert tables() == before
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>Let <math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>n</mi></msup></math> be one.</p>", ["Let x=2n be one."]),
+    ("<div><figure><svg viewBox='0 0 9 9'><g><text>North</text><path d='M0'/></g></svg><figcaption>A map</figcaption></figure></div>", ["North", "A map"]),
+    ("<p>before <video src=x><track kind=captions>no player here</video> after</p><noscript>read without scripts</noscript>", ["before no player here after", "read without scripts"]),
+    ("<p>a <object data=x><iframe>inner</iframe></object><canvas>drawn</canvas> b</p><script>var x = '<p>no</p>'</script><style>p{}</style><template><p>no</p></template>", ["a innerdrawn b"]),
+])
+def test_formulas_drawings_and_fallbacks_are_read(page, want):
+    """Only scripts, styles and templates go unread; the labeller judges the rest."""
+    assert [b.text for b in main_text.blocks_of(page)] == want
+
+
+def test_names_far_up_and_many_names_count():
+    deep = "<div class='sidebar'>" + "<div>" * 30 + "<p>x y</p>" + "</div>" * 31
+    plain = "<div class='other'>" + "<div>" * 30 + "<p>x y</p>" + "</div>" * 31
+    many = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    vectors = [main_text.vectors_of(main_text.blocks_of(p)) for p in (deep, plain, f"<p class='{many}'>x y</p>", f"<p class='{many} last'>x y</p>")]
+    assert (vectors[0][:, : main_text.PATH] != vectors[1][:, : main_text.PATH]).any()
+    assert (vectors[2][:, : main_text.PATH] != vectors[3][:, : main_text.PATH]).any()
+
+
+def test_boundaries_of_ten_million_documents():
+    """A shard's boundaries and ids are encoded in runs: beside the numbers themselves only their code is held."""
+    import tracemalloc
+
+    class Sink:
+        size = 0
+
+        def write(self, raw):
+            self.size += len(raw)
+
+        def close(self):
+            pass
+
+    def peak(n):
+        tracemalloc.start()
+        writer = token_files.ShardWriter(Sink(), "<u2")
+        for a in range(0, n, 100_000):
+            writer.add(list(range(3 * a, 3 * (a + 100_000), 3)), np.full(100_000, 50), np.zeros(1, np.uint16))
+            writer.n_ids += 50 * 100_000 - 1
+        writer.close()
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top / 1e6
+
+    one, ten = peak(1_000_000), peak(10_000_000)
+    assert ten < 400 and ten < 11 * one
