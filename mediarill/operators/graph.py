@@ -4,35 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 
 
-def _cliques(pairs: pd.DataFrame) -> list[list[int]]:
+def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None) -> list[list[int]]:
     """The groups of ``pairs(a, b, k)``, smaller ``k`` first.
 
     A pair of free images opens a group. Only those near to both can join:
     free ones, by the worse of their two values and then by id, each if it
     is near to all that joined before.
+
+    With ``inside``, the images of one region, pairs has all pairs with an
+    end there, and only groups that are sure come out. A pair is decided if its
+    ends and all free common neighbours lie inside and no earlier pair that was left open
+    could use any of them; else it is left open itself, and so are from then on all
+    images that it could use. An image with two neighbours outside is open from the
+    start, as those may be a pair of their own that takes it.
+
+    Neighbours are kept in flat sorted arrays, some 40 bytes a pair.
     """
-    near: dict[int, dict[int, float]] = {}
-    for a, b, k in pairs[["a", "b", "k"]].itertuples(index=False):
-        near.setdefault(a, {})[b] = k
-        near.setdefault(b, {})[a] = k
-    free = set(near)
+    n_pairs = len(pairs)
+    ids, ends = np.unique(pairs[["a", "b"]].to_numpy(np.int64).T.reshape(-1), return_inverse=True)
+    k, n = pairs["k"].to_numpy(np.float64), len(ids)
+    a, b = ends[:n_pairs], ends[n_pairs:]
+    order = np.lexsort((b, a, k))
+    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+    by = np.lexsort((dst, src))
+    near, value, first = dst[by].astype(np.int32), np.concatenate([k, k])[by], np.searchsorted(src[by], np.arange(n + 1))
+    used, safe = np.zeros(n, bool), np.ones(n, bool)
+    if inside is not None:
+        safe = np.isin(ids, inside)
+        safe &= np.bincount(src[~safe[dst]], minlength=n) < 2
     out = []
-    for a, b in pairs.sort_values(["k", "a", "b"])[["a", "b"]].itertuples(index=False):
-        if a in free and b in free:
-            common = near[a].keys() & near[b].keys() & free
-            group = [a, b]
-            for c in sorted(common, key=lambda c: (max(near[a][c], near[b][c]), c)):  # noqa: B023
-                if all(m in near[c] for m in group[2:]):
-                    group.append(c)
-            free.difference_update(group)
-            out.append(group)
+    gone, low, high = memoryview(used), a[order].tolist(), b[order].tolist()
+    del src, dst, by, ends
+    for x, y in zip(low, high, strict=True):
+        if gone[x] or gone[y]:
+            continue
+        of_x, of_y = slice(first[x], first[x + 1]), slice(first[y], first[y + 1])
+        common, i, j = np.intersect1d(near[of_x], near[of_y], True, True)
+        free = ~used[common]
+        common = common[free]
+        if inside is not None and not (safe[x] and safe[y] and safe[common].all()):
+            safe[[x, y]] = False
+            safe[common] = False
+            continue
+        worse = np.maximum(value[of_x][i], value[of_y][j])[free]
+        left, group = common[np.lexsort((common, worse))], [x, y]
+        while len(left):
+            group.append(int(left[0]))
+            left = left[1:][np.isin(left[1:], near[first[left[0]] : first[left[0] + 1]])]
+        used[group] = True
+        out.append(ids[group].tolist())
     return out
 
 
@@ -132,53 +160,60 @@ def _decided(rows: DataFrame, regions: DataFrame) -> DataFrame:
     placed = placed.select("a", "b", "k", "a_region", "b_region", F.explode(F.array_distinct(F.array("a_region", "b_region"))).alias("region")).where("region is not null")
     inner = lambda end: F.coalesce(F.col(f"{end}_region") == F.col("region"), F.lit(False)).alias(f"{end}_in")
     placed = placed.select("region", "a", "b", "k", inner("a"), inner("b"))
-    return placed.groupBy("region").applyInPandas(lambda pdf: _rows_of(_run_ahead(pdf)), _GROUPED)
+    return placed.groupBy("region").applyInPandas(lambda pdf: _rows_of(_greedy(pdf, np.union1d(pdf.loc[pdf["a_in"], "a"], pdf.loc[pdf["b_in"], "b"]))), _GROUPED)
 
 
 def _in_one_task(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_cliques(pdf)), _GROUPED)
+    return rows.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_greedy(pdf)), _GROUPED)
 
 
-def _one_round(rows: DataFrame) -> DataFrame:
-    """Groups that the greedy choice is sure to make from ``rows(a, b, k)``: those of the first pair of their surroundings.
+def _first_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """Groups that the first of ``rows(a, b, k)`` open, taken in order by one task, as many as it can hold the surroundings of.
 
-    A pair's group lies among its ends' neighbours. So a pair that comes
-    before all others within two steps of it can be opened now, whatever
-    happens elsewhere; every component has one. Values spread by two minima
-    over neighbours; the common neighbours of an opened pair and the links
-    among them go to one small task a pair.
+    The surroundings of a pair are its common neighbours and the links among
+    them. Of the first ``most / 400`` pairs those come in whose neighbours,
+    squared and added up, stay below ``most``, and one in any case.
     """
-    first = F.struct("k", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    both = rows.select(F.col("a").alias("x"), F.col("b").alias("y"), "k").unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("y"), "k"))
-    both = materialize(both, "both_ways")
-    best = materialize(both.groupBy("x").agg(F.min(first).alias("m")), "best0")
-    for step in (1, 2):
-        beside = both.select("x", "y").join(best.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("m").alias("o"))
-        best = materialize(best.join(beside, "x").select("x", F.least("m", "o").alias("m")), f"best{step}")
-    opened = materialize(best.where("x = m.a").select("x", F.col("m.a").alias("a"), F.col("m.b").alias("b")).select("a", "b").distinct(), "opened")
-    side = lambda end: both.select(F.col("x").alias(end), F.col("y").alias("c"), F.col("k").alias(f"k_{end}"))
-    common = opened.join(side("a"), "a").join(side("b"), ["b", "c"]).select("a", "b", "c", F.greatest("k_a", "k_b").alias("worse"))
+    order = ["k", "a", "b"]
+    first = materialize(rows.orderBy(*order).limit(max(1, most // 400)), "first_pairs")
+    both = rows.select(F.col("a").alias("x"), F.col("b").alias("c"), "k").unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("c"), "k"))
+    side = lambda end: both.select(F.col("x").alias(end), "c", F.col("k").alias(f"k_{end}"))
+    common = first.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "c"]).select("a", "b", "c", F.greatest("k_a", "k_b").alias("worse"))
     common = materialize(common, "common")
-    links = common.select("a", "b", "c").join(rows.select(F.col("a").alias("c"), F.col("b").alias("d")), "c").join(common.select("a", "b", F.col("c").alias("d")), ["a", "b", "d"])
-    facts = common.select("a", "b", "c", F.lit(None).cast("long").alias("d"), "worse").unionByName(links.select("a", "b", "c", "d", F.lit(None).cast("double").alias("worse")))
-    facts = facts.unionByName(opened.select("a", "b", F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("double").alias("worse")))
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        near: dict[int, set[int]] = {}
-        for c, d in pdf.loc[pdf["d"].notna(), ["c", "d"]].astype("int64").itertuples(index=False):
-            near.setdefault(c, set()).add(d)
-            near.setdefault(d, set()).add(c)
-        group: list[int] = []
-        for c in pdf[pdf["worse"].notna()].sort_values(["worse", "c"])["c"].astype("int64"):
-            if near.get(c, set()).issuperset(group):
-                group.append(c)
-        return pd.DataFrame([(min(a, b, *group), m) for m in (a, b, *group)], columns=["group_id", "id"])
+    cost = first.join(common.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    held = F.sum(F.col("n") * F.col("n")).over(Window.orderBy(*order))
+    first = materialize(cost.select("a", "b", "k", held.alias("held"), F.row_number().over(Window.orderBy(*order)).alias("place")).where((F.col("held") <= most) | (F.col("place") == 1)).drop("held", "place"), "taken")
+    common = common.join(first.select("a", "b"), ["a", "b"], "left_semi")
+    links = common.select("a", "b", "c").join(rows.select(F.col("a").alias("c"), F.col("b").alias("d")), "c").join(common.select("a", "b", F.col("c").alias("d")), ["a", "b", "d"]).select("c", "d").distinct()
+    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    facts = first.select("a", "b", "k", empty("c", "long"), empty("worse", "double"))
+    facts = facts.unionByName(common.select("a", "b", empty("k", "double"), "c", "worse"))
+    facts = facts.unionByName(links.select(F.col("c").alias("a"), F.col("d").alias("b"), empty("k", "double"), empty("c", "long"), empty("worse", "double")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        opening, beside = pdf[pdf["k"].notna()].sort_values(order), pdf[pdf["c"].notna()].sort_values(["a", "b", "worse", "c"])
+        linked: dict[int, set[int]] = {}
+        for c, d in pdf.loc[pdf["k"].isna() & pdf["c"].isna(), ["a", "b"]].itertuples(index=False):
+            linked.setdefault(c, set()).add(d)
+            linked.setdefault(d, set()).add(c)
+        able = {pair: g["c"].astype("int64").tolist() for pair, g in beside.groupby(["a", "b"])}
+        used: set[int] = set()
+        out = []
+        for a, b in opening[["a", "b"]].itertuples(index=False):
+            if a in used or b in used:
+                continue
+            group: list[int] = []
+            for c in able.get((a, b), []):
+                if c not in used and linked.get(c, set()).issuperset(group):
+                    group.append(c)
+            used.update((a, b, *group))
+            out.append([a, b, *group])
+        return _rows_of(out)
 
-    return facts.groupBy("a", "b").applyInPandas(join, _GROUPED)
+    return facts.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(run, _GROUPED)
 
 
-def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_pairs: int = 100_000, told: Callable[[int, int], None] | None = None) -> DataFrame:
+def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_pairs: int = 2_000_000, told: Callable[[int, int], None] | None = None) -> DataFrame:
     """G1, G2. Disjoint cliques of ``pairs(a, b, dist)`` or ``pairs(a, b, sim)`` as (group_id, id, size, similarity).
 
     Best pairs first, ties to smaller ids: greedy choice. Up to ``most_pairs``
@@ -186,9 +221,9 @@ def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_p
     size, components or parts of them; a task decides the pairs of its region in
     order, running ahead as far as nothing that is still open beyond its
     border can touch them. Used images go, which sets the next regions free. Where
-    that hardly gets on, a round of joins opens every pair that comes
-    first in its surroundings, borders or not, so each turn gets on; and if that
-    is of little use for some turns, the rest is cut anew, with other
+    that hardly gets on, since borders are everywhere, the first pairs of all are
+    opened in order with their surroundings at hand, so each turn gets on; and
+    if that is of little use for some turns, the rest is cut anew, with other
     borders. The groups are the plain rule's. ``told(round,
     pairs)`` hears how many pairs are left. ``dist`` groups report their worst
     pair, ``sim`` groups the rounded mean. group_id is the smallest member.
@@ -197,7 +232,7 @@ def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_p
     value = F.col("dist" if distance else "sim").cast("double")
     rows = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (value if distance else -value).alias("k")).where("a < b").groupBy("a", "b").agg(F.min("k").alias("k"))
     rows = all_rows = materialize(rows, "pairs")
-    done, left = [], rows.count()
+    done, left, most_pairs = [], rows.count(), max(1, most_pairs)
 
     def without_used(rows: DataFrame, used: DataFrame) -> DataFrame:
         used = used.select("id")
@@ -211,7 +246,7 @@ def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_p
         before = left
         for step in ("decided", "opened"):
             if step == "decided" or (left > most_pairs and before - left < before // 50):
-                done.append(materialize(_decided(rows, regions) if step == "decided" else _one_round(rows), step))
+                done.append(materialize(_decided(rows, regions) if step == "decided" else _first_pairs(rows, most_pairs), step))
                 rows = without_used(rows, done[-1])
                 left, rounds = rows.count(), rounds + 1
         idle = idle + 1 if before - left < before // 50 else 0

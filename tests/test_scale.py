@@ -25,7 +25,21 @@ def groups_of(spark, pairs, **how):
 
 
 def plain_groups(pairs):
-    return sorted(tuple(sorted(g)) for g in graph._cliques(pairs.rename(columns={"dist": "k"})))
+    """The clique rule in plain steps."""
+    near: dict = {}
+    for a, b, k in pairs.itertuples(index=False):
+        near.setdefault(a, {})[b] = k
+        near.setdefault(b, {})[a] = k
+    free, out = set(near), []
+    for a, b in pairs.sort_values([pairs.columns[2], "a", "b"])[["a", "b"]].itertuples(index=False):
+        if a in free and b in free:
+            group = [a, b]
+            for c in sorted(near[a].keys() & near[b].keys() & free, key=lambda c: (max(near[a][c], near[b][c]), c)):  # noqa: B023
+                if all(m in near[c] for m in group[2:]):
+                    group.append(c)
+            free.difference_update(group)
+            out.append(tuple(sorted(group)))
+    return sorted(out)
 
 
 @pytest.mark.parametrize("seed", range(60))
@@ -34,19 +48,20 @@ def test_run_ahead_decides_only_what_is_sure(seed):
     rng = random.Random(seed)
     n = rng.randint(4, 30)
     pairs = pd.DataFrame([(a, b, rng.randint(0, 3)) for a, b in itertools.combinations(range(n), 2) if rng.random() < rng.choice([0.1, 0.3, 0.6])] or [(0, 1, 1)], columns=["a", "b", "k"])
-    every = {tuple(sorted(g)) for g in graph._cliques(pairs)}
+    every = set(plain_groups(pairs))
+    assert {tuple(sorted(g)) for g in graph._greedy(pairs)} == every
     inside = {x for x in range(n) if rng.random() < 0.7}
-    seen = pairs.assign(a_in=pairs["a"].isin(inside), b_in=pairs["b"].isin(inside))
-    sure = {tuple(sorted(g)) for g in graph._run_ahead(seen[seen["a_in"] | seen["b_in"]])}
+    seen = pairs[pairs["a"].isin(inside) | pairs["b"].isin(inside)]
+    sure = {tuple(sorted(g)) for g in graph._greedy(seen, np.array(sorted(inside)))} if len(seen) else set()
     assert sure <= every and all(inside.issuperset(g) for g in sure)
-    assert {tuple(sorted(g)) for g in graph._run_ahead(pairs.assign(a_in=True, b_in=True))} == every
+    assert {tuple(sorted(g)) for g in graph._greedy(pairs, np.arange(n))} == every
 
 
 def test_long_chain_in_few_rounds(spark):
     """Equal distances and ids in order: the choice runs from one end to the other, through every region."""
     n, told = 300_000, []
     pairs = pd.DataFrame({"a": np.arange(n), "b": np.arange(n) + 1, "dist": 1})
-    assert groups_of(spark, pairs, told=lambda k, left: told.append((k, left))) == plain_groups(pairs)
+    assert groups_of(spark, pairs, most_pairs=100_000, told=lambda k, left: told.append((k, left))) == plain_groups(pairs)
     assert told[-1][0] < 30 and [left for _, left in told] == sorted((left for _, left in told), reverse=True)
 
 
@@ -62,6 +77,15 @@ def test_regions_of_mixed_graphs(spark):
     assert groups_of(spark, pairs, most_pairs=700) == plain_groups(pairs)
 
 
+def test_dense_graph_by_its_first_pairs(spark):
+    """Borders everywhere and many ties: the first pairs are opened in order, some at a time."""
+    rng = np.random.default_rng(11)
+    pairs = pd.DataFrame([(a, b, int(rng.integers(0, 4))) for a, b in itertools.combinations(range(120), 2) if rng.random() < 0.3], columns=["a", "b", "dist"])
+    told = []
+    assert groups_of(spark, pairs, most_pairs=1200, told=lambda k, left: told.append(left)) == plain_groups(pairs)
+    assert told and told[-1] <= 1200
+
+
 # Signatures.
 @pytest.mark.parametrize(("bits", "limit"), [(64, 3), (64, 7), (64, 10), (128, 13), (256, 20)])
 def test_index_of_signatures_loses_no_pair(spark, bits, limit):
