@@ -167,22 +167,26 @@ def _in_one_task(rows: DataFrame) -> DataFrame:
     return rows.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_greedy(pdf)), _GROUPED)
 
 
-def _first_pairs(rows: DataFrame, most: int) -> DataFrame:
+#: Pairs that are opened in order at a time, and the links around them that go to one task.
+FIRST, AROUND = 5_000, 2_000_000
+
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
     """Groups that the first of ``rows(a, b, k)`` open, taken in order by one task, as many as it can hold the surroundings of.
 
     The surroundings of a pair are its common neighbours and the links among
-    them. Of the first ``most / 400`` pairs those come in whose neighbours,
-    squared and added up, stay below ``most``, and one in any case.
+    them. Of the first ``FIRST`` pairs those come in whose neighbours,
+    squared and added up, stay below ``AROUND``, and one in any case.
     """
     order = ["k", "a", "b"]
-    first = materialize(rows.orderBy(*order).limit(max(1, most // 400)), "first_pairs")
+    first = materialize(rows.orderBy(*order).limit(FIRST), "first_pairs")
     both = rows.select(F.col("a").alias("x"), F.col("b").alias("c"), "k").unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("c"), "k"))
     side = lambda end: both.select(F.col("x").alias(end), "c", F.col("k").alias(f"k_{end}"))
     common = first.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "c"]).select("a", "b", "c", F.greatest("k_a", "k_b").alias("worse"))
     common = materialize(common, "common")
     cost = first.join(common.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     held = F.sum(F.col("n") * F.col("n")).over(Window.orderBy(*order))
-    first = materialize(cost.select("a", "b", "k", held.alias("held"), F.row_number().over(Window.orderBy(*order)).alias("place")).where((F.col("held") <= most) | (F.col("place") == 1)).drop("held", "place"), "taken")
+    first = materialize(cost.select("a", "b", "k", held.alias("held"), F.row_number().over(Window.orderBy(*order)).alias("place")).where((F.col("held") <= AROUND) | (F.col("place") == 1)).drop("held", "place"), "taken")
     common = common.join(first.select("a", "b"), ["a", "b"], "left_semi")
     links = common.select("a", "b", "c").join(rows.select(F.col("a").alias("c"), F.col("b").alias("d")), "c").join(common.select("a", "b", F.col("c").alias("d")), ["a", "b", "d"]).select("c", "d").distinct()
     empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
@@ -246,7 +250,7 @@ def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_p
         before = left
         for step in ("decided", "opened"):
             if step == "decided" or (left > most_pairs and before - left < before // 50):
-                done.append(materialize(_decided(rows, regions) if step == "decided" else _first_pairs(rows, most_pairs), step))
+                done.append(materialize(_decided(rows, regions) if step == "decided" else _first_pairs(rows), step))
                 rows = without_used(rows, done[-1])
                 left, rounds = rows.count(), rounds + 1
         idle = idle + 1 if before - left < before // 50 else 0

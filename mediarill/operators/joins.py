@@ -219,7 +219,7 @@ def tag_sets(image_tags: DataFrame, least: int = 1) -> DataFrame:
 
 def collapse_identical(sets: DataFrame) -> DataFrame:
     """J10. (rep, id): every image under the smallest id with the same tag set."""
-    keyed = sets.select("id", F.xxhash64("tags").alias("h1"), F.xxhash64(F.lit(1), "tags").alias("h2"), F.size("tags").alias("n"))
+    keyed = materialize(sets.select("id", F.xxhash64("tags").alias("h1"), F.xxhash64(F.lit(1), "tags").alias("h2"), F.size("tags").alias("n")), "keyed")
     reps = keyed.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     return keyed.join(reps, ["h1", "h2", "n"]).select("rep", "id")
 

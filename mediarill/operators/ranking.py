@@ -199,23 +199,28 @@ def sequence_names(media: DataFrame, base: str, start: int = 1) -> DataFrame:
 def free_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """W10. For each ``wanted(id, folder, filename)`` a name that is free in its folder.
 
-    The name itself if no row of ``existing(folder, filename)`` has it and the
-    claim is the first, else ``base (N)`` with the lowest free N from 2 on.
-    Claims of one name take free numbers in id order. Numbers tried reach
-    from 2 to the number of rows and claims of that name and one more, which
-    always holds enough free ones.
+    The name itself, as number 1, if no row of ``existing(folder, filename)``
+    has it, else ``base (N)`` with the lowest free N from 2 on; claims of one
+    name take free numbers in id order. Numbers are not tried one by one. If
+    ``n`` is the i-th number in use, ``n - i`` free ones lie below it; so the
+    k-th claim has all those before it with ``n - i < k``, and its number is its
+    place when both are sorted together. The sorts run in ranges (``numbered``), so no
+    task holds all claims of one name.
     """
     stem, ext = F.regexp_replace("filename", "(?s)^(.+)\\.[^.]*$", "$1"), F.regexp_extract("filename", "(?s).(\\.[^.]*)$", 1)
+    key = ["folder", "stem", "ext"]
     claims = wanted.select("id", "folder", "filename", stem.alias("stem"), ext.alias("ext"))
-    bare = F.regexp_replace(F.regexp_replace("filename", "(?s)^(.+)\\.[^.]*$", "$1"), " \\(\\d+\\)$", "")
-    used = existing.select("folder", F.col("filename").alias("candidate")).distinct()
-    crowd = existing.select("folder", bare.alias("stem"), F.regexp_extract("filename", "(?s).(\\.[^.]*)$", 1).alias("ext")).groupBy("folder", "stem", "ext").agg(F.count("*").alias("rows"))
-    groups = claims.groupBy("folder", "filename", "stem", "ext").agg(F.count("*").alias("claims")).join(crowd, ["folder", "stem", "ext"], "left")
-    tried = groups.select("folder", "filename", "stem", "ext", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("rows", F.lit(0)) + F.col("claims") + 1)).alias("n"))
-    tried = tried.withColumn("candidate", F.when(F.col("n") == 1, F.col("filename")).otherwise(F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")"), "ext")))
-    free = tried.join(used, ["folder", "candidate"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("folder", "filename").orderBy("n")))
-    asked = claims.withColumn("k", F.row_number().over(Window.partitionBy("folder", "filename").orderBy("id")))
-    return asked.join(free.select("folder", "filename", "k", "candidate"), ["folder", "filename", "k"]).select("id", "folder", "filename", F.col("candidate").alias("free_name"))
+    asked = claims.select(*key).distinct()
+    taken = existing.select("folder", stem.alias("stem"), ext.alias("ext"))
+    plain = taken.select(*key, F.lit(1).cast("long").alias("n"))
+    number = F.regexp_extract("stem", "(?s) \\(([1-9][0-9]{0,17})\\)$", 1)
+    counted = taken.where(number != "").select("folder", F.regexp_replace("stem", " \\([0-9]+\\)$", "").alias("stem"), "ext", number.cast("long").alias("n")).where("n >= 2")
+    used = numbered(plain.unionByName(counted).join(asked, key, "left_semi").distinct(), ["n"], key, "i")
+    queue = numbered(claims, ["id"], key, "k")
+    spots = queue.select("id", "filename", *key, (2 * F.col("k")).alias("at")).unionByName(used.select(*key, (2 * (F.col("n") - F.col("i")) + 1).alias("at")), allowMissingColumns=True)
+    placed = numbered(spots, ["at", "id"], key, "n").where("filename is not null")
+    name = F.when(F.col("n") == 1, F.col("filename")).otherwise(F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")"), "ext"))
+    return placed.select("id", "folder", "filename", name.alias("free_name"))
 
 
 def top_unique_tags(image_tags: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,20 +113,27 @@ def event_feed(events: DataFrame, kind: str = "event_type") -> DataFrame:
     return events.select(F.col("event_id").alias("seq"), F.col(kind).alias("kind"), F.to_json(F.struct("user_id", "value")).alias("payload"))
 
 
-def _retry(n: int):
+def _retry(n: int, ttl_ms: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_, worst = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        for ok in rows["ok"]:
-            run_ = 0 if ok else run_ + 1
-            worst = max(worst, run_)
-        state.update((run_, worst))
-        yield pd.DataFrame([(key[0], run_, worst >= n)], columns=["key", "failures", "set_aside"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before, worst = state.get if state.exists else (0, 0)
+        ok = pd.concat(list(batches)).sort_values(["at", "seq"])["ok"].to_numpy(bool)
+        failed = np.cumsum(~ok)
+        runs = failed - np.maximum.accumulate(np.where(ok, failed, -before))  # failures since the last success, or since the batches before
+        now, worst = int(runs[-1]), max(worst, int(runs.max()))
+        state.update((now, worst))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame([(key[0], now, worst >= n)], columns=["key", "failures", "set_aside"])
 
     return run
 
 
-def retry_state(attempts: DataFrame, n: int = 3) -> DataFrame:
-    """T9. ``attempts(key, at, seq, ok)``: present failures in a row of each key, and whether ``n`` were ever reached; update mode."""
+def retry_state(attempts: DataFrame, n: int = 3, ttl_s: int = 30 * 86400) -> DataFrame:
+    """T9. ``attempts(key, at, seq, ok)``: present failures in a row of each key, and whether ``n`` were ever reached; update mode.
+
+    Two numbers a key are kept, and forgotten ``ttl_s`` after its last attempt came in.
+    """
     rows = attempts.where("ok is not null").select("key", F.col("at").cast("double").alias("at"), "seq", "ok")
-    return rows.groupBy("key").applyInPandasWithState(_retry(n), "key long, failures int, set_aside boolean", "run int, worst int", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(_retry(n, 1000 * ttl_s), "key long, failures int, set_aside boolean", "run int, worst int", "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -77,11 +77,13 @@ def test_regions_of_mixed_graphs(spark):
     assert groups_of(spark, pairs, most_pairs=700) == plain_groups(pairs)
 
 
-def test_dense_graph_by_its_first_pairs(spark):
+def test_dense_graph_by_its_first_pairs(spark, monkeypatch):
     """Borders everywhere and many ties: the first pairs are opened in order, some at a time."""
     rng = np.random.default_rng(11)
     pairs = pd.DataFrame([(a, b, int(rng.integers(0, 4))) for a, b in itertools.combinations(range(120), 2) if rng.random() < 0.3], columns=["a", "b", "dist"])
     told = []
+    monkeypatch.setattr(graph, "FIRST", 12)
+    monkeypatch.setattr(graph, "AROUND", 1500)
     assert groups_of(spark, pairs, most_pairs=1200, told=lambda k, left: told.append(left)) == plain_groups(pairs)
     assert told and told[-1] <= 1200
 
@@ -261,3 +263,52 @@ def test_listing_reads_no_content(spark, tmp_path):
     assert sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in files.collect()) == [("x.JPG", 5), ("y.png", 5)]
     plan = files._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan[plan.index("ReadSchema") :].splitlines()[0]
+
+
+# Free names.
+@pytest.mark.parametrize("seed", [1, 2])
+def test_free_names_by_trying(spark, seed):
+    """Names in use in any order, claims that look like numbered names themselves, odd numbers, and many claims of one name."""
+    rng = random.Random(seed)
+    stems = ["a", "a (2)", "b.c", ".h", "Ü"]
+    have = [("d", f"{rng.choice(stems)}{rng.choice(['', f' ({rng.randint(0, 9)})', ' (007)', ' (99999999999999999999)', ' (3) (2)'])}{rng.choice(['.jpg', ''])}") for _ in range(60)]
+    want = [(k, rng.choice(["d", "e"]), f"{rng.choice(stems)}{rng.choice(['.jpg', '', ' (4).jpg'])}") for k in range(60)] + [(100 + k, "d", "a.jpg") for k in range(40)]
+    got = {r["id"]: r["free_name"] for r in ranking.free_names(spark.createDataFrame(want, "id long, folder string, filename string"), spark.createDataFrame(have, "folder string, filename string")).collect()}
+    by_name: dict = {}
+    for k, folder, name in want:
+        by_name.setdefault((folder, name), []).append(k)
+    for (folder, name), ids in by_name.items():
+        dot = name.rfind(".")
+        stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+        free = (c for c in itertools.chain([name], (f"{stem} ({n}){ext}" for n in itertools.count(2))) if (folder, c) not in have)
+        assert [got[k] for k in sorted(ids)] == list(itertools.islice(free, len(ids)))
+
+
+def test_failures_in_a_row_over_batches():
+    """Without a loop over rows: as the plain count, whatever the cuts between batches."""
+
+    class State:
+        hasTimedOut = False
+
+        def __init__(self):
+            self.value, self.wait = None, None
+
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutDuration(self, ms):
+            self.wait = ms
+
+    rng = random.Random(3)
+    for _ in range(50):
+        oks, state, at = [rng.random() < 0.4 for _ in range(rng.randint(1, 40))], State(), 0
+        while at < len(oks):
+            end = rng.randint(at + 1, len(oks))
+            batch = pd.DataFrame({"at": range(at, end), "seq": 0, "ok": oks[at:end]})
+            (row,) = next(changes._retry(3, 5)((7,), iter([batch.iloc[::-1]]), state)).itertuples(index=False)
+            at = end
+        runs = [len(list(g)) for k, g in itertools.groupby(oks) if not k]
+        assert tuple(row) == (7, 0 if oks[-1] else runs[-1], max(runs, default=0) >= 3) and state.wait == 5
