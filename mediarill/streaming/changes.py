@@ -118,13 +118,15 @@ def _retry(n: int, ttl_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        before, worst = state.get if state.exists else (0, 0)
-        ok = pd.concat(list(batches)).sort_values(["at", "seq"])["ok"].to_numpy(bool)
+        before, worst, last = state.get if state.exists else (0, 0, 0.0)
+        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+        ok = rows["ok"].to_numpy(bool)
         failed = np.cumsum(~ok)
         runs = failed - np.maximum.accumulate(np.where(ok, failed, -before))  # failures since the last success, or since the batches before
         now, worst = int(runs[-1]), max(worst, int(runs.max()))
-        state.update((now, worst))
-        state.setTimeoutDuration(ttl_ms)
+        last = max(last, float(rows["at"].iloc[-1]))
+        state.update((now, worst, last))
+        state.setTimeoutTimestamp(int(last * 1000) + ttl_ms)
         yield pd.DataFrame([(key[0], now, worst >= n)], columns=["key", "failures", "set_aside"])
 
     return run
@@ -133,7 +135,9 @@ def _retry(n: int, ttl_ms: int):
 def retry_state(attempts: DataFrame, n: int = 3, ttl_s: int = 30 * 86400) -> DataFrame:
     """T9. ``attempts(key, at, seq, ok)``: present failures in a row of each key, and whether ``n`` were ever reached; update mode.
 
-    Two numbers a key are kept, and forgotten ``ttl_s`` after its last attempt came in.
+    Three numbers a key are kept, and forgotten once the watermark, ``ttl_s``
+    behind the latest attempt of all, has passed the key's own last one by as much again.
+    Attempts later than the watermark are dropped.
     """
-    rows = attempts.where("ok is not null").select("key", F.col("at").cast("double").alias("at"), "seq", "ok")
-    return rows.groupBy("key").applyInPandasWithState(_retry(n, 1000 * ttl_s), "key long, failures int, set_aside boolean", "run int, worst int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = attempts.where("ok is not null").withWatermark("at", f"{ttl_s} seconds").select("key", F.col("at").alias("ts"), F.col("at").cast("double").alias("at"), "seq", "ok")
+    return rows.groupBy("key").applyInPandasWithState(_retry(n, 1000 * ttl_s), "key long, failures int, set_aside boolean", "run int, worst int, last double", "update", GroupStateTimeout.EventTimeTimeout)

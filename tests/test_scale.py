@@ -299,7 +299,7 @@ def test_failures_in_a_row_over_batches():
         def update(self, value):
             self.value = value
 
-        def setTimeoutDuration(self, ms):
+        def setTimeoutTimestamp(self, ms):
             self.wait = ms
 
     rng = random.Random(3)
@@ -311,4 +311,4 @@ def test_failures_in_a_row_over_batches():
             (row,) = next(changes._retry(3, 5)((7,), iter([batch.iloc[::-1]]), state)).itertuples(index=False)
             at = end
         runs = [len(list(g)) for k, g in itertools.groupby(oks) if not k]
-        assert tuple(row) == (7, 0 if oks[-1] else runs[-1], max(runs, default=0) >= 3) and state.wait == 5
+        assert tuple(row) == (7, 0 if oks[-1] else runs[-1], max(runs, default=0) >= 3) and state.wait == 1000 * (len(oks) - 1) + 5
