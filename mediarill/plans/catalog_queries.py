@@ -73,13 +73,7 @@ _MEDIA = MEDIA_COLUMNS.split(", ")
 
 def _search_index(spark: SparkSession, d: str) -> SearchIndex:
     """The index over names, texts and tags of the catalogue, built once for the given files and used again while they stay the same."""
-
-    def rows() -> DataFrame:
-        tags = V.image_tags(spark, d).groupBy(F.col("image_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-        media = V.media(spark, d).select("id", "filename", "search_text").join(tags, "id", "left")
-        return media.select("id", F.concat(F.array("filename", "search_text"), F.coalesce("tags", F.array().cast("array<string>"))).alias("fields"))
-
-    return SearchIndex.at(spark, source_key(spark.read.parquet(f"{d}/documents.parquet")), rows)
+    return SearchIndex.at(spark, source_key(spark.read.parquet(f"{d}/documents.parquet")), lambda: V.search_fields(spark, d))
 
 
 # Pages, filters and search.

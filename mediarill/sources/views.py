@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,13 +12,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _filename(i: Column) -> Column:
+    ext = F.element_at(F.array(F.lit("jpg"), F.lit("png"), F.lit("gif"), F.lit("mp4")), (i % 4 + 1).cast("int"))
+    return F.concat(F.lit("Set_"), (i % 50).cast("string"), F.lit(" ("), i.cast("string"), F.lit(")."), ext)
+
+
+def _tags_of(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), 1))
+
+
+def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, fields): all that a search looks into, a media row's name, text and tags, in one pass over the documents."""
+    own = F.array(_filename(F.col("doc_id")), S.clean_search_text(F.col("text")))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(own, F.coalesce(_tags_of("text"), F.array().cast("array<string>"))).alias("fields"))
+
+
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media rows: one a document, with paths, sizes, dates, ratings and search text."""
     d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
     i = F.col("doc_id")
-    ext = F.element_at(F.array(F.lit("jpg"), F.lit("png"), F.lit("gif"), F.lit("mp4")), (i % 4 + 1).cast("int"))
-    folder = F.concat_ws("/", "lang", "source")
-    name = F.concat(F.lit("Set_"), (i % 50).cast("string"), F.lit(" ("), i.cast("string"), F.lit(")."), ext)
+    folder, name = F.concat_ws("/", "lang", "source"), _filename(i)
     return d.select(
         i.alias("id"),
         name.alias("filename"),
@@ -38,8 +51,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, tag, score, source): the distinct letter runs of three or more in a text, lower-cased."""
-    runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1))
-    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.explode(runs).alias("tag"))
+    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.explode(_tags_of("text")).alias("tag"))
     return t.select("image_id", "tag", (F.length("tag") % 10 / 10).alias("score"), F.when(F.col("image_id") % 10 == 0, "manual").otherwise("auto").alias("source"))
 
 
