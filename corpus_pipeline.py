@@ -61,7 +61,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, with their piece ids."""
+    """The documents that are left, with their piece ids; none left: an empty table with that column."""
     return encode_pieces(docs.select(*COLUMNS), default_model())
 
 

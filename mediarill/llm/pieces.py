@@ -222,8 +222,9 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", decoded:
     With ``decoded``, also ``decoded string``, the ids' text again, in the
     same pass. Null and empty texts give an empty array and an empty text.
     Texts of any length are encoded whole, about 512 kB at a time. Columns
-    already so called are replaced; all others pass through. ``model_path``
-    must exist on every machine.
+    already so called are replaced; all others pass through, so rows that repeat
+    stay. An empty table gives an empty table. ``model_path`` must exist on
+    every machine.
     """
     added = ["ids", *["decoded"] * decoded]
     others = _appended(docs.schema, *added)

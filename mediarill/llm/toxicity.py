@@ -268,7 +268,9 @@ def tag_documents(docs: DataFrame, tagger: Tagger, spans: bool = True, least: fl
     offsets into the text; neighbours are joined, p being the largest. Null
     and empty texts have no span and the score of a text without toxic
     tokens. Texts of any length are tagged whole. Columns already so called
-    are replaced; all others pass through.
+    are replaced; all others pass through. Rows that repeat a doc_id, or have
+    none, are tagged each by their own text. An empty table gives an empty
+    table.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(tagger)
