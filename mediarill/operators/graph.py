@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 
 
-def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None) -> list[list[int]]:
+def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None, first: int | None = None) -> list[list[int]]:
     """The groups of ``pairs(a, b, k)``, smaller ``k`` first.
 
     A pair of free images opens a group. Only those near to both can join:
@@ -26,16 +26,18 @@ def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None) -> list[list[
     images that it could use. An image with two neighbours outside is open from the
     start, as those may be a pair of their own that takes it.
 
+    With ``first``, only so many pairs are tried; the others only tell who is near.
+
     Neighbours are kept in flat sorted arrays, some 40 bytes a pair.
     """
     n_pairs = len(pairs)
     ids, ends = np.unique(pairs[["a", "b"]].to_numpy(np.int64).T.reshape(-1), return_inverse=True)
     k, n = pairs["k"].to_numpy(np.float64), len(ids)
     a, b = ends[:n_pairs], ends[n_pairs:]
-    order = np.lexsort((b, a, k))
+    order = np.lexsort((b, a, k))[:first]
     src, dst = np.concatenate([a, b]), np.concatenate([b, a])
     by = np.lexsort((dst, src))
-    near, value, first = dst[by].astype(np.int32), np.concatenate([k, k])[by], np.searchsorted(src[by], np.arange(n + 1))
+    near, value, begin = dst[by].astype(np.int32), np.concatenate([k, k])[by], np.searchsorted(src[by], np.arange(n + 1))
     used, safe = np.zeros(n, bool), np.ones(n, bool)
     if inside is not None:
         safe = np.isin(ids, inside)
@@ -46,7 +48,7 @@ def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None) -> list[list[
     for x, y in zip(low, high, strict=True):
         if gone[x] or gone[y]:
             continue
-        of_x, of_y = slice(first[x], first[x + 1]), slice(first[y], first[y + 1])
+        of_x, of_y = slice(begin[x], begin[x + 1]), slice(begin[y], begin[y + 1])
         common, i, j = np.intersect1d(near[of_x], near[of_y], True, True)
         free = ~used[common]
         common = common[free]
@@ -58,7 +60,7 @@ def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None) -> list[list[
         left, group = common[np.lexsort((common, worse))], [x, y]
         while len(left):
             group.append(int(left[0]))
-            left = left[1:][np.isin(left[1:], near[first[left[0]] : first[left[0] + 1]])]
+            left = left[1:][np.isin(left[1:], near[begin[left[0]] : begin[left[0] + 1]])]
         used[group] = True
         out.append(ids[group].tolist())
     return out
@@ -67,47 +69,6 @@ def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None) -> list[list[
 _GROUPED = "group_id long, id long"
 
 
-def _run_ahead(pairs: pd.DataFrame) -> list[list[int]]:
-    """Groups that the greedy choice is sure to make, from a region's pairs ``(a, b, k, a_in, b_in)``.
-
-    All pairs with an end inside the region are here, in whatever other region
-    the other end lies. They are taken in order. One is decided if its ends
-    and all free common neighbours lie inside and no earlier pair that was left open
-    could use any of them; else it is left open itself, and so are from then on all
-    images that it could use. An image with two neighbours outside is open from the
-    start, as those may be a pair of their own that takes it.
-    """
-    near: dict[int, dict[int, float]] = {}
-    inside: set[int] = set()
-    for a, b, k, a_in, b_in in pairs[["a", "b", "k", "a_in", "b_in"]].itertuples(index=False):
-        near.setdefault(a, {})[b] = k
-        near.setdefault(b, {})[a] = k
-        if a_in:
-            inside.add(a)
-        if b_in:
-            inside.add(b)
-    safe = {x for x in inside if sum(y not in inside for y in near[x]) < 2}
-    used: set[int] = set()
-    out = []
-    for a, b in pairs.sort_values(["k", "a", "b"])[["a", "b"]].itertuples(index=False):
-        if a in used or b in used:
-            continue
-        common = (near[a].keys() & near[b].keys()) - used
-        if a not in safe or b not in safe or not common <= safe:
-            safe.difference_update((a, b), common)
-            continue
-        group = [a, b]
-        for c in sorted(common, key=lambda c: (max(near[a][c], near[b][c]), c)):  # noqa: B023
-            if all(m in near[c] for m in group[2:]):
-                group.append(c)
-        used.update(group)
-        out.append(group)
-    return out
-
-
-_GROUPED = "group_id long, id long"
-
-
 def _rows_of(groups: list[list[int]]) -> pd.DataFrame:
     return pd.DataFrame([(min(g), m) for g in groups for m in g], columns=["group_id", "id"], dtype="int64")
 
@@ -167,70 +128,55 @@ def _in_one_task(rows: DataFrame) -> DataFrame:
     return rows.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_greedy(pdf)), _GROUPED)
 
 
-#: Pairs that are opened in order at a time, and the links around them that go to one task.
-FIRST, AROUND = 5_000, 2_000_000
+#: Pairs that are opened in order at a time, and the pairs around them that go to one task.
+FIRST, AROUND = 20_000, 2_000_000
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
-    """Groups that the first of ``rows(a, b, k)`` open, taken in order by one task, as many as it can hold the surroundings of.
-
-    The surroundings of a pair are its common neighbours and the links among
-    them. Of the first ``FIRST`` pairs those come in whose neighbours,
-    squared and added up, stay below ``AROUND``, and one in any case.
+    """Groups that the first of ``rows(a, b, k)`` open, taken in order by one task that has their surroundings.
+
+    The surroundings are the ends of the first pairs, the common neighbours of
+    each of them, and all pairs among these images: whatever a group may need.
+    That is little in a tangle, where few images are near to both ends of a pair,
+    and in a cluster, where many first pairs have the same surroundings. Of the
+    first ``FIRST`` pairs so many are taken that their surroundings stay below
+    ``AROUND`` pairs, and one in any case.
     """
-    order = ["k", "a", "b"]
-    first = materialize(rows.orderBy(*order).limit(FIRST), "first_pairs")
-    both = rows.select(F.col("a").alias("x"), F.col("b").alias("c"), "k").unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("c"), "k"))
-    side = lambda end: both.select(F.col("x").alias(end), "c", F.col("k").alias(f"k_{end}"))
-    common = first.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "c"]).select("a", "b", "c", F.greatest("k_a", "k_b").alias("worse"))
-    common = materialize(common, "common")
-    cost = first.join(common.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    held = F.sum(F.col("n") * F.col("n")).over(Window.orderBy(*order))
-    first = materialize(cost.select("a", "b", "k", held.alias("held"), F.row_number().over(Window.orderBy(*order)).alias("place")).where((F.col("held") <= AROUND) | (F.col("place") == 1)).drop("held", "place"), "taken")
-    common = common.join(first.select("a", "b"), ["a", "b"], "left_semi")
-    links = common.select("a", "b", "c").join(rows.select(F.col("a").alias("c"), F.col("b").alias("d")), "c").join(common.select("a", "b", F.col("c").alias("d")), ["a", "b", "d"]).select("c", "d").distinct()
-    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    facts = first.select("a", "b", "k", empty("c", "long"), empty("worse", "double"))
-    facts = facts.unionByName(common.select("a", "b", empty("k", "double"), "c", "worse"))
-    facts = facts.unionByName(links.select(F.col("c").alias("a"), F.col("d").alias("b"), empty("k", "double"), empty("c", "long"), empty("worse", "double")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        opening, beside = pdf[pdf["k"].notna()].sort_values(order), pdf[pdf["c"].notna()].sort_values(["a", "b", "worse", "c"])
-        linked: dict[int, set[int]] = {}
-        for c, d in pdf.loc[pdf["k"].isna() & pdf["c"].isna(), ["a", "b"]].itertuples(index=False):
-            linked.setdefault(c, set()).add(d)
-            linked.setdefault(d, set()).add(c)
-        able = {pair: g["c"].astype("int64").tolist() for pair, g in beside.groupby(["a", "b"])}
-        used: set[int] = set()
-        out = []
-        for a, b in opening[["a", "b"]].itertuples(index=False):
-            if a in used or b in used:
-                continue
-            group: list[int] = []
-            for c in able.get((a, b), []):
-                if c not in used and linked.get(c, set()).issuperset(group):
-                    group.append(c)
-            used.update((a, b, *group))
-            out.append([a, b, *group])
-        return _rows_of(out)
-
-    return facts.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(run, _GROUPED)
+    first = materialize(rows.orderBy("k", "a", "b").limit(FIRST), "first_pairs")
+    both = rows.select(F.col("a").alias("x"), F.col("b").alias("c")).unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("c")))
+    many = FIRST
+    while True:
+        side = lambda end: both.withColumnRenamed("x", end)
+        common = first.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "c"]).select(F.col("c").alias("x"))
+        nodes = materialize(first.select(F.explode(F.array("a", "b")).alias("x")).unionByName(common).distinct(), "around")
+        near = rows.join(nodes.withColumnRenamed("x", "a"), "a", "left_semi").join(nodes.withColumnRenamed("x", "b"), "b", "left_semi")
+        near = materialize(near.select("a", "b", "k"), "around_pairs")
+        if many == 1 or near.count() <= AROUND:
+            break
+        many = max(1, many // 8)
+        first = materialize(first.orderBy("k", "a", "b").limit(many), "first_pairs")
+    # The first pairs of all come first among their surroundings too.
+    most = many
+    return near.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_greedy(pdf, first=most)), _GROUPED)
 
 
 def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_pairs: int = 2_000_000, told: Callable[[int, int], None] | None = None) -> DataFrame:
     """G1, G2. Disjoint cliques of ``pairs(a, b, dist)`` or ``pairs(a, b, sim)`` as (group_id, id, size, similarity).
 
     Best pairs first, ties to smaller ids: greedy choice. Up to ``most_pairs``
-    pairs are grouped in one task. More are cut into regions of about that
-    size, components or parts of them; a task decides the pairs of its region in
-    order, running ahead as far as nothing that is still open beyond its
-    border can touch them. Used images go, which sets the next regions free. Where
-    that hardly gets on, since borders are everywhere, the first pairs of all are
-    opened in order with their surroundings at hand, so each turn gets on; and
-    if that is of little use for some turns, the rest is cut anew, with other
-    borders. The groups are the plain rule's. ``told(round,
-    pairs)`` hears how many pairs are left. ``dist`` groups report their worst
-    pair, ``sim`` groups the rounded mean. group_id is the smallest member.
+    pairs are grouped in one task. Of more, the first pairs of all are opened in
+    order with their surroundings at hand, for two turns and as long as that
+    takes a tenth of the pairs away in a turn: in a dense tangle, where few images have many
+    pairs, it soon does, and borders would be everywhere. What is left is cut
+    into regions of about ``most_pairs``, components or parts of them; a task
+    decides the pairs of its region in order, running ahead as far as nothing
+    that is still open beyond its border can touch them. Used images go, which
+    sets the next regions free. Where that hardly gets on, the first pairs are
+    opened again, so each turn gets on; and if that is of little use for some
+    turns, the rest is cut anew, with other borders. The groups are the plain
+    rule's. ``told(round, pairs)`` hears how many pairs are left. ``dist``
+    groups report their worst pair, ``sim`` groups the rounded mean. group_id
+    is the smallest member.
     """
     distance = order == "dist"
     value = F.col("dist" if distance else "sim").cast("double")
@@ -243,7 +189,14 @@ def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_p
         rest = rows.join(used.withColumnRenamed("id", "a"), "a", "left_anti").join(used.withColumnRenamed("id", "b"), "b", "left_anti")
         return materialize(rest.select("a", "b", "k"), "rest")
 
-    rounds, regions, idle, patience = 0, None, 0, 2
+    rounds, regions, idle, patience, before = 0, None, 0, 2, 0
+    while left > most_pairs and (rounds < 2 or before - left >= before // 10):
+        before = left
+        done.append(materialize(_first_pairs(rows), "opened"))
+        rows = without_used(rows, done[-1])
+        left, rounds = rows.count(), rounds + 1
+        if told is not None:
+            told(rounds, left)
     while left > most_pairs:
         if regions is None:
             regions, idle = _regions(rows, most_pairs), 0

@@ -57,6 +57,32 @@ def test_run_ahead_decides_only_what_is_sure(seed):
     assert {tuple(sorted(g)) for g in graph._greedy(pairs, np.arange(n))} == every
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_first_pairs_need_their_surroundings_only(seed):
+    """Ends, common neighbours and the pairs among them give the groups that the first pairs open."""
+    rng = random.Random(seed)
+    n, p = rng.randint(4, 40), rng.choice([0.1, 0.3, 0.6])
+    pairs = pd.DataFrame([(a, b, rng.randint(0, 3)) for a, b in itertools.combinations(range(n), 2) if rng.random() < p] or [(0, 1, 1)], columns=["a", "b", "k"])
+    ordered = pairs.sort_values(["k", "a", "b"])
+    first = ordered.head(rng.randint(1, len(pairs)))
+    near = {x: set(pairs.loc[pairs["a"] == x, "b"]) | set(pairs.loc[pairs["b"] == x, "a"]) for x in range(n)}
+    around = set(first["a"]) | set(first["b"]).union(*(near[a] & near[b] for a, b in zip(first["a"], first["b"], strict=True)))
+    got = graph._greedy(pairs[pairs["a"].isin(around) & pairs["b"].isin(around)], first=len(first))
+    opened = {(a, b) for a, b in zip(first["a"], first["b"], strict=True)}
+    assert got == [g for g in graph._greedy(pairs) if (min(g[:2]), max(g[:2])) in opened]
+
+
+def test_tangle_with_a_cluster(spark, monkeypatch):
+    """Near copies of one picture, whose pairs come first, in a random graph; nothing is cut into regions."""
+    rng = np.random.default_rng(8)
+    copies = [(a, b, int(rng.integers(0, 2))) for a, b in itertools.combinations(range(30), 2)]
+    ends = {tuple(sorted(e)) for e in rng.integers(0, 300, (3000, 2)).tolist() if e[0] != e[1]} - {(a, b) for a, b, _ in copies}
+    pairs = pd.DataFrame(copies + [(a, b, int(rng.integers(2, 6))) for a, b in sorted(ends)], columns=["a", "b", "dist"])
+    monkeypatch.setattr(graph, "FIRST", 60)
+    monkeypatch.setattr(graph, "_regions", lambda *_: pytest.fail("regions"))
+    assert groups_of(spark, pairs, most_pairs=1500) == plain_groups(pairs)
+
+
 def test_long_chain_in_few_rounds(spark):
     """Equal distances and ids in order: the choice runs from one end to the other, through every region."""
     n, told = 300_000, []
