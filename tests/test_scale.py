@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,52 @@ def test_failures_in_a_row_over_batches():
             at = end
         runs = [len(list(g)) for k, g in itertools.groupby(oks) if not k]
         assert tuple(row) == (7, 0 if oks[-1] else runs[-1], max(runs, default=0) >= 3) and state.wait == 1000 * (len(oks) - 1) + 5
+
+
+def test_pairs_meet_facts_in_cells(spark, same_rows):
+    """J13, J17, J18 on cells: repeated and unknown ids, nulls, lists of other lengths; what moves grows with the facts, not with the pairs."""
+    import re
+
+    rng = np.random.default_rng(5)
+    tags = [(i, f"t{int(t)}") for i in range(300) for t in set(rng.integers(0, 40, rng.integers(0, 25)))]
+    pairs = [(int(a), int(b), int(d)) for a, b, d in rng.integers(0, 310, (4000, 3)) if a < b] + [(1, None, 3), (2, 5, 9), (2, 5, 9)]
+    p, t = spark.createDataFrame(pairs, "a long, b long, dist int"), spark.createDataFrame(tags, "image_id long, tag string")
+    sets = {}
+    for i, x in tags:
+        sets.setdefault(i, set()).add(x)
+    one = lambda i: sets.get(i, set())
+    want = [r for r in pairs if min(len(one(r[0])), len(one(r[1]))) < 3 or 13 * len(one(r[0]) & one(r[1])) >= 3 * (len(one(r[0])) + len(one(r[1])))]
+    got = joins.verify_pairs_by_tags(p, t)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) < len(pairs)
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)", got._jdf.queryExecution().executedPlan().toString())
+    assert shuffles and not any("tag" in s.replace("tags", "") for s in shuffles)
+
+    small = joins.met_in_cells(p, spark.range(300), F.lit(1 << 20), lambda x, y: x.filter(pc.is_in(x.column("a"), y.column("id"))), p.schema, cell_bytes=1 << 25, cell_pairs=100)
+    assert sorted(map(tuple, small.collect()), key=str) == sorted((r for r in pairs if r[0] < 300), key=str)
+
+    media = spark.createDataFrame([(i, 1, 2, None if i % 9 == 0 else i, 0, 0.5) for i in [*range(300), 7]], "id long, width int, height int, file_size long, rating int, file_date double")
+    row = F.struct("width", "height", "file_size", "rating", "file_date")
+    joined = p
+    for x in "ab":
+        joined = joined.join(media.select(F.col("id").alias(x), row.alias(f"{x}_row")), x)
+    assert sorted(map(str, joins.enrich_pairs(p, media).select(joined.columns).collect())) == sorted(map(str, joined.collect()))
+
+    vectors = [(0, [1.0, 2.0], [0.0]), (1, [1.0, 2.0], [9.0]), (2, [1.0, 2.0], None), (3, [1.0], [0.0]), (4, [1.0, None], [0.0]), (5, None, [0.0]), (6, [], [0.0]), (7, [float("nan"), 1.0], [0.0]), (8, [1.0, 2.0], [0.0]), (8, [5.0, 2.0], [0.0])]
+    v = spark.createDataFrame(vectors, "id long, v array<double>, colour array<double>")
+    firsts = spark.createDataFrame([(0, k) for k in range(10)], "a long, b long")
+    got = sorted((r["b"], str(r["reason"])) for r in joins.agreement_check(firsts, v).collect())
+    assert got == [(0, "None"), (1, "colour"), *[(k, "unreadable") for k in (2, 3, 4, 5, 6)], (7, "brightness"), (8, "None"), (8, "brightness")]
+
+
+def test_block_pairs_deal_work_by_cells(spark):
+    """J5 in blocks: one task a cell, whatever its bytes; signatures of odd and even numbers of words."""
+    rng = np.random.default_rng(6)
+    for words in (1, 2, 3, 4):
+        rows = rng.integers(0, 2**32, (3000, words))
+        sig = spark.createDataFrame([(i, [int(x) for x in w], 1.0) for i, w in enumerate(rows)], "id long, words array<long>, ar double").repartition(4)
+        limit = 16 * words - 8
+        got = joins._block_pairs(sig, limit, 0.3)
+        d = sum(np.bitwise_count(rows[:, None, k] ^ rows[None, :, k]).astype(int) for k in range(words))
+        x, y = np.nonzero(np.triu(d <= limit + 0, 1))
+        assert sorted(map(tuple, got.collect())) == sorted(zip(x.tolist(), y.tolist(), d[x, y].tolist(), strict=True))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
