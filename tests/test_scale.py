@@ -388,3 +388,25 @@ def test_block_pairs_deal_work_by_cells(spark):
         x, y = np.nonzero(np.triu(d <= limit + 0, 1))
         assert sorted(map(tuple, got.collect())) == sorted(zip(x.tolist(), y.tolist(), d[x, y].tolist(), strict=True))
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jaccard_candidates_leave_no_shuffle_of_pairs(spark, monkeypatch):
+    """J8 against brute force, with several cells, frequent and rare tags, and no exchange between pairs."""
+    rng = np.random.default_rng(8)
+    base = [rng.choice(400, int(k), replace=False, p=(w := 1 / np.arange(1, 401)) / w.sum()) for k in rng.integers(3, 60, 80)]
+    sets = [sorted({f"t{t}" for t in b[rng.random(len(b)) < 0.85]}) for b in base for _ in range(5)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(sets)], "id long, tags array<string>").repartition(3)
+    want = set()
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = set(sets[a]), set(sets[b])
+        if min(len(x), len(y)) >= 3 and 200 * len(x & y) >= 99 * len(x | y):
+            want.add((a, b))
+    for frequent in (0, 1, 50, 50_000):
+        monkeypatch.setattr(joins, "FREQUENT", frequent)
+        got = {(r["a"], r["b"]) for r in joins.jaccard_pairs(df).collect()}
+        assert want ^ got <= {(a, b) for a, b in want ^ got if abs(len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) - 0.495) < 1e-9} and len(want) > 100
+    prefixes = joins._prefixes(df.where("size(tags) > 2"), np.zeros(0, np.int64), 0.495)
+    pairs = joins._prefix_pairs(prefixes, 0.495, cell_bytes=2000)
+    assert want <= {tuple(r) for r in pairs.collect()} and pairs.count() == pairs.distinct().count()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(cell") > 0
