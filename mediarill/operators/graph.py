@@ -128,32 +128,42 @@ def _in_one_task(rows: DataFrame) -> DataFrame:
     return rows.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_greedy(pdf)), _GROUPED)
 
 
-#: Pairs that are opened in order at a time, and the pairs around them that go to one task.
-FIRST, AROUND = 20_000, 2_000_000
+#: Pairs that are opened in order at a time, the pairs around them that go to one task, and the pairs of common neighbours that are looked up for them.
+FIRST, AROUND, LOOKED_UP = 20_000, 2_000_000, 20_000_000
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
     """Groups that the first of ``rows(a, b, k)`` open, taken in order by one task that has their surroundings.
 
-    The surroundings are the ends of the first pairs, the common neighbours of
-    each of them, and all pairs among these images: whatever a group may need.
-    That is little in a tangle, where few images are near to both ends of a pair,
-    and in a cluster, where many first pairs have the same surroundings. Of the
+    The surroundings of a pair are its common neighbours, their links to its ends, and
+    the links among them: whatever its group may need. In a tangle common
+    neighbours are few, and the links among those of one pair are looked up. In clusters many first
+    pairs have the same surroundings; where there would be more than ``LOOKED_UP`` of such look-ups,
+    all pairs among ends and common neighbours are taken instead. Of the
     first ``FIRST`` pairs so many are taken that their surroundings stay below
     ``AROUND`` pairs, and one in any case.
     """
     first = materialize(rows.orderBy("k", "a", "b").limit(FIRST), "first_pairs")
-    both = rows.select(F.col("a").alias("x"), F.col("b").alias("c")).unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("c")))
+    both = rows.select(F.col("a").alias("x"), F.col("b").alias("c"), "k").unionByName(rows.select(F.col("b").alias("x"), F.col("a").alias("c"), "k"))
     many = FIRST
     while True:
-        side = lambda end: both.withColumnRenamed("x", end)
-        common = first.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "c"]).select(F.col("c").alias("x"))
-        nodes = materialize(first.select(F.explode(F.array("a", "b")).alias("x")).unionByName(common).distinct(), "around")
-        near = rows.join(nodes.withColumnRenamed("x", "a"), "a", "left_semi").join(nodes.withColumnRenamed("x", "b"), "b", "left_semi")
-        near = materialize(near.select("a", "b", "k"), "around_pairs")
-        if many == 1 or near.count() <= AROUND:
+        side = lambda end: both.withColumnsRenamed({"x": end, "k": f"k{end}"}).join(first.select(end).distinct(), end, "left_semi")  # noqa: B023, E731
+        common = materialize(first.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "c"]).select("a", "b", "c", "ka", "kb"), "common")
+        lookups = common.groupBy("a", "b").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0))).first()[0]
+        if lookups <= LOOKED_UP:
+            to = lambda end: common.select(F.least(end, "c").alias("a"), F.greatest(end, "c").alias("b"), F.col(f"k{end}").alias("k"))  # noqa: B023, E731
+            other = common.select("a", "b", F.col("c").alias("d"))
+            among = common.join(other, ["a", "b"]).where("c < d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+            near = first.unionByName(to("a")).unionByName(to("b")).unionByName(rows.join(among, ["a", "b"], "left_semi").select("a", "b", "k")).distinct()
+        else:
+            nodes = first.select(F.explode(F.array("a", "b")).alias("x")).unionByName(common.select(F.col("c").alias("x"))).distinct()
+            nodes = materialize(nodes, "around")
+            near = rows.join(nodes.withColumnRenamed("x", "a"), "a", "left_semi").join(nodes.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b", "k")
+        near = materialize(near, "around_pairs")
+        size = near.count()
+        if many == 1 or size <= AROUND:
             break
-        many = max(1, many // 8)
+        many = max(1, min(many // 2, many * AROUND // size))
         first = materialize(first.orderBy("k", "a", "b").limit(many), "first_pairs")
     # The first pairs of all come first among their surroundings too.
     most = many

@@ -84,6 +84,23 @@ def test_tangle_with_a_cluster(spark, monkeypatch):
     assert groups_of(spark, pairs, most_pairs=1500) == plain_groups(pairs)
 
 
+def test_tangle_needs_little_around_its_first_pairs(spark, monkeypatch):
+    """All pairs among ends and common neighbours would be the whole tangle; what the first pairs need is a part of it, and few turns do."""
+    rng = np.random.default_rng(21)
+    ends = sorted({(min(e), max(e)) for e in rng.integers(0, 600, (20_000, 2)).tolist() if e[0] != e[1]})
+    pairs = pd.DataFrame([(a, b, int(rng.integers(0, 9))) for a, b in ends], columns=["a", "b", "dist"])
+    told = []
+    monkeypatch.setattr(graph, "FIRST", 100)
+    monkeypatch.setattr(graph, "AROUND", 5000)
+    monkeypatch.setattr(graph, "_regions", lambda *_: pytest.fail("regions"))
+    assert groups_of(spark, pairs, most_pairs=5000, told=lambda k, left: told.append(left)) == plain_groups(pairs)
+    assert len(told) <= 6, told
+    monkeypatch.setattr(graph, "LOOKED_UP", 0)
+    monkeypatch.setattr(graph, "AROUND", 20_000)
+    some = pairs.head(6000)
+    assert groups_of(spark, some, most_pairs=4000) == plain_groups(some)
+
+
 def test_long_chain_in_few_rounds(spark):
     """Equal distances and ids in order: the choice runs from one end to the other, through every region."""
     n, told = 300_000, []
