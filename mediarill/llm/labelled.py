@@ -14,6 +14,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, y)`` of the documents whose label may be learnt from; null labels are left out, of several labels of a document the largest counts."""
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, balanced: bool = False, most_bytes: int = 16 << 20) -> pd.DataFrame:
     """At most ``bound`` learnable rows ``(text, y)`` of at most ``most_bytes`` of text, the same ones on every run.
 
@@ -27,8 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     more than a hundredth of it is left out.
     """
     spark = docs.sparkSession
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    rows = learnable(labels, label)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     if balanced:
         parts = [rows.where(F.col("y") == y).orderBy(*order).limit(bound // 2) for y in (0, 1)]

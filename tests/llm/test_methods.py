@@ -201,6 +201,44 @@ def test_word_odds_are_sums_of_hashed_weights():
         assert tagger.odds(w) == pytest.approx(0.3 + sum(tagger.weights[zlib.crc32(f.encode()) % toxicity.SIZE] for f in names))
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    """Of 7,000 labelled documents those behind the first 4,000 by a hash of their ids are bad in a way of their own."""
+    from pyspark.sql import functions as F
+
+    from mediarill.llm.labelled import held_out
+
+    ids = [r["doc_id"] for r in spark.range(9000).select(F.col("id").alias("doc_id")).where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(7000).collect()]
+    word = lambda k: f"word{k % 97}x"
+    kinds = {"good": " ".join(map(word, range(20))), "short": "Ab cd", "signs": " ## ".join(map(word, range(20)))}
+    rows = [(i, "signs" if k >= 4000 and k % 3 == 0 else "short" if k % 4 == 0 else "good") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([(i, kinds[x]) for i, x in rows], "doc_id long, text string")
+    ranker = quality.fit_quality(docs, spark.createDataFrame([(i, int(x == "good")) for i, x in rows], "doc_id long, quality int"))
+    asked = spark.createDataFrame([(1, kinds["good"]), (2, kinds["short"]), (3, kinds["signs"])], "doc_id long, text string")
+    assert {r["doc_id"]: r["score"] >= 0.3 for r in quality.rank_documents(asked, ranker).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_quality_sums_over_cells(spark):
+    """Slopes and curvatures of the tasks add up to those of all pairs of each cell; every document is in a cell; ranks are exact."""
+    rng = np.random.default_rng(3)
+    m = np.abs(rng.normal(size=(60, quality.MEASURES))).round(2)
+    y = (np.arange(60) % 5 > 0).astype(int)
+    rows = spark.createDataFrame([(k, int(y[k]), m[k].tolist()) for k in range(60)], "doc_id long, y int, m array<double>")
+    cuts = quality._cut_points(rows)
+    assert cuts.shape == (quality.MEASURES, quality.PARTS) and (np.diff(cuts, axis=1) >= 0).all()
+    ranker = quality.Ranker(cuts, rng.normal(0, 0.1, cuts.size), 0.0, 1.0, 0.3)
+    cells = quality._pair_cells(rows, 48, 12, side=10)
+    held = [[np.frombuffer(r[c]).reshape(-1, quality.MEASURES) for c in ("good", "bad")] for r in cells.collect()]
+    for k, kind in enumerate((1, 0)):
+        assert {tuple(v) for x in held for v in x[k]} == {tuple(v) for v in m[y == kind]}
+    g, h, n = quality._slope(cells, ranker)
+    d = np.concatenate([(ranker.features(x)[:, None] - ranker.features(z)[None]).reshape(-1, cuts.size) for x, z in held])
+    p = 1 / (1 + np.exp(-(d @ ranker.weights)))
+    assert n == len(d) and np.allclose(g, d.T @ (1 - p)) and np.allclose(h, (d * (p * (1 - p))[:, None]).T @ d)
+    s = np.concatenate([np.repeat(0.5, 300), rng.normal(size=900)])
+    scored = spark.createDataFrame([(float(v),) for v in s], "s double")
+    assert [quality._at_rank(scored, k, most=5, bins=7) for k in (0, 500, 650, 1199)] == [np.sort(s)[k] for k in (0, 500, 650, 1199)]
+
+
 def test_pair_likelihood_is_at_its_top():
     """The ranker's weights are where the penalised likelihood of its preference pairs is highest."""
     rng = np.random.default_rng(0)
