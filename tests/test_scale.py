@@ -427,3 +427,46 @@ def test_jaccard_candidates_leave_no_shuffle_of_pairs(spark, monkeypatch):
     assert want <= {tuple(r) for r in pairs.collect()} and pairs.count() == pairs.distinct().count()
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(cell") > 0
+
+
+# Pairs that are very many.
+def test_marked_pairs_are_not_shuffled(spark, monkeypatch):
+    """Ignored pairs are looked up where they are; with repeated ones each comes once all the same."""
+    rows = [(a, b) for a, b in itertools.combinations(range(40), 2) if (a + b) % 3]
+    ignored, groups = spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(k // 4, k) for k in range(48)], "group_id long, id long")
+    fours = {(a, b) for a, b in itertools.combinations(range(48), 2) if a // 4 == b // 4}
+    for told in (graph.TOLD, 0):
+        monkeypatch.setattr(graph, "TOLD", told)
+        for add, want in ((True, set(rows) | fours), (False, set(rows) - fours)):
+            for pairs, once in ((ignored, True), (ignored.union(ignored), False)):
+                got = graph.mark_pairs(pairs, groups, add, once)
+                assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+                if told and once:
+                    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_are_unfolded_by_many_tasks(spark, monkeypatch):
+    """A class of many equal signatures is cut into lists, and their pairs are dealt out by what they unfold to."""
+    monkeypatch.setattr(joins, "CHUNK", 16)
+    monkeypatch.setattr(joins, "A_TASK", 2000)
+    rows = [(k, [7, 7] if k < 150 else [7, 6 + k % 3], 1.0 if k % 9 else None) for k in range(200)]
+    got = joins.hamming_pairs(spark.createDataFrame(rows, "id long, words array<long>, ar double"), 3)
+    want = {(a, b, ((wa[1] ^ wb[1]).bit_count())) for (a, wa, x), (b, wb, y) in itertools.combinations(rows, 2) if x and y and (wa[1] ^ wb[1]).bit_count() <= 3}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    sizes = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().toPandas()["count"]
+    assert len(sizes) > 5 and sizes.max() < len(want) / 3
+
+
+def test_stars_keep_components_and_are_few(spark):
+    from mediarill.plans.components import connected_components, stars
+
+    rng = np.random.default_rng(2)
+    edges = [(int(10 * g + x), int(10 * g + y)) for g in range(300) for x, y in rng.integers(0, 10, (40, 2))] + [(9000, 9000), (None, 4)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    for held in (1 << 21, 50):
+        few = stars(df, held=held)
+        assert sorted(map(tuple, connected_components(few).collect())) == sorted(map(tuple, connected_components(df).collect()))
+    assert stars(df).count() < len(edges) / 3
+    long = spark.range(3000).selectExpr("id as a", "id + 1 as b")
+    assert stars(long).select("a").distinct().count() == 3001 and connected_components(stars(long)).where("component <> 0").isEmpty()
+    assert connected_components(stars(spark.createDataFrame([], "a long, b long"))).count() == 0
