@@ -247,7 +247,18 @@ def pairs_within(groups: DataFrame) -> DataFrame:
     return a.join(b, "group_id").where("a < b").select("group_id", "a", "b")
 
 
-def mark_pairs(ignored: DataFrame, groups: DataFrame, add: bool = True) -> DataFrame:
-    """M16. Ignored pairs with the pairs of ``groups`` added, or without them."""
-    pairs = pairs_within(groups).select("a", "b")
-    return ignored.select("a", "b").union(pairs).distinct() if add else ignored.select("a", "b").join(pairs, ["a", "b"], "left_anti")
+#: Pairs of groups that are told to all tasks; of more, both sides are shuffled.
+TOLD = 1 << 20
+
+
+def mark_pairs(ignored: DataFrame, groups: DataFrame, add: bool = True, once: bool = False) -> DataFrame:
+    """M16. Ignored pairs with the pairs of ``groups`` added, or without them; each pair once.
+
+    ``once``: no pair stands twice in ``ignored``. Then ignored pairs, which may be
+    very many, are looked up where they are and nothing of them is shuffled, as long
+    as the groups have no more than ``TOLD`` pairs.
+    """
+    pairs = materialize(pairs_within(groups).select("a", "b").distinct(), "group_pairs")
+    left = ignored.select("a", "b").join(F.broadcast(pairs) if pairs.count() <= TOLD else pairs, ["a", "b"], "left_anti")
+    left = left if once else left.distinct()
+    return left.union(pairs) if add else left
