@@ -107,6 +107,11 @@ def restrict_pairs(pairs: DataFrame, eligible: DataFrame) -> DataFrame:
     return one.join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select(*pairs.columns)
 
 
+def restrict_ends(rows: DataFrame, eligible: DataFrame) -> DataFrame:
+    """P10, before pairs are made: of ``rows(id, …)`` those in ``eligible(id)``; the pairs of these are the pairs with both ends there."""
+    return rows.join(eligible.select("id").distinct(), "id", "left_semi").select(*rows.columns)
+
+
 def pending_work(df: DataFrame, flag: str) -> DataFrame:
     """P11. Rows whose ``flag`` is not set yet; tagging leaves videos out."""
     rows = df.where(~F.coalesce(F.col(flag), F.lit(False)))
