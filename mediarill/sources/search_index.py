@@ -20,7 +20,7 @@ GRAM = 3
 
 def plain(c: Column) -> Column:
     """A text as terms are compared with it."""
-    return F.translate(F.lower(c), "_", " ")
+    return F.replace(F.lower(c), F.lit("_"), F.lit(" "))
 
 
 def terms_of(query: str) -> list[str]:
@@ -46,33 +46,73 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = whole.column("chunk").slice(at, end - at).to_numpy() == chunk
             end = at + (int(np.argmin(same)) if not same.all() else len(same))
             batch, at = whole.slice(at, end - at), end
+            batch = batch.take(np.argsort(batch.column("id").to_numpy(), kind="stable"))
             texts = batch.column("text").to_pylist()
-            codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
             if len(codes) < GRAM:
                 continue
             lengths = np.array([len(t) + 1 for t in texts])
-            owner = np.repeat(np.arange(len(texts)), lengths)[: len(codes) - GRAM + 1]
-            gram = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
-            inside = (codes[:-2] != 10) & (codes[1:-1] != 10) & (codes[2:] != 10)
-            every, number = np.unique(gram[inside], return_inverse=True)
-            if not len(every):
+            letters, met, row = _met(codes, np.repeat(np.arange(len(texts)), lengths)[: len(codes) - GRAM + 1], len(texts))
+            if not len(met):
                 continue
-            met = np.unique(number * len(texts) + owner[inside])
-            number, row = met // len(texts), met % len(texts)
-            ids = batch.column("id").to_numpy()[row]
-            starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-            ends = np.append(starts[1:], len(ids))
-            letters = np.stack([every >> 42, every >> 21 & 0x1FFFFF, every & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le")
-            lists = [_packed(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array([letters[k : k + GRAM] for k in range(0, len(letters), GRAM)]), pa.array(np.full(len(every), chunk, np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(lists, pa.binary())]
+            starts = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+            sizes_of = np.diff(np.append(starts, len(met)))
+            grams = letters(met[starts]).astype(np.uint32).tobytes().decode("utf-32-le")
+            columns = [pa.array([grams[k : k + GRAM] for k in range(0, len(grams), GRAM)]), pa.array(np.full(len(starts), chunk, np.int32)), pa.array(sizes_of.astype(np.int32)), _lists(batch.column("id").to_numpy()[row], starts)]
             yield pa.RecordBatch.from_arrays(columns, ["gram", "chunk", "n", "deltas"])
 
 
+def _met(codes: np.ndarray, owner: np.ndarray, rows: int):
+    """Each gram of a row once, ``(letters, gram, row)`` by gram and row; grams are numbers that ``letters`` takes back to code points.
+
+    Letters are numbered as they occur, so that gram and row mostly fit one
+    number of 63 bits: one sort finds all. Of texts with too many different letters
+    the grams are numbered first.
+    """
+    used = np.zeros(0x110000, bool)
+    used[codes] = True
+    alphabet = np.flatnonzero(used)
+    number = np.zeros(0x110000, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    one, wide = number[codes], max(1, int(len(alphabet) - 1).bit_length())
+    gram = (one[:-2] << wide | one[1:-1]) << wide | one[2:]
+    line = codes == 10  # between rows and between a row's fields
+    inside = ~(line[:-2] | line[1:-1] | line[2:])
+    gram, owner, every, places = gram[inside], owner[inside], None, max(1, int(rows - 1).bit_length())
+    if GRAM * wide + places > 63:
+        every, gram = np.unique(gram, return_inverse=True)
+    both = np.sort(gram << places | owner)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+    def letters(grams: np.ndarray) -> np.ndarray:
+        grams = grams if every is None else every[grams]
+        return alphabet[np.stack([grams >> 2 * wide, grams >> wide & (1 << wide) - 1, grams & (1 << wide) - 1], 1)]
+
+    return letters, both >> places, both & (1 << places) - 1
+
+
+def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of ascending ids, each from one of ``starts`` to the next: the first id, the width of a difference in bytes, and the differences."""
+    ends = np.append(starts[1:], len(ids))
+    step = np.append(0, np.diff(ids))
+    step[starts] = 0
+    largest = np.maximum.reduceat(step, starts)
+    width = np.select([largest < 1 << 8, largest < 1 << 16, largest < 1 << 32], [1, 2, 4], 8)
+    at = np.append(0, np.cumsum(9 + width * (ends - starts - 1)))
+    out = np.zeros(at[-1], np.uint8)
+    out[at[:-1, None] + np.arange(8)] = ids[starts].astype("<i8").view(np.uint8).reshape(-1, 8)
+    out[at[:-1] + 8] = width
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    place = np.arange(len(ids)) - starts[of] - 1
+    for w in (1, 2, 4, 8):
+        here = np.flatnonzero((width[of] == w) & (place >= 0))
+        if len(here):
+            out[(at[of[here]] + 9 + w * place[here])[:, None] + np.arange(w)] = step[here].astype(f"<u{w}").view(np.uint8).reshape(-1, w)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)])
+
+
 def _packed(ids: np.ndarray) -> bytes:
-    """Ascending ids: the first, the width of a difference in bytes, and the differences."""
-    step = np.diff(ids)
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(step.max(initial=0)) < 1 << 8 * w)
-    return int(ids[0]).to_bytes(8, "little", signed=True) + bytes([width]) + step.astype(f"<u{width}").tobytes()
+    return _lists(ids, np.zeros(1, np.int64))[0].as_py()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -112,7 +152,7 @@ class SearchIndex:
         spark = rows.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         lines = F.coalesce(F.array_join(F.transform("fields", plain), "\n"), F.lit(""))
-        texts = rows.where("id is not null").select(F.col("id").cast("long"), lines.alias("text")).sortWithinPartitions("id").withColumn("chunk", F.spark_partition_id())
+        texts = rows.where("id is not null").select(F.col("id").cast("long"), lines.alias("text")).withColumn("chunk", F.spark_partition_id())
         texts.write.mode("overwrite").option("compression", "zstd").partitionBy("chunk").parquet(f"{path}/texts")
         texts = spark.read.schema("id long, text string, chunk int").parquet(f"{path}/texts")
         lists = texts.mapInArrow(_grams, "gram string, chunk int, n int, deltas binary").withColumn("bucket", _bucket(buckets))
@@ -120,7 +160,7 @@ class SearchIndex:
         lists.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         lists = spark.read.schema("gram string, chunk int, n int, deltas binary, bucket int").parquet(f"{path}/postings")
         lists.groupBy("gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
-        spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/made")  # last: the index is whole
+        spark.range(1, numPartitions=1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/made")  # last: the index is whole
         return cls(spark, path)
 
     @classmethod

@@ -6,15 +6,17 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from mediarill.operators import filters, graph, joins, ranking
+from mediarill.operators import aggregates, filters, graph, joins, ranking
+from mediarill.plans.catalog_queries import QUERIES
 from mediarill.plans.shared import new_path
 from mediarill.sources import io
 from mediarill.sources import views as V
-from mediarill.sources.search_index import SearchIndex, _packed, _unpacked, source_key, terms_of
+from mediarill.sources.search_index import SearchIndex, _grams, _packed, _unpacked, source_key, terms_of
 from mediarill.streaming import changes
 from mediarill.streaming.change_log import ChangeLog
 
@@ -224,6 +226,36 @@ def test_packed_lists():
     assert terms_of(" A_b ,,c  d") == ["a b", "c d"]
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_grams_of_rows_in_any_order(wide):
+    """As the plain rule, ids not sorted, and with more letters than gram and row fit into 63 bits with."""
+    rng = random.Random(4)
+    letters = [chr(k) for k in range(0x4E00, 0x4E00 + 9000)] + [chr(k) for k in range(0x20000, 0x30000)] if wide else "abc\u732b"
+    texts = ["\n".join("".join(rng.choices(letters, k=rng.randint(0, 200))) for _ in range(3)) for _ in range(900)]
+    texts[7] = "".join(letters) if wide else ""
+    ids = rng.sample(range(-(1 << 40), 1 << 40), len(texts))
+    batch = pa.record_batch([pa.array(ids), pa.array(texts), pa.array([5] * 600 + [6] * 300, pa.int32())], ["id", "text", "chunk"])
+    got, want = {}, {}
+    for b in _grams(iter([batch])):
+        for r in b.to_pylist():
+            got.setdefault((r["gram"], r["chunk"]), []).extend(_unpacked(r["deltas"]).tolist())
+            assert r["n"] == len(_unpacked(r["deltas"]))
+    for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+        for g in {line[j : j + 3] for line in t.split("\n") for j in range(len(line) - 2)}:
+            want.setdefault((g, 5 if k < 600 else 6), []).append(i)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_text_is_indexed_once_and_holds_all_tags(spark, tmp_path):
+    """A tag is a piece of its row's cleaned text, so the index has no field for it."""
+    odd = ["Don't stop-the_MUSIC 12abc34 5.6.7 x1yzw", "ABC.DEF^ghi=jkl 99", "\u0130stanbul \u00c9COLE na\u00efve stra\u00dfe \u212aelvin", "a\tbcd\n\nefg\u00a0hij 1.abc 2abc abc3", "", None]
+    spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fields = {r["id"]: r["fields"] for r in V.search_fields(spark, f"file://{tmp_path}").collect()}
+    assert all(len(f) == 2 for f in fields.values())
+    tags = V.image_tags(spark, f"file://{tmp_path}").collect()
+    assert len(tags) > 15 and all(r["tag"] in fields[r["image_id"]][1] for r in tags)
+
+
 # Changes (T2, T7).
 def test_change_log_writes_changes_only(spark):
     """Many small batches over a large base: rows as the plain rule gives them, bytes in proportion to the changes, repeats without effect."""
@@ -470,3 +502,12 @@ def test_stars_keep_components_and_are_few(spark):
     long = spark.range(3000).selectExpr("id as a", "id + 1 as b")
     assert stars(long).select("a").distinct().count() == 3001 and connected_components(stars(long)).where("component <> 0").isEmpty()
     assert connected_components(stars(spark.createDataFrame([], "a long, b long"))).count() == 0
+
+
+def test_word_counts_build_no_index(spark, sf, same_rows):
+    """A17 reads the texts once; the search before gave the same words, for an index of all texts."""
+    out = QUERIES["a17_word_frequency"](spark, sf)
+    assert not any("mediarill-search" in f for f in out.inputFiles())
+    media = V.media(spark, sf)
+    found = filters.search(media, V.image_tags(spark, sf), "ing")
+    same_rows(out, aggregates.word_frequency(found, "ing"))
