@@ -175,8 +175,9 @@ def _in_64s(words: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(words[:, k] << np.uint64(32) | words[:, k + 1]) for k in range(0, words.shape[1], 2)]
 
 
-def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool) -> DataFrame:
-    """``(l, r, dist, ar_l, ar_r)`` of the close pairs of two block tables; ``once``: of one table, each pair in one order.
+def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool, first: bool = False) -> DataFrame:
+    """``(l, r, dist, ar_l, ar_r)`` of the close pairs of two block tables; ``once``: of one table, each pair in one order;
+    ``first``: of each left row in a cell only the hit that comes first, by ``ar_r`` and ``r``, of those before it.
 
     Blocks are dealt to a grid of groups and joined on its cells by equality;
     only close pairs leave the Arrow tasks.
@@ -192,6 +193,7 @@ def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool) -> DataFr
     names = ["l", "r", "dist", "ar_l", "ar_r"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
         for batch in batches:
             for row in range(batch.num_rows):
                 raw = lambda c, t: np.frombuffer(batch.column(c)[row].as_buffer(), t)  # noqa: B023, E731
@@ -210,11 +212,34 @@ def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool) -> DataFr
                         at, x, y = at[later], x[later], y[later]
                     found.append((x + k, y, d.reshape(-1)[at].astype(np.int32)))
                 x, y, d = map(np.concatenate, zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (li[x], ri[y], d, la[x], ra[y])], names)
+                hits = [li[x], ri[y], d, la[x], ra[y]]
+                if not first:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in hits], names)
+                    continue
+                kept = _firsts([np.concatenate(v) for v in zip(kept, _firsts(hits), strict=True)] if kept else _firsts(hits))
+                if len(kept[0]) > FIRSTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in kept], names)
+                    kept = []
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in kept], names)
 
     return cells.mapInArrow(meet, "l long, r long, dist int, ar_l double, ar_r double")
 
 
+#: First hits that a task keeps before it hands them on.
+FIRSTS = 1 << 16
+
+
+def _firsts(hits: list[np.ndarray]) -> list[np.ndarray]:
+    """Of hits (l, r, dist, ar_l, ar_r) those that come before, the first of each l."""
+    l, r, _, al, ar = hits
+    before = np.flatnonzero((l != r) & ((ar < al) | ((ar == al) & (r < l))))
+    order = before[np.lexsort((r[before], ar[before], l[before]))]
+    of = l[order]
+    order = order[np.append(True, of[1:] != of[:-1])] if len(of) else order
+    return [v[order] for v in hits]
+
+
 def _block_pairs(sig: DataFrame, max_dist: int, aspect_tol: float) -> DataFrame:
     blocks = _blocks(sig)
     near = _met(blocks, blocks, max_dist, True).where("l <> r")
@@ -644,8 +669,9 @@ def first_match_packed(new: DataFrame, known: DataFrame, max_dist: int = 13) ->
     """W15, T7. The first hit of each signature in the blocks ``new``, by the order of its block and then by id, among the blocks ``known``.
 
     ``known`` holds the blocks of ``new`` too. Hits come before: of a smaller
-    order, or of the same and with a smaller id.
+    order, or of the same and with a smaller id. A task hands on one hit a
+    signature, not all pairs.
     """
-    near = _met(new, known, max_dist, False).where("l <> r and (ar_r < ar_l or (ar_r = ar_l and r < l))")
+    near = _met(new, known, max_dist, False, first=True)
     best = near.groupBy(F.col("l").alias("id")).agg(F.min_by(F.struct(F.col("r").alias("hit"), "dist"), F.struct("ar_r", "r")).alias("m"))
     return best.select("id", "m.hit", "m.dist")

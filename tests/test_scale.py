@@ -511,3 +511,23 @@ def test_word_counts_build_no_index(spark, sf, same_rows):
     media = V.media(spark, sf)
     found = filters.search(media, V.image_tags(spark, sf), "ing")
     same_rows(out, aggregates.word_frequency(found, "ing"))
+
+
+# First matches.
+def test_one_hit_a_signature_leaves_a_task(spark):
+    """As the plain rule, among many near ones of which a task hands on one each."""
+    rng = random.Random(9)
+    words = [[rng.getrandbits(2), rng.getrandbits(2)] for _ in range(2500)]
+    sig = spark.createDataFrame(list(enumerate(words)), "id long, words array<long>").repartition(3)
+    arrived, pool = sig.where("id % 3 <> 0"), sig.where("id % 3 = 0")
+    bits = [a << 32 | b for a, b in words]
+    want = {}
+    for i in (k for k in range(2500) if k % 3):
+        near = [(j % 3 != 0, j) for j in range(2500) if j != i and (j % 3 == 0 or j < i) and (bits[i] ^ bits[j]).bit_count() <= 1]
+        if near:
+            want[i] = (min(near)[1], (bits[i] ^ bits[min(near)[1]]).bit_count())
+    assert {r["id"]: (r["hit"], r["dist"]) for r in joins.first_match(arrived, pool, 1).collect()} == want
+    new = joins.pack_signatures(arrived, 0.0)
+    known = new.unionByName(joins.pack_signatures(pool, -1.0))
+    every, firsts = joins._met(new, known, 1, False).count(), joins._met(new, known, 1, False, first=True).count()
+    assert len(want) <= firsts <= len(want) * known.count() < every / 20
