@@ -23,9 +23,14 @@ HALF = 0.495
 
 
 def media_tags(media: DataFrame, image_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    """J1. The tags of each image by score."""
+    """J1. The tags of each image by score.
+
+    Tags meet their names first and images last, where the places are given too. Only the short sides, names and
+    ids, stand in hash tables, of one partition each; the images' tags are sorted once.
+    """
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "name"))
-    rows = media.select("id").join(image_tags.withColumnRenamed("image_id", "id"), "id").join(tags.withColumnRenamed("name", "tag"), "tag")
+    named = image_tags.withColumnRenamed("image_id", "id").join(tags.withColumnRenamed("name", "tag").hint("shuffle_hash"), "tag")
+    rows = named.join(media.select("id").distinct().hint("shuffle_hash"), "id")  # a semi join would be put first, and its rows shuffled once more
     return rows.select("id", F.col("tag").alias("name"), "category", "score", "source").withColumn("place", place)
 
 

@@ -513,6 +513,18 @@ def test_word_counts_build_no_index(spark, sf, same_rows):
     same_rows(out, aggregates.word_frequency(found, "ing"))
 
 
+# Tags of images.
+def test_tags_of_images_come_once_and_are_shuffled_twice(spark):
+    """J1. An image that stands twice in the catalogue has its tags once; two shuffles of the images' tags."""
+    media = spark.createDataFrame([(1,), (1,), (2,)], "id long")
+    tags = spark.createDataFrame([("cat", "general"), ("dog", "general")], "name string, category string")
+    rows = spark.createDataFrame([(1, "cat", 0.5, "auto"), (1, "dog", 0.9, "auto"), (2, "cat", 0.1, "auto"), (2, "gone", 1.0, "auto"), (3, "cat", 0.7, "auto")], "image_id long, tag string, score double, source string")
+    out = joins.media_tags(media, rows, tags)
+    assert sorted((r["id"], r["name"], r["place"]) for r in out.collect()) == [(1, "cat", 2), (1, "dog", 1), (2, "cat", 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 4
+
+
 # First matches.
 def test_one_hit_a_signature_leaves_a_task(spark):
     """As the plain rule, among many near ones of which a task hands on one each."""
