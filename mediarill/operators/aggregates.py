@@ -28,12 +28,18 @@ def selection_total(counts: DataFrame, folders: list[str], subfolders: bool = Tr
     return filter_folders(counts, folders, subfolders).agg(F.coalesce(F.sum("image_count"), F.lit(0)).alias("total"))
 
 
-def tag_counts(image_tags: DataFrame, tags: DataFrame, media: DataFrame | None = None) -> DataFrame:
-    """A4. Images of each tag, and whether anyone set it by hand; ``media`` filters, and is not joined when absent."""
-    rows = image_tags if media is None else image_tags.join(media.select(F.col("id").alias("image_id")), "image_id", "left_semi")
-    counts = rows.groupBy("tag").agg(F.countDistinct("image_id").alias("image_count"))
-    manual = image_tags.groupBy("tag").agg(F.max(F.col("source") == "manual").alias("manual"))
-    return counts.join(manual, "tag").join(tags.withColumnRenamed("name", "tag"), "tag").select(S.display_tag(F.col("tag")).alias("name"), "category", "image_count", "manual")
+def tag_counts(image_tags: DataFrame, tags: DataFrame, media: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """A4. Images of each tag, and whether anyone set it by hand; ``media`` filters, and is not joined when absent.
+
+    ``once``: ``image_tags`` has each image and tag once, so rows are counted where they are.
+    """
+    n, by_hand = (F.count if once else F.countDistinct)("image_id").alias("image_count"), F.max(F.col("source") == "manual").alias("manual")
+    if media is None:
+        counts = image_tags.groupBy("tag").agg(n, by_hand)
+    else:
+        rows = image_tags.join(media.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+        counts = rows.groupBy("tag").agg(n).join(image_tags.groupBy("tag").agg(by_hand), "tag")
+    return counts.join(tags.withColumnRenamed("name", "tag"), "tag").select(S.display_tag(F.col("tag")).alias("name"), "category", "image_count", "manual")
 
 
 def name_facet(media: DataFrame) -> DataFrame:

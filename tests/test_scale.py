@@ -525,6 +525,23 @@ def test_tags_of_images_come_once_and_are_shuffled_twice(spark):
     assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 4
 
 
+def repeated_documents(spark, path):
+    texts = ["the cat The the dog", "cat and mat", "dog", None, "12 a b"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, "cat bird cat"), (10, "the end"), (10, "the"), (None, "cat lost")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return f"file://{path}"
+
+
+def test_tags_are_counted_where_they_are(spark, tmp_path, same_rows):
+    """A4, W12. As the distinct count, ids of several documents too; images' tags are not shuffled."""
+    d = repeated_documents(spark, tmp_path)
+    once = V.image_tags_once(V.tag_lists(spark, d))
+    same_rows(once.where("image_id is not null"), V.image_tags(spark, d).distinct().where("image_id is not null"))
+    same_rows(aggregates.tag_counts(once, V.tags(spark, d), once=True), aggregates.tag_counts(V.image_tags(spark, d), V.tags(spark, d)))
+    plan = QUERIES["w12_manual_first"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and "hashpartitioning(tag" in plan
+
+
 # First matches.
 def test_one_hit_a_signature_leaves_a_task(spark):
     """As the plain rule, among many near ones of which a task hands on one each."""
