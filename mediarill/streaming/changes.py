@@ -61,25 +61,34 @@ def throttled_progress(events: DataFrame, payload: str, every: str = "1200 milli
     return out.select(F.col("w.start").alias("began"), payload, "n")
 
 
-def _expire(ttl_ms: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at = state.get[0]
-            state.remove()
-            yield pd.DataFrame([(key[0], at)], columns=["id", "deleted_at"])
-            return
-        at = max([*(float(t) for pdf in batches for t in pdf["at"]), *([state.get[0]] if state.exists else [])])
-        state.update((at,))
-        state.setTimeoutTimestamp(int(at * 1000) + ttl_ms)
-        yield pd.DataFrame([], columns=["id", "deleted_at"])
-
-    return run
+def expire_after(deleted: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, waiting: str, ttl_s: int = 600, late: str = LATE):
+    """T6. ``deleted(id, ts)``: each row handed to ``sink(expired, epoch)`` once its time has run out by the watermark; deleted again, it starts anew.
 
+    The folder ``waiting`` holds by epoch the latest deletion of each id whose time
+    still runs, and the latest time seen, ``late`` before which the watermark lies.
+    A micro-batch joins what waited before by a running maximum. A batch
+    that is repeated reads the epoch before its own and gives the same.
+    """
+    schema = deleted.select("id", "ts", F.lit(False).alias("over")).schema
 
-def expire_after(deleted: DataFrame, ttl_s: int = 600, late: str = LATE) -> DataFrame:
-    """T6. ``deleted(id, ts)``: each row once its time has run out by the watermark; deleted again, it starts anew."""
-    rows = deleted.withWatermark("ts", late).select("id", "ts", F.col("ts").cast("double").alias("at"))
-    return rows.groupBy("id").applyInPandasWithState(_expire(ttl_s * 1000), "id long, deleted_at double", "at double", "append", GroupStateTimeout.EventTimeTimeout)
+    def one(df: DataFrame, epoch: int) -> None:
+        read = df.sparkSession.read
+        mark = (F.col("seen") - F.expr(f"INTERVAL {late}")).alias("mark")
+        rows = df.select("id", "ts").where("ts is not null")
+        seen = rows.agg(F.max("ts").alias("seen"))
+        if epoch:
+            old = read.schema("seen timestamp").parquet(f"{waiting}/seen/epoch={epoch - 1}")
+            rows = rows.join(F.broadcast(old.select(mark)), F.coalesce(F.col("ts") > F.col("mark"), F.lit(True))).select("id", "ts")
+            rows = rows.unionByName(read.schema(schema).parquet(f"{waiting}/ids/epoch={epoch - 1}").where("not over").select("id", "ts"))
+            seen = seen.unionByName(old.select("seen")).agg(F.max("seen").alias("seen"))
+        seen.write.mode("overwrite").parquet(f"{waiting}/seen/epoch={epoch}")
+        now = read.schema("seen timestamp").parquet(f"{waiting}/seen/epoch={epoch}").select(mark)
+        over = F.coalesce(F.col("ts") + F.expr(f"INTERVAL {ttl_s} SECONDS") < F.col("mark"), F.lit(False))
+        last = rows.groupBy("id").agg(F.max("ts").alias("ts")).join(F.broadcast(now)).withColumn("over", over)
+        last.select("id", "ts", "over").write.mode("overwrite").parquet(f"{waiting}/ids/epoch={epoch}")
+        sink(read.schema(schema).parquet(f"{waiting}/ids/epoch={epoch}").where("over").select("id", "ts"), epoch)
+
+    return deleted.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def match_arrivals(arrivals: DataFrame, pool: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, met: str, max_dist: int = 13):

@@ -560,3 +560,28 @@ def test_one_hit_a_signature_leaves_a_task(spark):
     known = new.unionByName(joins.pack_signatures(pool, -1.0))
     every, firsts = joins._met(new, known, 1, False).count(), joins._met(new, known, 1, False, first=True).count()
     assert len(want) <= firsts <= len(want) * known.count() < every / 20
+
+
+# Deletions.
+def test_deletions_expire_over_batches(spark, tmp_path):
+    """By the watermark, ten minutes behind the latest; deleted again the time starts anew; late ones don't count; no Python a key."""
+    batches = [[(1, 0), (2, 0), (2, 9), (3, 8), (None, 1)], [(1, 19), (4, 25)], [(5, 60), (6, 3)], [(7, 61)]]
+    src, got = io_folder(tmp_path, spark, batches), {}
+    stream = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+
+    def sink(df, epoch):
+        got[epoch] = sorted((r["id"] or 0, r["at"] // 60) for r in df.select("id", F.unix_seconds("ts").alias("at")).collect())
+
+    changes.expire_after(stream, sink, f"{tmp_path}/state", f"file://{tmp_path}/waiting").start().awaitTermination()
+    # Watermarks after the batches: -1, 15, 50, 51; the 6 of minute 3 is later than 15.
+    assert got == {0: [], 1: [(0, 1)], 2: [(1, 19), (2, 9), (3, 8), (4, 25)], 3: []}
+
+
+def io_folder(path, spark, batches):
+    import os
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(i, m * 60) for i, m in rows], "id long, s long").select("id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{path}/in/{k}")
+        for f in (path / "in" / str(k)).glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    return f"file://{path}/in"
