@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
+from . import joins as J
 
 
 def _greedy(pairs: pd.DataFrame, inside: np.ndarray | None = None, first: int | None = None) -> list[list[int]]:
@@ -170,6 +172,11 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
     return near.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(lambda pdf: _rows_of(_greedy(pdf, first=most)), _GROUPED)
 
 
+def _worst_pct(worst: Column, bits: int) -> Column:
+    """A group's similarity in per cent, that of its worst pair."""
+    return F.when(worst <= 0, 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(99), F.floor((1 - worst / bits) * 100).cast("int")))).cast("int")
+
+
 def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_pairs: int = 2_000_000, told: Callable[[int, int], None] | None = None) -> DataFrame:
     """G1, G2. Disjoint cliques of ``pairs(a, b, dist)`` or ``pairs(a, b, sim)`` as (group_id, id, size, similarity).
 
@@ -227,13 +234,147 @@ def clique_groups(pairs: DataFrame, order: str = "dist", bits: int = 256, most_p
         groups = groups.unionByName(more)
     groups = groups.withColumnRenamed("group_id", "g")
     inside = all_rows.join(groups.withColumnRenamed("id", "a"), "a").join(groups.select(F.col("id").alias("b"), F.col("g").alias("h")), "b").where("g = h")
-    worst, mean = F.max("k"), F.round(F.expr("bround(avg(-k), 0)")).cast("int")
-    score = F.when(worst <= 0, 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(99), F.floor((1 - worst / bits) * 100).cast("int")))).cast("int") if distance else mean
+    mean = F.round(F.expr("bround(avg(-k), 0)")).cast("int")
+    score = _worst_pct(F.max("k"), bits) if distance else mean
     facts = inside.groupBy("g").agg(score.alias("similarity"))
     sizes = groups.groupBy("g").agg(F.count("*").cast("int").alias("size"))
     return groups.join(sizes, "g").join(facts, "g").select(F.col("g").alias("group_id"), "id", "size", "similarity")
 
 
+#: Signatures that one task may hold, pairs that are opened in a turn, and partners of an image that are told at each distance.
+HELD, A_TURN, TOLD_PARTNERS = 1 << 20, 2_000_000, 8
+
+
+class _Signatures:
+    """Free images by id with their signatures, and the plain rule on them."""
+
+    def __init__(self, blocks: pa.Table, max_dist: int, aspect_tol: float):
+        raw = lambda c, t: np.frombuffer(b"".join(blocks.column(c).to_pylist()), t)
+        ids = raw("ids", np.int64)
+        by = np.argsort(ids)
+        self.ids, self.ar, self.max_dist, self.tol = ids[by], raw("ar", np.float64)[by], max_dist, aspect_tol
+        self.words = J._in_64s(raw("words", np.uint64).reshape(len(ids), -1)[by]) if len(ids) else [np.zeros(0, np.uint64)]
+        self.used, self.free, self.gone = np.zeros(len(ids), bool), np.arange(len(ids)), 0
+        self.free_words = self.words
+
+    def _apart(self, x: int, rows: np.ndarray | None = None) -> np.ndarray:
+        of = self.free_words if rows is None else [w[rows] for w in self.words]
+        d = np.bitwise_count(of[0] ^ self.words[0][x])
+        for v, w in zip(of[1:], self.words[1:], strict=True):
+            d = d.astype(np.uint16) + np.bitwise_count(v ^ w[x])
+        return d
+
+    def _near(self, x: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where the free images near to x stand among ``rows``, or else among ``free``, and their distances."""
+        d = self._apart(x, rows)
+        at = np.flatnonzero(d <= self.max_dist)
+        y = self.free[at] if rows is None else rows[at]
+        first = y < x
+        ok = ~self.used[y] & (y != x) & J.aspect_near(np.where(first, self.ar[y], self.ar[x]), np.where(first, self.ar[x], self.ar[y]), self.tol)
+        return at[ok], d[at[ok]].astype(np.int64)
+
+    def next_partner(self, x: int, dist: int) -> int | None:
+        """The first free image behind x that is near to it and just ``dist`` bits apart."""
+        at, d = self._near(x)
+        y = self.free[at[d == dist]]
+        y = y[y > x]
+        return int(y[0]) if len(y) else None
+
+    def open(self, x: int, y: int, dist: int) -> tuple[list[int], int]:
+        """The group that a pair opens, and the distance of its worst pair."""
+        at, far = self._near(x)
+        left = self.free[at]
+        at, d = self._near(y, left)
+        left, far = left[at], np.maximum(far[at], d)
+        by = np.lexsort((left, far))
+        left, far, group = left[by], far[by], [x, y]
+        while len(left):
+            c, dist = int(left[0]), max(dist, int(far[0]))
+            group.append(c)
+            left, far = left[1:], far[1:]
+            at, d = self._near(c, left)
+            left, far = left[at], np.maximum(far[at], d)
+        self.used[group] = True
+        self.gone += len(group)
+        if 4 * self.gone > len(self.free):
+            self.free, self.gone = np.flatnonzero(~self.used), 0
+            self.free_words = [w[self.free] for w in self.words]
+        return group, dist
+
+
+def _opened(blocks: DataFrame, first: DataFrame, max_dist: int, aspect_tol: float) -> DataFrame:
+    """Groups that the pairs of ``first(a, dist, partners)`` open, in order, by one task that has the signatures of all free images and no pairs among them."""
+
+    def decide(blocks: pa.Table, first: pa.Table) -> pa.Table:
+        known = _Signatures(blocks, max_dist, aspect_tol)
+        a, dist = first.column("a").to_numpy(), first.column("dist").to_numpy()
+        lists = first.column("partners").combine_chunks()
+        begin, partners = lists.offsets.to_numpy(), np.searchsorted(known.ids, lists.flatten().to_numpy())
+        rows, used = np.searchsorted(known.ids, a), memoryview(known.used)
+        out: list[tuple[list[int], int]] = []
+        for k in np.lexsort((a, dist)).tolist():
+            x = int(rows[k])
+            if used[x]:
+                continue
+            told = partners[begin[k] - begin[0] : begin[k + 1] - begin[0]].tolist()
+            y = next((y for y in told[:TOLD_PARTNERS] if not used[y]), None)
+            if y is None and len(told) > TOLD_PARTNERS:
+                y = known.next_partner(x, int(dist[k]))
+            if y is not None:
+                out.append(known.open(x, y, int(dist[k])))
+        size = np.array([len(g) for g, _ in out], np.int64)
+        ids = known.ids[np.array([m for g, _ in out for m in g], np.int64)]
+        group = np.array([min(g) for g, _ in out], np.int64)
+        worst = np.array([w for _, w in out], np.int64)
+        return pa.table([np.repeat(known.ids[group], size), ids, np.repeat(size, size).astype(np.int32), np.repeat(worst, size).astype(np.int32)], ["group_id", "id", "size", "worst"])
+
+    one = lambda df: df.withColumn("all", F.lit("all")).groupBy("all")
+    return one(blocks).cogroup(one(first)).applyInArrow(lambda x, y: decide(x, y), "group_id long, id long, size int, worst int")
+
+
+def signature_groups(sig: DataFrame, max_dist: int, aspect_tol: float = 0.30, bits: int = 64, told: Callable[[int, int, int], None] | None = None) -> DataFrame:
+    """G1. ``clique_groups`` of the pairs within ``max_dist`` bits of ``sig(id, words, ar)``, without those pairs.
+
+    A group depends on which pairs come first and on who is near to whom, and
+    the latter the signatures tell themselves. So pairs are looked for in
+    turns, from near to far: as many distances at a time as have ``A_TURN``
+    pairs, one at least, and only among images that are still free. Most
+    images are used up by near pairs, so the many far ones are never made.
+    Blocks of free signatures are compared by all tasks; a task then opens the turn's pairs in
+    order, with the signatures of the free images at hand, some 24 bytes each.
+    Of an image's partners at one distance it is told the first few, and looks
+    for more itself if those are used and there are any. ``told(limit, pairs,
+    free)`` hears of each turn. Where an id stands twice, or more than
+    ``HELD`` images have signatures, the pairs are made and grouped.
+    """
+    rows = materialize(sig.where("id is not null and words is not null").select(F.col("id").cast("long").alias("id"), "words", F.col("ar").cast("double").alias("ar")), "signatures")
+    if rows.count() > HELD or not rows.groupBy("id").count().where("count > 1").isEmpty():
+        return clique_groups(J.hamming_pairs(rows, max_dist, aspect_tol, bits), bits=bits)
+    done: list[DataFrame] = []
+    limit = -1
+    while True:
+        blocks = J._blocks(rows)
+        counts = J.near_counts(blocks, max_dist)
+        among = np.cumsum(counts)
+        if not among[-1] or limit == max_dist:
+            break
+        first = int(np.flatnonzero(among)[0])
+        limit = max(first, limit + 1, int(np.searchsorted(among, A_TURN, "right")) - 1)
+        if told is not None:
+            told(limit, int(among[limit]), rows.count())
+        partners = materialize(J.first_partners(blocks, limit, aspect_tol, TOLD_PARTNERS), "partners")
+        done.append(materialize(_opened(blocks, partners, max_dist, aspect_tol), "opened"))
+        if limit == max_dist:
+            break
+        rows = materialize(rows.join(done[-1].select("id"), "id", "left_anti"), "free")
+    if not done:
+        return rows.sparkSession.createDataFrame([], "group_id long, id long, size int, similarity int")
+    groups = done[0]
+    for more in done[1:]:
+        groups = groups.unionByName(more)
+    return groups.select("group_id", "id", "size", _worst_pct(F.col("worst").cast("double"), bits).alias("similarity"))
+
+
 def prune_groups(groups: DataFrame, removed: DataFrame) -> DataFrame:
     """G4. Groups without removed members; groups of one go."""
     left = groups.join(removed.select("id").distinct(), "id", "left_anti")

@@ -180,12 +180,10 @@ def _in_64s(words: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(words[:, k] << np.uint64(32) | words[:, k + 1]) for k in range(0, words.shape[1], 2)]
 
 
-def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool, first: bool = False) -> DataFrame:
-    """``(l, r, dist, ar_l, ar_r)`` of the close pairs of two block tables; ``once``: of one table, each pair in one order;
-    ``first``: of each left row in a cell only the hit that comes first, by ``ar_r`` and ``r``, of those before it.
+def _cells(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+    """Rows of two block tables that meet, ``l_…`` and ``r_…``; ``once``: of one table, each two blocks in one order.
 
-    Blocks are dealt to a grid of groups and joined on its cells by equality;
-    only close pairs leave the Arrow tasks.
+    Blocks are dealt to a grid of groups and joined on its cells by equality.
     """
     groups = max(1, int(left.count() ** 0.5))
     group, every = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
@@ -194,30 +192,43 @@ def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool, first: bo
     # A stated number of partitions, as Spark would put cells together by their few bytes, not by their work.
     a, b = (x.repartition(groups * groups, "lg", "rg") for x in (a, b))
     cells = a.join(b, ["lg", "rg"]).drop("lg", "rg")
-    cells = cells.where("l_block <= r_block") if once else cells
+    return cells.where("l_block <= r_block") if once else cells
+
+
+def _close(batch: pa.RecordBatch, row: int, max_dist: int, once: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Places (in the left block, in the right one) of the close pairs of a row of ``_cells``, and their (l, r, dist, ar_l, ar_r)."""
+    raw = lambda c, t: np.frombuffer(batch.column(c)[row].as_buffer(), t)
+    li, ri, la, ra = raw("l_ids", np.int64), raw("r_ids", np.int64), raw("l_ar", np.float64), raw("r_ar", np.float64)
+    lw, rw = _in_64s(raw("l_words", np.uint64).reshape(len(li), -1)), _in_64s(raw("r_words", np.uint64).reshape(len(ri), -1))
+    same = once and batch.column("l_block")[row].as_py() == batch.column("r_block")[row].as_py()
+    found = []
+    for k in range(0, len(li), 128):
+        d = np.bitwise_count(lw[0][k : k + 128, None] ^ rw[0])
+        for v, w in zip(lw[1:], rw[1:], strict=True):  # word by word: a sum over so short an axis takes many times as long
+            d = d.astype(np.uint16) + np.bitwise_count(v[k : k + 128, None] ^ w)
+        at = np.flatnonzero((d <= max_dist).reshape(-1))
+        x, y = np.divmod(at, len(ri))
+        if same:
+            later = x + k < y
+            at, x, y = at[later], x[later], y[later]
+        found.append((x + k, y, d.reshape(-1)[at].astype(np.int32)))
+    x, y, d = map(np.concatenate, zip(*found, strict=True))
+    return x, y, [li[x], ri[y], d, la[x], ra[y]]
+
+
+def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool, first: bool = False) -> DataFrame:
+    """``(l, r, dist, ar_l, ar_r)`` of the close pairs of two block tables; ``once``: of one table, each pair in one order;
+    ``first``: of each left row in a cell only the hit that comes first, by ``ar_r`` and ``r``, of those before it.
+
+    Only close pairs leave the Arrow tasks.
+    """
     names = ["l", "r", "dist", "ar_l", "ar_r"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = lambda c, t: np.frombuffer(batch.column(c)[row].as_buffer(), t)  # noqa: B023, E731
-                li, ri, la, ra = raw("l_ids", np.int64), raw("r_ids", np.int64), raw("l_ar", np.float64), raw("r_ar", np.float64)
-                lw, rw = _in_64s(raw("l_words", np.uint64).reshape(len(li), -1)), _in_64s(raw("r_words", np.uint64).reshape(len(ri), -1))
-                same = once and batch.column("l_block")[row].as_py() == batch.column("r_block")[row].as_py()
-                found = []
-                for k in range(0, len(li), 128):
-                    d = np.bitwise_count(lw[0][k : k + 128, None] ^ rw[0])
-                    for v, w in zip(lw[1:], rw[1:], strict=True):  # word by word: a sum over so short an axis takes many times as long
-                        d = d.astype(np.uint16) + np.bitwise_count(v[k : k + 128, None] ^ w)
-                    at = np.flatnonzero((d <= max_dist).reshape(-1))
-                    x, y = np.divmod(at, len(ri))
-                    if same:
-                        later = x + k < y
-                        at, x, y = at[later], x[later], y[later]
-                    found.append((x + k, y, d.reshape(-1)[at].astype(np.int32)))
-                x, y, d = map(np.concatenate, zip(*found, strict=True))
-                hits = [li[x], ri[y], d, la[x], ra[y]]
+                hits = _close(batch, row, max_dist, once)[2]
                 if not first:
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in hits], names)
                     continue
@@ -228,7 +239,52 @@ def _met(left: DataFrame, right: DataFrame, max_dist: int, once: bool, first: bo
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in kept], names)
 
-    return cells.mapInArrow(meet, "l long, r long, dist int, ar_l double, ar_r double")
+    return _cells(left, right, once).mapInArrow(meet, "l long, r long, dist int, ar_l double, ar_r double")
+
+
+def aspect_near(earlier: np.ndarray, later: np.ndarray, tolerance: float) -> np.ndarray:
+    """The aspect gate on arrays; not a number passes no comparison, as in Spark."""
+    with np.errstate(all="ignore"):
+        return (earlier <= 0) | (later <= 0) | (np.abs(earlier / later - 1) <= tolerance)
+
+
+def near_counts(blocks: DataFrame, max_dist: int) -> list[int]:
+    """How many pairs of ``blocks`` are 0, 1, … ``max_dist`` bits apart, whatever their aspects; no pair leaves a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(max_dist + 1, np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n += np.bincount(_close(batch, row, max_dist, True)[2][2], minlength=max_dist + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(max_dist + 1, dtype=np.int32)), pa.array(n)], ["dist", "n"])
+
+    counts = _cells(blocks, blocks, True).mapInArrow(count, "dist int, n long").groupBy("dist").agg(F.sum("n").alias("n"))
+    found = {r["dist"]: r["n"] for r in counts.collect()}
+    return [found.get(k, 0) for k in range(max_dist + 1)]
+
+
+def first_partners(blocks: DataFrame, max_dist: int, aspect_tol: float, most: int) -> DataFrame:
+    """``(a, dist, partners)``: of each id of ``blocks`` its first ``most`` partners of larger ids at each distance up to ``max_dist``, and one more if there are more.
+
+    A task keeps as many of each two blocks, so of a large class of copies not all pairs come out. No id may stand twice.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                l, r, d, al, ar = _close(batch, row, max_dist, True)[2]
+                first = l < r
+                a, b = np.minimum(l, r), np.maximum(l, r)
+                ok = np.flatnonzero(aspect_near(np.where(first, al, ar), np.where(first, ar, al), aspect_tol))
+                ok = ok[np.lexsort((b[ok], d[ok], a[ok]))]
+                a, b, d = a[ok], b[ok], d[ok]
+                begins = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]))[: len(a)]
+                place = np.arange(len(a)) - np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(a) else a
+                few = place <= most
+                yield pa.RecordBatch.from_arrays([pa.array(v[few]) for v in (a, d, b)], ["a", "dist", "b"])
+
+    pairs = _cells(blocks, blocks, True).mapInArrow(meet, "a long, dist int, b long")
+    return pairs.groupBy("a", "dist").agg(F.slice(F.array_sort(F.collect_list("b")), 1, most + 1).alias("partners"))
 
 
 #: First hits that a task keeps before it hands them on.
