@@ -11,7 +11,7 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -344,106 +344,196 @@ def similarity_pct(shared: Column, a: Column, b: Column) -> Column:
     return F.bround(shared * 100.0 / (a + b - shared)).cast("int")
 
 
-def jaccard_pairs(sets: DataFrame, min_sim: int = 50, min_size: int = 3) -> DataFrame:
+def jaccard_pairs(sets: DataFrame, min_sim: int = 50, min_size: int = 3, among: DataFrame | None = None) -> DataFrame:
     """J8. Pairs ``a < b`` of ``sets(id, tags)`` with a similarity of ``min_sim`` per cent or more, exactly.
 
-    Tags are ordered from rare to frequent: the ``FREQUENT`` most frequent by
-    their counts, all others before them by hash. Two sets this similar share a tag
-    among their first ``n - ceil(c n) + 1``, and one is not much smaller than
-    the other. Prefixes meet in the cells of a grid, where the tags that two
-    share are counted over an inverted index: what they share besides must stand behind
-    the prefix that ends first in the order, so only pairs whose count and that
-    rest together are enough leave their task. No pair is shuffled before. Identical
-    sets are for collapse_identical first.
+    Whole sets meet in the cells of a grid. There, pairs that sizes and parity
+    bitmaps rule out go; two bitmaps differ in no more bits than the
+    sets have tags apart, so this loses nothing. What is left is compared on all tags
+    at once, so only pairs of the result leave a task. Sets move as codes, two bytes for one of the ``FREQUENT``
+    most frequent tags and eight for another, no two tags with the same code.
+    ``among(id)``: only these sets. Identical sets are for collapse_identical first.
     """
-    c = (min_sim - 0.5) / 100
     sets = sets.where(F.size("tags") >= min_size)
-    counts = sets.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("df"))
-    top = [r["h"] for r in counts.orderBy(F.desc("df"), "tag").limit(FREQUENT).select(F.xxhash64("tag").alias("h")).collect()]
-    prefixes = materialize(_prefixes(sets, np.array(top[::-1], np.int64), c), "prefixes")
-    return _checked(_prefix_pairs(prefixes, c), sets, min_sim)
+    counts = materialize(sets.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("df")), "tag_counts")
+    salt = _salt(counts)
+    top = [r["h"] for r in counts.orderBy(F.desc("df"), "tag").limit(FREQUENT).select(_tag_hash(F.col("tag"), salt).alias("h")).collect()]
+    coded = _coded(sets, np.array(top, np.int64), salt)
+    coded = coded if among is None else coded.join(among.select(F.col("id").cast("long").alias("id")), "id", "left_semi")
+    return _coded_pairs(materialize(coded, "coded"), min_sim)
 
 
-#: Tags whose order is told to all tasks; a fixed number, any order is exact.
+#: Tags whose codes are told to all tasks; a fixed number that two bytes can name.
 FREQUENT = 50_000
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray, c: float) -> DataFrame:
-    """``(id, n, keys)``: the first tags of each set as 32-bit keys, as bytes; ``frequent`` has hashes of tags, rarer ones first.
+def _tag_hash(tag: Column, salt: int = 0) -> Column:
+    return F.xxhash64(F.lit(salt), tag) if salt else F.xxhash64(tag)
 
-    Tags that happen to have the same key only make a count too high.
-    """
+
+def _salt(counts: DataFrame) -> int:
+    """The first salt with which no two tags of ``counts(tag)`` have the same hash."""
+    tags, salt = counts.count(), 0
+    while counts.select(_tag_hash(F.col("tag"), salt).alias("h")).distinct().count() < tags:
+        salt += 1
+    return salt
+
+
+def _coded(sets: DataFrame, frequent: np.ndarray, salt: int = 0) -> DataFrame:
+    """``(id, n, rare, often)``: the tags of each set as bytes. ``often`` has their places among the hashes ``frequent`` in two bytes each, ``rare`` the hashes of all others in eight."""
     by = np.argsort(frequent)
     known = frequent[by]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_numpy().astype(np.int64)
+            n = batch.column("n").to_numpy()
             h = batch.column("h").flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(n)), n)
             at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
             found = known[at] == h if len(known) else np.zeros(len(h), bool)
-            keys = (h & 0x7FFFFFFF).astype(np.uint32)
-            if len(known):
-                keys = np.where(found, 2**31 + by[at], keys).astype(np.uint32)
-            keys = keys[np.lexsort((h, keys, np.repeat(np.arange(len(n)), n)))]
-            begin = np.cumsum(n) - n
-            keep = n - np.ceil(n * c).astype(np.int64) + 1
-            pieces = [keys[b : b + k].tobytes() for b, k in zip(begin.tolist(), keep.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(pieces, pa.binary())], ["id", "n", "keys"])
-
-    hashed = sets.select(F.col("id").cast("long").alias("id"), F.size("tags").alias("n"), F.transform("tags", lambda t: F.xxhash64(t)).alias("h"))
-    return hashed.mapInArrow(run, "id long, n int, keys binary")
-
-
-def _prefix_pairs(prefixes: DataFrame, c: float, cell_bytes: int = 96 << 20) -> DataFrame:
-    """Pairs ``a < b`` of ``prefixes(id, n, keys)`` that share as many keys there as the limit needs at least."""
-    total = prefixes.agg(F.coalesce(F.sum(F.octet_length("keys").cast("long")), F.lit(0))).first()[0]
-    # Two cells a core at least where there is work for them.
-    groups = max(1, -(-2 * total // cell_bytes), min(8, total >> 20))
-    rows = prefixes.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    rows = rows.withColumn("cell", F.least("g", "other") * groups + F.greatest("g", "other")).drop("other").repartition(groups * (groups + 1) // 2, "cell")
+            columns = []
+            for mine, keys in ((~found, h), (found, by[at].astype(np.uint16) if len(known) else h.astype(np.uint16))):
+                keys, own = keys[mine], owner[mine]
+                ends = np.append(0, np.cumsum(np.bincount(own, minlength=len(n)))) * keys.itemsize
+                columns.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(keys.tobytes())]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *columns], ["id", "n", "rare", "often"])
+
+    hashed = sets.select(F.col("id").cast("long").alias("id"), F.size("tags").alias("n"), F.transform("tags", lambda t: _tag_hash(t, salt)).alias("h"))
+    return hashed.mapInArrow(run, "id long, n int, rare binary, often binary")
+
+
+def _bytes_of(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of bytes, and how many each row has."""
+    arrays = [x for x in column.chunks if len(x)]
+    cuts = [np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset) for x in arrays]
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(x.buffers()[2], kind, int(e[-1] - e[0]) // width, int(e[0])) for x, e in zip(arrays, cuts, strict=True) if e[-1] > e[0]]
+    return np.concatenate(parts) if parts else np.zeros(0, kind), np.concatenate([np.diff(e) // width for e in cuts])
+
+
+def _parities(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmaps of sets of codes, as columns of 64 bits: ``(word, set)``. Their halves together are the bitmaps of half the bits."""
+    out = np.empty((bits // 64, len(size)), np.uint64)
+    step = max(1, (1 << 23) // bits)
+    for k in range(0, len(size), step):
+        n = size[k : k + step]
+        own = codes[np.arange(int(n.sum())) + np.repeat(begin[k : k + step] - (np.cumsum(n) - n), n)].astype(np.uint64)
+        place = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40) & np.uint64(bits - 1)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(n)) * bits, n) + place, minlength=len(n) * bits) & 1
+        out[:, k : k + step] = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(n), -1).T
+    return out
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps folded to as few words."""
+    return maps if len(maps) == words else np.bitwise_xor.reduce(maps.reshape(-1, words, maps.shape[1]), 0)
+
+
+#: Bits of a bitmap for each tag at least (twice that at most), and the largest bitmap.
+PARITY_BITS, MOST_PARITY_BITS = 2.5, 1 << 20
+
+
+def _alike(codes: np.ndarray, begin: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, c: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, one of ``left`` and one of ``right``, whose sizes and bitmaps allow a similarity of c; of one list each pair comes once. Rows stand in order of their sizes ``n``."""
+    once = left is right
+    bits = np.minimum(2 ** np.ceil(np.log2(np.maximum(64, PARITY_BITS * n))).astype(np.int64), MOST_PARITY_BITS)
+    kinds = np.unique(bits)
+    of = [{int(k): rows[bits[rows] == k] for k in kinds} for rows in (left, right)]
+    maps = [{k: _parities(codes, begin[rows], n[rows], k) for k, rows in side.items()} for side in (of if not once else of[:1])] * (1 + once)
+    allowed = (1 - c) / (1 + c)
+    for k, xs in of[0].items():
+        for m, ys in of[1].items():
+            if not len(xs) or not len(ys) or n[ys[-1]] < c * n[xs[0]] - 1e-9 or n[ys[0]] > n[xs[-1]] / c + 1e-9:
+                continue
+            words = min(k, m) // 64
+            mx, my = _folded(maps[0][k], words), _folded(maps[1][m], words)
+            for i in range(0, len(xs), 32):
+                x = xs[i : i + 32]
+                lo, hi = np.searchsorted(n[ys], c * n[x[0]] - 1e-9), np.searchsorted(n[ys], n[x[-1]] / c + 1e-9, "right")
+                hi = min(int(hi), int(np.searchsorted(ys, x[-1]))) if once else int(hi)
+                for j in range(int(lo), hi, 2048):
+                    y = ys[j : min(j + 2048, hi)]
+                    apart, seen = np.zeros((len(x), len(y)), np.uint32 if words > 1000 else np.uint16), np.empty((len(x), len(y)), np.uint64)
+                    for v, w in zip(mx[:, i : i + 32], my[:, j : min(j + 2048, hi)], strict=True):
+                        np.bitwise_xor(v[:, None], w, out=seen)
+                        apart += np.bitwise_count(seen)
+                    at = np.flatnonzero((apart <= (n[x][:, None] + n[y]) * allowed + 1e-6).reshape(-1))
+                    u, v = np.divmod(at, len(y))
+                    u, v = x[u], y[v]
+                    fit = (np.minimum(n[u], n[v]) >= c * np.maximum(n[u], n[v]) - 1e-9) & ((v < u) | (not once))
+                    if fit.any():
+                        yield u[fit], v[fit]
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows in parts of ``least`` or more."""
+    held, many = [], 0
+    for part in parts:
+        held.append(part)
+        many += len(part[0])
+        if many >= least:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, many = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n keys that Spark's hash deals to n partitions, one to each; few as n are, plain numbers would often meet in one."""
+    dealt = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("to")).agg(F.min("id").alias("key")).collect()
+    found = {r["to"]: r["key"] for r in dealt}
+    return [found.get(k, -1 - k) for k in range(n)]
+
+
+def _coded_pairs(coded: DataFrame, min_sim: int, cell_bytes: int = 96 << 20) -> DataFrame:
+    """Pairs ``(a, b, sim)``, ``a < b``, of ``coded`` sets with a similarity of ``min_sim`` per cent or more."""
+    c = (min_sim - 0.5) / 100
+    total = coded.agg(F.coalesce(F.sum(F.octet_length("rare").cast("long") + F.octet_length("often")), F.lit(0))).first()[0]
+    # Some twenty cells at least where there is work for them; a set moves once a group.
+    groups = max(1, -(-2 * total // cell_bytes), min(6, total >> 20))
+    rows = coded.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    low, high, cells = F.least("g", "other"), F.greatest("g", "other"), groups * (groups + 1) // 2
+    keys = F.array(*[F.lit(k) for k in _even_keys(coded.sparkSession, cells)])
+    number = (low * (2 * groups - low - 1) / 2 + high).cast("int")
+    rows = rows.select("id", "n", "rare", "often", "g", low.alias("low"), high.alias("high"), F.element_at(keys, number + 1).alias("cell")).repartition(cells, "cell")
 
     def meet(cell: pa.Table) -> pa.Table:
-        cell = cell.sort_by([("n", "ascending"), ("id", "ascending")]).combine_chunks()
+        low, high = (cell.column(x)[0].as_py() for x in ("low", "high"))
+        cell = cell.select(["id", "n", "g", "rare", "often"]).sort_by([("n", "ascending"), ("id", "ascending")])
         ids, n, g = (cell.column(x).to_numpy() for x in ("id", "n", "g"))
-        keys = cell.column("keys").to_pylist()
-        size = np.array([len(x) // 4 for x in keys])
-        keys = np.frombuffer(b"".join(keys), np.uint32)
-        begin = np.cumsum(size) - size
-        end, rest = keys[begin + size - 1], n - size
-        codes = np.unique(keys, return_inverse=True)[1].astype(np.int32)
-        low, high = divmod(cell.column("cell")[0].as_py(), groups)
-        b_rows = np.flatnonzero(g == high)
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        mine = np.flatnonzero(g[owner] == high)
-        mine = mine[np.argsort(codes[mine], kind="stable")]
-        place = np.zeros(len(ids), np.int32)
-        place[b_rows] = np.arange(len(b_rows))
-        posted = place[owner[mine]]
-        first = np.searchsorted(codes[mine], np.arange(int(codes.max()) + 2))
-        nb, eb, rb, idb = n[b_rows], end[b_rows], rest[b_rows], ids[b_rows]
-        out_a, out_b = [], []
-        for x in np.flatnonzero(g == low).tolist():
-            # Sizes stand in order, so those that may be near are a stretch; in a cell of one group only rows before x.
-            lo = int(np.searchsorted(nb, c * n[x] - 1e-9))
-            hi = int(place[x]) if low == high else int(np.searchsorted(nb, n[x] / c + 1e-9, "right"))
-            if lo >= hi:
-                continue
-            own = codes[begin[x] : begin[x] + size[x]]
-            start, many = first[own], first[own + 1] - first[own]
-            met = posted[np.arange(int(many.sum())) + np.repeat(start - (np.cumsum(many) - many), many)]
-            k = np.bincount(met, minlength=hi)[lo:hi]
-            y = np.flatnonzero(k)
-            k, y = k[y], y + lo
-            left = np.where(end[x] < eb[y], rest[x], np.where(end[x] > eb[y], rb[y], np.maximum(rest[x], rb[y])))
-            y = y[k >= c / (1 + c) * (n[x] + nb[y]) - left - 1e-6]
-            if len(y):
-                out_a.append(np.full(len(y), ids[x]))
-                out_b.append(idb[y])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.table([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
-
-    return rows.groupBy("cell").applyInArrow(meet, "a long, b long")
+        n = n.astype(np.int64)
+        rare, n_rare = _bytes_of(cell.column("rare"), np.int64)
+        often, n_often = _bytes_of(cell.column("often"), np.uint16)
+        del cell
+        # One run of codes a set, frequent tags by their places and behind them all others.
+        known, rare = np.unique(rare, return_inverse=True)
+        codes = np.empty(len(rare) + len(often), np.int32)
+        is_rare = np.repeat(np.tile([True, False], len(n)), np.column_stack([n_rare, n_often]).reshape(-1))
+        codes[is_rare] = rare + (1 << 16)
+        codes[~is_rare] = often
+        del known, rare, often, is_rare
+        begin = np.cumsum(n) - n
+        left = np.flatnonzero(g == low)
+        right = left if low == high else np.flatnonzero(g == high)
+        out = []
+        for x, y in _gathered(_alike(codes, begin, n, left, right, c), 1 << 18):
+            shared = _shared(codes, begin, n, x, y)
+            sim = np.rint(shared * 100.0 / (n[x] + n[y] - shared)).astype(np.int32)
+            hit = np.flatnonzero(sim >= min_sim)
+            out.append((ids[x[hit]], ids[y[hit]], sim[hit]))
+        a, b, sim = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return pa.table([np.minimum(a, b), np.maximum(a, b), sim], ["a", "b", "sim"])
+
+    return rows.groupBy("cell").applyInArrow(meet, "a long, b long, sim int")
+
+
+def _prefixes(sets: DataFrame, frequent: np.ndarray, c: float) -> DataFrame:
+    """Whole sets for ``_prefix_pairs``; the name is that of an older form."""
+    return _coded(sets, frequent)
+
+
+def _prefix_pairs(coded: DataFrame, c: float, cell_bytes: int = 96 << 20) -> DataFrame:
+    return _coded_pairs(coded, round(100 * c + 0.5), cell_bytes).select("a", "b")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, min_sim: int) -> DataFrame:
