@@ -354,11 +354,7 @@ def jaccard_pairs(sets: DataFrame, min_sim: int = 50, min_size: int = 3, among:
     most frequent tags and eight for another, no two tags with the same code.
     ``among(id)``: only these sets. Identical sets are for collapse_identical first.
     """
-    sets = sets.where(F.size("tags") >= min_size)
-    counts = materialize(sets.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("df")), "tag_counts")
-    salt = _salt(counts)
-    top = [r["h"] for r in counts.orderBy(F.desc("df"), "tag").limit(FREQUENT).select(_tag_hash(F.col("tag"), salt).alias("h")).collect()]
-    coded = _coded(sets, np.array(top, np.int64), salt)
+    coded = _in_codes(sets.where(F.size("tags") >= min_size))
     coded = coded if among is None else coded.join(among.select(F.col("id").cast("long").alias("id")), "id", "left_semi")
     return _coded_pairs(materialize(coded, "coded"), min_sim)
 
@@ -367,6 +363,14 @@ def jaccard_pairs(sets: DataFrame, min_sim: int = 50, min_size: int = 3, among:
 FREQUENT = 50_000
 
 
+def _in_codes(sets: DataFrame) -> DataFrame:
+    """``_coded`` of ``sets(id, tags)`` by their own most frequent tags."""
+    counts = materialize(sets.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("df")), "tag_counts")
+    salt = _salt(counts)
+    top = [r["h"] for r in counts.orderBy(F.desc("df"), "tag").limit(FREQUENT).select(_tag_hash(F.col("tag"), salt).alias("h")).collect()]
+    return _coded(sets, np.array(top, np.int64), salt)
+
+
 def _tag_hash(tag: Column, salt: int = 0) -> Column:
     return F.xxhash64(F.lit(salt), tag) if salt else F.xxhash64(tag)
 
@@ -485,33 +489,40 @@ def _even_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(k, -1 - k) for k in range(n)]
 
 
+def _codes_of(cell: pa.Table) -> np.ndarray:
+    """The codes of all sets of a cell, one run a set: frequent tags by their places and behind them all others."""
+    rare, n_rare = _bytes_of(cell.column("rare"), np.int64)
+    often, n_often = _bytes_of(cell.column("often"), np.uint16)
+    rare = np.unique(rare, return_inverse=True)[1]
+    codes = np.empty(len(rare) + len(often), np.int32)
+    is_rare = np.repeat(np.tile([True, False], cell.num_rows), np.column_stack([n_rare, n_often]).reshape(-1))
+    codes[is_rare] = rare + (1 << 16)
+    codes[~is_rare] = often
+    return codes
+
+
+def _dealt(rows: DataFrame, groups: int) -> DataFrame:
+    """``rows(id, …)`` dealt to groups ``g``, and a copy for each cell (``low``, ``high``) of two groups; one cell to a task."""
+    low, high, cells = F.least("g", "other"), F.greatest("g", "other"), groups * (groups + 1) // 2
+    keys = F.array(*[F.lit(k) for k in _even_keys(rows.sparkSession, cells)])
+    number = (low * (2 * groups - low - 1) / 2 + high).cast("int")
+    out = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return out.select(*rows.columns, "g", low.alias("low"), high.alias("high"), F.element_at(keys, number + 1).alias("cell")).repartition(cells, "cell")
+
+
 def _coded_pairs(coded: DataFrame, min_sim: int, cell_bytes: int = 96 << 20) -> DataFrame:
     """Pairs ``(a, b, sim)``, ``a < b``, of ``coded`` sets with a similarity of ``min_sim`` per cent or more."""
     c = (min_sim - 0.5) / 100
     total = coded.agg(F.coalesce(F.sum(F.octet_length("rare").cast("long") + F.octet_length("often")), F.lit(0))).first()[0]
     # Some twenty cells at least where there is work for them; a set moves once a group.
     groups = max(1, -(-2 * total // cell_bytes), min(6, total >> 20))
-    rows = coded.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    low, high, cells = F.least("g", "other"), F.greatest("g", "other"), groups * (groups + 1) // 2
-    keys = F.array(*[F.lit(k) for k in _even_keys(coded.sparkSession, cells)])
-    number = (low * (2 * groups - low - 1) / 2 + high).cast("int")
-    rows = rows.select("id", "n", "rare", "often", "g", low.alias("low"), high.alias("high"), F.element_at(keys, number + 1).alias("cell")).repartition(cells, "cell")
-
     def meet(cell: pa.Table) -> pa.Table:
         low, high = (cell.column(x)[0].as_py() for x in ("low", "high"))
         cell = cell.select(["id", "n", "g", "rare", "often"]).sort_by([("n", "ascending"), ("id", "ascending")])
         ids, n, g = (cell.column(x).to_numpy() for x in ("id", "n", "g"))
         n = n.astype(np.int64)
-        rare, n_rare = _bytes_of(cell.column("rare"), np.int64)
-        often, n_often = _bytes_of(cell.column("often"), np.uint16)
+        codes = _codes_of(cell)
         del cell
-        # One run of codes a set, frequent tags by their places and behind them all others.
-        known, rare = np.unique(rare, return_inverse=True)
-        codes = np.empty(len(rare) + len(often), np.int32)
-        is_rare = np.repeat(np.tile([True, False], len(n)), np.column_stack([n_rare, n_often]).reshape(-1))
-        codes[is_rare] = rare + (1 << 16)
-        codes[~is_rare] = often
-        del known, rare, often, is_rare
         begin = np.cumsum(n) - n
         left = np.flatnonzero(g == low)
         right = left if low == high else np.flatnonzero(g == high)
@@ -524,7 +535,7 @@ def _coded_pairs(coded: DataFrame, min_sim: int, cell_bytes: int = 96 << 20) ->
         a, b, sim = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         return pa.table([np.minimum(a, b), np.maximum(a, b), sim], ["a", "b", "sim"])
 
-    return rows.groupBy("cell").applyInArrow(meet, "a long, b long, sim int")
+    return _dealt(coded, groups).groupBy("cell").applyInArrow(meet, "a long, b long, sim int")
 
 
 def _prefixes(sets: DataFrame, frequent: np.ndarray, c: float) -> DataFrame:
@@ -703,6 +714,65 @@ def verify_pairs_by_tags(pairs: DataFrame, image_tags: DataFrame) -> DataFrame:
     return met_in_cells(pairs, sets, 12 * F.size("tags"), meet, pairs.schema)
 
 
+def near_pairs_by_tags(sig: DataFrame, sets: DataFrame, max_dist: int, aspect_tol: float = 0.30, cell_bytes: int = 96 << 20) -> DataFrame:
+    """J13 on the pairs of J5: those of ``sig(id, words, ar)`` within ``max_dist`` bits whose ``sets(id, tags)`` agree by 30 % or more, or where a side has fewer than three tags.
+
+    Signatures and coded tags meet in the cells of a grid, so a pair that is
+    near is judged in the task that finds it, and only pairs of the result are written.
+    """
+    sig = materialize(sig.where("id is not null and words is not null").select(F.col("id").cast("long").alias("id"), "words", F.col("ar").cast("double").alias("ar")), "signatures")
+    ids = sig.select("id").distinct()
+    sets = materialize(sets.where("size(tags) > 0").select(F.col("id").cast("long").alias("id"), "tags").join(ids, "id", "left_semi"), "met_sets")
+    empty = F.lit(b"")
+    rows = sig.join(_in_codes(sets), "id", "left").select("id", "words", "ar", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("rare", empty).alias("rare"), F.coalesce("often", empty).alias("often"))
+    rows = materialize(rows, "signed_sets")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("rare").cast("long") + F.octet_length("often") + 24), F.lit(0))).first()[0]
+    groups = max(1, -(-2 * total // cell_bytes), min(6, total >> 20))
+
+    def meet(cell: pa.Table) -> pa.Table:
+        low, high = (cell.column(x)[0].as_py() for x in ("low", "high"))
+        ids, ar, n, g = (cell.column(x).to_numpy() for x in ("id", "ar", "n", "g"))
+        n, codes = n.astype(np.int64), np.append(_codes_of(cell), np.int32(0))
+        words = cell.column("words").combine_chunks()
+        words = _in_64s(words.flatten().to_numpy().reshape(len(ids), -1).astype(np.uint64))
+        del cell
+        begin = np.cumsum(n) - n
+        left = np.flatnonzero(g == low)
+        right = left if low == high else np.flatnonzero(g == high)
+        of_left, of_right = ([w[rows] for w in words] for rows in (left, right))
+        # Two bitmaps differ in no more bits than the sets have tags apart.
+        maps = np.ascontiguousarray(_parities(codes, begin, n, 2048).T)
+
+        def close() -> Iterator[tuple[np.ndarray, ...]]:
+            for i in range(0, len(left), 128):
+                for j in range(0, i + 128 if low == high else len(right), 2048):
+                    x, y = left[i : i + 128], right[j : j + 2048]
+                    d = np.bitwise_count(of_left[0][i : i + 128, None] ^ of_right[0][j : j + 2048])
+                    for v, w in zip(of_left[1:], of_right[1:], strict=True):
+                        d = d.astype(np.uint16) + np.bitwise_count(v[i : i + 128, None] ^ w[j : j + 2048])
+                    at = np.flatnonzero((d <= max_dist).reshape(-1))
+                    u, v = np.divmod(at, len(y))
+                    u, v = x[u], y[v]
+                    ok = (ids[u] != ids[v]) & ((low != high) | (v < u))
+                    u, v, d = u[ok], v[ok], d.reshape(-1)[at[ok]].astype(np.int32)
+                    first = ids[u] < ids[v]
+                    u, v = np.where(first, u, v), np.where(first, v, u)
+                    both, least = n[u] + n[v], np.minimum(n[u], n[v])
+                    ok = aspect_near(ar[u], ar[v], aspect_tol) & ((least < 3) | (13 * least >= 3 * both))
+                    yield u[ok], v[ok], d[ok]
+
+        out = []
+        for u, v, d in _gathered(close(), 1 << 15):
+            fits = np.minimum(n[u], n[v]) < 3
+            may = np.flatnonzero(~fits & (13 * np.bitwise_count(maps[u] ^ maps[v]).sum(1, dtype=np.int64) <= 7 * (n[u] + n[v])))
+            fits[may] = 13 * _shared(codes, begin, n, u[may], v[may]) >= 3 * (n[u] + n[v])[may]
+            out.append((ids[u[fits]], ids[v[fits]], d[fits]))
+        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return pa.table([a, b, d], ["a", "b", "dist"])
+
+    return _dealt(rows, groups).groupBy("cell").applyInArrow(meet, "a long, b long, dist int")
+
+
 def adjacency(pairs: DataFrame) -> DataFrame:
     """J14. (id, neighbors): a map of each image's partners and their distance."""
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o"), "dist"), F.struct(F.col("b").alias("id"), F.col("a").alias("o"), "dist"))).alias("p")).select("p.*")
